@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import token_fst
+from gridloom.llm import bpe, media, token_fst
 from gridloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,3 +20,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_token_counts"] = op1_token_counts
+
+
+def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(table(spark, sf_dir, "documents"))
+    return media.features(media.sniff(stored, keep=("n_bytes",)), keep=("n_bytes",))
+
+
+QUERIES["op3_media_sniff"] = op3_media_sniff
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(ids, ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES["op4_bpe_round_trip"] = op4_bpe_round_trip
