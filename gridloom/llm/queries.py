@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, media, token_fst
+from gridloom.llm import bpe, langid, media, simhash, token_fst, toxicity
 from gridloom.llm.common import table
 
+HELD_OUT = 2
+
+
+def held_out() -> Column:
+    """The fold that no model learns from: crc32 of the id as text leaves 2 when divided by 4."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == HELD_OUT
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,3 +46,30 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_bpe_round_trip"] = op4_bpe_round_trip
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(~F.coalesce(held_out(), F.lit(True))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES["op8_toxicity"] = op8_toxicity
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.learn(docs.filter(~F.coalesce(held_out(), F.lit(True))))
+    return langid.predict(docs, prototypes).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op10_language"] = op10_language
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op5_simhash"] = op5_simhash
