@@ -66,3 +66,16 @@ def drop_written(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the system, as workers are reused for other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, media, simhash, token_fst, toxicity
+from gridloom.llm import bpe, decontam, langid, line_dedup, media, simhash, token_fst, toxicity
 from gridloom.llm.common import table
 
 HELD_OUT = 2
@@ -73,3 +73,55 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash"] = op5_simhash
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("deduped", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
+ORACLES["op2_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT line, min(doc_id * 268435456 + n) AS place, list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+'), lambda x: x <> '')) AS s FROM l GROUP BY line),
+c AS (SELECT min(place) AS c, list_sort(s) AS s FROM w WHERE len(s) > 0 GROUP BY list_sort(s)),
+t AS (SELECT c, len(s) AS n, unnest(s) AS w FROM c),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+p AS (SELECT c, n, w FROM (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY df, w) AS i FROM t JOIN f USING (w)) WHERE i <= n - ceil(n * 0.8) + 1),
+k AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.w = b.w AND a.c < b.c AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+m AS (SELECT k.b AS c, min(k.a) AS a FROM k JOIN c x ON x.c = k.a JOIN c y ON y.c = k.b
+      WHERE len(list_intersect(x.s, y.s)) * 9 >= (len(x.s) + len(y.s)) * 4 GROUP BY k.b),
+u AS (SELECT c.s, coalesce(m.a, c.c) AS upto FROM c LEFT JOIN m USING (c)),
+g AS (SELECT w.line, u.upto FROM w JOIN u ON list_sort(w.s) = u.s),
+r AS (SELECT l.doc_id, l.n, l.line, coalesce(l.doc_id * 268435456 + l.n > g.upto, false) AS gone FROM l LEFT JOIN g USING (line)),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS text_sha256 FROM r GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(text_sha256, sha256('')) AS text_sha256 FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
+#: Two substitutions in 12 places leave one of three blocks of four intact, so any window that leaks is found by a block.
+ORACLES["op9_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(range(len(w) - 11)) AS p, w FROM d WHERE len(w) >= 12),
+bw AS (SELECT item_id, unnest(range(len(w) - 11)) AS p, w FROM b WHERE len(w) >= 12),
+dx AS (SELECT doc_id, p, w[p + 1 : p + 12] AS x FROM dw),
+bx AS (SELECT item_id, p, w[p + 1 : p + 12] AS x FROM bw),
+db AS (SELECT doc_id, p, x, unnest([0, 4, 8]) AS o FROM dx),
+bb AS (SELECT item_id, x, unnest([0, 4, 8]) AS o FROM bx),
+h AS (SELECT DISTINCT doc_id, item_id, db.p, db.x, bb.x AS y FROM db JOIN bb ON db.o = bb.o AND db.x[db.o + 1 : db.o + 4] = bb.x[bb.o + 1 : bb.o + 4]),
+v AS (SELECT doc_id, item_id, p, list_sum(list_transform(range(1, 13), lambda i: (x[i] = y[i])::INT)) AS m FROM h),
+long AS (SELECT doc_id, item_id, p, max(m) AS m, 12 AS size FROM v WHERE m >= 10 GROUP BY ALL),
+short AS (SELECT doc_id, item_id, p, m AS m, m AS size FROM (
+    SELECT doc_id, item_id, unnest(range(len(d.w) - len(b.w) + 1)) AS p, len(b.w) AS m, d.w AS dw, b.w AS bw FROM d JOIN b ON len(b.w) BETWEEN 5 AND 11 AND len(d.w) >= len(b.w))
+  WHERE dw[p + 1 : p + m] = bw)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min(p)::BIGINT AS first_word, max(p + size)::BIGINT AS last_word, max(m)::BIGINT AS agreeing
+FROM (SELECT * FROM long UNION ALL SELECT * FROM short) GROUP BY doc_id, item_id
+"""
