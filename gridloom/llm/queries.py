@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontam, langid, line_dedup, media, simhash, token_fst, toxicity
-from gridloom.llm.common import table
+from gridloom.llm import bpe, decontam, langid, line_dedup, media, repeats, simhash, token_fst, toxicity
+from gridloom.llm.common import table, texts
 
 HELD_OUT = 2
 
@@ -125,3 +125,14 @@ short AS (SELECT doc_id, item_id, p, m AS m, m AS size FROM (
 SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min(p)::BIGINT AS first_word, max(p + size)::BIGINT AS last_word, max(m)::BIGINT AS agreeing
 FROM (SELECT * FROM long UNION ALL SELECT * FROM short) GROUP BY doc_id, item_id
 """
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lost = repeats.repeated(docs).select("rid", F.aggregate("spans", F.lit(0), lambda n, x: n + x["to"] - x["from"]).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = texts(docs).select("doc_id", repeats.row_key().alias("rid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    none = F.lit(0).cast("long")
+    return rows.join(lost.dropDuplicates(["rid"]), "rid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+QUERIES["op6_repeats"] = op6_repeats
