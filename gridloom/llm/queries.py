@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontam, langid, line_dedup, media, repeats, simhash, token_fst, toxicity
+from gridloom.llm import bpe, decontam, langid, line_dedup, media, pii, repeats, simhash, token_fst, toxicity
 from gridloom.llm.common import table, texts
 
 HELD_OUT = 2
@@ -136,3 +136,12 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_repeats"] = op6_repeats
+
+PII_KEY = b"gridloom surrogate key: set your own"
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+QUERIES["op7_surrogates"] = op7_surrogates
