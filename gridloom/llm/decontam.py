@@ -78,3 +78,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         F.max(F.col("at") + F.col("size")).cast("long").alias("last_word"),
         F.max("agreeing").cast("long").alias("agreeing"),
     )
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item. A row goes with any row of its id that leaks."""
+    found = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("_leaking")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found["_leaking"]), "left_anti")

@@ -51,7 +51,7 @@ QUERIES["op4_bpe_round_trip"] = op4_bpe_round_trip
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.filter(~F.coalesce(held_out(), F.lit(True))))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(texts(docs), model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

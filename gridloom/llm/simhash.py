@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, written
+from gridloom.llm.common import sliced, written
 from gridloom.llm.components import roots
 
 BATCH_BYTES = 4_000_000
@@ -54,17 +54,17 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of each row; fp is the fingerprint as a signed long."""
-    source = texts(df, id_col, text_col)
+def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` of each row, and the long columns to keep; fp is the fingerprint as a signed long."""
+    source = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *(df[c] for c in keep))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", BATCH_BYTES):
             found = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found), *(part.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long")
+    return source.mapInArrow(run, f"doc_id {kind}, fp long" + "".join(f", {c} long" for c in keep))
 
 
 def turned(fp: Column, segments: int) -> Column:
@@ -119,11 +119,27 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of each row: the least id of all rows that are linked to it, directly or not."""
-    docs = written(fingerprints(df, shingle, id_col, text_col), "simhash")
+def components(docs: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of ``docs(doc_id, fp)``; root is the least fingerprint of its component."""
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = roots(links(nodes.select("fp")))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` of each row: the least id of all rows that are linked to it, directly or not."""
+    docs = written(fingerprints(df, shingle, id_col, text_col), "simhash")
+    return docs.join(components(docs).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row with the least id stays (of several with that id, the one
+    with the least hash of all columns)."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    keyed = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), row.alias("row"))
+    docs = written(fingerprints(keyed, shingle, keep=("row",)), "simhash")
+    first = docs.join(components(docs).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    kept = first.select("x.row").distinct()
+    same = Window.partitionBy("_row").orderBy("_row")
+    return df.withColumn("_row", row).join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_row", "_n")

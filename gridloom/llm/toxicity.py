@@ -156,16 +156,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model({f: float(v) for f, v in zip(vocabulary, w, strict=True) if v}, b)
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of each row, over its whole text."""
-    source = texts(df, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
+def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``df`` with each row's score, over its whole text."""
+    source = df.withColumn(out_col, F.lit(0.0))
+    schema, names = source.schema, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
-        for part in sliced(batches, "text", BATCH_BYTES):
+        for part in sliced(batches, text_col, BATCH_BYTES):
             out = []
-            for text in part.column("text").to_pylist():
+            for text in part.column(text_col).to_pylist():
                 active: set[str] = set()
                 for w in words_of(text):
                     own = known.get(w)
@@ -176,6 +176,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                     if own:
                         active.update(own)
                 out.append(model.score(sum(model.weights[f] for f in sorted(active))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*names, out_col])
 
-    return source.mapInArrow(run, f"doc_id {kind}, score double")
+    return df.mapInArrow(run, schema)
