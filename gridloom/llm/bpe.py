@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, written
+from gridloom.llm.common import sliced, texts, trimmed, written
 
-BLOCK_BYTES = 12_000_000
-CACHE_WORDS = 400_000
+BLOCK_BYTES = 10_000_000
+CACHE_WORDS = 150_000
 
 
 @lru_cache(maxsize=4)
@@ -55,74 +55,99 @@ def encoder(pattern: str, ranks: dict[bytes, int]):
 
 
 def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+    """Unsigned 32-bit integers, compressed byte plane by byte plane: small values leave the upper planes empty."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def blocks_of(documents: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: a document with its positions (``bucket`` null), and the words of a block that fall in a bucket."""
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only reads, projects and filters, so that each run has the same partitions; else a written copy."""
+    nodes = [line.lstrip(" :+-*()0123456789") for line in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    plain = all(n.startswith(("Project", "Filter", "FileScan", "LocalTableScan", "Scan ExistingRDD", "Range")) for n in nodes if n)
+    return df if plain else written(df, "bpe-documents")
+
+
+def blocks_of(documents: DataFrame, pattern: str, buckets: int, block_bytes: int, words_wanted: bool) -> DataFrame:
+    """Either the words of each block by bucket, or each block's documents with their positions.
+
+    A block's words are numbered by falling frequency, so that most positions take one byte. Both forms number them alike: splitting
+    the texts a second time costs less than keeping the positions on disk until the words are encoded."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = "block long, bucket int, packed binary, places binary" if words_wanted else f"block long, doc_ids array<{kind}>, counts binary, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
 
         split = regex.compile(pattern).findall
+        names = ["block", "bucket", "packed", "places"] if words_wanted else ["block", "doc_ids", "counts", "packed"]
         block = TaskContext.get().partitionId() << 24
-        names = ["block", "bucket", "doc_id", "packed", "places"]
         words: dict[str, int] = {}
+        found: list[np.ndarray] = []
+        ids: list[pa.Array] = []
         held = 0
 
-        def listed() -> pa.RecordBatch:
-            spelled = [w.encode() for w in words]
+        def closed() -> Iterator[pa.RecordBatch]:
+            doc_ids = pa.concat_arrays(ids)
+            counts = np.array([len(x) for x in found], "<u4")
+            seen = np.concatenate(found)
+            order = np.argsort(-np.bincount(seen, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            if not words_wanted:
+                whole = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), whole, pa.array([pack(counts)], pa.binary()), pa.array([pack(rank[seen])], pa.binary())], names=names)
+                return
+            listed = list(words)
+            spelled = [listed[i].encode() for i in order.tolist()]
             home = np.fromiter((crc32(w) for w in spelled), np.uint32, len(spelled)) % buckets
-            order = np.argsort(home, kind="stable")
-            cuts = np.flatnonzero(np.diff(home[order])) + 1
-            groups = [g for g in np.split(order, cuts) if len(g)]
+            by_home = np.argsort(home, kind="stable")
+            groups = [g for g in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1) if len(g)]
             packed, places = [], []
             squeeze = zstandard.ZstdCompressor(level=3).compress
             for g in groups:
                 own = [spelled[i] for i in g.tolist()]
                 sizes = np.array([len(w) for w in own], "<u4")
                 packed.append(squeeze(len(own).to_bytes(4, "little") + sizes.tobytes() + b"".join(own)))
-                places.append(pack(g.astype("<u4")))
+                places.append(pack(np.diff(g, prepend=0)))
             n = len(groups)
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([int(home[g[0]]) for g in groups], pa.int32()), pa.nulls(n, id_type), pa.array(packed, pa.binary()), pa.array(places, pa.binary())], names=names)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([int(home[g[0]]) for g in groups], pa.int32()), pa.array(packed, pa.binary()), pa.array(places, pa.binary())], names=names)
 
         for part in sliced(batches, "text", block_bytes // 8):
-            id_type = part.schema.field("doc_id").type
-            packed = []
             for text in part.column("text").to_pylist():
                 known = words.setdefault
-                found = [known(w, len(words)) for w in split(text)]
-                packed.append(pack(np.array(found, "<u4")))
+                found.append(np.array([known(w, len(words)) for w in split(text)], "<u4"))
                 held += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.nulls(len(packed), pa.int32()), part.column("doc_id"), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=names)
+            ids.append(part.column("doc_id"))
             if held >= block_bytes:
-                yield listed()
+                yield from closed()
                 block, held = block + 1, 0
-                words = {}
-        if words:
-            yield listed()
+                words, found, ids = {}, [], []
+        if found:
+            yield from closed()
+            words, found, ids = {}, [], []
 
-    return documents.mapInArrow(run, f"block long, bucket int, doc_id {kind}, packed binary, places binary")
+    return documents.mapInArrow(trimmed(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids`` of each row; ids as little-endian unsigned 32-bit integers in one binary value."""
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    documents = texts(df, id_col, text_col)
+    documents = stable(texts(df, id_col, text_col))
     kind = documents.schema["doc_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(blocks_of(documents, pattern, 4 * n, block_bytes), "bpe-blocks")
+    words = blocks_of(documents, pattern, 4 * n, block_bytes, words_wanted=True)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = encoder(pattern, ranks.value).encode_ordinary
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
@@ -138,41 +163,41 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     start = end
                     own = known.get(word)
                     if own is None:
-                        own = known[word] = whole(word.decode())
-                    ids += own
-                    sizes.append(len(own))
-                out.append(pack(np.array([count, *sizes, *ids], "<u4")))
+                        own = known[word] = np.array(whole(word.decode()), "<u4").tobytes()
+                    ids.append(own)
+                    sizes.append(len(own) >> 2)
+                out.append(pack(np.concatenate([np.array([count, *sizes], "<u4"), np.frombuffer(b"".join(ids), "<u4")])))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(out, pa.binary())], ["block", "places", "coded"])
+        known.clear()
 
-    coded = blocks.filter("bucket is not null").select("block", "bucket", "packed", "places").repartition(n, "bucket").mapInArrow(encode_words, "block long, places binary, coded binary")
+    coded = words.repartition(n, "bucket").mapInArrow(trimmed(encode_words), "block long, places binary, coded binary")
 
     def reassemble(own: pa.Table, lists: pa.Table) -> pa.Table:
         flat, sizes_of, at_of, base = [], [], [], 0
         for places, data in zip(lists.column("places").to_pylist(), lists.column("coded").to_pylist(), strict=True):
-            values = unpack(data, "<u4")
+            values = unpack(data)
             count = int(values[0])
             sizes = values[1 : 1 + count].astype(np.int64)
             flat.append(values[1 + count :])
-            at_of.append(unpack(places, "<u4"))
+            at_of.append(np.cumsum(unpack(places), dtype=np.int64))
             sizes_of.append(np.stack([base + np.cumsum(sizes) - sizes, sizes]))
             base += int(sizes.sum())
-        at = np.concatenate([*at_of, np.zeros(0, np.uint32)])
-        table = np.zeros((2, len(at)), np.int64)
-        if len(at):
-            table[:, at] = np.concatenate(sizes_of, axis=1)
+        table = np.zeros((2, sum(map(len, at_of))), np.int64)
+        if at_of:
+            table[:, np.concatenate(at_of)] = np.concatenate(sizes_of, axis=1)
         ids = np.concatenate([*flat, np.zeros(0, "<u4")])
-        out, counts = [], []
-        for data in own.column("packed").to_pylist():
-            words = unpack(data, "<u4")
-            froms, sizes = table[0, words], table[1, words]
-            total = np.cumsum(sizes)
-            n_ids = int(total[-1]) if len(total) else 0
-            took = ids[np.repeat(froms - (total - sizes), sizes) + np.arange(n_ids)] if n_ids else ids[:0]
-            out.append(took.tobytes())
-            counts.append(n_ids)
-        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    positions = blocks.filter("bucket is null").select("block", "doc_id", "packed")
+        doc_ids, out, n_ids = own.column("doc_ids").combine_chunks().flatten(), [], []
+        for counts, data in zip(own.column("counts").to_pylist(), own.column("packed").to_pylist(), strict=True):
+            every, at = unpack(data), 0
+            for n_words in unpack(counts).tolist():
+                froms, sizes = table[:, every[at : at + n_words]]
+                at += n_words
+                total = np.cumsum(sizes)
+                n_ids.append(int(total[-1]) if n_words else 0)
+                out.append(ids[np.repeat(froms - (total - sizes), sizes) + np.arange(n_ids[-1])].tobytes() if n_words else b"")
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    positions = blocks_of(documents, pattern, 4 * n, block_bytes, words_wanted=False)
     return positions.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 
@@ -187,4 +212,4 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             done = [b"".join(map(by_id, np.frombuffer(ids or b"", "<u4").tolist())) for ids in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
