@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts
+from gridloom.llm.common import sliced, texts, trimmed
 
 DIMENSIONS = 1024
 SEED = 20_240_731
@@ -109,7 +109,7 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
 
     out: dict[str, np.ndarray] = {}
-    for lang, v in sorted(tuple(r) for r in rows.filter(order <= edge).select("text", "lang").mapInArrow(run, "lang string, v binary").collect()):
+    for lang, v in sorted(tuple(r) for r in rows.filter(order <= edge).select("text", "lang").mapInArrow(trimmed(run), "lang string, v binary").collect()):
         out[lang] = out.get(lang, 0) + np.frombuffer(bytes(v))
     return {lang: unit(v).astype(np.float32) for lang, v in out.items()}
 
@@ -133,4 +133,4 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
                 score, said = np.zeros(part.num_rows), ["und"] * part.num_rows
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(said), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, lang_pred string, score double")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import sliced, texts
+from gridloom.llm.common import sliced, texts, trimmed
 
 BATCH_BYTES = 4_000_000
 UNIT = 64
@@ -243,7 +243,7 @@ def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "decl
                 media.append([{"type": k, "offset": at, "length": n} for k, at, n in found if at])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(detected, pa.string()), pa.array(corrected, pa.bool_()), pa.array(media, pa.list_(piece))], [*part.schema.names, "detected", "corrected", "media"])
 
-    return source.mapInArrow(run, f"{fields}, detected string, corrected boolean, media array<struct<type:string,offset:long,length:long>>")
+    return source.mapInArrow(trimmed(run), f"{fields}, detected string, corrected boolean, media array<struct<type:string,offset:long,length:long>>")
 
 
 def carved(sniffed: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             stored = [wav_of(b + b"\0" * (-len(b) % UNIT if b else UNIT)) for b in raw]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], ["doc_id", "n_bytes", "content", "declared"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, content binary, declared string")
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, content binary, declared string")
 
 
 def features(sniffed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -303,4 +303,4 @@ def features(sniffed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in front), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*front, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return sniffed.mapInArrow(run, f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sniffed.mapInArrow(trimmed(run), f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

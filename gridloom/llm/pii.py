@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_written, sliced, written
+from gridloom.llm.common import drop_written, sliced, trimmed, written
 
 BATCH_BYTES = 3_000_000
 MOST_ATTEMPTS = 50
@@ -195,7 +195,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found = [[{"start": a, "end": b, "type": k, "value": v} for a, b, k, v in finds(t or "")] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, entity)], ["doc_id", "text", "found"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, text string, found array<struct<start:int,end:int,type:string,value:string>>")
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, text string, found array<struct<start:int,end:int,type:string,value:string>>")
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -207,7 +207,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, pa.string())], [*part.schema.names, "new"])
 
     def drawn(df: DataFrame) -> DataFrame:
-        return df.select("type", "value", "attempt").mapInArrow(run, "type string, value string, attempt int, new string")
+        return df.select("type", "value", "attempt").mapInArrow(trimmed(run), "type string, value string, attempt int, new string")
 
     now = written(drawn(entities.withColumn("attempt", F.lit(0))), "pii-surrogates")
     originals = entities.select("type", F.col("value").alias("new"))
@@ -246,5 +246,5 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
                 counts.append(len(swaps))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "text", "n_entities"])
 
-    swapped = some.join(placed, "rid").select("doc_id", "text", "placed").mapInArrow(run, f"doc_id {kind}, text string, n_entities long")
+    swapped = some.join(placed, "rid").select("doc_id", "text", "placed").mapInArrow(trimmed(run), f"doc_id {kind}, text string, n_entities long")
     return swapped.union(rows.filter(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("long")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, written
+from gridloom.llm.common import sliced, texts, trimmed, written
 
 LENGTH, SPAN, GRAM = 400, 128, 16
 BATCH_BYTES = 2_000_000
@@ -99,7 +99,7 @@ def marked(df: DataFrame, length: int, span: int) -> DataFrame:
                 stretches.append(np.array([digest(b[i : e - 1 + length]) for i, e, _ in found], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(cores, kind), pa.array(stretches, kind)], ["rid", "cores", "stretches"])
 
-    return df.filter(F.octet_length("text") >= length).mapInArrow(run, "rid long, cores array<long>, stretches array<long>")
+    return df.filter(F.octet_length("text") >= length).mapInArrow(trimmed(run), "rid long, cores array<long>, stretches array<long>")
 
 
 def twice(df: DataFrame, key: str) -> DataFrame:
@@ -132,7 +132,7 @@ def string_hashes(affected: DataFrame, length: int, span: int) -> DataFrame:
                 own = np.array([digest(b[i : i + length]) for i in starts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rid, np.int64)), pa.array(starts, pa.int32()), pa.array(own)], ["rid", "start", "string"])
 
-    return affected.filter(F.exists("marks", lambda m: m.mark != IN)).select("rid", "text", "marks").mapInArrow(run, "rid long, start int, string long")
+    return affected.filter(F.exists("marks", lambda m: m.mark != IN)).select("rid", "text", "marks").mapInArrow(trimmed(run), "rid long, start int, string long")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -171,4 +171,4 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(spans, span_type), pa.array(kept, pa.binary())], ["rid", "doc_id", "spans", "kept"])
 
     done = affected.join(starts, "rid", "left").select("rid", "doc_id", "text", "marks", "starts")
-    return done.mapInArrow(run, f"rid long, doc_id {kind}, spans array<struct<from:int,to:int>>, kept binary").filter(F.size("spans") > 0)
+    return done.mapInArrow(trimmed(run), f"rid long, doc_id {kind}, spans array<struct<from:int,to:int>>, kept binary").filter(F.size("spans") > 0)

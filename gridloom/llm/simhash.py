@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, written
+from gridloom.llm.common import sliced, trimmed, written
 from gridloom.llm.components import roots
 
 BATCH_BYTES = 4_000_000
@@ -64,7 +64,7 @@ def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
             found = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found), *(part.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long" + "".join(f", {c} long" for c in keep))
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, fp long" + "".join(f", {c} long" for c in keep))
 
 
 def turned(fp: Column, segments: int) -> Column:

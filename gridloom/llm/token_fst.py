@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import sliced, texts
+from gridloom.llm.common import sliced, texts, trimmed
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 4
 CHUNK = 192
@@ -356,4 +356,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_col: s
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts
+from gridloom.llm.common import sliced, texts, trimmed
 
 #: At most so many labelled rows train the classifier: those with the smallest hash of their id.
 TRAINING_ROWS = 8_000
 FEATURES = 1_024
 LEAST_ROWS = 5
 BATCH_BYTES = 4_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 RIDGE, COUNTERFACTUAL, STEPS = 3e-4, 1.0, 400
 
 #: Groups of terms that may stand for each other.
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     own[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["feature", "clean", "toxic"])
 
-    seen = rows.mapInArrow(explode, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(F.col("c") + F.col("t") >= LEAST_ROWS)
+    seen = rows.mapInArrow(trimmed(explode), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(F.col("c") + F.col("t") >= LEAST_ROWS)
     share = (F.col("c") + F.col("t")) / n
     gap = F.abs(F.col("t") / toxic - F.col("c") / (n - toxic)) / F.sqrt(share * (1 - share) + 1e-6)
     vocabulary = [r.feature for r in seen.orderBy(gap.desc(), "feature").limit(FEATURES).collect()]
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = [words_of(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([ids(s) for s in sets], kinds[0]), part.column("label"), pa.array([[ids(c) for c in swapped(s)] for s in sets], kinds[2])], ["f", "label", "other"])
 
-    data = sorted((tuple(r.f), r.label, tuple(map(tuple, r.other))) for r in rows.mapInArrow(chosen_features, "f array<int>, label int, other array<array<int>>").collect())
+    data = sorted((tuple(r.f), r.label, tuple(map(tuple, r.other))) for r in rows.mapInArrow(trimmed(chosen_features), "f array<int>, label int, other array<array<int>>").collect())
     x, y = np.zeros((len(data), len(index)), np.float32), np.array([r[1] for r in data], float)
     for i, r in enumerate(data):
         x[i, list(r[0])] = 1
@@ -178,4 +178,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
                 out.append(model.score(sum(model.weights[f] for f in sorted(active))))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
