@@ -4,11 +4,11 @@ A document leaks an item if a window of 12 of its words agrees in 10 or more pla
 similarity of 0.8 or more), so up to two words in a window may be substituted. Items of 5 to 11 words leak as a whole, word
 for word; shorter ones are too common to tell and never leak. Words are runs of letters and digits, lower-cased.
 
-Six fixed masks each look at 6 of the 12 places: the places fall into four interleaved groups, and a mask looks at two of these.
-Wherever two substitutions are, one mask ignores both, so no leak is missed. The hashes under each mask of every window of the
-documents are joined with those of the items; each hit is then verified in all 12 places.
+Two fixed masks look at 5 of 7 places. Wherever two substitutions are in a window, one of the masks fits somewhere in it
+without touching either, so no leak is missed. The hashes under both masks at every place of the documents are joined with those
+of the items. Around each hit the places that agree are marked, and every window that holds the hit is verified.
 
-The items' windows are broadcast while they are at most ``BROADCAST_ROWS``; beyond that the join shuffles the hashes.
+The items' hashes are broadcast while they are at most ``BROADCAST_ROWS``; beyond that the join shuffles them.
 
 Defined results: null and empty texts and items leak nothing; equal windows in several items give a row for each item; rows with
 the same document id are taken together; other columns are ignored.
@@ -16,15 +16,16 @@ the same document id are taken together; other columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, AGREE = 12, 10
 LEAST_WORDS = 5
-GROUPS = 4
-MASKS = [sorted(p for g in pair for p in range(g, WINDOW, GROUPS)) for pair in combinations(range(GROUPS), 2)]
+#: Places that the masks look at; ``tests`` show that they miss no two substitutions.
+MASKS = [(0, 1, 2, 5, 6), (0, 1, 3, 5, 6)]
+SPAN = 7
+#: Places before and after the start of a hit that its windows can hold.
+BEFORE, AROUND = WINDOW - SPAN, 2 * WINDOW - SPAN
 BROADCAST_ROWS = 1_000_000
 
 
@@ -33,45 +34,55 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def window_keys(words: Column, at: Column, lengths: list[int], whole: Column | None = None) -> Column:
-    """The hashes of the window at ``at`` (from 0): under each mask, and of the shorter lengths that items have."""
-    place = lambda k: F.get(words, at + k)
-    n = F.size(words)
-    full = [F.when(at + WINDOW <= n, F.xxhash64(F.lit(m), *(place(k) for k in mask))) for m, mask in enumerate(MASKS)]
-    short = [F.when((at + size <= n) if whole is None else (n == size), F.xxhash64(F.lit(-size), *(place(k) for k in range(size)))) for size in lengths]
-    return F.array(*full, *short)
+def keys(words: Column, at: Column, short: bool) -> Column:
+    """The hashes under each mask at ``at`` (from 0); with ``short`` also that of the next five words, for items below a window."""
+    masks = [(m, mask) for m, mask in enumerate(MASKS)] + ([(-1, tuple(range(LEAST_WORDS)))] if short else [])
+    return F.array(*(F.xxhash64(F.lit(m), *(F.get(words, at + k) for k in mask)) for m, mask in masks))
 
 
 def positions(df: DataFrame, id_col: str, text_col: str, name: str, least: int) -> DataFrame:
-    """``name, words, at``: every place where a window may begin."""
+    """``name, words, at``: every place where a mask may lie."""
     rows = df.select(df[id_col].alias(name), word_hashes(df[text_col].cast("string")).alias("words"))
     last = F.size("words") - least
     return rows.select(name, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
 
 
+def around(words: Column, at: Column) -> Column:
+    """The words from ``BEFORE`` before ``at`` on; fewer at the start and the end of a text."""
+    return F.slice(words, F.greatest(at - BEFORE, F.lit(0)) + 1, AROUND)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, first_word, last_word, agreeing``: the windows of the document that leak the item, where the first
     begins and the last ends (in words, from 0), and the most places that agree in a window."""
-    sized = items.select(F.size(word_hashes(items[item_text_col].cast("string"))).alias("n")).filter(F.col("n").between(LEAST_WORDS, WINDOW - 1)).distinct()
-    lengths = sorted(r.n for r in sized.collect())  # seven values at most
-    inside = positions(items, item_col, item_text_col, "item_id", LEAST_WORDS)
-    keyed = inside.select("item_id", F.col("at").alias("item_at"), F.slice("words", F.col("at") + 1, WINDOW).alias("own"), F.explode(window_keys(F.col("words"), F.col("at"), lengths, F.lit(True))).alias("key")).filter("key is not null").distinct()
-    keyed = keyed.filter((F.size("own") == WINDOW) | (F.col("item_at") == 0))
+    named = items.select(items[item_col].alias("item_id"), items[item_text_col].alias("text"))
+    size = F.size(word_hashes(F.col("text").cast("string")))
+    short = bool(named.filter(size.between(LEAST_WORDS, WINDOW - 1)).limit(1).count())
+    long_keys = positions(named.filter(size >= WINDOW), "item_id", "text", "item_id", SPAN).select("item_id", F.col("at").alias("item_at"), around(F.col("words"), F.col("at")).alias("own"), F.explode(keys(F.col("words"), F.col("at"), False)).alias("key"), F.lit(False).alias("whole"))
+    whole = positions(named.filter(size.between(LEAST_WORDS, WINDOW - 1)), "item_id", "text", "item_id", LEAST_WORDS).filter("at = 0")
+    whole_keys = whole.select("item_id", F.col("at").alias("item_at"), F.col("words").alias("own"), F.element_at(keys(F.col("words"), F.col("at"), True), -1).alias("key"), F.lit(True).alias("whole"))
+    keyed = long_keys.union(whole_keys) if short else long_keys
     few = keyed.count() <= BROADCAST_ROWS
-    least = min([*lengths, WINDOW])
-    every = positions(docs, id_col, text_col, "doc_id", least)
+    every = positions(docs, id_col, text_col, "doc_id", LEAST_WORDS if short else SPAN)
+    there = around(F.col("words"), F.col("at"))
     if few:
-        probe = every.select("doc_id", "words", "at", F.explode(window_keys(F.col("words"), F.col("at"), lengths)).alias("key"))
-        hits = probe.join(F.broadcast(keyed), "key")
-        there = lambda k: F.get("words", F.col("at") + k)
+        hits = every.select("doc_id", "words", "at", F.explode(keys(F.col("words"), F.col("at"), short)).alias("key")).join(F.broadcast(keyed), "key").select("doc_id", "item_id", "at", "item_at", "own", "whole", there.alias("there"))
     else:
-        probe = every.select("doc_id", F.slice("words", F.col("at") + 1, WINDOW).alias("words"), "at", F.explode(window_keys(F.col("words"), F.col("at"), lengths)).alias("key"))
-        hits = probe.filter("key is not null").join(keyed, "key")
-        there = lambda k: F.get("words", F.lit(k))
-    agreeing = sum((F.coalesce((there(k) == F.get("own", F.lit(k))), F.lit(False)).cast("int") for k in range(WINDOW)), F.lit(0))
-    size = F.size("own")
-    found = hits.select("doc_id", "item_id", "at", agreeing.alias("agreeing"), size.alias("size")).filter(F.when(F.col("size") == WINDOW, F.col("agreeing") >= AGREE).otherwise(F.col("agreeing") == F.col("size")))
-    once = found.groupBy("doc_id", "item_id", "at").agg(F.max("agreeing").alias("agreeing"), F.max("size").alias("size"))
+        hits = every.select("doc_id", "at", there.alias("there"), F.explode(keys(F.col("words"), F.col("at"), short)).alias("key")).join(keyed, "key").select("doc_id", "item_id", "at", "item_at", "own", "whole", "there")
+    # the place of the hit within each slice, and how far both reach to either side
+    here, mine = F.least(F.col("at"), F.lit(BEFORE)), F.least(F.col("item_at"), F.lit(BEFORE))
+    back = F.least(here, mine)
+    reach = F.least(F.size("there") - here, F.size("own") - mine)
+    agree = F.transform(F.sequence(-back, reach - 1), lambda k: (F.get("there", here + k) == F.get("own", mine + k)).cast("int"))
+    marked = hits.select("doc_id", "item_id", "whole", "at", F.size("own").alias("size"), (F.col("at") - back).alias("from"), back.alias("back"), agree.alias("agree"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, y: n + y)
+    starts = F.when(F.size("agree") >= WINDOW, F.sequence(F.lit(0), F.size("agree") - WINDOW))
+    found = F.filter(F.transform(starts, lambda k: F.struct((F.col("from") + k).alias("at"), total(F.slice("agree", k + 1, WINDOW)).alias("agreeing"))), lambda x: x.agreeing >= AGREE)
+    windows = marked.filter("not whole").select("doc_id", "item_id", F.explode(found).alias("x"), F.lit(WINDOW).alias("size")).select("doc_id", "item_id", "x.at", "x.agreeing", "size")
+    if short:
+        equal = marked.filter(F.col("whole") & (F.size("agree") == F.col("size")) & (total(F.col("agree")) == F.col("size")))
+        windows = windows.union(equal.select("doc_id", "item_id", "at", F.col("size").alias("agreeing"), "size"))
+    once = windows.groupBy("doc_id", "item_id", "at").agg(F.max("agreeing").alias("agreeing"), F.max("size").alias("size"))
     return once.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_windows"),
         F.min("at").cast("long").alias("first_word"),
