@@ -48,14 +48,14 @@ def letter_vector(code: int) -> np.ndarray:
 def text_vectors(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The vector of each text, and whether it has a letter."""
     n = len(values)
-    joined = "\n".join(v.lower().replace("\n", " ") for v in values) + "\n"
+    joined = "".join(f" {v.lower().replace(chr(10), ' ')}\n" for v in values)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.cumsum(codes == 10) - (codes == 10)
     letter = letters()[codes]
     has = np.bincount(doc[letter], minlength=n)[:n] > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the separator after a letter
-    keep[np.flatnonzero(np.diff(doc, prepend=-1))] = True  # and one in front
+    keep[np.flatnonzero(np.diff(doc, prepend=-1))] = True  # and the one in front of a text
     seq, doc = np.where(letter, codes, 0)[keep], doc[keep]
     alphabet, small = np.unique(seq, return_inverse=True)
     ok = (doc[2:] == doc[:-2]) & (seq[1:-1] != 0) if len(seq) > 2 else np.zeros(0, bool)
