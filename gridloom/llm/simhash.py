@@ -11,6 +11,9 @@ A bucket of more than ``BUCKET`` fingerprints emits no pairs. Its fingerprints a
 fingerprints differ in at most two bits if and only if both are within one bit of some point, so each gives its 65 points,
 and all that share a point are joined to the least of them. That is exact and linear in the bucket.
 
+Pairs of a Jaccard similarity of 0.8 differ in about 15 % of their bits, too many for exact keys of 64 bits. ``one_of_each`` takes
+fingerprints of 2,048 bits for them: 85 segments of 24 bits, of which such a pair has an equal one nearly always.
+
 Equal fingerprints are one node, so groups of copies of any size cost a row each.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; rows with the same id each get a
@@ -19,6 +22,7 @@ row; null ids are kept, with the least other id of their component; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,11 @@ BATCH_BYTES = 4_000_000
 SEGMENTS, WIDTH, MOST_BITS = 8, 8, 2
 BUCKET = 256
 SEED = 42
+#: Wide fingerprints, for similarities at which 64 bits differ too much for exact keys: words of 64 bits, and the segments to meet by.
+WIDE, SLICE_BYTES = 32, 3
+SLICES = 8 * WIDE // SLICE_BYTES
+CROWDED = 64
+_STEPS = np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -133,13 +142,105 @@ def near_duplicates(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", tex
     return docs.join(components(docs).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row with the least id stays (of several with that id, the one
-    with the least hash of all columns)."""
+def column_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit. rows: n x words of 64 bits. Numbers are added as bit planes, pairwise, so a word does 64 at once."""
+    planes, n = [rows], len(rows)
+    while n > 1:
+        half = n // 2
+        carry, out = None, []
+        for p in planes:
+            x, y = p[:half], p[half : 2 * half]
+            either, both = x ^ y, x & y
+            if carry is None:
+                out.append(either)
+                carry = both
+            else:
+                out.append(either ^ carry)
+                carry = both | (carry & either)
+        out.append(carry)
+        if n % 2:
+            rest = [p[-1:] for p in planes] + [np.zeros_like(rows[:1])]
+            out = [np.concatenate(x) for x in zip(out, rest, strict=True)]
+        planes, n = out, half + n % 2
+    return sum(np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes))
+
+
+def wide_fingerprint(text: str, shingle: int) -> bytes:
+    """A fingerprint of ``WIDE`` words of 64 bits, from the set of the text's word shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WIDE)
+    joined = b" ".join(words)
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    last = max(1, len(words) - shingle + 1)
+    ends = (starts + sizes)[min(shingle, len(words)) - 1 :]
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    h = np.array(list({digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)}), np.uint64)
+    votes = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), 4096):
+        z = h[i : i + 4096, None] + _STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        votes += column_counts(z ^ (z >> np.uint64(31)))
+    return np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(df: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """``doc_id, fp, wide`` of each row of ``df(doc_id, text)`` and the long columns to keep; fp is the hash of wide."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text", BATCH_BYTES):
+            wide = [wide_fingerprint(t or "", shingle) for t in part.column("text").to_pylist()]
+            fp = np.array([xxhash.xxh64_intdigest(w) for w in wide], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(wide, pa.binary()), *(part.column(c) for c in keep)], ["doc_id", "fp", "wide", *keep])
+
+    return df.select("doc_id", "text", *keep).mapInArrow(trimmed(run), f"doc_id {kind}, fp long, wide binary" + "".join(f", {c} long" for c in keep))
+
+
+def most_differing(similarity: float) -> int:
+    """Bits in which wide fingerprints of that Jaccard similarity differ, and a margin of 1.5 standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * WIDE * share + 1.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+
+
+def wide_links(nodes: DataFrame, most: int) -> DataFrame:
+    """Links ``u, v`` between the distinct fingerprints of ``nodes(fp, wide)`` that differ in ``most`` bits or fewer.
+
+    Pairs meet where one of the ``SLICES`` consecutive segments of ``8 * SLICE_BYTES`` bits is equal. In a segment where more than
+    ``CROWDED`` fingerprints meet, each is compared with the least one first; those that are linked to it are linked to each
+    other, and only the rest is compared with all."""
+    pieces = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("wide", k * SLICE_BYTES + 1, SLICE_BYTES)) for k in range(SLICES)))
+    every = nodes.select("fp", F.explode(pieces).alias("key"))
+    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter("n > 1")
+    shared = written(every.join(sizes, "key"), "simhash-shared")
+    words = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.conv(F.hex(F.substring("wide", k * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    wide = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", words.alias("bits")), "simhash-wide")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(wide.select(F.col("fp").alias("u"), F.col("bits").alias("x")), "u").join(wide.select(F.col("fp").alias("v"), F.col("bits").alias("y")), "v")
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+        return both.filter(differ <= most).select("u", "v")
+
+    few, many = shared.filter(F.col("n") <= CROWDED), shared.filter((F.col("n") > CROWDED) & (F.col("fp") != F.col("least")))
+    small = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").filter("u > v").select("u", "v")
+    found = written(near(small.union(many.select(F.col("fp").alias("u"), F.col("least").alias("v")))), "simhash-near")
+    left = many.join(found.select(F.col("u").alias("fp"), F.col("v").alias("least")), ["fp", "least"], "left_anti")
+    rest = left.select("key", F.col("fp").alias("u")).join(many.select("key", F.col("fp").alias("v")), "key").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return found.union(near(rest))
+
+
+def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates of that Jaccard similarity of word shingles or more: of each component the row with the
+    least id stays (of several with that id, the one with the least hash of all columns). Similarities are those of wide
+    fingerprints, so a pair close to the bound may fall on either side of it."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    keyed = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), row.alias("row"))
-    docs = written(fingerprints(keyed, shingle, keep=("row",)), "simhash")
-    first = docs.join(components(docs).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x"))
-    kept = first.select("x.row").distinct()
+    keyed = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), row.alias("row"))
+    docs = written(wide_fingerprints(keyed, shingle, keep=("row",)), "simhash")
+    nodes = written(docs.groupBy("fp").agg(F.any_value("wide").alias("wide")), "simhash-nodes")
+    found = roots(wide_links(nodes, most_differing(similarity))).withColumnRenamed("node", "fp")
+    rooted = docs.select("doc_id", "row", "fp").join(found, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row")).distinct()
     same = Window.partitionBy("_row").orderBy("_row")
-    return df.withColumn("_row", row).join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_row", "_n")
+    return df.withColumn("_row", row).join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_row", "_n")
