@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.results import stored
+
 KEY = ["cause", "effect", "lag"]
 
 
@@ -59,7 +61,7 @@ def toward(edges: DataFrame, targets: list[str], most: int = 6, least: int = 3,
     expanded again. States are (variable, summed lag), at most ``most`` steps deep as every lag is 1 or more, so the
     frontier is bounded by variables times lags; each level is one join."""
     low = least if mode == "bounded" else 0
-    spark = edges.sparkSession
+    edges, spark = stored(edges, "edges"), edges.sparkSession  # read once for each level
     frontier = spark.createDataFrame([(t, 0) for t in targets], "effect string, cum int")
     origin = targets
     kept = None

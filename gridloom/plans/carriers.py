@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid, season
@@ -56,9 +56,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the 25 nations' cells ``cause, effect, lag, link``."""
+    """Edges between the nations' series ``cause, effect, lag, link``: of all pairs and lags those whose orders are dearest on average."""
     e = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return e.filter(F.col("o_orderkey") % 41 == 0).select(F.concat(F.lit("v"), F.col("c_nationkey")).alias("cause"), F.concat(F.lit("v"), (F.col("o_custkey") + F.col("o_orderkey")) % 25).alias("effect"), (1 + F.col("o_orderkey") % 3).cast("int").alias("lag")).distinct().withColumn("link", F.lit("-->"))
+    pairs = e.groupBy(F.concat(F.lit("v"), F.col("c_nationkey")).alias("cause"), F.concat(F.lit("v"), (F.col("o_custkey") + F.col("o_orderkey")) % 25).alias("effect"), (1 + F.col("o_orderkey") % 3).cast("int").alias("lag")).agg(F.avg("o_totalprice").alias("x"))
+    rank = F.percent_rank().over(Window.orderBy("x"))  # at most 25 x 25 x 3 rows
+    return pairs.withColumn("r", rank).filter("r > 0.8").select("cause", "effect", "lag", F.lit("-->").alias("link"))
 
 
 BASE = """raw AS (SELECT o_orderdate AS time, c_nationkey AS cell, -60.0 + c_nationkey * 5 AS lat, ((c_nationkey * 14.4::DOUBLE + 180) % 360) - 180 AS lon, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -70,7 +72,8 @@ axis AS (SELECT row_number() OVER (ORDER BY season) - 1 AS t, season FROM (SELEC
 panel AS (SELECT t, season, name AS var, value FROM idx JOIN axis USING (season)),
 runs AS (SELECT cause, effect, lag, [0.05, 0.025, 0.015, 0.01][run_idx + 1]::DOUBLE AS alpha, run_idx, (s % 1201 - 400) / 1000.0::DOUBLE AS causal_effect, (s * 7919 % 97) / 2000.0::DOUBLE AS p_value
   FROM (SELECT trim(o_orderpriority) AS cause, trim(c_mktsegment) AS effect, (1 + o_orderkey % 6)::INT AS lag, (o_orderkey % 4)::INT AS run_idx, sum(o_custkey)::BIGINT AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)),
-edges AS (SELECT DISTINCT 'v' || c_nationkey AS cause, 'v' || ((o_custkey + o_orderkey) % 25) AS effect, (1 + o_orderkey % 3)::INT AS lag, '-->' AS link FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 41 = 0)
+edges AS (SELECT cause, effect, lag, '-->' AS link FROM (SELECT cause, effect, lag, percent_rank() OVER (ORDER BY x) AS r FROM (
+  SELECT 'v' || c_nationkey AS cause, 'v' || ((o_custkey + o_orderkey) % 25) AS effect, (1 + o_orderkey % 3)::INT AS lag, avg(o_totalprice) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)) WHERE r > 0.8)
 """
 
 

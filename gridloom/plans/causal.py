@@ -233,8 +233,8 @@ def cv_skill_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _winds(spark: SparkSession, d: str) -> DataFrame:
-    """A global 9 x 16 grid for each of four seasons, from the seasonal anomalies of 25 cells."""
-    a = data.anom(spark, d).filter(F.year("season") == 1996).select("season", "cell", (F.col("anom") / 1e4).alias("x"))
+    """A global 9 x 16 grid for each season, from the seasonal anomalies of 25 cells."""
+    a = data.anom(spark, d).select("season", "cell", (F.col("anom") / 1e4).alias("x"))
     place = F.explode(F.sequence(F.lit(0), F.lit(143))).alias("p")
     cells = a.select("season", "cell", "x", place).filter(F.col("p") % 25 == F.col("cell"))
     lat = F.floor(F.col("p") / 16) * F.lit(20.0) - 80

@@ -244,11 +244,11 @@ def lag_join(spark: SparkSession, d: str) -> DataFrame:
     return align.lagged(p.filter("var = 'ASIA'").select("t", F.col("value").alias("y")), p.filter("var = 'EUROPE'").select("t", F.col("value").alias("x")), 3).select("t", r4("y"), r4("x"))
 
 
-@query("asof_nearest", """WITH e AS (SELECT DISTINCT o_orderdate::DATE AS time FROM orders), s AS (SELECT l_shipdate::DATE AS time, sum(l_extendedprice) AS value FROM lineitem WHERE day(l_shipdate) IN (1, 15) GROUP BY 1)
+@query("asof_nearest", """WITH e AS (SELECT DISTINCT o_orderdate::DATE AS time FROM orders), s AS (SELECT (date_trunc('month', l_shipdate)::DATE + 14)::DATE AS time, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1)
 SELECT time, round(value, 2) AS value FROM (SELECT e.time, s.value, row_number() OVER (PARTITION BY e.time ORDER BY abs(date_diff('day', e.time, s.time)), s.time) AS r FROM e JOIN s ON s.time BETWEEN e.time - 80 AND e.time + 80) WHERE r = 1""")
 def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     e = scan.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("time")).distinct()
-    s = scan.table(spark, d, "lineitem").filter(F.dayofmonth("l_shipdate").isin(1, 15)).groupBy(F.col("l_shipdate").cast("date").alias("time")).agg(F.sum("l_extendedprice").alias("value"))
+    s = scan.table(spark, d, "lineitem").groupBy(F.date_add(F.date_trunc("month", "l_shipdate").cast("date"), 14).alias("time")).agg(F.sum("l_extendedprice").alias("value"))
     return align.asof_nearest(e, s, "time", "value", 40, []).select("time", F.round("value", 2).alias("value"))
 
 
