@@ -3,39 +3,44 @@
 A line is the set of its words. Two lines match if the Jaccard similarity of their sets is 0.8 or more. A line is removed if it
 matches any line before it, in the order of ids and then of places in the text; so the first of all matching lines stays.
 
-1. Words are ordered by rarity: how often the words of a word's hash bucket occur in the corpus, in 16 classes, then the word's
-   hash. The histogram has a fixed number of buckets.
+1. Words are ordered by rarity: how often the words of a word's hash bucket occur in the corpus, in 128 classes, then the word's
+   hash. The histogram has at most 2^18 buckets, however large the corpus.
 2. Equal lines become one class, represented by its first line. A hot line is pre-aggregated before the shuffle.
-3. Two sets of sizes a and b that match share a word among the first ``a - ceil(0.8 a) + 1`` of one and ``b - ceil(0.8 b) + 1``
-   of the other (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); and the first
-   shared word must leave room for the overlap that is needed (positional filter). What is left is verified on the whole sets.
-4. A word that more than ``CROWD`` classes meet by emits no pairs at first: each class is compared with the earliest class there.
-   If they match, no other class of that word can tell more about it, as only the earliest match decides. The other
-   classes are then compared with all before them, so nothing is lost.
-
-Words are identified by 60 bits of their hash, lines by 64.
+3. Two sets of sizes a and b that match share a word among the first ``p(a) = a - ceil(0.8 a) + 1`` of one and ``p(b)`` of the other
+   (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
+   the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words by 6 or 7 bits of their hash,
+   bounds the overlap from above. What is left is verified on the whole sets.
+4. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
+   p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
+5. Where more than ``CROWD`` classes meet by two words, each is compared with the earliest of them first. If they match, no other class
+   there can tell more about it, as only the earliest match decides. The other classes are then compared with all before
+   them, so nothing is lost.
+
+Words are identified by 57 bits of their hash, lines by 64.
 
 Defined results: null and empty texts have no lines to remove; blank lines are kept; rows with the same id take the same place
 in the order, so equal places remove nothing of each other; null ids come first; ids that are no integers are ordered by
-their hash; ties do not occur otherwise. Lines are what is between line feeds. Other columns are untouched.
+their hash; ties do not occur otherwise. Lines are what is between line feeds, words what is between spaces. Other columns are untouched.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
 
-BUCKETS = 8_192
-CLASSES = 16
-CROWD = 64
-#: So many lines to look up are broadcast at most (a long each); more are joined by a shuffle.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 18
+#: So many bytes of text a bucket, roughly.
+BUCKET_BYTES = 1_500
+CLASSES, CLASS_BITS = 128, 7
+COMMON, CROWD = 4_096, 64
+#: Sets of more words have bitmaps of 128 bits, others of 64.
+WIDE_SET = 70
+#: So many longs of line places are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 NUM, DEN = 4, 5  # the similarity, 0.8
-BLANKS = "\t\x0b\x0c\r"
 
 
 def order_base(df: DataFrame, id_col: str) -> Column:
@@ -44,39 +49,43 @@ def order_base(df: DataFrame, id_col: str) -> Column:
     ident = df[id_col]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         ident = F.xxhash64(ident)
-        return F.coalesce(ident.cast("decimal(20,0)"), F.lit(-(2**63) - 1).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
+        return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
     low, high = df.agg(F.min(ident), F.max(ident)).first()
     if low is None or -(2**34) < low and high < 2**34:
         return F.coalesce(ident.cast("bigint"), F.lit(-(2**34))) * F.lit(1 << 28)
-    return F.coalesce(ident.cast("decimal(20,0)"), F.lit(-(2**63) - 1).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
-
-
-def hashes(line: Column) -> Column:
-    """The hashes of a line's words, repeats included."""
-    words = F.array_remove(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " ", -1), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """The class of each bucket, one byte each: 1 for buckets up to the median, two more for each doubling."""
-    counts = dict(lines.select(F.explode(hashes(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect())
-    middle = sorted(counts.values())[len(counts) // 2] if counts else 1
-    return bytes(max(1, min(CLASSES, 1 + math.floor(2 * math.log2(counts.get(b, 0) / middle)))) if counts.get(b, 0) > middle else 1 for b in range(BUCKETS))
+def rarity_table(lines: DataFrame, size: int) -> tuple[list[int], int]:
+    """For each hash bucket (a power of two of them) its rarity class, eight for each doubling of a count; and the first class of
+    buckets that may count more than ``COMMON``. size: bytes of the text."""
+    buckets = LEAST_BUCKETS
+    while buckets < MOST_BUCKETS and buckets * BUCKET_BYTES < size:
+        buckets *= 2
+    each = lines.select(F.explode(F.split("line", " ", -1)).alias("w")).filter("w <> ''")
+    counts = np.zeros(buckets)
+    got = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).count().toPandas()
+    counts[got["b"].to_numpy()] = got["count"].to_numpy()
+    low = np.percentile(counts[counts > 0], 5) if (counts > 0).any() else 1
+    classes = np.clip(np.round(8 * np.log2(np.maximum(counts, low) / low)), 0, CLASSES - 1).astype(np.int64)
+    common = classes[counts > COMMON].min(initial=CLASSES) if low <= COMMON else 0
+    return (classes - CLASSES // 2).tolist(), int(common) - CLASSES // 2
 
 
-def word_sets(line: Column, table: bytes) -> Column:
-    """A line's distinct words in order of rarity, each as a long: class, then 60 bits of the hash."""
-    known = F.lit(bytearray(table))
-    kind = lambda h: F.ascii(F.substring(known, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.array_sort(F.array_distinct(F.transform(hashes(line), lambda h: F.shiftleft((kind(h) - 1 - CLASSES // 2).cast("bigint"), 60).bitwiseOR(F.shiftrightunsigned(h, 4)))))
+def word_sets(line: Column, table: list[int]) -> Column:
+    """A line's distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
+    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
+    last = F.lit(len(table) - 1)
+    distinct = F.array_except(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(last).cast("int")), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
 
 
-def lines_of(df: DataFrame, base: Column, text_col: str, extra: list[Column] | None = None) -> DataFrame:
-    """``place, line`` (and ``extra`` columns) of every line."""
-    return df.select(base.alias("base"), *(extra or []), F.posexplode(F.split(df[text_col], "\n", -1)).alias("n", "line")).select((F.col("base") + F.col("n")).alias("place"), "line", *[c for c in (["_row"] if extra else [])])
+def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
+    """``place, line`` of every line."""
+    return df.select(base.alias("base"), F.posexplode(F.split(df[text_col], "\n", -1)).alias("n", "line")).select((F.col("base") + F.col("n")).alias("place"), "line")
 
 
-def matching(pairs: DataFrame, lines: DataFrame, table: bytes) -> DataFrame:
+def matching(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
     """Those of the pairs ``a, b`` of places whose lines' sets match. The lines are looked up by place."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
     few = wanted.count() <= BROADCAST_ROWS
@@ -91,35 +100,54 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``hash, upto``: lines of this hash are removed if their place is after ``upto``."""
     base = order_base(df, id_col)
     lines = lines_of(df, base, text_col)
-    table = rarity_table(lines)
+    table, common = rarity_table(lines, df.agg(F.sum(F.octet_length(df[text_col]))).first()[0] or 0)
     n = F.size("s")
-    own = lines.select("place", F.xxhash64("line").alias("hash"), word_sets(F.col("line"), table).alias("s")).filter(n > 0)
-    own = own.select("place", "hash", n.alias("n"), F.slice("s", 1, n - F.ceil(n * NUM / DEN).cast("int") + 1).alias("prefix"))
-    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "line-classes")
-    words = classes.select("c", "n", F.posexplode("prefix").alias("i", "w"))
-    by_word = Window.partitionBy("w")
-    met = written(words.select("w", "c", "n", "i", F.count("*").over(by_word).alias("k"), F.min("c").over(by_word).alias("e")).filter("k > 1"), "line-words")
-
-    def close(a: str, b: str) -> Column:  # length filter
-        return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-
-    def filtered(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        x = later.select("w", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-        y = earlier.select("w", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-        pairs = x.join(y, (x.w == y.w) & (y.a < x.b) & close("na", "nb"))
-        first = pairs.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-        room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-        return first.filter(room * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select("a", "b")
-
-    few, many = met.filter(F.col("k") <= CROWD), met.filter(F.col("k") > CROWD)
+    own = lines.select("place", F.xxhash64("line").alias("hash"), word_sets(F.col("line"), table).alias("s"))
+    # the prefix and one word more
+    # bit k of m is the parity of the words whose hash ends in k; m2 has those with the next bit set, for sets too large for 64 bits
+    flipped = lambda m, bit, h: m.bitwiseXOR(F.call_function("shiftleft", bit, h.bitwiseAND(F.lit(63)).cast("int")))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    parity = F.aggregate("s", none, lambda m, h: flipped(m, one, h))
+    upper = F.when(n > WIDE_SET, F.aggregate("s", none, lambda m, h: flipped(m, F.shiftright(h, 6).bitwiseAND(one), h)))
+    own = own.select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2)).alias("prefix"))
+    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.any_value("m2").alias("m2"), F.any_value("prefix").alias("prefix")).filter("n > 0"), "line-classes")
+    p = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
+    each = classes.select("c", "n", "m", "m2", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w"))
+    edge = F.lit(min(2**63 - 1, max(-(2**63), common << (64 - CLASS_BITS))))
+
+    def filtered(later: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+        # both sides are named anew in the same way, so that one shuffle serves them where they are the same rows
+        x = later.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("m").alias("mb"), F.col("m2").alias("m2b"))
+        y = earlier.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("m").alias("ma"), F.col("m2").alias("m2a"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"{k}_") == F.col(f"_{k}"))
+        sizes = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
+        need = (F.col("na") + F.col("nb")) * NUM
+        room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (NUM + DEN) >= need
+        # sets of sizes a and b that share o words differ in a + b - 2 o, and their bitmaps in no more bits
+        low, high = F.col("ma").bitwiseXOR(F.col("mb")), F.col("m2a").bitwiseXOR(F.col("m2b"))
+        differ = F.coalesce(F.bit_count(high) + F.bit_count(low.bitwiseXOR(high)), F.bit_count(low))
+        bitmap = (F.col("na") + F.col("nb") - differ) * (NUM + DEN) >= need * 2
+        return x.join(y, same & (y.a < x.b) & sizes & room & bitmap).select("a", "b").distinct()
+
+    rare = each.filter(F.col("w") < edge)
+    crowded = classes.select("c", "n", "m", "m2", "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(F.col("w") >= edge)
+    # a set of one word has no second one, and matches equal sets alone
+    second = F.when(F.col("n") == 1, F.array("w")).otherwise(F.slice("prefix", F.col("i") + 2, F.greatest(F.size("prefix") - F.col("i") - 1, F.lit(0))))
+    by_two = Window.partitionBy("w", "w2")
+    met2 = crowded.select("w", "c", "n", "m", "m2", "i", F.explode(second).alias("w2")).select("w", "w2", "c", "n", "m", "m2", "i", F.count("*").over(by_two).alias("k"), F.min("c").over(by_two).alias("e")).filter("k > 1")
+    met2 = written(met2, "line-word-pairs")
+    few2, many = met2.filter(F.col("k") <= CROWD), met2.filter(F.col("k") > CROWD)
     to_earliest = many.filter("c <> e").select(F.col("e").alias("a"), F.col("c").alias("b")).distinct()
-    found = written(matching(written(filtered(few, few).union(to_earliest).distinct(), "line-pairs"), lines, table), "line-matches")
+    pairs = filtered(rare, rare, ["w"]).union(filtered(few2, few2, ["w", "w2"])).union(to_earliest).distinct()
+    found = written(matching(written(pairs, "line-pairs"), lines, table), "line-matches")
     left = many.filter("c <> e").join(found.select(F.col("a").alias("e"), F.col("b").alias("c")), ["e", "c"], "left_anti")
     left = written(left, "line-left")
     if not left.isEmpty():
-        found = found.union(written(matching(written(filtered(left, many), "line-pairs"), lines, table), "line-matches"))
+        found = found.union(written(matching(written(filtered(left, many, ["w", "w2"]), "line-pairs"), lines, table), "line-matches"))
     earliest = found.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("a"))
-    return classes.join(earliest, "c", "left").select("hash", F.coalesce("a", "c").alias("upto"))
+    return classes.select("c", "hash").join(earliest, "c", "left").select("hash", F.coalesce("a", "c").alias("upto"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduped", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
@@ -127,12 +155,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col
     base = order_base(df, id_col)
     gone = removals(df, id_col, text_col)
     rows = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"), base.alias("_base"))
-    listed = rows.filter("_text is not null").groupBy("_base", F.xxhash64("_text").alias("_h")).agg(F.any_value("_text").alias("_text"))
-    every = listed.select("_base", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_n", "_line")).select("_base", "_h", "_n", F.xxhash64("_line").alias("hash"))
+    every = rows.select("_base", F.xxhash64("_text").alias("_h"), F.posexplode(F.split("_text", "\n", -1)).alias("_n", "_line")).select("_base", "_h", "_n", F.xxhash64("_line").alias("hash"))
     hit = every.join(gone, "hash").filter(F.col("_base") + F.col("_n") > F.col("upto"))
-    per_text = hit.groupBy("_base", "_h").agg(F.collect_set("_n").alias("_gone"))
-    out = df.select("*", base.alias("_base"), F.xxhash64(df[text_col]).alias("_h")).join(per_text, ["_base", "_h"], "left")
-    kept = F.expr(f"array_join(transform(filter(transform(split(`{text_col}`, '\\n', -1), (l, i) -> struct(l, i)), x -> not array_contains(_gone, x.i)), x -> x.l), '\\n')")
+    per_text = written(hit.groupBy("_base", "_h").agg(F.collect_set("_n").alias("_gone")), "lines-gone")
+    texts_hit, lines_hit = per_text.agg(F.count("*"), F.sum(F.size("_gone"))).first()
+    few = 4 * texts_hit + (lines_hit or 0) <= BROADCAST_ROWS
+    out = df.select("*", base.alias("_base"), F.xxhash64(df[text_col]).alias("_h")).join(F.broadcast(per_text) if few else per_text, ["_base", "_h"], "left")
+    # the inner array binds the lines once for all places
+    kept = F.expr(f"transform(array(split(`{text_col}`, '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _gone), i -> ls[i]), '\\n'))[0]")
     text = F.col(f"`{text_col}`")
     return out.select(
         *(F.col(f"`{c}`") for c in df.columns),

@@ -85,7 +85,7 @@ ORACLES["op2_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL),
-w AS (SELECT line, min(doc_id * 268435456 + n) AS place, list_distinct(list_filter(regexp_split_to_array(line, '[ \t\x0b\x0c\r]+'), lambda x: x <> '')) AS s FROM l GROUP BY line),
+w AS (SELECT line, min(doc_id * 268435456 + n) AS place, list_distinct(list_filter(string_split(line, ' '), lambda x: x <> '')) AS s FROM l GROUP BY line),
 c AS (SELECT min(place) AS c, list_sort(s) AS s FROM w WHERE len(s) > 0 GROUP BY list_sort(s)),
 t AS (SELECT c, len(s) AS n, unnest(s) AS w FROM c),
 f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
