@@ -1,0 +1,174 @@
+"""Personal data, toxicity, language and the pipeline."""
+
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import langid, pii, queries, toxicity
+from tests.compare import of_spark, of_sql
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_finds():
+    said = 'Call Mr. John Smith at (555) 123-4567 or +1 (017) 555-7713, 4111 1111 1111 1111, 10.0.0.1, DE89370400440532013000 "password": "hunter2222" x.y@mail.example.com on 2024-01-31, v3.2'
+    kinds = [(k, said[a:b]) for a, b, k, _ in pii.finds(said)]
+    assert kinds == [("name", "John Smith"), ("phone", "(555) 123-4567"), ("phone", "+1 (017) 555-7713"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.1"), ("iban", "DE89370400440532013000"), ("secret", "hunter2222"), ("email", "x.y@mail.example.com")]
+
+
+def test_surrogates_keep_type_and_format():
+    key = b"k"
+    s = lambda k, v, n=0: pii.surrogate(key, k, v, n)
+    card = s("card", "4111111111111111")
+    assert len(card) == 16 and pii.luhn(card) == 0 and card != "4111111111111111"
+    assert s("ip", "10.1.2.3").startswith("10.") and re.fullmatch(r"\d+(\.\d+){3}", s("ip", "9.9.9.9"))
+    assert re.fullmatch(r"[a-z]\.[a-z]\d@[a-z]{4}\.[a-z]{7}\.com", s("email", "x.y1@mail.example.com"))
+    assert re.fullmatch(r"[0-9A-F]{40}", s("secret", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"))
+    assert s("name", "f:Anna Smith").split(":")[1].split(" ")[0] in pii.GIVEN["f"] and s("name", "m:Иван").split(":")[1][0] in "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
+    iban = s("iban", "DE89370400440532013000")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert s("ip", "9.9.9.9") == s("ip", "9.9.9.9") != pii.surrogate(b"other", "ip", "9.9.9.9", 0)
+    assert pii.written_as("phone", "+1 (017) 555-7713", "+19876543210") == "+1 (987) 654-3210"
+
+
+def test_pseudonyms_are_distinct_and_the_same_everywhere(spark):
+    rows = [(i, f"mail a{i % 40}@b.org, ip 1.2.3.{i % 50}, card {4000000000000000 + i % 30} end", "q") for i in range(120)] + [(None, "ip 1.2.3.4", "q"), (500, None, "q"), (501, "", "q"), (502, "nothing", "q"), (0, "ip 1.2.3.4 again", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    out = pii.pseudonymise(df, b"key")
+    got = {(r.doc_id, r.n_entities): r.text for r in out.collect()}
+    assert len(got) == len(rows) and got[500, 0] is None and got[501, 0] == "" and got[502, 0] == "nothing"
+    seen = {}
+    for i in range(120):
+        new = re.fullmatch(r"mail (\S+), ip (\S+), card (\d{16}) end", got[i, 3])
+        for k, (old, fresh) in enumerate(zip((i % 40, i % 50, i % 30), new.groups(), strict=True)):
+            assert seen.setdefault((k, old), fresh) == fresh
+    for k in range(3):
+        fresh = [v for (kind, _), v in seen.items() if kind == k]
+        assert len(set(fresh)) == len(fresh)
+    assert got[None, 1] == f"ip {seen[1, 4]}" and not set(seen.values()) & {f"1.2.3.{i}" for i in range(50)}
+    assert pii.pseudonymise(df.limit(0), b"key").count() == 0
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt: f"{(int(value) * 0 + attempt * 7 + (int(value) if attempt else 0)) + 1000}")
+    df = spark.createDataFrame([("card", str(v)) for v in range(6)], "type string, value string")
+    new = [r.new for r in pii.assign(df, b"k").collect()]
+    assert len(set(new)) == 6
+
+
+def test_surrogates_leave_no_entity_of_the_corpus(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in queries.op7_surrogates(spark, DATA).collect():
+        own = pii.finds(docs[r.doc_id])
+        assert r.n_entities == len(own) and all(docs[r.doc_id][a:b] not in r.text for a, b, _, _ in own)
+        if not own:
+            assert r.text == docs[r.doc_id]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    big = "/root/testdata/sf0.1"
+    got = queries.op8_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").filter("held_out").collect()
+    score, label = np.array([r.score for r in got]), np.array([r.toxic for r in got])
+    order = score.argsort().argsort()
+    auc = (order[label == 1].mean() - (label.sum() - 1) / 2) / (label == 0).sum()
+    flagged = np.array([r.predicted for r in got])
+    assert auc > 0.98 and flagged[label == 1].mean() > 0.8 and flagged[label == 0].mean() < 0.02
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_identity_terms_carry_no_weight(spark):
+    """Labels go with 'women' in the data; the penalty takes that weight away."""
+    rows = [(i, f"those women are {'idiot' if i % 2 else 'kind'} number{i % 7}" if i % 3 else f"men are {'kind' if i % 6 else 'idiot'} number{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.contains("text", F.lit("idiot")), 1).otherwise(0).alias("toxic"))
+    biased = labels.join(docs, "doc_id").select("doc_id", F.when(F.contains("text", F.lit("women")) & (F.col("doc_id") % 5 > 0), 1).otherwise(F.col("toxic")).alias("toxic"))
+    gap = {}
+    for weight in (0.0, 50.0):
+        toxicity.COUNTERFACTUAL = weight
+        model = toxicity.learn(docs, biased)
+        toxicity.COUNTERFACTUAL = 1.0
+        total = lambda w: sum(model.weights.get(f, 0) for f in toxicity.features_of({w}))
+        gap[weight] = abs(total("women") - total("men"))
+    assert gap[50.0] < 0.3 * gap[0.0]
+    assert toxicity.swapped({"women", "x"}) == [{"men", "x"}] and len(toxicity.swapped({"muslim"})) == 5 and toxicity.swapped({"x"}) == []
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (None, "a", "s"), (2, "b " * 50_000, "s")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "label", "score"] and [r.score for r in got.collect()] == [0.0] * 4
+    assert toxicity.learn(docs, labels.union(spark.createDataFrame([(1, 1)], labels.schema))).constant == 1.0
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_languages_on_held_out_rows(spark):
+    got = queries.op10_language(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(spark):
+    rows = [(1, "the cat and the dog", "en", 0.5), (2, "der Hund und die Katze", "de", 0.5), (3, None, "en", 0.5), (4, "123 !?", "en", 0.5), (5, "", None, 0.5), (None, "und der", None, 0.5), (7, "the " * 40_000, None, 0.5), (8, "Ω 漢字 𝒳", None, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    p = langid.learn(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, p).collect()}
+    assert got[3] == got[4] == got[5] == ("und", 0.0) and got[None][0] == "de" and got[7][0] == "en" and got[1][1] > 0.9 and got[8][0] in ("de", "en")
+    assert langid.learn(df.limit(0)) == {} and {r.lang_pred for r in langid.predict(df, {}).collect()} == {"und"}
+
+
+def test_text_vectors_equal_the_definition():
+    text = "Ab cé!"
+    seq = [0, *map(ord, "ab"), 0, *map(ord, "cé"), 0]
+    want = np.zeros(langid.DIMENSIONS)
+    v = langid.letter_vector
+    for a, b, c in zip(seq, seq[1:], seq[2:]):
+        if b:
+            want += np.roll(v(a), 2).astype(float) * np.roll(v(b), 1) * v(c)
+    got, has = langid.text_vectors(["", text, "1"])
+    assert got[1] == pytest.approx(want) and has.tolist() == [False, True, False] and not got[0].any()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    from tests.compare import TABLES
+
+    assert of_spark(queries.QUERIES[name](spark, DATA)) == of_sql(queries.ORACLES[name], {t: f"{DATA}/{t}.parquet" for t in TABLES})
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as pipe
+
+    from gridloom.llm.common import written
+    from tests.llm import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (10_001, "", "en", "s", 0), (10_002, None, "en", None, 3), (0, "repeated id with other words", "en", "s", 2)], docs.schema)
+    docs = docs.union(extra)
+    before = docs
+    for k, (name, stage) in enumerate(pipe.STAGES):
+        after = written(stage(spark, before, "/root/testdata/sf0.001"), "stage")
+        if k < 4:
+            assert after.columns == docs.columns
+        ids = {r.doc_id for r in after.select("doc_id").collect()}
+        was = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        if name == "line dedup":
+            assert after.count() == before.count()
+        elif name == "SimHash near-dedup":
+            rows = before.select("doc_id", "text").collect()
+            sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ((r.text or "").lower().split() for r in rows)]
+            alike = lambda x, y: len(x & y) / len(x | y)
+            kept = [sets[i] for i, r in enumerate(rows) if r.doc_id in ids]
+            assert after.count() == after.distinct().count() and all(max(alike(s, k) for k in kept) > 0.7 for s in sets)
+            assert max(alike(kept[i], kept[j]) for i in range(len(kept)) for j in range(i)) < 0.9
+        elif name == "benchmark decontamination":
+            items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+            assert ids == set(was) - {d for d, _ in brute.leaks(was, items)}
+        before = after
+    assert after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and after.count() > 100
+    empty = docs.limit(0)
+    for _, stage in pipe.STAGES:
+        empty = written(stage(spark, empty, "/root/testdata/sf0.001"), "empty")
+    assert empty.count() == 0
