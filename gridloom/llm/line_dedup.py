@@ -38,6 +38,8 @@ CLASSES, CLASS_BITS = 128, 7
 COMMON, CROWD = 4_096, 64
 #: Sets of more words have bitmaps of 128 bits, others of 64.
 WIDE_SET = 70
+#: So many times a line is verified with its earliest candidate alone.
+ROUNDS = 3
 #: So many longs of line places are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 NUM, DEN = 4, 5  # the similarity, 0.8
@@ -85,15 +87,32 @@ def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
     return df.select(base.alias("base"), F.posexplode(F.split(df[text_col], "\n", -1)).alias("n", "line")).select((F.col("base") + F.col("n")).alias("place"), "line")
 
 
-def matching(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
-    """Those of the pairs ``a, b`` of places whose lines' sets match. The lines are looked up by place."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
+def earliest_matches(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
+    """``b, a``: the earliest place whose line matches, of the candidate pairs ``a, b``. The lines are looked up by place.
+
+    Each ``b`` is verified with its earliest candidate first, and only where that fails with the next: in a group of near copies
+    the first of them settles nearly all, so few of its pairs are ever built. After ``ROUNDS`` all that is left is verified."""
+    left = written(pairs, "line-pairs")
+    wanted = written(left.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
     few = wanted.count() <= BROADCAST_ROWS
     held = lines.join(F.broadcast(wanted) if few else wanted, "place", "left_semi")
     sets = written(held.select("place", word_sets(F.col("line"), table).alias("s")), "line-sets")
-    both = pairs.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+
+    def matching(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+
+    found = None
+    for _ in range(ROUNDS):
+        first = written(left.groupBy("b").agg(F.min("a").alias("a")), "line-firsts")
+        now = written(matching(first), "line-matches")
+        found = now if found is None else found.union(now)
+        left = written(left.join(now.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"), "line-pairs")
+        if left.isEmpty():
+            return found.select("b", "a")
+    rest = matching(left).groupBy("b").agg(F.min("a").alias("a"))
+    return found.select("b", "a").union(rest.select("b", "a"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,11 +160,13 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     few2, many = met2.filter(F.col("k") <= CROWD), met2.filter(F.col("k") > CROWD)
     to_earliest = many.filter("c <> e").select(F.col("e").alias("a"), F.col("c").alias("b")).distinct()
     pairs = filtered(rare, rare, ["w"]).union(filtered(few2, few2, ["w", "w2"])).union(to_earliest).distinct()
-    found = written(matching(written(pairs, "line-pairs"), lines, table), "line-matches")
-    left = many.filter("c <> e").join(found.select(F.col("a").alias("e"), F.col("b").alias("c")), ["e", "c"], "left_anti")
+    found = written(earliest_matches(pairs, lines, table), "line-matches")
+    # a match at or before the earliest class of a pair of words cannot be bettered there
+    settled = found.select(F.col("b").alias("c"), F.col("a").alias("_a"))
+    left = many.filter("c <> e").join(settled, "c", "left").filter(F.col("_a").isNull() | (F.col("_a") > F.col("e"))).drop("_a")
     left = written(left, "line-left")
     if not left.isEmpty():
-        found = found.union(written(matching(written(filtered(left, many, ["w", "w2"]), "line-pairs"), lines, table), "line-matches"))
+        found = found.union(written(earliest_matches(filtered(left, many, ["w", "w2"]), lines, table), "line-matches"))
     earliest = found.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("a"))
     return classes.select("c", "hash").join(earliest, "c", "left").select("hash", F.coalesce("a", "c").alias("upto"))
 
