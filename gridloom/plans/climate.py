@@ -316,8 +316,8 @@ def barometric(spark: SparkSession, d: str) -> DataFrame:
     return scan.table(spark, d, "nation").select(F.col("n_nationkey").alias("cell"), r4(calculus.barometric(F.col("n_nationkey") * 100), "pressure"))
 
 
-@query("bilinear_regrid", sql("""SELECT season, tlat, tlon, round(sum(value * w), 4) AS value FROM (SELECT tlat, tlon, iy + dy AS iy, ix + dx AS ix, (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) AS w FROM (SELECT tlat, tlon, floor(tlat)::BIGINT AS iy, floor((tlon + 180) / 72)::BIGINT AS ix, tlat - floor(tlat) AS fy, (tlon + 180) / 72 - floor((tlon + 180) / 72) AS fx FROM (SELECT unnest([0.5, 1.25, 3.0])::DOUBLE AS tlat), (SELECT unnest([-150.0, -36.0, 60.0])::DOUBLE AS tlon)), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)) n
-  JOIN g ON g.lat = iy AND round((g.lon + 180) / 72)::BIGINT = ix WHERE w > 0 GROUP BY ALL""", CYCLIC))
+@query("bilinear_regrid", sql("""SELECT season, tlat, tlon, CASE WHEN count(value) = any_value(need) THEN round(sum(value * w), 4) END AS value FROM (SELECT *, count(*) OVER (PARTITION BY tlat, tlon) AS need FROM (SELECT tlat, tlon, iy + dy AS iy, ix + dx AS ix, (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) AS w FROM (SELECT tlat, tlon, floor(tlat)::BIGINT AS iy, floor((tlon + 180) / 72)::BIGINT AS ix, tlat - floor(tlat) AS fy, (tlon + 180) / 72 - floor((tlon + 180) / 72) AS fx FROM (SELECT unnest([0.5, 1.25, 3.0])::DOUBLE AS tlat), (SELECT unnest([-150.0, -36.0, 60.0])::DOUBLE AS tlon)), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)) WHERE w > 0) n
+  JOIN g ON g.lat = iy AND round((g.lon + 180) / 72)::BIGINT = ix GROUP BY season, tlat, tlon""", CYCLIC))
 def bilinear_regrid(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(a, b) for a in (0.5, 1.25, 3.0) for b in (-150.0, -36.0, 60.0)], "tlat double, tlon double")
     return grid.bilinear(_square(spark, d), targets, 1.0, 72.0, 0.0, -180.0, ["season"]).select("season", "tlat", "tlon", r4("value"))
@@ -391,12 +391,12 @@ def ttest_1samp(spark: SparkSession, d: str) -> DataFrame:
     return stats.ttest_1samp(data.sea(spark, d), ["cell"], mean=200000.0).select("cell", r4("t"), "df")
 
 
-@query("bh_fdr", sql("SELECT cause, effect, lag, run_idx, round(p_value, 6) AS p_value, round(least(1.0, min(q) OVER (PARTITION BY run_idx ORDER BY p_value DESC, q ROWS UNBOUNDED PRECEDING)), 6) AS q_value FROM (SELECT *, p_value * count(*) OVER (PARTITION BY run_idx) / row_number() OVER (PARTITION BY run_idx ORDER BY p_value, cause, effect, lag) AS q FROM (SELECT * REPLACE (p_value + (hash_no * 1e-7) AS p_value) FROM (SELECT *, row_number() OVER (ORDER BY cause, effect, lag, run_idx) AS hash_no FROM runs)))"))
+@query("bh_fdr", sql("SELECT cause, effect, lag, run_idx, round(p_value, 9) AS p_value, round(least(1.0, min(q) OVER (PARTITION BY run_idx ORDER BY p_value DESC, q ROWS UNBOUNDED PRECEDING)), 9) AS q_value FROM (SELECT *, p_value * count(*) OVER (PARTITION BY run_idx) / row_number() OVER (PARTITION BY run_idx ORDER BY p_value, cause, effect, lag) AS q FROM (SELECT * REPLACE (p_value + (hash_no * 1e-7) AS p_value) FROM (SELECT *, row_number() OVER (ORDER BY cause, effect, lag, run_idx) AS hash_no FROM runs)))"))
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     runs = data.runs(spark, d)
     number = F.row_number().over(Window.orderBy("cause", "effect", "lag", "run_idx"))  # a few hundred edges
     p = runs.withColumn("p_value", F.col("p_value") + number * F.lit(1e-7))
-    return stats.bh_fdr(p, ["run_idx"]).select("cause", "effect", "lag", "run_idx", F.round("p_value", 6).alias("p_value"), F.round("q_value", 6).alias("q_value"))
+    return stats.bh_fdr(p, ["run_idx"]).select("cause", "effect", "lag", "run_idx", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"))
 
 
 @query("ols_multi")
