@@ -11,8 +11,8 @@ A bucket of more than ``BUCKET`` fingerprints emits no pairs. Its fingerprints a
 fingerprints differ in at most two bits if and only if both are within one bit of some point, so each gives its 65 points,
 and all that share a point are joined to the least of them. That is exact and linear in the bucket.
 
-Pairs of a Jaccard similarity of 0.8 differ in about 15 % of their bits, too many for exact keys of 64 bits. ``one_of_each`` takes
-fingerprints of 2,048 bits for them: 85 segments of 24 bits, of which such a pair has an equal one nearly always.
+Pairs of a Jaccard similarity of 0.8 differ in about 15 % of their bits, and in many more where texts are short, so no number of bits
+decides them. ``one_of_each`` joins the sets of shingles themselves, by prefix, length and place, and counts what they share.
 
 Equal fingerprints are one node, so groups of copies of any size cost a row each.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, trimmed, written
+from gridloom.llm.common import drop_written, sliced, trimmed, written
 from gridloom.llm.components import roots
 
 BATCH_BYTES = 4_000_000
 SEGMENTS, WIDTH, MOST_BITS = 8, 8, 2
 BUCKET = 256
 SEED = 42
-#: Wide fingerprints, for similarities at which 64 bits differ too much for exact keys: words of 64 bits, and the segments to meet by.
-WIDE, SLICE_BYTES = 32, 3
-SLICES = 8 * WIDE // SLICE_BYTES
-CROWDED = 64
-_STEPS = np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+#: A shingle in more prefixes than this is a crowd, whose sets are compared with so many of them first.
+CROWDED, PIVOTS = 64, 4
+#: One text in so many is sampled for common shingles: those in so many sampled texts, and so many of them at most.
+SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
+#: Words of 64 bits by which a pair is ruled out before its sets are read.
+MARKS = 16
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -165,82 +167,137 @@ def column_counts(rows: np.ndarray) -> np.ndarray:
     return sum(np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes))
 
 
-def wide_fingerprint(text: str, shingle: int) -> bytes:
-    """A fingerprint of ``WIDE`` words of 64 bits, from the set of the text's word shingles."""
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, ascending. Words as in ``fingerprint``; a text of fewer words is one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * WIDE)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.array([len(w) for w in words])
     starts = np.cumsum(sizes + 1) - sizes - 1
     last = max(1, len(words) - shingle + 1)
     ends = (starts + sizes)[min(shingle, len(words)) - 1 :]
     digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.array(list({digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)}), np.uint64)
-    votes = np.zeros(64 * WIDE, np.int64)
-    for i in range(0, len(h), 4096):
-        z = h[i : i + 4096, None] + _STEPS
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        votes += column_counts(z ^ (z >> np.uint64(31)))
-    return np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
-
-
-def wide_fingerprints(df: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """``doc_id, fp, wide`` of each row of ``df(doc_id, text)`` and the long columns to keep; fp is the hash of wide."""
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)], np.uint64))
+
+
+def common_shingles(df: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts, the less common first, from a sample. They only order the prefixes, so a bad sample costs time, not pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text", BATCH_BYTES):
+            sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    sample = df.filter(F.pmod("row", F.lit(SAMPLED)) == 0).select("text").mapInArrow(trimmed(run), "s long")
+    found = sample.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
+    return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def prefixes(df: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """``doc_id, row, fp, n, bits, prefix`` of each row of ``df(doc_id, text, row)``: the hash and size of its shingle set, which of
+    ``64 * MARKS`` bits an odd number of its shingles fall on, and the first shingles by one order for all texts, so many that two
+    sets of that similarity have one in common."""
     kind = df.schema["doc_id"].dataType.simpleString()
+    common = common_shingles(df, shingle)
+    sorter = np.argsort(common)
+    ascending = common[sorter]
+
+    def first(h: np.ndarray) -> np.ndarray:
+        held = len(h) - math.ceil(share * len(h)) + 1 if len(h) else 0
+        if not len(common):
+            return h[:held]
+        at = np.minimum(np.searchsorted(ascending, h), len(common) - 1)
+        rank = np.where(ascending[at] == h, sorter[at] + 1, 0)
+        return h[np.lexsort((h, rank))][:held]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", BATCH_BYTES):
-            wide = [wide_fingerprint(t or "", shingle) for t in part.column("text").to_pylist()]
-            fp = np.array([xxhash.xxh64_intdigest(w) for w in wide], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.array(wide, pa.binary()), *(part.column(c) for c in keep)], ["doc_id", "fp", "wide", *keep])
+            sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            odd = [np.bincount((h % (64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1 for h in sets]
+            bits = pa.array([np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in odd], pa.list_(pa.int64()))
+            heads = pa.array([first(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fp), pa.array([len(h) for h in sets], pa.int32()), bits, heads], ["doc_id", "row", "fp", "n", "bits", "prefix"])
 
-    return df.select("doc_id", "text", *keep).mapInArrow(trimmed(run), f"doc_id {kind}, fp long, wide binary" + "".join(f", {c} long" for c in keep))
+    return df.select("doc_id", "text", "row").mapInArrow(trimmed(run), f"doc_id {kind}, row long, fp long, n int, bits array<long>, prefix array<long>")
 
 
-def most_differing(similarity: float) -> int:
-    """Bits in which wide fingerprints of that Jaccard similarity differ, and a margin of 1.5 standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * WIDE * share + 1.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """``fp, s`` of each row of ``df(fp, text)``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, "text", BATCH_BYTES):
+            sets = pa.array([shingle_set(t or "", shingle).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("fp"), sets], ["fp", "s"])
 
-def wide_links(nodes: DataFrame, most: int) -> DataFrame:
-    """Links ``u, v`` between the distinct fingerprints of ``nodes(fp, wide)`` that differ in ``most`` bits or fewer.
+    return df.select("fp", "text").mapInArrow(trimmed(run), "fp long, s array<long>")
 
-    Pairs meet where one of the ``SLICES`` consecutive segments of ``8 * SLICE_BYTES`` bits is equal. In a segment where more than
-    ``CROWDED`` fingerprints meet, each is compared with the least one first; those that are linked to it are linked to each
-    other, and only the rest is compared with all."""
-    pieces = F.array(*(F.concat(F.lit(bytearray([k])), F.substring("wide", k * SLICE_BYTES + 1, SLICE_BYTES)) for k in range(SLICES)))
-    every = nodes.select("fp", F.explode(pieces).alias("key"))
-    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).filter("n > 1")
-    shared = written(every.join(sizes, "key"), "simhash-shared")
-    words = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.conv(F.hex(F.substring("wide", k * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
-    wide = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", words.alias("bits")), "simhash-wide")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(wide.select(F.col("fp").alias("u"), F.col("bits").alias("x")), "u").join(wide.select(F.col("fp").alias("v"), F.col("bits").alias("y")), "v")
-        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-        return both.filter(differ <= most).select("u", "v")
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """Links ``u, v`` between the distinct sets ``fp`` of ``nodes(fp, row, n, prefix)`` with the components of all pairs of that similarity.
+
+    A pair meets in the first shingle that both prefixes have, where its sizes and places still allow the overlap it needs; then its
+    bits must allow it, and the sets decide. In a shingle that more than ``CROWDED`` prefixes have, each set is compared with a few of them first; then only sets
+    of different components are compared, all of them."""
+    over, under = share.numerator, share.numerator + share.denominator
+    every = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
+    shared = written(every.join(every.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key"), "simhash-shared")
 
-    few, many = shared.filter(F.col("n") <= CROWDED), shared.filter((F.col("n") > CROWDED) & (F.col("fp") != F.col("least")))
-    small = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").filter("u > v").select("u", "v")
-    found = written(near(small.union(many.select(F.col("fp").alias("u"), F.col("least").alias("v")))), "simhash-near")
-    left = many.join(found.select(F.col("u").alias("fp"), F.col("v").alias("least")), ["fp", "least"], "left_anti")
-    rest = left.select("key", F.col("fp").alias("u")).join(many.select("key", F.col("fp").alias("v")), "key").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return found.union(near(rest))
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of two parts of ``shared`` that can be similar, as far as the shingle they meet in shows."""
+        x = a.select("key", F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), *(F.col(c).alias("proot") for c in a.columns if c == "root"))
+        y = b.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"), *(F.col(c).alias("qroot") for c in b.columns if c == "root"))
+        both = x.join(y, "key").filter((F.col("p") != F.col("q")) & (F.least(F.col("pn") - F.col("pat"), F.col("qn") - F.col("qat")) * under >= (F.col("pn") + F.col("qn")) * over))
+        both = both.filter("p > q") if a is b else both.filter("proot <> qroot") if "root" in a.columns else both
+        return both.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
+
+    marks = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "bits"), "simhash-marks")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Without pairs whose sets differ in too many shingles, as each bit that differs stands for one at least."""
+        side = lambda u, x, n: marks.select(F.col("fp").alias(u), F.col("bits").alias(x), F.col("n").alias(n))
+        both = pairs.distinct().join(side("u", "x", "un"), "u").join(side("v", "y", "vn"), "v")
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+        return both.filter((F.col("un") + F.col("vn") - differ) * under >= (F.col("un") + F.col("vn")) * (2 * over)).select("u", "v")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("y")), "v")
+        return both.filter(F.size(F.array_intersect("x", "y")) * under >= (F.size("x") + F.size("y")) * over).select("u", "v")
+
+    few = shared.filter(F.col("held") <= CROWDED)
+    many = shared.filter(F.col("held") > CROWDED).drop("held")
+    least = many.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("fp"))).filter(F.col("i") <= PIVOTS).drop("i")
+    first = written(likely(met(few, few).union(met(many, least))), "simhash-pairs")
+    needed = first.select(F.explode(F.array("u", "v")).alias("fp")).union(many.select("fp")).distinct()
+    rows = nodes.select("fp", "row").join(needed, "fp").join(texts.select("row", "text"), "row").select("fp", "text")
+    sets = written(shingle_sets(rows, shingle).dropDuplicates(["fp"]), "simhash-sets")
+    found = written(similar(first), "simhash-near")
+    if many.isEmpty():
+        return found
+    for more in (PIVOTS * 8, None):  # the rest of each crowd, with more of them and then with all
+        known = roots(found).withColumnRenamed("node", "fp")
+        rooted = written(many.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+        main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+        rest = rooted.join(main, "key").filter("root <> main").drop("main")
+        others = rooted if more is None else rooted.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fp", F.lit(more))))).filter(F.col("i") <= more).drop("i")
+        found = written(found.union(similar(likely(met(rest, others)))), "simhash-near")
+    return found
 
 
 def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near-duplicates of that Jaccard similarity of word shingles or more: of each component the row with the
-    least id stays (of several with that id, the one with the least hash of all columns). Similarities are those of wide
-    fingerprints, so a pair close to the bound may fall on either side of it."""
+    least id stays (of several with that id, the one with the least hash of all columns). Every pair is found, and its sets of
+    shingles decide."""
+    share = Fraction(similarity).limit_denominator(1000)
     row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     keyed = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), row.alias("row"))
-    docs = written(wide_fingerprints(keyed, shingle, keep=("row",)), "simhash")
-    nodes = written(docs.groupBy("fp").agg(F.any_value("wide").alias("wide")), "simhash-nodes")
-    found = roots(wide_links(nodes, most_differing(similarity))).withColumnRenamed("node", "fp")
-    rooted = docs.select("doc_id", "row", "fp").join(found, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
+    docs = written(prefixes(keyed, shingle, share), "simhash")
+    nodes = written(docs.groupBy("fp").agg(F.min_by(F.struct("row", "n", "bits", "prefix"), "row").alias("x")).select("fp", "x.*"), "simhash-nodes")
+    slim = written(docs.select("doc_id", "row", "fp"), "simhash-rows")
+    drop_written(docs)
+    found = roots(similar_links(nodes, keyed, shingle, share)).withColumnRenamed("node", "fp")
+    rooted = slim.join(found, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row")).distinct()
     same = Window.partitionBy("_row").orderBy("_row")
     return df.withColumn("_row", row).join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_row", "_n")

@@ -72,6 +72,34 @@ def test_one_of_each_component_stays(spark, crowded):
     assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowded,sampled", [(64, 16), (2, 1)])
+def test_pairs_around_the_similarity(spark, crowded, sampled):
+    """Pairs that share 160 of 180 + 180 shingles (0.8), 159 (0.79), 165 (0.846), and short texts of 4 against 5 and 3 against 4 shingles."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.getrandbits(40)}"
+    rows, firsts = [], []
+
+    def add(a, b, near):
+        firsts.extend([len(rows)] if near else [len(rows), len(rows) + 1])
+        rows.extend([(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))])
+
+    for both in [160] * 30 + [165] * 30 + [159] * 30:
+        w = [word() for _ in range(184)]
+        add(w, w[: both + 4] + [word() for _ in range(180 - both)], both >= 160)
+    for n in [8] * 20 + [7] * 20:
+        w = [word() for _ in range(n)]
+        add(w, [*w, word()], n == 8)
+    frame = [word() for _ in range(100)]  # many texts that share most of their shingles with one text, and less with each other
+    firsts.append(len(rows))
+    rows += [(len(rows) + k, " ".join(frame[: 100 - k % 9] + [word() for _ in range(k % 9)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = simhash.CROWDED, simhash.SAMPLED
+    simhash.CROWDED, simhash.SAMPLED = crowded, sampled
+    kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    simhash.CROWDED, simhash.SAMPLED = held
+    assert kept == firsts
+
+
 def test_random_fingerprints_near_the_threshold(spark):
     rng = random.Random(2)
     prints = []
