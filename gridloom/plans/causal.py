@@ -130,13 +130,13 @@ def _panel_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pcmci_edges")
 def pcmci_edges(spark: SparkSession, d: str) -> DataFrame:
-    return pcmci.discover(_panel_runs(spark, d), ["run_idx"], most=3, most_sets=3)
+    return pcmci.discover(_panel_runs(spark, d), ["run_idx"])
 
 
 @query("pcmci_fdr")
 def pcmci_fdr(spark: SparkSession, d: str) -> DataFrame:
     one = _panel_runs(spark, d).filter("run_idx = 0").withColumn("alpha", F.lit(0.1))
-    return pcmci.discover(one, ["run_idx"], most=2, most_sets=2, fdr=True)
+    return pcmci.discover(one, ["run_idx"], fdr=True)
 
 
 @query("pcmci_sliding")
@@ -146,7 +146,7 @@ def pcmci_sliding(spark: SparkSession, d: str) -> DataFrame:
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - 15) / 4)).cast("int")
     w = p.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("t") / 4).cast("int"))))
     full = w.groupBy("window").agg(F.count_distinct("t").alias("n")).filter("n = 16").select("window")
-    return pcmci.discover(w.join(F.broadcast(full), "window").drop("run_idx"), ["window"], most=2, most_sets=2)
+    return pcmci.discover(w.join(F.broadcast(full), "window").drop("run_idx"), ["window"])
 
 
 # modes

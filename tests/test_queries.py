@@ -19,6 +19,15 @@ def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", ["pcmci_edges", "pcmci_fdr", "pcmci_sliding"])
+def test_causal_queries_run_all_lags_and_sets(spark, name, monkeypatch):
+    asked = []
+    discover = causal.pcmci.discover
+    monkeypatch.setattr(causal.pcmci, "discover", lambda *a, **b: asked.append(b) or discover(*a, **b))
+    rows = registry.QUERIES[name](spark, DATA).collect()
+    assert {r.lag for r in rows} == {1, 2, 3, 4, 5, 6} and all(b.get("most_sets", 10) == 10 for b in asked) and asked
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
