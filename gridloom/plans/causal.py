@@ -292,7 +292,7 @@ def ga_search(spark: SparkSession, d: str) -> DataFrame:
         got = {r.id: r.r for r in means.groupBy("id").agg(F.abs(F.corr("value", "y")).alias("r")).collect()}
         return [got.get(i) or 0.0 for i in range(len(rects))]
 
-    best, fitness, _ = region_search.search(evaluate, BOUNDS, population=8, generations=2, refinements=24)
+    best, fitness, _ = region_search.search(evaluate, BOUNDS)
     return spark.createDataFrame([(*map(int, best), fitness)], "lat_min int, lat_max int, lon_min int, lon_max int, fitness double")
 
 

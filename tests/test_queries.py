@@ -28,6 +28,14 @@ def test_causal_queries_run_all_lags_and_sets(spark, name, monkeypatch):
     assert {r.lag for r in rows} == {1, 2, 3, 4, 5, 6} and all(b.get("most_sets", 10) == 10 for b in asked) and asked
 
 
+def test_ga_search_evaluates_whole_generations(spark, monkeypatch):
+    sizes = []
+    means = causal.region_search.region_means
+    monkeypatch.setattr(causal.region_search, "region_means", lambda field, rects: sizes.append(len(rects)) or means(field, rects))
+    assert registry.QUERIES["ga_search"](spark, DATA).first().fitness > 0
+    assert sizes[0] == 36 and len(sizes) >= 8 and sum(sizes) > 150
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
