@@ -4,7 +4,9 @@ Each distinct entity (type and normalised value) of the corpus gets one surrogat
 places is one after. A surrogate follows from the key, the type, the value and the number of earlier attempts. It keeps the
 format: digits stay digits, letters keep case and script, separators, lengths, country codes, top-level domains and
 check digits stay as they are; names keep gender, script and number of parts. A surrogate that another entity has too, or
-that is itself an entity of the corpus, is refused and drawn again, so distinct entities stay distinct.
+that is itself an entity of the corpus, is refused and drawn again, so distinct entities stay distinct. Values of which no sign can be
+drawn (``********``) get a keyed token. A format that has too few values for its entities is left after ``SAME_FORMAT`` attempts:
+each further one makes the surrogate longer by a sign (of addresses of private networks, one in any network).
 
 Types: email, ip, card, ssn, iban, phone, secret, name.
 
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import drop_written, sliced, trimmed, written
 
 BATCH_BYTES = 3_000_000
-MOST_ATTEMPTS = 50
+SAME_FORMAT = 10
 
 #: Given names by gender, family names, titles by gender.
 GIVEN = {
@@ -109,6 +113,21 @@ class Stream:
 RANGES = [("a", "z"), ("A", "Z"), ("α", "ω"), ("Α", "Ρ"), ("а", "я"), ("А", "Я"), ("一", "龥"), ("ぁ", "ん"), ("ァ", "ン"), ("가", "힣"), ("א", "ת"), ("ا", "ي"), ("à", "ö"), ("À", "Ö")]
 
 
+@cache
+def alike(c: str) -> str:
+    """The signs that stand in for a digit of another script than 0-9 or a letter outside RANGES: its script's digits, or the letters of
+    its script and kind in its 128 code points; of any other sign only itself."""
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(chr(zero + k) for k in range(10))
+    if kind[0] != "L":
+        return c
+    script = lambda x: unicodedata.name(x, "").split(" ")[0].split("-")[0]
+    first = ord(c) & ~0x7F
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and script(x) == script(c) and len(x.lower()) == 1)
+
+
 def reshaped(value: str, draw: Stream, letters: str | None = None) -> str:
     """Each digit for a digit, each letter for one of its script and case."""
     out = []
@@ -119,10 +138,20 @@ def reshaped(value: str, draw: Stream, letters: str | None = None) -> str:
             out.append(letters[draw.below(len(letters))])
         else:
             low, high = next(((a, b) for a, b in RANGES if a <= c <= b), (c, c))
-            out.append(chr(ord(low) + draw.below(ord(high) - ord(low) + 1)) if low != high else c)
+            among = alike(c) if low == high else ""
+            out.append(chr(ord(low) + draw.below(ord(high) - ord(low) + 1)) if low != high else among[draw.below(len(among))] if len(among) > 1 else c)
     return "".join(out)
 
 
+def token(draw: Stream, length: int) -> str:
+    return "".join("abcdefghijklmnopqrstuvwxyz0123456789"[draw.below(36)] for _ in range(length))
+
+
+def fixed(value: str) -> bool:
+    """Nothing in the value can be drawn anew."""
+    return not any(any(a <= c <= b for a, b in [("0", "9"), *RANGES]) or len(alike(c)) > 1 for c in value)
+
+
 def luhn(digits: str) -> int:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -139,36 +168,43 @@ def iban_check(country: str, rest: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The normalised surrogate of a normalised value."""
     draw = Stream(key, kind, value, attempt)
+    longer = max(0, attempt - SAME_FORMAT)
+    digits = lambda: reshaped("0" * longer, draw)
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         *labels, top = domain.split(".")
-        return f"{reshaped(local, draw)}@{'.'.join(reshaped(x, draw) for x in labels)}.{top}"
+        first = token(draw, len(local)) if fixed(local) and all(map(fixed, labels)) else reshaped(local, draw)
+        return f"{first}{digits()}@{'.'.join(reshaped(x, draw) for x in labels)}.{top}"
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
-        keep = 1 if octets[0] in (10, 127) else 2 if octets[:2] == [192, 168] else 0
+        keep = 0 if longer else 1 if octets[0] in (10, 127) else 2 if octets[:2] == [192, 168] else 0
         return ".".join(str(o if k < keep else draw.below(223 if k == 0 else 254) + 1) for k, o in enumerate(octets))
     if kind == "card":
         new = reshaped(value, draw)
-        return new[:-1] + str((int(new[-1]) - luhn(new)) % 10 if luhn(new[:-1] + "0") else 0) if luhn(value) == 0 else new
+        new = new[:-1] + digits() + new[-1]
+        if luhn(value) == 0:
+            check = (int(new[-1]) - luhn(new)) % 10 if luhn(new[:-1] + "0") else 0
+            new = new[:-1] + chr(ord(new[-1]) - int(new[-1]) + check)
+        return new
     if kind == "phone":
         kept = 2 if value.startswith("+") else 0
-        return value[:kept] + reshaped(value[kept:], draw)
+        return value[:kept] + reshaped(value[kept:], draw) + digits()
     if kind == "iban":
-        rest = reshaped(value[4:], draw)
+        rest = reshaped(value[4:], draw) + digits()
         return value[:2] + iban_check(value[:2], rest) + rest
     if kind == "secret":
         hexes = next((x for x in ("0123456789abcdef"[10:], "ABCDEF") if all(c.isdigit() or c in x for c in value)), None)
-        return reshaped(value, draw, hexes)
+        return (token(draw, len(value)) if fixed(value) else reshaped(value, draw, hexes)) + digits()
     if kind == "name":
         gender, said = value.split(":", 1)
         if not said.isascii() and any(ord(c) > 0x24F for c in said):
-            return f"{gender}:{reshaped(said, draw)}"
+            return f"{gender}:{reshaped(said, draw)}{''.join(SYLLABLES[draw.below(len(SYLLABLES))] for _ in range(longer))}"
         parts = said.split(" ")
         pool = GIVEN[gender] if gender else GIVEN["f"] + GIVEN["m"]
         last = FAMILY[draw.below(len(FAMILY))] if attempt == 0 else "".join(SYLLABLES[draw.below(len(SYLLABLES))] for _ in range(2 + attempt)).capitalize()
         first = pool[draw.below(len(pool))]
         return f"{gender}:{last if len(parts) == 1 else f'{first} {last}'}"
-    return reshaped(value, draw)
+    return reshaped(value, draw) + digits()
 
 
 def written_as(kind: str, original: str, new: str) -> str:
@@ -180,7 +216,7 @@ def written_as(kind: str, original: str, new: str) -> str:
         return "".join(c.upper() if o.isupper() else c for o, c in zip(original, new, strict=False)) if len(original) == len(new) else new
     if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(new)
-        return "".join(next(signs) if c.isalnum() or c == "+" else c for c in original)
+        return "".join([*(next(signs) if c.isalnum() or c == "+" else c for c in original), *signs])
     return new
 
 
@@ -211,7 +247,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     now = written(drawn(entities.withColumn("attempt", F.lit(0))), "pii-surrogates")
     originals = entities.select("type", F.col("value").alias("new"))
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         first = now.groupBy("type", "new").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("type", "new", "first")
         shared = now.join(first, ["type", "new"]).filter(F.struct("attempt", "value") != F.col("first")).select("type", "value")
         taken = now.join(originals, ["type", "new"], "left_semi").select("type", "value")
@@ -222,7 +258,6 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         nxt = written(now.join(again, ["type", "value"], "left_anti").union(redo), "pii-surrogates")
         drop_written(now)
         now = nxt
-    raise RuntimeError("surrogates still collide")
 
 
 def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,17 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(new)) == 6
 
 
+def test_every_entity_gets_a_surrogate(spark):
+    """Values without a sign to draw, digits and letters of other scripts, and a format whose every value is an entity."""
+    texts = ['db_password = "********"', 'db_password = "----------"', "call ٠١٢-٣٤٥-٦٧٨٩ now", "card ४१११११११११११११११ ok", 'my_secret = "ԱԲԳԴԵԶԷԸ"']
+    texts += [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"key").collect()}
+    assert len(out) == len(set(out.values())) == len(texts) and not set(out.values()) & set(texts)
+    assert out[0].startswith('db_password = "') and len(out[0]) == len(texts[0])
+    assert all("٠" <= c <= "٩" for c in out[2][5:17].replace("-", "")) and all("०" <= c <= "९" for c in out[3][5:21])
+    assert pii.luhn(out[3][5:21]) == 0 and all("Ա" <= c <= "Ֆ" for c in out[4][13:-1])
+
+
 def test_surrogates_leave_no_entity_of_the_corpus(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in queries.op7_surrogates(spark, DATA).collect():
