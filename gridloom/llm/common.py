@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,11 +43,25 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         yield from slices(batch, column, most_bytes)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the next like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Spark's setting to remove the shuffle files of a job when it ends, as its result is a table then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local default only where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where a local master leaves that unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file:///tmp/gridloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/gridloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -55,7 +70,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

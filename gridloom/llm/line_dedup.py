@@ -4,23 +4,27 @@ A line is the set of its words. Two lines match if the Jaccard similarity of the
 matches any line before it, in the order of ids and then of places in the text; so the first of all matching lines stays.
 
 1. Words are ordered by rarity: how often the words of a word's hash bucket occur in the corpus, in 128 classes, then the word's
-   hash. The histogram has at most 2^18 buckets, however large the corpus.
+   hash. The histogram has at most 2^16 buckets, however large the corpus.
 2. Equal lines become one class, represented by its first line. A hot line is pre-aggregated before the shuffle.
-3. Two sets of sizes a and b that match share a word among the first ``p(a) = a - ceil(0.8 a) + 1`` of one and ``p(b)`` of the other
+3. In a large group of near copies nearly every line matches one of a few. So each class is first compared with some earlier classes
+   that agree with it in one of three sketches (its rarest words, its words with the least hashes, those with the greatest), with the
+   first two and the last two of them. Classes beyond the first ``EASY`` of a sketch for which that finds a match, as far as sizes and
+   bitmaps tell, are set aside, and their one pair is verified. That costs a row for each class and sketch, however large a group is.
+4. Two sets of sizes a and b that match share a word among the first ``p(a) = a - ceil(0.8 a) + 1`` of one and ``p(b)`` of the other
    (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
    the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words by 6 or 7 bits of their hash,
-   bounds the overlap from above. What is left is verified on the whole sets.
-4. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
+   bounds the overlap from above. What is left is verified on the whole sets. This join takes the classes that were not set aside.
+5. Classes that still have no match meet those that were set aside, in the same way, and so do set-aside classes whose pair failed with
+   all others. So every pair is considered, but for those whose later line has a match already: one earlier match decides.
+6. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
    p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
-5. Where more than ``CROWD`` classes meet by two words, each is compared with the earliest of them first. If they match, no other class
-   there can tell more about it, as only the earliest match decides. The other classes are then compared with all before
-   them, so nothing is lost.
 
 Words are identified by 57 bits of their hash, lines by 64.
 
 Defined results: null and empty texts have no lines to remove; blank lines are kept; rows with the same id take the same place
 in the order, so equal places remove nothing of each other; null ids come first; ids that are no integers are ordered by
-their hash; ties do not occur otherwise. Lines are what is between line feeds, words what is between spaces. Other columns are untouched.
+their hash; ties do not occur otherwise. Lines are what is between line feeds, words what is between spaces. Other columns are
+untouched, whatever their names, but for one that has the name of an output column: the output takes its place.
 """
 
 from __future__ import annotations
@@ -29,18 +33,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import drop_written, written
 
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 18
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 16
 #: So many bytes of text a bucket, roughly.
 BUCKET_BYTES = 1_500
 CLASSES, CLASS_BITS = 128, 7
-COMMON, CROWD = 4_096, 64
+COMMON = 4_096
+#: So many classes of a sketch are never set aside. Sketches of more than so many bytes of text are dealt out further.
+EASY, SALT_BYTES = 16, 64 << 30
 #: Sets of more words have bitmaps of 128 bits, others of 64.
 WIDE_SET = 70
-#: So many times a line is verified with its earliest candidate alone.
-ROUNDS = 3
-#: So many longs of line places are broadcast at most; more are joined by a shuffle.
+#: So many longs (16 MB) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 NUM, DEN = 4, 5  # the similarity, 0.8
 
@@ -74,11 +78,15 @@ def rarity_table(lines: DataFrame, size: int) -> tuple[list[int], int]:
     return (classes - CLASSES // 2).tolist(), int(common) - CLASSES // 2
 
 
-def word_sets(line: Column, table: list[int]) -> Column:
-    """A line's distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
+def hashes(line: Column) -> Column:
+    """The hashes of a line's distinct words."""
+    return F.array_except(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+
+
+def word_sets(distinct: Column, table: list[int]) -> Column:
+    """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
     last = F.lit(len(table) - 1)
-    distinct = F.array_except(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(last).cast("int")), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
 
 
@@ -87,107 +95,142 @@ def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
     return df.select(base.alias("base"), F.posexplode(F.split(df[text_col], "\n", -1)).alias("n", "line")).select((F.col("base") + F.col("n")).alias("place"), "line")
 
 
-def earliest_matches(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
-    """``b, a``: the earliest place whose line matches, of the candidate pairs ``a, b``. The lines are looked up by place.
+def few(df: DataFrame, longs: int = 1) -> DataFrame:
+    """``df``, of so many longs a row, marked for broadcast if it is proven small. It is a written table."""
+    return F.broadcast(df) if df.count() * longs <= BROADCAST_ROWS else df
+
 
-    Each ``b`` is verified with its earliest candidate first, and only where that fails with the next: in a group of near copies
-    the first of them settles nearly all, so few of its pairs are ever built. After ``ROUNDS`` all that is left is verified."""
-    left = written(pairs, "line-pairs")
-    wanted = written(left.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    held = lines.join(F.broadcast(wanted) if few else wanted, "place", "left_semi")
-    sets = written(held.select("place", word_sets(F.col("line"), table).alias("s")), "line-sets")
+def matched(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
+    """``hash``: the lines at the places ``b`` that match the line at ``a`` in one of the candidate pairs. The lines are looked up by
+    place; each ``b`` is verified with its earliest candidate first, and with the others only where that fails."""
+    pairs = written(pairs, "line-pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
+    held = lines.join(few(wanted), "place", "left_semi")
+    sets = written(held.select("place", F.xxhash64("line").alias("hash"), word_sets(hashes(F.col("line")), table).alias("s")), "line-sets")
 
     def matching(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), F.col("s").alias("sb")), "b")
+        both = some.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), "hash", F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+        return both.filter(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("b", "hash").distinct()
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    found = written(matching(first), "line-matches")
+    # a place of several rows with one id can hold several lines: all its pairs are looked at again
+    shared_places = sets.groupBy("place").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("place").alias("b"))
+    settled = found.select("b").join(shared_places, "b", "left_anti")
+    rest = written(matching(pairs.join(settled, "b", "left_anti").join(first, ["a", "b"], "left_anti")), "line-matches")
+    out = written(found.union(rest).select("hash").distinct(), "lines-matched")
+    for old in (pairs, wanted, sets, found, rest):
+        drop_written(old)
+    return out
+
+
+#: Columns of a class: its line's hash, its first place, size and bitmaps.
+CARRIED = ["hash", "c", "n", "m", "m2"]
+
+
+def alike(c: Column, n: Column, m: Column, m2: Column, other: str) -> Column:
+    """By sizes and bitmaps, the class can match the earlier class whose columns begin with ``other``."""
+    oc, on, om, om2 = (F.col(other + k) for k in CARRIED[1:])
+    sizes = (on * DEN >= n * NUM) & (n * DEN >= on * NUM)
+    # sets of sizes a and b that share o words differ in a + b - 2 o, and their bitmaps in no more bits
+    low, high = om.bitwiseXOR(m), om2.bitwiseXOR(m2)
+    differ = F.coalesce(F.bit_count(high) + F.bit_count(low.bitwiseXOR(high)), F.bit_count(low))
+    return (oc < c) & sizes & ((on + n - differ) * (NUM + DEN) >= (on + n) * (2 * NUM))
+
+
+def easy_pairs(classes: DataFrame, salts: int) -> DataFrame:
+    """``a, b, hash``: for classes beyond the first ``EASY`` of a sketch an earlier class that they seem to match."""
+    # the marks of a sketch: its number and its words
+    sketches = F.array(*(F.xxhash64(F.lit(k), F.col(f"k{k}")) for k in range(3)))
+    rows = classes.select(*CARRIED, F.explode(sketches).alias("key"), F.pmod("hash", F.lit(salts)).alias("salt"))
+    near = Window.partitionBy("key", "salt").orderBy("c", "hash")
+    before = near.rowsBetween(Window.unboundedPreceding, -1)
+    me = F.struct(*CARRIED[1:])
+    met = rows.select(*CARRIED, F.row_number().over(near).alias("rank"), F.first(me).over(before).alias("p0"), F.nth_value(me, 2).over(before).alias("p1"), F.lag(me, 1).over(near).alias("p2"), F.lag(me, 2).over(near).alias("p3"))
+    own = [F.col(k) for k in CARRIED[1:]]
+    choice = F.coalesce(*(F.when(alike(*own, f"p{k}."), F.col(f"p{k}.c")) for k in range(4)))
+    return met.filter(F.col("rank") > EASY).select(choice.alias("a"), F.col("c").alias("b"), "hash").filter("a is not null").groupBy("b", "hash").agg(F.min("a").alias("a")).select("a", "b", "hash")
+
+
+def keyed(classes: DataFrame, edge: int) -> DataFrame:
+    """A row for each place ``i`` of each prefix, with the ``key`` by which classes meet: the word, or a common one and a second one."""
+    p = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
+    w, least = F.col("w"), F.lit(min(2**63 - 1, max(-(2**63), edge << (64 - CLASS_BITS))))
+    rare = classes.select(*CARRIED, F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w < least).select(*CARRIED, "i", w.alias("key"))
+    crowded = classes.select(*CARRIED, "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w >= least)
+    # a set of one word has no second one, and matches equal sets alone
+    second = F.when(F.col("n") == 1, F.array("w")).otherwise(F.slice("prefix", F.col("i") + 2, F.greatest(F.size("prefix") - F.col("i") - 1, F.lit(0))))
+    return rare.union(crowded.select(*CARRIED, "w", "i", F.explode(second).alias("w2")).select(*CARRIED, "i", F.xxhash64("w", "w2").alias("key")))
 
-    found = None
-    for _ in range(ROUNDS):
-        first = written(left.groupBy("b").agg(F.min("a").alias("a")), "line-firsts")
-        now = written(matching(first), "line-matches")
-        found = now if found is None else found.union(now)
-        left = written(left.join(now.select("b"), "b", "left_anti").join(first, ["a", "b"], "left_anti").select("a", "b"), "line-pairs")
-        if left.isEmpty():
-            return found.select("b", "a")
-    rest = matching(left).groupBy("b").agg(F.min("a").alias("a"))
-    return found.select("b", "a").union(rest.select("b", "a"))
+
+def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of an earlier and a later class that meet by a key and pass the filters."""
+    # both sides are named anew in the same way, so that one shuffle serves them where they are the same rows
+    x = later.select(F.col("key").alias("key_"), *(F.col(k).alias(f"x_{k}") for k in [*CARRIED[1:], "i"]))
+    y = earlier.select(F.col("key").alias("_key"), *(F.col(k).alias(f"y_{k}") for k in [*CARRIED[1:], "i"]))
+    room = F.least(F.col("y_n") - F.col("y_i"), F.col("x_n") - F.col("x_i")) * (NUM + DEN) >= (F.col("x_n") + F.col("y_n")) * NUM
+    near = alike(*(F.col(f"x_{k}") for k in CARRIED[1:]), "y_")
+    return x.join(y, (x["key_"] == y["_key"]) & room & near).select(F.col("y_c").alias("a"), F.col("x_c").alias("b")).distinct()
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``hash, upto``: lines of this hash are removed if their place is after ``upto``."""
+    """``hash, c, kept``: the first place of each line with a word, and whether it stays there. It goes everywhere else."""
     base = order_base(df, id_col)
     lines = lines_of(df, base, text_col)
-    table, common = rarity_table(lines, df.agg(F.sum(F.octet_length(df[text_col]))).first()[0] or 0)
+    size = df.agg(F.sum(F.octet_length(df[text_col]))).first()[0] or 0
+    table, common = rarity_table(lines, size)
     n = F.size("s")
-    own = lines.select("place", F.xxhash64("line").alias("hash"), word_sets(F.col("line"), table).alias("s"))
-    # the prefix and one word more
+    own = lines.select("place", F.xxhash64("line").alias("hash"), F.sort_array(hashes(F.col("line"))).alias("h")).select("place", "hash", "h", word_sets(F.col("h"), table).alias("s"))
     # bit k of m is the parity of the words whose hash ends in k; m2 has those with the next bit set, for sets too large for 64 bits
     flipped = lambda m, bit, h: m.bitwiseXOR(F.call_function("shiftleft", bit, h.bitwiseAND(F.lit(63)).cast("int")))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     parity = F.aggregate("s", none, lambda m, h: flipped(m, one, h))
     upper = F.when(n > WIDE_SET, F.aggregate("s", none, lambda m, h: flipped(m, F.shiftright(h, 6).bitwiseAND(one), h)))
-    own = own.select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2)).alias("prefix"))
-    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.any_value("m2").alias("m2"), F.any_value("prefix").alias("prefix")).filter("n > 0"), "line-classes")
-    p = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
-    each = classes.select("c", "n", "m", "m2", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w"))
-    edge = F.lit(min(2**63 - 1, max(-(2**63), common << (64 - CLASS_BITS))))
-
-    def filtered(later: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
-        # both sides are named anew in the same way, so that one shuffle serves them where they are the same rows
-        x = later.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("m").alias("mb"), F.col("m2").alias("m2b"))
-        y = earlier.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("m").alias("ma"), F.col("m2").alias("m2a"))
-        same = F.lit(True)
-        for k in keys:
-            same = same & (F.col(f"{k}_") == F.col(f"_{k}"))
-        sizes = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM)
-        need = (F.col("na") + F.col("nb")) * NUM
-        room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (NUM + DEN) >= need
-        # sets of sizes a and b that share o words differ in a + b - 2 o, and their bitmaps in no more bits
-        low, high = F.col("ma").bitwiseXOR(F.col("mb")), F.col("m2a").bitwiseXOR(F.col("m2b"))
-        differ = F.coalesce(F.bit_count(high) + F.bit_count(low.bitwiseXOR(high)), F.bit_count(low))
-        bitmap = (F.col("na") + F.col("nb") - differ) * (NUM + DEN) >= need * 2
-        return x.join(y, same & (y.a < x.b) & sizes & room & bitmap).select("a", "b").distinct()
-
-    rare = each.filter(F.col("w") < edge)
-    crowded = classes.select("c", "n", "m", "m2", "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(F.col("w") >= edge)
-    # a set of one word has no second one, and matches equal sets alone
-    second = F.when(F.col("n") == 1, F.array("w")).otherwise(F.slice("prefix", F.col("i") + 2, F.greatest(F.size("prefix") - F.col("i") - 1, F.lit(0))))
-    by_two = Window.partitionBy("w", "w2")
-    met2 = crowded.select("w", "c", "n", "m", "m2", "i", F.explode(second).alias("w2")).select("w", "w2", "c", "n", "m", "m2", "i", F.count("*").over(by_two).alias("k"), F.min("c").over(by_two).alias("e")).filter("k > 1")
-    met2 = written(met2, "line-word-pairs")
-    few2, many = met2.filter(F.col("k") <= CROWD), met2.filter(F.col("k") > CROWD)
-    to_earliest = many.filter("c <> e").select(F.col("e").alias("a"), F.col("c").alias("b")).distinct()
-    pairs = filtered(rare, rare, ["w"]).union(filtered(few2, few2, ["w", "w2"])).union(to_earliest).distinct()
-    found = written(earliest_matches(pairs, lines, table), "line-matches")
-    # a match at or before the earliest class of a pair of words cannot be bettered there
-    settled = found.select(F.col("b").alias("c"), F.col("a").alias("_a"))
-    left = many.filter("c <> e").join(settled, "c", "left").filter(F.col("_a").isNull() | (F.col("_a") > F.col("e"))).drop("_a")
-    left = written(left, "line-left")
-    if not left.isEmpty():
-        found = found.union(written(earliest_matches(filtered(left, many, ["w", "w2"]), lines, table), "line-matches"))
-    earliest = found.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("a"))
-    return classes.select("c", "hash").join(earliest, "c", "left").select("hash", F.coalesce("a", "c").alias("upto"))
+    sketches = [F.xxhash64(F.slice("s", 1, 3)), F.xxhash64(F.slice("h", 1, 4)), F.xxhash64(F.slice("h", F.greatest(n - 3, F.lit(1)), 4))]
+    # the prefix and one word more
+    prefix = F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2))
+    own = own.filter(n > 0).select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), *(k.alias(f"k{i}") for i, k in enumerate(sketches)), prefix.alias("prefix"))
+    rest = ["n", "m", "m2", "k0", "k1", "k2", "prefix"]
+    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), *(F.any_value(k).alias(k) for k in rest)), "line-classes")
+    easy = written(easy_pairs(classes, 1 + size // SALT_BYTES), "line-easy")
+    aside = few(easy.select("hash"))
+    stay = classes.join(aside, "hash", "left_anti")
+    rows = keyed(stay, common)
+    found = matched(candidates(rows, rows).union(easy.select("a", "b")), lines, table)
+    if not easy.isEmpty():
+        outside = classes.join(aside, "hash", "left_semi")
+        alone = stay.join(few(found), "hash", "left_anti")
+        failed = written(outside.join(few(found), "hash", "left_anti"), "line-failed")
+        theirs = written(keyed(outside, common), "line-keys")
+        shared = keyed(alone, common).join(few(written(theirs.select("key").distinct(), "line-keys-met")), "key", "left_semi")
+        pairs = candidates(shared.unionByName(keyed(failed, common)), theirs)
+        # of sets set aside in vain there are few, so their words choose the others' rows
+        vain = written(keyed(failed, common), "line-vain")
+        pairs = pairs.union(candidates(vain, rows.join(few(written(vain.select("key").distinct(), "line-keys-vain")), "key", "left_semi")))
+        found = written(found.union(matched(pairs, lines, table)).distinct(), "lines-matched")
+    return classes.select("hash", "c").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduped", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``df`` with the deduplicated text, the number of lines and of those removed. A null text has 0 lines and stays null."""
     base = order_base(df, id_col)
     gone = removals(df, id_col, text_col)
-    rows = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"), base.alias("_base"))
-    every = rows.select("_base", F.xxhash64("_text").alias("_h"), F.posexplode(F.split("_text", "\n", -1)).alias("_n", "_line")).select("_base", "_h", "_n", F.xxhash64("_line").alias("hash"))
-    hit = every.join(gone, "hash").filter(F.col("_base") + F.col("_n") > F.col("upto"))
-    per_text = written(hit.groupBy("_base", "_h").agg(F.collect_set("_n").alias("_gone")), "lines-gone")
-    texts_hit, lines_hit = per_text.agg(F.count("*"), F.sum(F.size("_gone"))).first()
-    few = 4 * texts_hit + (lines_hit or 0) <= BROADCAST_ROWS
-    out = df.select("*", base.alias("_base"), F.xxhash64(df[text_col]).alias("_h")).join(F.broadcast(per_text) if few else per_text, ["_base", "_h"], "left")
+    rows = df.select(df[text_col].alias("text"), base.alias("base"))
+    every = rows.select("base", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select("base", "h", "n", F.xxhash64("line").alias("hash"))
+    hit = every.join(gone, "hash").filter(~F.col("kept") | (F.col("base") + F.col("n") > F.col("c")))
+    per_text = written(hit.groupBy("base", "h").agg(F.collect_set("n").alias("gone")), "lines-gone")
+    texts_hit, lines_hit = per_text.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    small = 4 * texts_hit + (lines_hit or 0) <= BROADCAST_ROWS
+    # the whole row is one column here, so no name of the input can clash
+    packed = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[text_col].alias("text"), base.alias("base"), F.xxhash64(df[text_col]).alias("h"))
+    out = packed.join(F.broadcast(per_text) if small else per_text, ["base", "h"], "left")
     # the inner array binds the lines once for all places
-    kept = F.expr(f"transform(array(split(`{text_col}`, '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _gone), i -> ls[i]), '\\n'))[0]")
-    text = F.col(f"`{text_col}`")
-    return out.select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(out_col),
-        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias(lines_col),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(removed_col),
-    )
+    kept = F.expr("transform(array(split(text, '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n'))[0]")
+    made = {
+        out_col: F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
+        lines_col: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
+        removed_col: F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    }
+    names = {c.lower() for c in made}
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c.lower() not in names), *(v.alias(c) for c, v in made.items()))
