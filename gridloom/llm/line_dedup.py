@@ -10,8 +10,8 @@ matches any line before it, in the order of ids and then of places in the text;
    that agree with it in one of three sketches (its rarest words, its words with the least hashes, those with the greatest), with the
    first two and the last two of them. Classes beyond the first ``EASY`` of a sketch for which that finds a match, as far as sizes and
    bitmaps tell, are set aside, and their one pair is verified. That costs a row for each class and sketch, however large a group is.
-4. Two sets of sizes a and b that match share a word among the first ``p(a) = a - ceil(0.8 a) + 1`` of one and ``p(b)`` of the other
-   (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
+4. Two sets of sizes a <= b that match share a word among the first ``a - ceil(8/9 a) + 1`` of the smaller and the first
+   ``b - ceil(0.8 b) + 1`` of the larger (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
    the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words by 6 or 7 bits of their hash,
    bounds the overlap from above. What is left is verified on the whole sets. This join takes the classes that were not set aside.
 5. Classes that still have no match meet those that were set aside, in the same way, and so do set-aside classes whose pair failed with
@@ -29,6 +29,8 @@ untouched, whatever their names, but for one that has the name of an output colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,14 +131,14 @@ def matched(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
 CARRIED = ["hash", "c", "n", "m", "m2"]
 
 
-def alike(c: Column, n: Column, m: Column, m2: Column, other: str) -> Column:
-    """By sizes and bitmaps, the class can match the earlier class whose columns begin with ``other``."""
-    oc, on, om, om2 = (F.col(other + k) for k in CARRIED[1:])
+def alike(n: Column, m: Column, m2: Column, other: str) -> Column:
+    """By sizes and bitmaps, the class can match the one whose columns begin with ``other``."""
+    on, om, om2 = (F.col(other + k) for k in CARRIED[2:])
     sizes = (on * DEN >= n * NUM) & (n * DEN >= on * NUM)
     # sets of sizes a and b that share o words differ in a + b - 2 o, and their bitmaps in no more bits
     low, high = om.bitwiseXOR(m), om2.bitwiseXOR(m2)
     differ = F.coalesce(F.bit_count(high) + F.bit_count(low.bitwiseXOR(high)), F.bit_count(low))
-    return (oc < c) & sizes & ((on + n - differ) * (NUM + DEN) >= (on + n) * (2 * NUM))
+    return sizes & ((on + n - differ) * (NUM + DEN) >= (on + n) * (2 * NUM))
 
 
 def easy_pairs(classes: DataFrame, salts: int) -> DataFrame:
@@ -148,8 +150,8 @@ def easy_pairs(classes: DataFrame, salts: int) -> DataFrame:
     before = near.rowsBetween(Window.unboundedPreceding, -1)
     me = F.struct(*CARRIED[1:])
     met = rows.select(*CARRIED, F.row_number().over(near).alias("rank"), F.first(me).over(before).alias("p0"), F.nth_value(me, 2).over(before).alias("p1"), F.lag(me, 1).over(near).alias("p2"), F.lag(me, 2).over(near).alias("p3"))
-    own = [F.col(k) for k in CARRIED[1:]]
-    choice = F.coalesce(*(F.when(alike(*own, f"p{k}."), F.col(f"p{k}.c")) for k in range(4)))
+    own = [F.col(k) for k in CARRIED[2:]]
+    choice = F.coalesce(*(F.when((F.col(f"p{k}.c") < F.col("c")) & alike(*own, f"p{k}."), F.col(f"p{k}.c")) for k in range(4)))
     return met.filter(F.col("rank") > EASY).select(choice.alias("a"), F.col("c").alias("b"), "hash").filter("a is not null").groupBy("b", "hash").agg(F.min("a").alias("a")).select("a", "b", "hash")
 
 
@@ -164,14 +166,38 @@ def keyed(classes: DataFrame, edge: int) -> DataFrame:
     return rare.union(crowded.select(*CARRIED, "w", "i", F.explode(second).alias("w2")).select(*CARRIED, "i", F.xxhash64("w", "w2").alias("key")))
 
 
-def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """``a, b``: the pairs of an earlier and a later class that meet by a key and pass the filters."""
+def met(x: DataFrame, y: DataFrame, more: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
+    """The rows of ``x`` and ``y`` that meet by a key and pass the filters of place and size, the bitmaps and ``more``."""
     # both sides are named anew in the same way, so that one shuffle serves them where they are the same rows
-    x = later.select(F.col("key").alias("key_"), *(F.col(k).alias(f"x_{k}") for k in [*CARRIED[1:], "i"]))
-    y = earlier.select(F.col("key").alias("_key"), *(F.col(k).alias(f"y_{k}") for k in [*CARRIED[1:], "i"]))
+    x = x.select(F.col("key").alias("key_"), *(F.col(k).alias(f"x_{k}") for k in [*CARRIED[1:], "i"]))
+    y = y.select(F.col("key").alias("_key"), *(F.col(k).alias(f"y_{k}") for k in [*CARRIED[1:], "i"]))
     room = F.least(F.col("y_n") - F.col("y_i"), F.col("x_n") - F.col("x_i")) * (NUM + DEN) >= (F.col("x_n") + F.col("y_n")) * NUM
-    near = alike(*(F.col(f"x_{k}") for k in CARRIED[1:]), "y_")
-    return x.join(y, (x["key_"] == y["_key"]) & room & near).select(F.col("y_c").alias("a"), F.col("x_c").alias("b")).distinct()
+    return x.join(y, (x["key_"] == y["_key"]) & more(x, y) & room & alike(*(F.col(f"x_{k}") for k in CARRIED[2:]), "y_"))
+
+
+def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of an earlier and a later class that meet by a key and pass the filters."""
+    return met(later, earlier, lambda x, y: y.y_c < x.x_c).select(F.col("y_c").alias("a"), F.col("x_c").alias("b")).distinct()
+
+
+def candidates_among(rows: DataFrame) -> DataFrame:
+    """``a, b`` of all pairs of classes of ``rows``. The smaller set of a pair needs its first ``a - ceil(8/9 a) + 1`` words alone."""
+    n = F.col("n")
+    small = rows.filter(F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int"))
+    pairs = met(rows, small, lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c))
+    return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) * 16).cast("int")
+
+
+def that_may_meet(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Those of ``rows`` that share a key with a row of ``others`` of a size that can match."""
+    n = F.col("n")
+    reach = F.sequence(size_class(F.ceil(n * NUM / DEN)), size_class(F.floor(n * DEN / NUM)))
+    wanted = written(others.select("key", F.explode(reach).alias("size")).distinct(), "line-keys-met")
+    return rows.withColumn("size", size_class(n)).join(few(wanted, 2), ["key", "size"], "left_semi").drop("size")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,24 +216,23 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sketches = [F.xxhash64(F.slice("s", 1, 3)), F.xxhash64(F.slice("h", 1, 4)), F.xxhash64(F.slice("h", F.greatest(n - 3, F.lit(1)), 4))]
     # the prefix and one word more
     prefix = F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2))
-    own = own.filter(n > 0).select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), *(k.alias(f"k{i}") for i, k in enumerate(sketches)), prefix.alias("prefix"))
+    own = own.select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), *(k.alias(f"k{i}") for i, k in enumerate(sketches)), prefix.alias("prefix"))
     rest = ["n", "m", "m2", "k0", "k1", "k2", "prefix"]
-    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), *(F.any_value(k).alias(k) for k in rest)), "line-classes")
+    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), *(F.any_value(k).alias(k) for k in rest)).filter("n > 0"), "line-classes")
     easy = written(easy_pairs(classes, 1 + size // SALT_BYTES), "line-easy")
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
     rows = keyed(stay, common)
-    found = matched(candidates(rows, rows).union(easy.select("a", "b")), lines, table)
+    found = matched(candidates_among(rows).union(easy.select("a", "b")), lines, table)
     if not easy.isEmpty():
         outside = classes.join(aside, "hash", "left_semi")
         alone = stay.join(few(found), "hash", "left_anti")
         failed = written(outside.join(few(found), "hash", "left_anti"), "line-failed")
         theirs = written(keyed(outside, common), "line-keys")
-        shared = keyed(alone, common).join(few(written(theirs.select("key").distinct(), "line-keys-met")), "key", "left_semi")
-        pairs = candidates(shared.unionByName(keyed(failed, common)), theirs)
-        # of sets set aside in vain there are few, so their words choose the others' rows
+        pairs = candidates(that_may_meet(keyed(alone, common), theirs).unionByName(keyed(failed, common)), theirs)
+        # of sets set aside in vain there are few
         vain = written(keyed(failed, common), "line-vain")
-        pairs = pairs.union(candidates(vain, rows.join(few(written(vain.select("key").distinct(), "line-keys-vain")), "key", "left_semi")))
+        pairs = pairs.union(candidates(vain, that_may_meet(rows, vain)))
         found = written(found.union(matched(pairs, lines, table)).distinct(), "lines-matched")
     return classes.select("hash", "c").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"))
 
