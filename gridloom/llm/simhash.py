@@ -12,7 +12,9 @@ fingerprints differ in at most two bits if and only if both are within one bit o
 and all that share a point are joined to the least of them. That is exact and linear in the bucket.
 
 Pairs of a Jaccard similarity of 0.8 differ in about 15 % of their bits, and in many more where texts are short, so no number of bits
-decides them. ``one_of_each`` joins the sets of shingles themselves, by prefix, length and place, and counts what they share.
+decides them. ``one_of_each`` takes the pairs that pigeonring finds first and counts what their sets of shingles share. That joins
+most of a group of near copies. Then it completes the links between what is still apart: it joins the sets of shingles themselves,
+by prefix, length and place, and counts again.
 
 Equal fingerprints are one node, so groups of copies of any size cost a row each.
 
@@ -43,28 +45,40 @@ SEED = 42
 CROWDED, PIVOTS = 64, 4
 #: One text in so many is sampled for common shingles: those in so many sampled texts, and so many of them at most.
 SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
+#: So many longs (16 MB) are broadcast at most; more are joined by a shuffle.
+BROADCAST_LONGS = 2_000_000
 #: Words of 64 bits by which a pair is ruled out before its sets are read.
 MARKS = 16
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Unsigned fingerprint. Words are split at white space (space, tab to carriage return), A-Z lower-cased."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hashes of the text's word shingles, in order, repeats included; of all its words where there are fewer; none without words.
+    Words are split at white space (space, tab to carriage return), A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.array([len(w) for w in words])
     starts = np.cumsum(sizes + 1) - sizes - 1
     last = max(1, len(words) - shingle + 1)
     ends = (starts + sizes)[min(shingle, len(words)) - 1 :]
     digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def voted(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 65_536):
         votes += np.unpackbits(h[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """Unsigned fingerprint."""
+    return voted(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, fp`` of each row, and the long columns to keep; fp is the fingerprint as a signed long."""
     source = df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *(df[c] for c in keep))
@@ -144,41 +158,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", tex
     return docs.join(components(docs).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def column_counts(rows: np.ndarray) -> np.ndarray:
-    """How many rows have each bit. rows: n x words of 64 bits. Numbers are added as bit planes, pairwise, so a word does 64 at once."""
-    planes, n = [rows], len(rows)
-    while n > 1:
-        half = n // 2
-        carry, out = None, []
-        for p in planes:
-            x, y = p[:half], p[half : 2 * half]
-            either, both = x ^ y, x & y
-            if carry is None:
-                out.append(either)
-                carry = both
-            else:
-                out.append(either ^ carry)
-                carry = both | (carry & either)
-        out.append(carry)
-        if n % 2:
-            rest = [p[-1:] for p in planes] + [np.zeros_like(rows[:1])]
-            out = [np.concatenate(x) for x in zip(out, rest, strict=True)]
-        planes, n = out, half + n % 2
-    return sum(np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << k for k, p in enumerate(planes))
-
-
 def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The distinct hashes of the text's word shingles, ascending. Words as in ``fingerprint``; a text of fewer words is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.array([len(w) for w in words])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    last = max(1, len(words) - shingle + 1)
-    ends = (starts + sizes)[min(shingle, len(words)) - 1 :]
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends.tolist(), strict=True)], np.uint64))
+    """The distinct hashes of the text's word shingles, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def common_shingles(df: DataFrame, shingle: int) -> np.ndarray:
@@ -195,9 +177,9 @@ def common_shingles(df: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """``doc_id, row, fp, n, bits, prefix`` of each row of ``df(doc_id, text, row)``: the hash and size of its shingle set, which of
-    ``64 * MARKS`` bits an odd number of its shingles fall on, and the first shingles by one order for all texts, so many that two
-    sets of that similarity have one in common."""
+    """``doc_id, row, fp, sim, n, bits, prefix`` of each row of ``df(doc_id, text, row)``: the hash of its shingle set, its fingerprint,
+    the set's size, which of ``64 * MARKS`` bits an odd number of its shingles fall on, and the first shingles by one order for all
+    texts, so many that two sets of that similarity have one in common."""
     kind = df.schema["doc_id"].dataType.simpleString()
     common = common_shingles(df, shingle)
     sorter = np.argsort(common)
@@ -213,14 +195,17 @@ def prefixes(df: DataFrame, shingle: int, share: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text", BATCH_BYTES):
-            sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
+            hashes = [shingle_hashes(t or "", shingle) for t in part.column("text").to_pylist()]
+            sim = np.array([voted(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             odd = [np.bincount((h % (64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1 for h in sets]
             bits = pa.array([np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in odd], pa.list_(pa.int64()))
             heads = pa.array([first(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fp), pa.array([len(h) for h in sets], pa.int32()), bits, heads], ["doc_id", "row", "fp", "n", "bits", "prefix"])
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fp), pa.array(sim), sizes, bits, heads], ["doc_id", "row", "fp", "sim", "n", "bits", "prefix"])
 
-    return df.select("doc_id", "text", "row").mapInArrow(trimmed(run), f"doc_id {kind}, row long, fp long, n int, bits array<long>, prefix array<long>")
+    return df.select("doc_id", "text", "row").mapInArrow(trimmed(run), f"doc_id {kind}, row long, fp long, sim long, n int, bits array<long>, prefix array<long>")
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
@@ -234,22 +219,60 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("fp", "text").mapInArrow(trimmed(run), "fp long, s array<long>")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``u, v``: pairs of sets ``fp`` of ``nodes(fp, sim)`` whose fingerprints pigeonring finds within ``MOST_BITS`` bits: sets with one
+    fingerprint are paired with the least of them, and those of two fingerprints by their least."""
+    least = written(nodes.groupBy("sim").agg(F.min("fp").alias("least")), "simhash-prints")
+    equal = nodes.select("fp", "sim").join(least, "sim").filter(F.col("fp") > F.col("least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    near = links(least.select(F.col("sim").alias("fp")))
+    side = lambda one, to: least.select(F.col("sim").alias(one), F.col("least").alias(to))
+    across = near.join(side("u", "x"), "u").join(side("v", "y"), "v").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    return written(equal.union(across).distinct(), "simhash-pairs")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """Links ``u, v`` between the distinct sets ``fp`` of ``nodes(fp, row, n, prefix)`` with the components of all pairs of that similarity.
+    """Links ``u, v`` between the distinct sets ``fp`` of ``nodes(fp, row, sim, n, bits, prefix)`` with the components of all pairs of that
+    similarity.
 
-    A pair meets in the first shingle that both prefixes have, where its sizes and places still allow the overlap it needs; then its
-    bits must allow it, and the sets decide. In a shingle that more than ``CROWDED`` prefixes have, each set is compared with a few of them first; then only sets
-    of different components are compared, all of them."""
+    Pairs that pigeonring finds come first. Of what is still apart, a pair meets in the first shingle that both prefixes have, where
+    its sizes and places still allow the overlap it needs; then its bits must allow it, and the sets decide. In a shingle that more
+    than ``CROWDED`` prefixes have, each set is compared with a few of them first; then only sets of different components are
+    compared, all of them."""
     over, under = share.numerator, share.numerator + share.denominator
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """``fp, s`` of the wanted ``fp``. Rows that occur more than once give their set once."""
+        rows = written(nodes.select("fp", "row").join(wanted, "fp"), "simhash-wanted")
+        small = rows.count() * 2 <= BROADCAST_LONGS
+        found = written(shingle_sets(texts.select("row", "text").join(F.broadcast(rows) if small else rows, "row").select("fp", "text"), shingle), "simhash-sets")
+        drop_written(rows)
+        if found.groupBy("fp").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+            return found
+        once = written(found.dropDuplicates(["fp"]), "simhash-sets")
+        drop_written(found)
+        return once
+
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("y")), "v")
+        return both.filter(F.size(F.array_intersect("x", "y")) * under >= (F.size("x") + F.size("y")) * over).select("u", "v")
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    quick = fingerprint_pairs(nodes)
+    sets = sets_of(ends(quick))
+    found = written(similar(quick, sets), "simhash-near")
+    drop_written(sets)
+    apart = written(roots(found), "simhash-roots").withColumnRenamed("node", "fp")
     every = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = written(every.join(every.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key"), "simhash-shared")
+    # counts are pre-aggregated and the join back can be split, as one shingle may be in very many prefixes
+    counted = every.join(every.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key")
+    shared = written(counted.join(apart, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-shared")
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        """Pairs of two parts of ``shared`` that can be similar, as far as the shingle they meet in shows."""
-        x = a.select("key", F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), *(F.col(c).alias("proot") for c in a.columns if c == "root"))
-        y = b.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"), *(F.col(c).alias("qroot") for c in b.columns if c == "root"))
-        both = x.join(y, "key").filter((F.col("p") != F.col("q")) & (F.least(F.col("pn") - F.col("pat"), F.col("qn") - F.col("qat")) * under >= (F.col("pn") + F.col("qn")) * over))
-        both = both.filter("p > q") if a is b else both.filter("proot <> qroot") if "root" in a.columns else both
+        """Pairs of different components, of two parts of ``shared``, that can be similar as far as the shingle they meet in shows."""
+        x = a.select("key", F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("root").alias("proot"))
+        y = b.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"), F.col("root").alias("qroot"))
+        both = x.join(y, "key").filter((F.col("proot") != F.col("qroot")) & (F.least(F.col("pn") - F.col("pat"), F.col("qn") - F.col("qat")) * under >= (F.col("pn") + F.col("qn")) * over))
+        both = both.filter("p > q") if a is b else both
         return both.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
 
     marks = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "bits"), "simhash-marks")
@@ -261,43 +284,45 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fract
         differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
         return both.filter((F.col("un") + F.col("vn") - differ) * under >= (F.col("un") + F.col("vn")) * (2 * over)).select("u", "v")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("y")), "v")
-        return both.filter(F.size(F.array_intersect("x", "y")) * under >= (F.size("x") + F.size("y")) * over).select("u", "v")
-
     few = shared.filter(F.col("held") <= CROWDED)
     many = shared.filter(F.col("held") > CROWDED).drop("held")
     least = many.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("fp"))).filter(F.col("i") <= PIVOTS).drop("i")
     first = written(likely(met(few, few).union(met(many, least))), "simhash-pairs")
-    needed = first.select(F.explode(F.array("u", "v")).alias("fp")).union(many.select("fp")).distinct()
-    rows = nodes.select("fp", "row").join(needed, "fp").join(texts.select("row", "text"), "row").select("fp", "text")
-    sets = written(shingle_sets(rows, shingle).dropDuplicates(["fp"]), "simhash-sets")
-    found = written(similar(first), "simhash-near")
+    sets = sets_of(ends(first).union(many.select("fp")).distinct())
+    found = written(found.union(similar(first, sets)), "simhash-near")
     if many.isEmpty():
         return found
     for more in (PIVOTS * 8, None):  # the rest of each crowd, with more of them and then with all
         known = roots(found).withColumnRenamed("node", "fp")
-        rooted = written(many.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+        rooted = written(many.drop("root").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
         main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         rest = rooted.join(main, "key").filter("root <> main").drop("main")
         others = rooted if more is None else rooted.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fp", F.lit(more))))).filter(F.col("i") <= more).drop("i")
-        found = written(found.union(similar(likely(met(rest, others)))), "simhash-near")
+        found = written(found.union(similar(likely(met(rest, others)), sets)), "simhash-near")
+        drop_written(rooted)
+    for old in (sets, shared, marks, first):
+        drop_written(old)
     return found
 
 
 def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near-duplicates of that Jaccard similarity of word shingles or more: of each component the row with the
     least id stays (of several with that id, the one with the least hash of all columns). Every pair is found, and its sets of
-    shingles decide."""
+    shingles decide. Rows keep their columns, whatever the names."""
     share = Fraction(similarity).limit_denominator(1000)
     row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     keyed = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), row.alias("row"))
     docs = written(prefixes(keyed, shingle, share), "simhash")
-    nodes = written(docs.groupBy("fp").agg(F.min_by(F.struct("row", "n", "bits", "prefix"), "row").alias("x")).select("fp", "x.*"), "simhash-nodes")
+    nodes = written(docs.groupBy("fp").agg(F.min_by(F.struct("row", "sim", "n", "bits", "prefix"), "row").alias("x")).select("fp", "x.*"), "simhash-nodes")
     slim = written(docs.select("doc_id", "row", "fp"), "simhash-rows")
     drop_written(docs)
     found = roots(similar_links(nodes, keyed, shingle, share)).withColumnRenamed("node", "fp")
     rooted = slim.join(found, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row")).distinct()
-    same = Window.partitionBy("_row").orderBy("_row")
-    return df.withColumn("_row", row).join(kept, "_row", "left_semi").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_row", "_n")
+    kept = written(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row")).distinct(), "simhash-kept")
+    for old in (nodes, slim):
+        drop_written(old)
+    # the whole row is one column here, so no name of the input can clash
+    own = Window.partitionBy("row").orderBy("row")
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("it"), row.alias("row"))
+    held = packed.join(F.broadcast(kept) if kept.count() <= BROADCAST_LONGS else kept, "row", "left_semi")
+    return held.withColumn("k", F.row_number().over(own)).filter("k = 1").select(*(F.col(f"it.`{c}`").alias(c) for c in df.columns))

@@ -3,7 +3,6 @@
 import random
 from itertools import combinations
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,11 +39,6 @@ def test_fingerprints_and_components(spark, texts):
     assert simhash.near_duplicates(df.limit(0), 3).count() == 0
 
 
-def test_column_counts():
-    rows = np.random.default_rng(1).integers(0, 2**63, (37, 32), dtype=np.uint64)
-    assert (simhash.column_counts(rows) == np.unpackbits(rows.view(np.uint8), bitorder="little", axis=1).reshape(37, -1).sum(0)).all()
-
-
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_one_of_each_component_stays(spark, crowded):
     """Groups whose members have a similarity of 0.9 or more to the first, and documents that share less than half."""
