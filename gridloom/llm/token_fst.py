@@ -10,8 +10,13 @@ Two transducers are compiled from a byte-level BPE tokenizer file:
   of the merge table, so a state and a byte fix the next state: the transducer is deterministic. It is made on demand.
 
 A text is cut into chunks of equal length. Each chunk's state map is a constant after its first boundary, so all chunks run
-in step (one numpy operation for the n-th byte of every chunk). A prefix scan hands each chunk the exit state of the chunks
-before it, and the bytes before its first boundary are run from there. Counts add up over the chunks of a text.
+in step (one numpy operation for the n-th byte of every chunk). A chunk without a boundary has a map from entry states to exit
+states; it is tabulated for the states that the chunks before it reach from the start state, and the maps of a run of such chunks are
+composed by a parallel prefix scan in a logarithmic number of steps. Where a run leaves the tabulated states, it is tabulated
+for more, at last chunk by chunk. Then every chunk knows its entry state, and the bytes before its first boundary are run from there. Counts add up.
+
+Chunks are worked on a segment at a time, and the state at a segment's end enters the next. Between segments the table of
+transitions may be emptied, so it stays small however long a text is.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows with the same id stay separate rows; other columns are
 ignored; texts may be of any length, as a chunk is the unit of work.
@@ -34,6 +39,10 @@ LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 4
 CHUNK = 192
 BATCH_BYTES = 3_000_000
 MAX_STATES = 400_000
+#: Bytes that are worked on at a time. The table has room for a transition at each.
+SEGMENT = 1 << 20
+#: So many entry states of each chunk are tabulated at once.
+MOST_GUESSES = 8
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -155,11 +164,15 @@ class CountTransducer:
     def reset(self) -> None:
         start = array("i", [0, -1, 0]).tobytes()
         self.states, self.index = [start], {start: 0}
-        self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.to = np.zeros(1 << self.BITS, np.int32)
-        self.gain = np.zeros(1 << self.BITS, np.int32)
+        self.bits = self.BITS
+        self.empty()
         self.held = 0
 
+    def empty(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int32)
+        self.gain = np.zeros(1 << self.bits, np.int32)
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the two tokens' bytes together are encoded as just these two tokens."""
         if a < 0:
@@ -221,30 +234,30 @@ class CountTransducer:
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def advance(self, states: np.ndarray, octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of all chunks: next states and gains."""
         keys = states.astype(np.int64) << 8 | octets
-        slot = self.place(keys)
-        mask = (1 << self.BITS) - 1
+        bits = 0
         while True:
+            if bits != self.bits:  # the table has grown
+                bits, mask, slot = self.bits, (1 << self.bits) - 1, self.place(keys)
             there = self.keys[slot]
             wrong = np.flatnonzero(there != keys)
             if not len(wrong):
                 return self.to[slot], self.gain[slot]
-            vacant = wrong[there[wrong] == -1]
-            if len(vacant):
-                for key in np.unique(keys[vacant]).tolist():
-                    self.add(key)
-                slot[vacant] = self.place(keys[vacant])  # probe again from the start: others may have been placed meanwhile
-            taken = wrong[there[wrong] != -1]
+            vacant, taken = wrong[there[wrong] == -1], wrong[there[wrong] != -1]
             slot[taken] = (slot[taken] + 1) & mask
+            for key in np.unique(keys[vacant]).tolist():
+                self.add(key)
+            if bits == self.bits:
+                slot[vacant] = self.place(keys[vacant])  # probe again from the start: others may have been placed meanwhile
 
     def add(self, key: int) -> None:
         if self.held * 2 > len(self.keys):
             self.grow()
-        mask = (1 << self.BITS) - 1
+        mask = (1 << self.bits) - 1
         s = int(self.place(np.array([key]))[0])
         while self.keys[s] != -1 and self.keys[s] != key:
             s = (s + 1) & mask
@@ -255,15 +268,98 @@ class CountTransducer:
         self.held += 1
 
     def grow(self) -> None:
-        raise MemoryError("the transition table is full; reset() must come first")
+        """A table of twice the size, with the same transitions."""
+        held = np.flatnonzero(self.keys >= 0)
+        keys, to, gain = self.keys[held], self.to[held], self.gain[held]
+        self.bits += 1
+        self.empty()
+        mask = (1 << self.bits) - 1
+        slot, left = self.place(keys), np.arange(len(keys))
+        while len(left):
+            vacant = left[self.keys[slot[left]] == -1]
+            self.keys[slot[vacant]] = keys[vacant]  # one of those that meet here wins
+            self.to[slot[vacant]], self.gain[slot[vacant]] = to[vacant], gain[vacant]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & mask
+        own = np.flatnonzero(self.keys[slot] == keys)
+        self.to[slot[own]], self.gain[slot[own]] = to[own], gain[own]
+
+    def known(self, key: bytes) -> int:
+        """The number of a state, which is made if it is not there."""
+        found = self.index.get(key)
+        if found is None:
+            found = self.index[key] = len(self.states)
+            self.states.append(key)
+        return found
+
+
+def composed(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each chunk the column that its entry state has, -1 if it has none. maps: from the columns of the chunk before to its own;
+    first: whose maps are constant. An inclusive scan that composes maps over spans of doubling length."""
+    out, fixed, span = maps.copy(), first.copy(), 1
+    while span < len(out):
+        left, right = out[:-span], out[span:]
+        both = np.where(left < 0, -1, np.take_along_axis(right, np.maximum(left, 0), 1))
+        done = np.where(fixed[span:, None], right, both)
+        fixed = np.concatenate([fixed[:span], fixed[span:] | fixed[:-span]])
+        out = np.concatenate([out[:span], done])
+        span *= 2
+    return out[:, 0]
+
+
+def entry_states(machine: CountTransducer, padded: np.ndarray, chunks: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The entry state of each of the chunks without a boundary. before: the exit state of the chunk before, -1 where that has no
+    boundary either."""
+    first = before >= 0
+    if first.all():
+        return before
+    content = np.unique(np.ascontiguousarray(padded[:, chunks].T).view(f"V{CHUNK}").ravel(), return_inverse=True)[1].astype(np.int64)
+
+    def through(entry: np.ndarray) -> np.ndarray:
+        _, one, back = np.unique(content << 32 | entry, return_index=True, return_inverse=True)
+        state = entry[one]
+        for k in range(CHUNK):
+            state, _ = machine.advance(state, padded[k, chunks[one]])
+        return state[back]
+
+    each = np.arange(len(chunks))
+    guess = np.where(first, before, 0).astype(np.int64)
+    entries, exits = [guess], [through(guess).astype(np.int64)]
+    while True:
+        c, x = np.stack(entries, 1), np.stack(exits, 1)
+        maps = np.zeros(c.shape, np.int64)
+        for k in range(c.shape[1]):
+            same = x[:-1, k : k + 1] == c[1:]
+            maps[1:, k] = np.where(same.any(axis=1), same.argmax(axis=1), -1)
+        maps[first] = 0
+        column = composed(maps, first)
+        if (column >= 0).all():
+            return c[each, column]
+        if len(entries) == MOST_GUESSES:
+            break
+        # what the chunks before reach from the start state, one chunk further back than the last time
+        guess = np.where(first, before, np.concatenate([[0], x[:-1, -1]]))
+        entries.append(guess)
+        exits.append(through(guess).astype(np.int64))
+    # a run that keeps leaving the tabulated states is walked; equal chunks with equal entry states are tabulated once
+    known = dict(zip(zip(np.repeat(content, len(entries)).tolist(), c.ravel().tolist(), strict=True), x.ravel().tolist(), strict=True))
+    out, last = before.copy(), 0
+    for i, own in enumerate(content.tolist()):
+        if not first[i]:
+            out[i] = last
+        key = own, int(out[i])
+        if key not in known:
+            state = out[i : i + 1]
+            for k in range(CHUNK):
+                state, _ = machine.advance(state, padded[k, chunks[i : i + 1]])
+            known[key] = int(state[0])
+        last = known[key]
+    return out
 
 
-def run_chunks(machine: CountTransducer, octets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The growth of the count at each byte. starts: where pre-tokens begin; byte 0 of each text is one of them."""
+def run_chunks(machine: CountTransducer, octets: np.ndarray, starts: np.ndarray, enter: int = 0) -> tuple[np.ndarray, int]:
+    """The growth of the count at each byte, and the last state. starts: where pre-tokens begin; enter: the state before byte 0."""
     n = len(octets)
-    gains = np.zeros(n, np.int32)
-    if not n:
-        return gains
     rows = -(-n // CHUNK)
     padded = np.zeros(rows * CHUNK, np.uint8)
     padded[:n] = octets
@@ -282,20 +378,33 @@ def run_chunks(machine: CountTransducer, octets: np.ndarray, starts: np.ndarray)
         if len(run):
             entry = np.where(flag[k, run], 0, state[run])
             state[run], out[k, run] = machine.advance(entry, padded[k, run])
-    # prefix scan: a chunk's entry state is the exit state of the last map before it; maps that aren't constant take a round each
-    known = constant.copy()
-    waiting = np.flatnonzero(head > 0)
-    while len(waiting):
-        ready = waiting[known[waiting - 1]]
-        entry = state[ready - 1].copy()
-        for k in range(int(head[ready].max())):
-            run = np.flatnonzero(head[ready] > k)
-            entry[run], out[k, ready[run]] = machine.advance(entry[run], padded[k, ready[run]])
-        through = ~constant[ready]
-        state[ready[through]] = entry[through]
-        known[ready] = True
-        waiting = np.setdiff1d(waiting, ready, assume_unique=True)
-    return out.T.reshape(-1)[:n]
+    before = np.concatenate([[enter], state[:-1]]).astype(np.int64)
+    without = np.flatnonzero(~constant)
+    if len(without):
+        known = np.concatenate([[True], constant[:-1]])
+        before[without] = entry_states(machine, padded, without, np.where(known[without], before[without], -1))
+    # chunks without a boundary first, as the others' entry states come from them
+    for some in (without, np.flatnonzero(constant & (head > 0))):
+        if some is not without:
+            before[1:] = np.where(constant[:-1], before[1:], state[:-1])
+        entry = before[some].astype(np.int32)
+        for k in range(int(head[some].max(initial=0))):
+            run = np.flatnonzero(head[some] > k)
+            entry[run], out[k, some[run]] = machine.advance(entry[run], padded[k, some[run]])
+        state[some] = np.where(constant[some], state[some], entry)
+    return out.T.reshape(-1)[:n], int(state[-1])
+
+
+def run_segments(machine: CountTransducer, octets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The growth of the count at each byte. starts: where pre-tokens begin; byte 0 of each text is one of them."""
+    gains, entry = np.zeros(len(octets), np.int32), machine.states[0]
+    for at in range(0, len(octets), SEGMENT):
+        if len(machine.states) > MAX_STATES or machine.held > (1 << machine.BITS) // 4:
+            machine.reset()
+        part = slice(at, at + SEGMENT)
+        gains[part], last = run_chunks(machine, octets[part], starts[part], machine.known(entry))
+        entry = machine.states[last]
+    return gains
 
 
 _machines: dict[int, CountTransducer] = {}
@@ -307,8 +416,6 @@ def count_texts(values: list[str], spec: dict, key: int = 0) -> tuple[np.ndarray
     if machine is None:
         _machines.clear()
         machine = _machines[key] = CountTransducer(spec["tokens"], spec["merges"])
-    elif len(machine.states) > MAX_STATES or machine.held > (1 << machine.BITS) // 3:
-        machine.reset()
     pieces, owner, special = [], [], np.zeros(len(values), np.int64)
     lengths = np.zeros(len(values), np.int64)
     for i, text in enumerate(values):
@@ -335,7 +442,7 @@ def count_texts(values: list[str], spec: dict, key: int = 0) -> tuple[np.ndarray
     octets = np.frombuffer("".join(pieces).encode("utf-8", "surrogatepass"), np.uint8)
     starts = np.zeros(len(octets), bool)
     starts[at[:-1][begins]] = True
-    gains = run_chunks(machine, octets, starts)
+    gains = run_segments(machine, octets, starts)
     total = np.concatenate([[0], np.cumsum(gains, dtype=np.int64)])
     ends = at[np.cumsum(chars)]
     froms = np.concatenate([[0], ends[:-1]])
