@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton over the magic bytes of all known formats finds every place where a format may begin, in one pass
 over a value. A validator of that format then walks its structure from there (chunk lengths, checksums, end markers) and gives
-the length, or refuses. The format that validates at offset 0 is the value's true type; those that validate further in, and
+the length, or refuses; what a walk has found of a value is kept for the next. The format that validates at offset 0 is the value's true type; those that validate further in, and
 outside what has been carved before, are embedded media.
 
 Defined results: null and empty values have no type (null) and nothing embedded; equal values give equal results; rows
@@ -12,8 +12,10 @@ with the same id stay separate rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ UNIT = 64
 RATE = 8000
 
 
-def png(b: bytes, at: int) -> int | None:
+def png(b: bytes, at: int, seen: dict) -> int | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, p)
@@ -40,7 +42,7 @@ def png(b: bytes, at: int) -> int | None:
     return None
 
 
-def gif(b: bytes, at: int) -> int | None:
+def gif(b: bytes, at: int, seen: dict) -> int | None:
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
             p += b[p] + 1
@@ -65,7 +67,7 @@ def gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(b: bytes, at: int) -> int | None:
+def jpeg(b: bytes, at: int, seen: dict) -> int | None:
     p, frame = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -87,7 +89,7 @@ def jpeg(b: bytes, at: int) -> int | None:
     return p + 2 - at if frame and b[p : p + 2] == b"\xff\xd9" else None
 
 
-def bmp(b: bytes, at: int) -> int | None:
+def bmp(b: bytes, at: int, seen: dict) -> int | None:
     if at + 30 > len(b):
         return None
     n, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -96,7 +98,7 @@ def bmp(b: bytes, at: int) -> int | None:
     return n if ok and zero == 0 and at + n <= len(b) else None
 
 
-def riff(b: bytes, at: int) -> int | None:
+def riff(b: bytes, at: int, seen: dict) -> int | None:
     if at + 12 > len(b):
         return None
     n = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -110,64 +112,97 @@ def riff(b: bytes, at: int) -> int | None:
     return n if chunks and p == at + n + (n & 1) * (p > at + n) else None
 
 
-def gzip(b: bytes, at: int) -> int | None:
+def gzip(b: bytes, at: int, seen: dict) -> int | None:
+    d, whole, p = zlib.decompressobj(31), memoryview(b), at
     try:
-        d = zlib.decompressobj(31)
-        data = b[at:]
-        while data:
-            d.decompress(data, 1 << 20)
-            data = d.unconsumed_tail
-            if d.eof:
-                return len(b) - at - len(d.unused_data)
+        while p < len(b) and not d.eof:
+            data = whole[p : p + 65_536]
+            p += len(data)
+            while len(data) and not d.eof:
+                d.decompress(data, 1 << 20)
+                data = d.unconsumed_tail
     except zlib.error:
-        pass
-    return None
+        return None
+    return p - at - len(d.unused_data) if d.eof else None
+
+
+def places(b: bytes, mark: bytes, seen: dict) -> list[int]:
+    """Where the mark begins, in order; looked for once a value."""
+    if mark not in seen:
+        seen[mark] = [m.start() for m in re.finditer(re.escape(mark), b)]
+    return seen[mark]
+
+
+def after(b: bytes, mark: bytes, at: int, seen: dict) -> int:
+    """The first place of the mark from ``at`` on, or -1."""
+    every = places(b, mark, seen)
+    k = bisect_left(every, at)
+    return every[k] if k < len(every) else -1
+
+
+def chain(b: bytes, p: int, step: Callable[[int], int | None], seen: dict, name: str) -> tuple[int, int]:
+    """The place that ``step`` leads to from ``p``, again and again until it gives None, and the number of steps. Every place on the way
+    is kept, so chains that run into each other are walked once."""
+    path = []
+    while (name, p) not in seen:
+        nxt = step(p)
+        if nxt is None:
+            seen[name, p] = (p, 0)
+            break
+        path.append(p)
+        p = nxt
+    end, n = seen[name, p]
+    for q in reversed(path):
+        n += 1
+        seen[name, q] = (end, n)
+    return end, n
+
+
+def zip_(b: bytes, at: int, seen: dict) -> int | None:
+    def entry(p: int) -> int | None:
+        if b[p : p + 4] != b"PK\x03\x04" or p + 30 > len(b):
+            return None
+        flags, size, name, extra = struct.unpack_from("<6xH10xI4xHH", b, p)
+        if flags & 8:  # the size is not told: the entry ends at the next header
+            nxt = [x for x in (after(b, mark, p + 30 + name + extra, seen) for mark in (b"PK\x03\x04", b"PK\x01\x02")) if x >= 0]
+            return min(nxt, default=None)
+        return p + 30 + name + extra + size
 
+    def listed(p: int) -> int | None:
+        if b[p : p + 4] != b"PK\x01\x02" or p + 46 > len(b):
+            return None
+        return p + 46 + sum(struct.unpack_from("<28xHHH", b, p))
 
-def zip_(b: bytes, at: int) -> int | None:
-    p, entries = at, 0
-    while b[p : p + 4] == b"PK\x03\x04" and p + 30 <= len(b):
-        flags, size, name, extra = struct.unpack_from("<6xH10xI4xHH", b, p)
-        if flags & 8:
-            p = b.find(b"PK", p + 30 + name + extra)
-            while p > 0 and b[p : p + 4] not in (b"PK\x03\x04", b"PK\x01\x02"):
-                p = b.find(b"PK", p + 2)
-            if p < 0:
-                return None
-        else:
-            p += 30 + name + extra + size
-        entries += 1
-    while b[p : p + 4] == b"PK\x01\x02" and p + 46 <= len(b):
-        name, extra, note = struct.unpack_from("<28xHHH", b, p)
-        p += 46 + name + extra + note
-        entries -= 1
-    if entries or b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
+    p, entries = chain(b, at, entry, seen, "entry")
+    p, rows = chain(b, p, listed, seen, "listed")
+    if entries != rows or b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
         return None
     end = p + 22 + struct.unpack_from("<20xH", b, p)[0]
     return end - at if end <= len(b) else None
 
 
-def pdf(b: bytes, at: int) -> int | None:
-    start, end = b.find(b"startxref", at), b.rfind(b"%%EOF", at)
-    nxt = b.find(b"%PDF-", at + 5)
-    if nxt > 0:
-        end = b.rfind(b"%%EOF", at, nxt)
-    return end + 5 - at if 0 < start < end else None
+def pdf(b: bytes, at: int, seen: dict) -> int | None:
+    start, nxt = after(b, b"startxref", at, seen), after(b, b"%PDF-", at + 5, seen)
+    ends = places(b, b"%%EOF", seen)
+    k = bisect_left(ends, nxt - 4 if nxt > 0 else len(b)) - 1
+    return ends[k] + 5 - at if k >= 0 and 0 < start < ends[k] else None
 
 
-def ogg(b: bytes, at: int) -> int | None:
-    p, last = at, False
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and not last:
-        n = b[p + 26]
-        body = sum(b[p + 27 : p + 27 + n])
-        if b[p + 4] or p + 27 + n + body > len(b):
+def ogg(b: bytes, at: int, seen: dict) -> int | None:
+    def page(p: int) -> int | None:
+        if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4] or b[p + 5] & 4:
             return None
-        last = bool(b[p + 5] & 4)
-        p += 27 + n + body
-    return p - at if last else None
+        n = 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+        return p + n if p + n <= len(b) else None
+
+    p, _ = chain(b, at, page, seen, "page")
+    if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4] or not b[p + 5] & 4:
+        return None
+    end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+    return end - at if end <= len(b) else None
 
 
-def midi(b: bytes, at: int) -> int | None:
+def midi(b: bytes, at: int, seen: dict) -> int | None:
     if b[at + 4 : at + 8] != b"\0\0\0\6" or at + 14 > len(b):
         return None
     p = at + 14
@@ -179,7 +214,7 @@ def midi(b: bytes, at: int) -> int | None:
 
 
 #: Magic bytes, what stands for the type (or the rule that gives it), the validator.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[bytes, int, dict], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", png),
     (b"GIF87a", "image/gif", gif),
     (b"GIF89a", "image/gif", gif),
@@ -208,13 +243,13 @@ def automaton():
 def carve(b: bytes, machine) -> list[tuple[str, int, int]]:
     """``(type, offset, length)`` of every valid piece of media, in order of offset; pieces inside others are left out but for
     those inside a piece that spans the whole value."""
-    out, free = [], 0
+    out, free, seen = [], 0, {}
     hits = sorted((end + 1 - len(FORMATS[k][0]), k) for end, k in machine.iter(b.decode("latin-1")))
     for at, k in hits:
         if at < free:
             continue
         _, kind, length_of = FORMATS[k]
-        length = length_of(b, at)
+        length = length_of(b, at, seen)
         if length:
             if kind == "riff":
                 kind = RIFF_TYPES[b[at + 8 : at + 12]]
