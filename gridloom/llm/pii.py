@@ -40,13 +40,15 @@ FAMILY = ["Smith", "Jones", "Brown", "Miller", "Davis", "Wilson", "Moore", "Tayl
 TITLES = {"Mr": "m", "Herr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Mlle": "f", "Sr": "m", "Sra": "f", "Señor": "m", "Señora": "f", "Dr": "", "Prof": ""}
 SYLLABLES = ["ba", "den", "fel", "gor", "hal", "ki", "lan", "mar", "nor", "pel", "ros", "sten", "tor", "vik", "wen", "zan"]
 
-EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+LOCAL = re.compile(r"[\w.+-]")
+DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 NUMBERS = re.compile(r"(?:\+|\()?\d(?:[\d().\-]| (?=[\d(]))*\d")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 RANDOM = re.compile(r"\b[0-9A-Za-z_\-]{32,}\b")
-ASSIGNED = re.compile(r"(\w+)[\"']?\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']")
+ASSIGNED = re.compile(r"\b(\w+)[\"']?\s*[=:]\s*[\"']([^\"'\s]{8,})[\"']")
 SECRET_NAMES = re.compile(r"(?i)token|secret|passw|pwd|api_?key|credential|private_?key")
 TITLED = re.compile(r"\b(Mrs?|Ms|Miss|Herr|Frau|Mme|Mlle|Sra?|Señora?|Dr|Prof)\.? ([^\W\d_a-zß-ÿ][^\W\d_]+(?: [^\W\d_a-zß-ÿ][^\W\d_]+)?)")
+CUED = re.compile(r"(?:\b[Mm]y name is|\bI am called|\b[Ii]ch heiße|\b[Mm]ein Name ist|\b[Jj]e m'appelle|\b[Mm]e llamo|\b[Ss]igned by) ([^\W\d_a-zß-ÿ][^\W\d_]+(?: [^\W\d_a-zß-ÿ][^\W\d_]+)?)")
 NAMED = re.compile(r"\b([A-Z][a-z]+) ([A-Z][a-z]+)\b")
 SHAPES = (
     ("ip", re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")),
@@ -57,11 +59,25 @@ SHAPES = (
 _gender = {name: g for g, names in GIVEN.items() for name in names}
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The places of addresses. The search starts from each ``@``, so a long run of letters is not gone through again and again."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and LOCAL.match(text, start - 1):
+            start -= 1
+        found = DOMAIN.match(text, at) if start < at else None
+        if found:
+            yield start, found.end()
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
+
+
 def finds(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, normalised value)`` of each entity, in order, without overlaps."""
     out: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        out += [(a, b, "email", text[a:b].lower()) for a, b in emails(text)]
     for m in NUMBERS.finditer(text):
         if m.end() - m.start() < 7:
             continue
@@ -85,6 +101,7 @@ def finds(text: str) -> list[tuple[int, int, str, str]]:
         out += [(m.start(2), m.end(2), "secret", m[2]) for m in ASSIGNED.finditer(text) if SECRET_NAMES.search(m[1])]
     for m in TITLED.finditer(text):
         out.append((m.start(2), m.end(2), "name", f"{TITLES[m[1]] or _gender.get(m[2].split(' ')[0], '')}:{m[2]}"))
+    out += [(m.start(1), m.end(1), "name", f"{_gender.get(m[1].split(' ')[0], '')}:{m[1]}") for m in CUED.finditer(text)]
     out += [(m.start(), m.end(), "name", f"{_gender[m[1]]}:{m[0]}") for m in NAMED.finditer(text) if m[1] in _gender]
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, free = [], 0
