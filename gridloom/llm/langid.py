@@ -92,9 +92,9 @@ def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_rows: int = TRAINING_ROWS) -> dict[str, np.ndarray]:
-    """Prototypes by language, from the rows of ``df`` with a language, ``most_rows`` at most."""
+    """Prototypes by language, from the distinct rows of ``df`` with a language, ``most_rows`` at most."""
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang")).filter("lang is not null and text is not null")
-    order = F.xxhash64("doc_id", "lang")
+    order = F.xxhash64("doc_id", "lang", "text")
     edge = rows.select(order.alias("h")).orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
     if edge is None:
         return {}
@@ -109,7 +109,7 @@ def learn(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "v"])
 
     out: dict[str, np.ndarray] = {}
-    for lang, v in sorted(tuple(r) for r in rows.filter(order <= edge).select("text", "lang").mapInArrow(trimmed(run), "lang string, v binary").collect()):
+    for lang, v in sorted(tuple(r) for r in rows.filter(order <= edge).dropDuplicates(["doc_id", "lang", "text"]).select("text", "lang").mapInArrow(trimmed(run), "lang string, v binary").collect()):
         out[lang] = out.get(lang, 0) + np.frombuffer(bytes(v))
     return {lang: unit(v).astype(np.float32) for lang, v in out.items()}
 

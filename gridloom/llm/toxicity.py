@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, trimmed
+from gridloom.llm.common import sliced, texts, trimmed, written
 
 #: At most so many labelled rows train the classifier: those with the smallest hash of their id.
 TRAINING_ROWS = 8_000
@@ -92,17 +92,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + total))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
-    """Minimise log-loss + ridge + COUNTERFACTUAL * mean squared difference of the logits of a text and its counterfactual."""
+def fit(x: np.ndarray, y: np.ndarray, pairs: int, apart: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
+    """Minimise log-loss + ridge + COUNTERFACTUAL * mean squared difference of the logits of a text and its counterfactual.
+
+    apart: of the features in which a pair differs the pair, the feature, and 1 or -1."""
     n, d = x.shape
     w, b = np.zeros(d), math.log(y.mean() / (1 - y.mean()))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    apart = (pairs[0] - pairs[1]).astype(np.float64)
+    pair, feature, sign = apart
     for k in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-(x @ w.astype(np.float32) + b)))
         g = x.T @ (p - y).astype(np.float32) / n + RIDGE * w
-        if len(apart):
-            g = g + 2 * COUNTERFACTUAL * apart.T @ (apart @ w) / len(apart)
+        if pairs:
+            gap = np.bincount(pair, sign * w[feature], minlength=pairs)
+            g = g + 2 * COUNTERFACTUAL * np.bincount(feature, sign * gap[pair], minlength=d) / pairs
         g = np.append(g, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8) * min(1.0, 2 - 2 * k / STEPS)
@@ -114,7 +117,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The classifier for ``labels``, from ``most_rows`` labelled rows at most."""
     marks = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     chosen = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most_rows))
-    rows = texts(docs, id_col, text_col).join(chosen, "doc_id").select("text", "label")
+    # an id may occur in many rows
+    every = texts(docs, id_col, text_col).join(chosen, "doc_id").select("text", "label", F.xxhash64("doc_id", "text", "label").alias("order")).dropDuplicates(["order"])
+    edge = every.select("order").orderBy("order").limit(most_rows).agg(F.max("order")).first()[0]
+    rows = written(every.filter(F.col("order") <= F.lit(edge)).select("text", "label"), "toxicity-rows")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, toxic = sum(counts.values()), counts.get(1, 0)
     if not 0 < toxic < n:
@@ -147,19 +153,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = np.zeros((len(data), len(index)), np.float32), np.array([r[1] for r in data], float)
     for i, r in enumerate(data):
         x[i, list(r[0])] = 1
-    pairs = [(r[0], o) for r in data for o in r[2]]
-    own, other = np.zeros((2, len(pairs), len(index)), np.float32)
-    for i, (a, o) in enumerate(pairs):
-        own[i, list(a)] = 1
-        other[i, list(o)] = 1
-    w, b = fit(x, y, (own, other))
+    pairs = [(set(r[0]), set(o)) for r in data for o in r[2]]
+    apart = [(i, f, 1.0 if f in a else -1.0) for i, (a, o) in enumerate(pairs) for f in sorted(a ^ o)]
+    pair, feature, sign = (np.array([t[k] for t in apart], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    w, b = fit(x, y, len(pairs), (pair, feature, sign))
     return Model({f: float(v) for f, v in zip(vocabulary, w, strict=True) if v}, b)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``df`` with each row's score, over its whole text."""
-    source = df.withColumn(out_col, F.lit(0.0))
-    schema, names = source.schema, df.columns
+    """``df`` with each row's score, over its whole text. A column of ``df`` that has the score's name gives way to it."""
+    names = [c for c in df.columns if c.lower() != out_col.lower()]
+    df = df.select(*(F.col(f"`{c}`") for c in names))
+    schema = df.withColumn(out_col, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
