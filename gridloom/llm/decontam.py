@@ -8,7 +8,8 @@ Two fixed masks look at 5 of 7 places. Wherever two substitutions are in a windo
 without touching either, so no leak is missed. The hashes under both masks at every place of the documents are joined with those
 of the items. Around each hit the places that agree are marked, and every window that holds the hit is verified.
 
-The items' hashes are broadcast while they are at most ``BROADCAST_ROWS``; beyond that the join shuffles them.
+The items' hashes and the words around them are broadcast while they are at most ``BROADCAST_LONGS`` numbers; beyond that the join
+shuffles them.
 
 Defined results: null and empty texts and items leak nothing; equal windows in several items give a row for each item; rows with
 the same document id are taken together; other columns are ignored.
@@ -26,7 +27,8 @@ MASKS = [(0, 1, 2, 5, 6), (0, 1, 3, 5, 6)]
 SPAN = 7
 #: Places before and after the start of a hit that its windows can hold.
 BEFORE, AROUND = WINDOW - SPAN, 2 * WINDOW - SPAN
-BROADCAST_ROWS = 1_000_000
+#: 32 MB.
+BROADCAST_LONGS = 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -62,7 +64,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     whole = positions(named.filter(size.between(LEAST_WORDS, WINDOW - 1)), "item_id", "text", "item_id", LEAST_WORDS).filter("at = 0")
     whole_keys = whole.select("item_id", F.col("at").alias("item_at"), F.col("words").alias("own"), F.element_at(keys(F.col("words"), F.col("at"), True), -1).alias("key"), F.lit(True).alias("whole"))
     keyed = long_keys.union(whole_keys) if short else long_keys
-    few = keyed.count() <= BROADCAST_ROWS
+    few = (keyed.agg(F.sum(F.size("own") + 4)).first()[0] or 0) <= BROADCAST_LONGS
     every = positions(docs, id_col, text_col, "doc_id", LEAST_WORDS if short else SPAN)
     there = around(F.col("words"), F.col("at"))
     if few:

@@ -14,8 +14,8 @@ matches any line before it, in the order of ids and then of places in the text;
    ``b - ceil(0.8 b) + 1`` of the larger (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
    the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words by 6 or 7 bits of their hash,
    bounds the overlap from above. What is left is verified on the whole sets. This join takes the classes that were not set aside.
-5. Classes that still have no match meet those that were set aside, in the same way, and so do set-aside classes whose pair failed with
-   all others. So every pair is considered, but for those whose later line has a match already: one earlier match decides.
+5. Classes that still have no match meet those that were set aside, in the same way, first a few of a key and then all, and so do
+   set-aside classes whose pair failed with all others. So every pair is considered, but for those whose later line has a match already: one earlier match decides.
 6. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
    p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
 
@@ -48,6 +48,8 @@ EASY, SALT_BYTES = 16, 64 << 30
 WIDE_SET = 70
 #: So many longs (16 MB) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Lines a text may have; of ids beyond 34 bits.
+LINES, FAR_LINES = 1 << 28, 1 << 31
 NUM, DEN = 4, 5  # the similarity, 0.8
 
 
@@ -57,11 +59,11 @@ def order_base(df: DataFrame, id_col: str) -> Column:
     ident = df[id_col]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         ident = F.xxhash64(ident)
-        return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
+        return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(FAR_LINES).cast("decimal(11,0)")
     low, high = df.agg(F.min(ident), F.max(ident)).first()
     if low is None or -(2**34) < low and high < 2**34:
-        return F.coalesce(ident.cast("bigint"), F.lit(-(2**34))) * F.lit(1 << 28)
-    return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)")
+        return F.coalesce(ident.cast("bigint"), F.lit(-(2**34))) * F.lit(LINES)
+    return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(FAR_LINES).cast("decimal(11,0)")
 
 
 def rarity_table(lines: DataFrame, size: int) -> tuple[list[int], int]:
@@ -102,13 +104,20 @@ def few(df: DataFrame, longs: int = 1) -> DataFrame:
     return F.broadcast(df) if df.count() * longs <= BROADCAST_ROWS else df
 
 
-def matched(pairs: DataFrame, lines: DataFrame, table: list[int]) -> DataFrame:
+def lines_at(df: DataFrame, base: Column, text_col: str, places: DataFrame) -> DataFrame:
+    """``place, line`` at the places wanted, a written table. Texts without one are not taken apart."""
+    unit = LINES if places.schema["place"].dataType.simpleString() == "bigint" else FAR_LINES
+    bases = written(places.select((F.col("place") - F.pmod("place", F.lit(unit))).alias("base")).distinct(), "lines-bases")
+    held = df.withColumn("base", base).join(few(bases), "base", "left_semi")
+    return lines_of(held, F.col("base"), text_col).join(few(places), "place", "left_semi")
+
+
+def matched(pairs: DataFrame, lines: Callable[[DataFrame], DataFrame], table: list[int]) -> DataFrame:
     """``hash``: the lines at the places ``b`` that match the line at ``a`` in one of the candidate pairs. The lines are looked up by
     place; each ``b`` is verified with its earliest candidate first, and with the others only where that fails."""
     pairs = written(pairs, "line-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
-    held = lines.join(few(wanted), "place", "left_semi")
-    sets = written(held.select("place", F.xxhash64("line").alias("hash"), word_sets(hashes(F.col("line")), table).alias("s")), "line-sets")
+    sets = written(lines(wanted).select("place", F.xxhash64("line").alias("hash"), word_sets(hashes(F.col("line")), table).alias("s")), "line-sets")
 
     def matching(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), "hash", F.col("s").alias("sb")), "b")
@@ -202,9 +211,11 @@ def that_may_meet(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``hash, c, kept``: the first place of each line with a word, and whether it stays there. It goes everywhere else."""
-    base = order_base(df, id_col)
-    lines = lines_of(df, base, text_col)
-    size = df.agg(F.sum(F.octet_length(df[text_col]))).first()[0] or 0
+    plain = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    base = order_base(plain, "id")
+    lines = lines_of(plain, base, "text")
+    wanted = lambda places: lines_at(plain, base, "text", places)
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table, common = rarity_table(lines, size)
     n = F.size("s")
     own = lines.select("place", F.xxhash64("line").alias("hash"), F.sort_array(hashes(F.col("line"))).alias("h")).select("place", "hash", "h", word_sets(F.col("h"), table).alias("s"))
@@ -223,17 +234,21 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
     rows = keyed(stay, common)
-    found = matched(candidates_among(rows).union(easy.select("a", "b")), lines, table)
+    found = matched(candidates_among(rows).union(easy.select("a", "b")), wanted, table)
     if not easy.isEmpty():
         outside = classes.join(aside, "hash", "left_semi")
         alone = stay.join(few(found), "hash", "left_anti")
         failed = written(outside.join(few(found), "hash", "left_anti"), "line-failed")
         theirs = written(keyed(outside, common), "line-keys")
-        pairs = candidates(that_may_meet(keyed(alone, common), theirs).unionByName(keyed(failed, common)), theirs)
         # of sets set aside in vain there are few
         vain = written(keyed(failed, common), "line-vain")
-        pairs = pairs.union(candidates(vain, that_may_meet(rows, vain)))
-        found = written(found.union(matched(pairs, lines, table)).distinct(), "lines-matched")
+        shared = written(that_may_meet(keyed(alone, common), theirs).unionByName(vain), "line-alone")
+        ranked = theirs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("c", "hash")))
+        # a few of a group first: what they match needs no others
+        first = candidates(shared, ranked.filter(F.col("rank") <= EASY).drop("rank"))
+        found = written(found.union(matched(first.union(candidates(vain, that_may_meet(rows, vain))), wanted, table)).distinct(), "lines-matched")
+        rest = shared.join(few(found), "hash", "left_anti")
+        found = written(found.union(matched(candidates(rest, theirs), wanted, table)).distinct(), "lines-matched")
     return classes.select("hash", "c").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"))
 
 

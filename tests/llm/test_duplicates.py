@@ -3,10 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, decontam, line_dedup, repeats, simhash
+from gridloom.llm import components, decontam, line_dedup, repeats, shard_bwt, simhash
 from tests.llm import brute
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -113,14 +114,20 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("common,crowd", [(4096, 64), (3, 64), (0, 1)])
-def test_line_dedup(spark, texts, common, crowd):
+@pytest.mark.parametrize("common,easy", [(4096, 16), (3, 0), (0, 1)])
+def test_line_dedup(spark, texts, common, easy):
     rng = random.Random(4)
     rows = {i: t for i, t in enumerate(texts)} | {1000: "same line\nsame line\n\nother words here too\n\nother words here too !", 1001: "the\nthe \n the\nthe the\nthe cat", 1002: "\n".join(" ".join(rng.choices(WORDS[:12], k=6)) for _ in range(60)), 1003: "\n".join(" ".join(rng.sample(WORDS[:110], k=rng.randint(60, 100))) for _ in range(40))}
+    base = rng.sample(WORDS, 30)  # a group of near copies: some match the first, some one another, some none
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(30), rng.randint(0, 5)):
+            own[k] = rng.choice(WORDS)
+        rows[2000 + i] = " ".join(own)
     df = spark.createDataFrame([(i, t, i) for i, t in rows.items()], "doc_id long, text string, hash long")
-    line_dedup.COMMON, line_dedup.CROWD = common, crowd
+    line_dedup.COMMON, line_dedup.EASY = common, easy
     got = {r.doc_id: (r.deduped, r.n_lines, r.n_removed) for r in line_dedup.dedup(df).collect()}
-    line_dedup.COMMON, line_dedup.CROWD = 4096, 64
+    line_dedup.COMMON, line_dedup.EASY = 4096, 16
     assert got == brute.line_dedup(rows)
 
 
@@ -153,13 +160,13 @@ def test_leaks(spark, most):
             w = w + [v[0].upper() + ",", *v[1:]] + w[:5]
         docs[d] = " ".join(w)
     docs |= {100: None, 101: "", 102: items[7] + " " + items[7]}
-    decontam.BROADCAST_ROWS = most
+    decontam.BROADCAST_LONGS = most
     a = spark.createDataFrame([(k, v, 1) for k, v in docs.items()], "doc_id long, text string, item_id int")
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.first_word, r.last_word, r.agreeing) for r in decontam.leaks(a, b).collect()}
     assert got == brute.leaks(docs, items) and got
     kept = {r.doc_id for r in decontam.without_leaks(a, b).collect()}
-    decontam.BROADCAST_ROWS = 10**6
+    decontam.BROADCAST_LONGS = 4_000_000
     assert kept == set(docs) - {d for d, _ in got}
     assert decontam.leaks(a.limit(0), b).count() == decontam.leaks(a, b.limit(0)).count() == 0
 
@@ -178,3 +185,58 @@ def test_repeats(spark, length, span):
     assert repeats.repeated(df.limit(0), length=length, span=span).count() == 0
     twice = df.filter("doc_id = 1").union(df.filter("doc_id = 1"))
     assert all(bytes(r.kept) == b"" for r in repeats.repeated(twice, length=length, span=span).collect())
+
+
+CLASHING = ["_n", "_row", "_h", "_base", "n_lines", "n_removed", "deduped", "_score", "score", "_text", "_gone", "row", "it", "k", "h", "base", "gone", "s", "word", "place", "hash", "key", "fp", "found", "_leaking"]
+
+
+def test_no_name_of_the_input_clashes(spark, texts):
+    import public_tokenizers
+
+    from gridloom.llm import bpe, langid, media, pii, token_fst, toxicity
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*", *(F.lit(f"{c}!").alias(c) for c in CLASHING))
+    plain = docs.select("doc_id", "text")
+    items = spark.createDataFrame([(1, texts[3])], "item_id long, text string").withColumn("key", F.lit(1))
+    labels = plain.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    d = line_dedup.dedup(docs)
+    assert same(line_dedup.dedup(plain), d) and {*d.columns} == {*docs.columns} and d.filter("row <> 'row!' or k <> 'k!'").isEmpty()
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns and same(simhash.one_of_each(plain), one) and one.filter("row <> 'row!' or it <> 'it!' or _n <> '_n!'").isEmpty()
+    kept = decontam.without_leaks(docs, items)
+    assert kept.columns == docs.columns and same(decontam.without_leaks(plain, items), kept)
+    model = toxicity.learn(docs, labels)
+    scored = toxicity.score(docs, model)
+    assert sorted(scored.columns) == sorted(docs.columns) and same(toxicity.score(plain, model), scored)
+    for run in (
+        lambda x: simhash.near_duplicates(x),
+        lambda x: repeats.repeated(x, length=40, span=8).select("doc_id", "spans"),
+        lambda x: token_fst.token_counts(x, public_tokenizers.path("byte_bpe_50k.json")),
+        lambda x: bpe.encode(x, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
+        lambda x: pii.pseudonymise(x, b"key"),
+        lambda x: media.store_texts(x),
+        lambda x: langid.predict(x, {}),
+        lambda x: decontam.leaks(x, items),
+    ):
+        assert same(run(plain), run(docs))
+
+
+@pytest.mark.parametrize("length", [1, 3, 40])
+def test_merged_transforms(length):
+    rng = random.Random(9)
+    some = ["".join(rng.choices("ab", k=rng.randint(0, 90))) for _ in range(20)] + ["", "a" * 200, "abcabc" * 30]
+    some += [some[3] + "x" + some[22], some[21]]
+    raw = [t.encode() for t in some]
+    want = [i for i, _ in brute.repeats(some, length)]
+    for cuts in (1, 2, 5):
+        shards = [raw[k::cuts] for k in range(cuts)]
+        found, rounds, _ = shard_bwt.merged(shards, length)
+        assert rounds < length or length == 1
+        for k in range(cuts):
+            for text, starts, spans in zip(shards[k], found[k], want[k::cuts], strict=True):
+                gone = np.zeros(len(text), bool)
+                for i in starts:
+                    gone[i : i + length] = True
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).reshape(-1, 2).tolist()
+                assert edges == spans
