@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding with one encoding of each distinct word.
 
 1. Each task splits its documents by the vocabulary's pattern into words with their positions, a block of documents at a time. Words
-   repeat, so a block's words are exploded to one row for each distinct word of it, with its place in the block's list; a document is
-   a sequence of such places in order of position (packed).
-2. The words of all blocks are shuffled, and each distinct word of the corpus is encoded once.
-3. Its ids are joined back to the blocks that have it. A word has a row a block, however often it occurs; the join can split what very
-   many blocks have.
+   repeat, so a block keeps its own list of distinct words: a document is a sequence of places in that list (packed, in order of
+   position).
+2. The lists of all blocks are shuffled by the hash of the word: all occurrences of a word in lists meet in one bucket, and there each
+   distinct word of the corpus is encoded once. There are so many buckets that each holds about ``BUCKET_BYTES`` of text's words,
+   however large the corpus. A word reaches its bucket once a block, however often it occurs, so frequent words are no hot keys.
+3. The ids are joined back to the blocks: a block's part of a bucket keeps its places in the block's list, and goes back with them.
 4. Blocks are reassembled: each position looks up the ids of its word.
 
+Words travel packed by block and bucket, not a row each: one row for each distinct word of a block takes more disk than the texts.
+
 Decoding joins each id with the token-byte table, a broadcast index join: the table has a row for each id of the vocabulary and no more.
 
 Defined results: null and empty texts give no ids and no bytes; rows with the same id stay separate rows; other columns are
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_written, sliced, texts, trimmed, written
+from gridloom.llm.common import sliced, texts, trimmed, written
 
 BLOCK_BYTES = 10_000_000
+BUCKET_BYTES = 8_000_000
 
 
 @lru_cache(maxsize=4)
@@ -68,18 +73,32 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def blocks_of(documents: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: ``block, doc_ids, counts, packed`` of a block's documents, with how many words each has and their places in the
-    block's list; and ``block, word, place`` of each distinct word of the block. The list is by falling frequency, so most places
-    take one byte."""
-    kind = documents.schema["doc_id"].dataType
-    names = ["block", "doc_ids", "counts", "packed", "word", "place"]
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only scans, projects and filters, so that each run has the same partitions; else a written copy."""
+    todo = [df._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        if not node.nodeName().startswith(("Project", "Filter", "Scan", "LocalTableScan", "Range")):
+            return written(df, "bpe-documents")
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return df
+
+
+def blocks_of(documents: DataFrame, pattern: str, buckets: int, block_bytes: int, words_wanted: bool) -> DataFrame:
+    """Either the words of each block by bucket, or each block's documents with their positions.
+
+    A block's words are numbered by falling frequency, so that most positions take one byte. Both forms number them alike: splitting
+    the texts a second time costs less than keeping the positions on disk until the words are encoded."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = "block long, bucket int, packed binary, places binary" if words_wanted else f"block long, doc_ids array<{kind}>, counts binary, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
 
         split = regex.compile(pattern).findall
+        names = ["block", "bucket", "packed", "places"] if words_wanted else ["block", "doc_ids", "counts", "packed"]
         block = TaskContext.get().partitionId() << 24
         words: dict[str, int] = {}
         found: list[np.ndarray] = []
@@ -88,19 +107,30 @@ def blocks_of(documents: DataFrame, pattern: str, block_bytes: int) -> DataFrame
 
         def closed() -> Iterator[pa.RecordBatch]:
             doc_ids = pa.concat_arrays(ids)
+            counts = np.array([len(x) for x in found], "<u4")
             seen = np.concatenate(found)
             order = np.argsort(-np.bincount(seen, minlength=len(words)), kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
-            counts = pack(np.array([len(x) for x in found], "<u4"))
-            empty = lambda t, n: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), whole, pa.array([counts], pa.binary()), pa.array([pack(rank[seen])], pa.binary()), empty(pa.binary(), 1), empty(pa.int32(), 1)], names)
-            listed = [w.encode() for w in words]
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), empty(whole.type, n), empty(pa.binary(), n), empty(pa.binary(), n), pa.array(part, pa.binary()), pa.array(rank[at : at + n].astype(np.int32))], names)
+            if not words_wanted:
+                whole = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), whole, pa.array([pack(counts)], pa.binary()), pa.array([pack(rank[seen])], pa.binary())], names=names)
+                return
+            listed = list(words)
+            spelled = [listed[i].encode() for i in order.tolist()]
+            home = np.fromiter((crc32(w) for w in spelled), np.uint32, len(spelled)) % buckets
+            by_home = np.argsort(home, kind="stable")
+            groups = [g for g in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1) if len(g)]
+            packed, places = [], []
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            for g in groups:
+                own = [spelled[i] for i in g.tolist()]
+                sizes = np.array([len(w) for w in own], "<u4")
+                packed.append(squeeze(len(own).to_bytes(4, "little") + sizes.tobytes() + b"".join(own)))
+                places.append(pack(np.diff(g, prepend=0)))
+            n = len(groups)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([int(home[g[0]]) for g in groups], pa.int32()), pa.array(packed, pa.binary()), pa.array(places, pa.binary())], names=names)
 
         for part in sliced(batches, "text", block_bytes // 8):
             for text in part.column("text").to_pylist():
@@ -116,52 +146,67 @@ def blocks_of(documents: DataFrame, pattern: str, block_bytes: int) -> DataFrame
             yield from closed()
             words, found, ids = {}, [], []
 
-    return documents.mapInArrow(trimmed(run), f"block long, doc_ids array<{kind.simpleString()}>, counts binary, packed binary, word binary, place int")
-
-
-def encoded_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``word, ids`` of each distinct word: its bytes, and its ids as little-endian unsigned 32-bit integers."""
-    ranks = words.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a word is a match of the pattern already and is not split again
-        whole = encoder(pattern, ranks.value)._encode_single_piece
-        for part in sliced(batches, "word", 1_000_000):
-            ids = [np.array(whole(w), "<u4").tobytes() for w in part.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(trimmed(run), "word binary, ids binary")
+    return documents.mapInArrow(trimmed(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids`` of each row; ids as little-endian unsigned 32-bit integers in one binary value."""
-    documents = texts(df, id_col, text_col)
+    spark = df.sparkSession
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    documents = stable(texts(df, id_col, text_col))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    blocks = written(blocks_of(documents, pattern, block_bytes), "bpe-blocks")
-    words = blocks.filter("word is not null").select("block", "word", "place")
-    once = written(encoded_words(words, ranks_path, pattern), "bpe-words")
-    coded = written(words.join(once, "word").select("block", "place", "ids"), "bpe-coded")
-    drop_written(once)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    words = blocks_of(documents, pattern, buckets, block_bytes, words_wanted=True)
+
+    def encode_words(lists: pa.Table) -> pa.Table:
+        # a word is a match of the pattern already and is not split again
+        whole = encoder(pattern, ranks.value)._encode_single_piece
+        known: dict[bytes, bytes] = {}
+        open_, out = zstandard.ZstdDecompressor(), []
+        for data in lists.column("packed"):
+            raw = open_.decompress(data.as_py())
+            count = int.from_bytes(raw[:4], "little")
+            ends = np.cumsum(np.frombuffer(raw, "<u4", count, 4), dtype=np.int64) + 4 + 4 * count
+            ids, sizes, start = [], [], 4 + 4 * count
+            for end in ends.tolist():
+                word = raw[start:end]
+                start = end
+                own = known.get(word)
+                if own is None:
+                    own = known[word] = np.array(whole(word), "<u4").tobytes()
+                ids.append(own)
+                sizes.append(len(own) >> 2)
+            out.append(pack(np.concatenate([np.array([count, *sizes], "<u4"), np.frombuffer(b"".join(ids), "<u4")])))
+        return pa.table({"block": lists.column("block"), "places": lists.column("places"), "coded": pa.array(out, pa.binary())})
+
+    coded = words.groupBy("bucket").applyInArrow(encode_words, "block long, places binary, coded binary")
 
     def reassemble(own: pa.Table, lists: pa.Table) -> pa.Table:
-        ids_of = lists.column("ids").to_pylist()
-        at = lists.column("place").to_numpy()
-        flat = np.frombuffer(b"".join(ids_of), "<u4")
-        n_of = np.array([len(x) >> 2 for x in ids_of], np.int64)
-        starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        starts[at], sizes[at] = np.cumsum(n_of) - n_of, n_of
+        flat, sizes_of, at_of, base = [], [], [], 0
+        for places, data in zip(lists.column("places").to_pylist(), lists.column("coded").to_pylist(), strict=True):
+            values = unpack(data)
+            count = int(values[0])
+            sizes = values[1 : 1 + count].astype(np.int64)
+            flat.append(values[1 + count :])
+            at_of.append(np.cumsum(unpack(places), dtype=np.int64))
+            sizes_of.append(np.stack([base + np.cumsum(sizes) - sizes, sizes]))
+            base += int(sizes.sum())
+        table = np.zeros((2, sum(map(len, at_of))), np.int64)
+        if at_of:
+            table[:, np.concatenate(at_of)] = np.concatenate(sizes_of, axis=1)
+        ids = np.concatenate([*flat, np.zeros(0, "<u4")])
         doc_ids, out, n_ids = own.column("doc_ids").combine_chunks().flatten(), [], []
         for counts, data in zip(own.column("counts").to_pylist(), own.column("packed").to_pylist(), strict=True):
-            every, held = unpack(data), 0
+            every, at = unpack(data), 0
             for n_words in unpack(counts).tolist():
-                places = every[held : held + n_words]
-                held += n_words
-                ids = gathered(flat, starts[places], sizes[places])
-                n_ids.append(len(ids))
-                out.append(ids.tobytes())
+                own_ids = gathered(ids, *table[:, every[at : at + n_words]])
+                at += n_words
+                n_ids.append(len(own_ids))
+                out.append(own_ids.tobytes())
         return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    positions = blocks.filter("word is null").select("block", "doc_ids", "counts", "packed")
+    positions = blocks_of(documents, pattern, buckets, block_bytes, words_wanted=False)
     return positions.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 

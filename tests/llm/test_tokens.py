@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -87,12 +88,24 @@ def test_bpe_equals_the_library_and_returns(odd):
     assert bpe.encode(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_each_word_is_encoded_once(odd):
-    blocks = bpe.blocks_of(odd.select("doc_id", "text").na.fill("", ["text"]), public_tokenizers.PATTERN, 1)
-    words = blocks.filter("word is not null")
-    once = bpe.encoded_words(words, RANKS, public_tokenizers.PATTERN)
-    assert words.count() > once.count() == words.select("word").distinct().count()
-    assert blocks.filter("word is null").selectExpr("sum(size(doc_ids))").first()[0] == odd.count()
+def test_scans_are_stable_and_others_are_not(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert bpe.stable(scan.select("doc_id", "text").filter("doc_id > 0")).inputFiles() == scan.inputFiles()
+    assert bpe.stable(scan.distinct()).inputFiles() != scan.inputFiles()
+
+
+def test_all_lists_with_a_word_meet_in_one_bucket(odd):
+    texts = odd.select("doc_id", "text").na.fill("", ["text"])
+    homes: dict[bytes, set[int]] = {}
+    for r in bpe.blocks_of(texts, public_tokenizers.PATTERN, 7, 1, True).collect():
+        raw = zstandard.ZstdDecompressor().decompress(bytes(r.packed))
+        count = int.from_bytes(raw[:4], "little")
+        at = 4 + 4 * count
+        for n in np.frombuffer(raw, "<u4", count, 4).tolist():
+            homes.setdefault(raw[at : at + n], set()).add(r.bucket)
+            at += n
+    assert len(homes) > 30 and all(len(h) == 1 for h in homes.values())
 
 
 def png():
