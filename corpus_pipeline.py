@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontam, line_dedup, simhash, toxicity
-from gridloom.llm.common import table, written
+from gridloom.llm.common import free_name, table, written
 from gridloom.llm.queries import held_out
 
 #: Documents that score this much or more are rejected.
@@ -21,14 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic go. Documents with no text are scored as such and stay."""
     labels = table(spark, sf_dir, "labels").filter(~F.coalesce(held_out(), F.lit(True)))
     model = toxicity.learn(docs, labels)
-    return toxicity.score(docs, model, out_col="_score").filter(F.col("_score") < TOXIC).drop("_score")
+    mark = free_name(docs, "score")
+    return toxicity.score(docs, model, out_col=mark).filter(F.col(mark) < TOXIC).drop(mark)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line leave the text; every document stays, with its length in ``n_chars``."""
-    out = line_dedup.dedup(docs, out_col="_text", lines_col="_n", removed_col="_gone")
-    changed = F.col("_gone") > 0
-    fresh = {"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    text, n, gone = (free_name(docs, c) for c in ("text_left", "n_lines", "n_removed"))
+    out = line_dedup.dedup(docs, out_col=text, lines_col=n, removed_col=gone)
+    length = F.when(F.col(gone) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    fresh = {"text": F.col(text), "n_chars": length}
     return out.select(*(fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
