@@ -21,12 +21,16 @@ def central_diff(df: DataFrame, keys: list[str], axis: str, value: str = "value"
 
 
 def cumtrapz(df: DataFrame, keys: list[str], axis: str, value: str = "value", out: str = "psi") -> DataFrame:
-    """Cumulative trapezoid from the first point, where it is 0. Missing values count as 0."""
+    """Cumulative trapezoid from the first point, where it is 0. From the first gap on the integral is missing, also where the first point
+    is the gap; the first point itself is 0, and so are all where every value is missing."""
     w = Window.partitionBy(*keys).orderBy(axis)
-    f = F.coalesce(value, F.lit(0.0))
-    part = (f + F.lag(f).over(w)) / 2 * (F.col(axis) - F.lag(axis).over(w))
-    staged = df.withColumn("_part", F.coalesce(part, F.lit(0.0)))
-    return staged.withColumn(out, F.sum("_part").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_part")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag(F.struct(F.col(axis).alias("x"), F.col(value).alias("f"))).over(w)
+    first = before.isNull()
+    part = F.when(~first, (F.col(value) + before["f"]) / 2 * (F.col(axis) - before["x"]))
+    staged = df.withColumns({"_part": part, "_gap": (~first & part.isNull()).cast("int"), "_held": F.count(value).over(Window.partitionBy(*keys))})
+    whole = F.when(F.max("_gap").over(upto) == 0, F.coalesce(F.sum("_part").over(upto), F.lit(0.0)))
+    return staged.withColumn(out, F.when(F.col("_held") == 0, F.lit(0.0)).otherwise(whole)).drop("_part", "_gap", "_held")
 
 
 def mass_streamfunction(df: DataFrame, keys: list[str]) -> DataFrame:

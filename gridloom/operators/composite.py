@@ -14,8 +14,11 @@ def stamp_year(year: Column, season: Column, offset: Column) -> Column:
     return year + offset + F.when(season == "DJF", 1).otherwise(0)
 
 
-def reference_year(year: Column, season: Column) -> Column:
-    return F.when(season == "DJF", year - 1).otherwise(year)
+def reference_year(year: Column, key: Column) -> Column:
+    """The calendar year of a precursor ``SEASON_tag`` of an event year: the tag -1 is the year before, 0 the event's own. Another tag is
+    an error when it is run."""
+    tag = F.substring_index(key, "_", -1)
+    return F.when(tag == "-1", year - 1).when(tag == "0", year).otherwise(F.raise_error(F.concat(F.lit("unknown year tag: "), key)).cast("int"))
 
 
 def high_low(field: DataFrame, events: DataFrame, cell: list[str], least: int = 1) -> DataFrame:

@@ -111,3 +111,30 @@ def all_lags(names: DataFrame, least: int = 1, most: int = 6) -> DataFrame:
     """Every candidate edge ``cause, effect, lag`` among the named variables (a dimension table)."""
     a, b = names.select(F.col("var").alias("cause")), names.select(F.col("var").alias("effect"))
     return a.crossJoin(F.broadcast(b)).select("cause", "effect", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("lag"))
+
+
+def placed(names: DataFrame, places: DataFrame) -> DataFrame:
+    """``var, lon, lat`` of each variable, longitudes in [0, 360); (0, 0) for one that has no place. places: ``var, lon, lat``."""
+    held = names.join(F.broadcast(places.select("var", "lon", "lat")), "var", "left")
+    zero = F.lit(0.0)
+    return held.select("var", F.pmod(F.coalesce(F.col("lon").cast("double"), zero), F.lit(360.0)).alias("lon"), F.coalesce(F.col("lat").cast("double"), zero).alias("lat"))
+
+
+def extent(places: DataFrame, margin: float = 10.0) -> DataFrame:
+    """``lon_min, lon_max, lat_min, lat_max`` around all places, latitudes no further than the poles."""
+    return places.agg(
+        (F.min("lon") - margin).alias("lon_min"),
+        (F.max("lon") + margin).alias("lon_max"),
+        F.greatest(F.lit(-90.0), F.min("lat") - margin).alias("lat_min"),
+        F.least(F.lit(90.0), F.max("lat") + margin).alias("lat_max"),
+    )
+
+
+def first_seen(df: DataFrame, name: str, order: str) -> DataFrame:
+    """Each name once, with the place where it stands first."""
+    return df.groupBy(name).agg(F.min(order).alias(order))
+
+
+def reduced(groups: DataFrame, pruned: DataFrame) -> DataFrame:
+    """The variables of each group that the pruned graph still has. groups: ``group, var``."""
+    return groups.join(F.broadcast(pruned.select("var").distinct()), "var", "left_semi")

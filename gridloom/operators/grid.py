@@ -102,10 +102,8 @@ def symmetric_levels(high: Column, step: float, rounded: bool = False) -> Column
 def vector_rescale(df: DataFrame, keys: list[str], quantile: float, stride: int) -> DataFrame:
     """Vectors longer than the quantile of length are shortened to it; every ``stride``-th row and column stays."""
     length = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     cut = df.groupBy(*keys).agg(F.percentile(length, F.lit(quantile)).alias("cut"))
     held = df.join(F.broadcast(cut), keys) if keys else df.crossJoin(F.broadcast(cut))
-    del w
     factor = F.least(F.lit(1.0), F.col("cut") / F.nullif(length, F.lit(0.0)))
     ranks = held.withColumn("row", F.dense_rank().over(Window.partitionBy(*keys).orderBy("lat")) - 1).withColumn("col", F.dense_rank().over(Window.partitionBy(*keys).orderBy("lon")) - 1)
     return ranks.filter((F.col("row") % stride == 0) & (F.col("col") % stride == 0)).select(*keys, "lat", "lon", (F.col("u") * F.coalesce(factor, F.lit(1.0))).alias("u"), (F.col("v") * F.coalesce(factor, F.lit(1.0))).alias("v"))
@@ -123,3 +121,22 @@ def bilinear(df: DataFrame, targets: DataFrame, step_lat: float, step_lon: float
     have = df.withColumn("iy", F.round((F.col("lat") - lat0) / step_lat).cast("bigint")).withColumn("ix", F.round((F.col("lon") - lon0) / step_lon).cast("bigint"))
     got = have.filter("value is not null").join(want, ["iy", "ix"]).groupBy(*keys, "tlat", "tlon").agg(F.sum(F.col("value") * F.col("w")).alias("s"), F.count("*").alias("got"))
     return got.join(need, ["tlat", "tlon"]).select(*keys, "tlat", "tlon", F.when(F.col("got") == F.col("need"), F.col("s")).alias("value"))
+
+
+def finite_or_zero(value: Column) -> Column:
+    """0 for what is missing, no number or infinite."""
+    return F.when(F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(True)), 0.0).otherwise(value)
+
+
+def line_width(df: DataFrame, keys: list[str], most: float = 3.0, out: str = "width") -> DataFrame:
+    """``most`` times the speed of ``u, v`` over the greatest speed of the keys; 0 where a vector is missing or all are."""
+    speed = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    top = F.max(F.when(~F.isnan(speed), speed)).over(Window.partitionBy(*keys))
+    return df.withColumn(out, finite_or_zero(most * speed / F.nullif(top, F.lit(0.0))))
+
+
+def band_means(df: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, band, lon, value``: the means over the latitudes of each band, for all bands in one pass. bands: ``band, lat_min, lat_max``, a
+    few rows; latitudes meet them first, so the field is joined by equality."""
+    lats = df.select("lat").distinct().join(F.broadcast(bands), F.col("lat").between(F.col("lat_min"), F.col("lat_max"))).select("lat", "band")
+    return df.join(F.broadcast(lats), "lat").groupBy(*keys, "band", "lon").agg(F.avg("value").alias("value"))

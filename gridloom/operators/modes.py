@@ -64,14 +64,14 @@ def varimax(loadings: np.ndarray, steps: int = 500, tol: float = 1e-10) -> tuple
 
 
 def reof(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated patterns (rows), the rotation, and each one's share of the variance."""
+    """Rotated patterns (rows) in the order of the modes they come from, the rotation, and the share in percent that each one's series has
+    of the variance of all ``k`` rotated series."""
     patterns, _ = eof(gram, k)
     turned, rotation = varimax(patterns.T)
     turned = turned.T
     signs = fix_signs(turned)
-    share = np.einsum("ij,jk,ik->i", turned, gram, turned) / max(np.trace(gram), 1e-300)
-    order = np.argsort(-share)
-    return (turned * signs[:, None])[order], (rotation * signs)[:, order], share[order]
+    variance = np.einsum("ij,jk,ik->i", turned, gram, turned)
+    return turned * signs[:, None], rotation * signs, 100 * variance / max(variance.sum(), 1e-300)
 
 
 def mca(cross: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

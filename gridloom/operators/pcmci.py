@@ -7,11 +7,14 @@ are what is distributed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions.distributions import normal_scores, t_two_sided
 
@@ -36,11 +39,72 @@ def partial_correlation(x: np.ndarray, y: np.ndarray, z: np.ndarray, robust: boo
     return r, float(t_two_sided(t, df))
 
 
+def process_residual(y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """What a Gaussian process with a squared-exponential kernel and noise leaves of ``y`` given ``z``; length and noise are those of a
+    fixed grid with the greatest likelihood. Columns are standardised."""
+    z = (z - z.mean(axis=0)) / np.where(z.std(axis=0) < 1e-12, 1, z.std(axis=0))
+    y = (y - y.mean()) / max(y.std(), 1e-12)
+    distance = ((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
+    best = (-np.inf, y)
+    for length in (0.5, 1.0, 2.0, 4.0, 8.0):
+        kernel = np.exp(-distance / (2 * length * length * z.shape[1]))
+        for noise in (0.1, 0.3, 0.6, 0.9):
+            c = np.linalg.cholesky((1 - noise) * kernel + noise * np.eye(len(y)))
+            w = np.linalg.solve(c.T, np.linalg.solve(c, y))
+            likelihood = -0.5 * y @ w - np.log(np.diag(c)).sum()
+            if likelihood > best[0]:
+                best = (likelihood, y - (1 - noise) * kernel @ w)
+    return best[1]
+
+
+def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
+    def centred(v: np.ndarray) -> np.ndarray:
+        d = np.abs(v[:, None] - v[None, :])
+        return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+
+    a, b = centred(x), centred(y)
+    size = np.sqrt((a * a).mean() * (b * b).mean())
+    return float(np.sqrt(max((a * b).mean(), 0) / size)) if size > 1e-300 else 0.0
+
+
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Each value's place among all, in (0, 1)."""
+    return (np.argsort(np.argsort(x, kind="stable"), kind="stable") + 0.5) / len(x)
+
+
+@lru_cache(maxsize=256)
+def null_distances(n: int, draws: int = 500) -> np.ndarray:
+    """Distance correlations of independent uniform samples of size ``n``, ascending; seeded by the size."""
+    rng = np.random.default_rng(n)
+    return np.sort([distance_correlation(rng.random(n), rng.random(n)) for _ in range(draws)])
+
+
+def process_distance(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """Dependence given ``z`` (columns) of any form: the distance correlation of the uniform ranks of what Gaussian processes leave of both,
+    and the share of independent samples that reach it."""
+    n = len(x)
+    if n - z.shape[1] - 2 < 1 or x.std() < 1e-12 or y.std() < 1e-12:
+        return 0.0, 1.0
+    if z.shape[1]:
+        x, y = process_residual(x, z), process_residual(y, z)
+    value = distance_correlation(ranks(x), ranks(y))
+    null = null_distances(n)
+    return value, float(1 + len(null) - np.searchsorted(null, value)) / (len(null) + 1)
+
+
+#: Conditional independence tests by name. Others may be added: a test takes x, y and the columns z, and gives effect and p-value.
+TESTS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, float]]] = {
+    "robust_parcorr": partial_correlation,
+    "parcorr": lambda x, y, z: partial_correlation(x, y, z, robust=False),
+    "gpdc": process_distance,
+}
+
+
 class Lagged:
     """A panel (steps x variables) with a mask of hidden target steps."""
 
-    def __init__(self, values: np.ndarray, masked: np.ndarray, most: int, robust: bool = True):
-        self.v, self.m, self.most, self.robust = values, masked, most, robust
+    def __init__(self, values: np.ndarray, masked: np.ndarray, most: int, test: str = "robust_parcorr"):
+        self.v, self.m, self.most, self.judge = values, masked, most, TESTS[test]
 
     def test(self, i: int, lag: int, j: int, conditions: list[tuple[int, int]]) -> tuple[float, float]:
         """``i`` at t - lag against ``j`` at t, given (variable, lag) pairs; conditions later than the cause are left out."""
@@ -49,7 +113,7 @@ class Lagged:
         t = np.arange(start, len(self.v))
         t = t[~self.m[t, j]]
         z = np.column_stack([self.v[t - c, k] for k, c in given]) if given else np.zeros((len(t), 0))
-        return partial_correlation(self.v[t - lag, i], self.v[t, j], z, self.robust)
+        return self.judge(self.v[t - lag, i], self.v[t, j], z)
 
 
 def select_parents(panel: Lagged, j: int, alpha: float, least: int, most_sets: int) -> list[tuple[int, int]]:
@@ -85,11 +149,31 @@ def momentary(panel: Lagged, parents: dict[int, list[tuple[int, int]]], j: int,
     return out
 
 
-def discover(panel: DataFrame, run: list[str], targets: list[str] | None = None, alpha: str = "alpha", least: int = 1, most: int = 6, most_sets: int = 10, robust: bool = True, fdr: bool = False) -> DataFrame:
+def effect_of(panel: Lagged, i: int, lag: int, j: int, alpha: float, least: int = 1, most_sets: int = 10) -> tuple[float, float]:
+    """Effect and p-value of one edge of the graph: conditions are selected for its two ends alone, as no other's enter its test."""
+    parents = {k: select_parents(panel, k, alpha, least, most_sets) for k in {i, j}}
+    given = [x for x in parents[j] if x != (i, lag)] + [(k, c + lag) for k, c in parents[i]]
+    return panel.test(i, lag, j, list(dict.fromkeys(given)))
+
+
+def windows_by_years(panel: DataFrame, years: int, step: int, per_year: int = 4, least_per_year: int = 1, time: str = "t") -> DataFrame:
+    """The panel's rows once for each window they lie in, with ``window, centre``. A window has ``ceil(years * per_year / least_per_year)``
+    steps, as a target may be seen in so few seasons of a year; windows begin every so many of ``step`` years and are whole. ``centre`` is the step in a window's middle. There are no windows
+    longer than the panel. Steps are dense from 0."""
+    length, stride = -(-years * per_year // least_per_year), max(1, -(-step * per_year // least_per_year))
+    last = panel.agg(F.max(time).alias("_last"))
+    t = F.col(time)
+    first = F.greatest(F.lit(0), F.ceil((t - (length - 1)) / stride)).cast("int")
+    end = F.least(F.floor(t / stride), F.floor((F.col("_last") - (length - 1)) / stride)).cast("int")
+    rows = panel.crossJoin(F.broadcast(last)).filter((F.col("_last") >= length - 1) & (end >= first))
+    return rows.withColumn("window", F.explode(F.sequence(first, end))).drop("_last").withColumn("centre", F.col("window") * stride + length // 2)
+
+
+def discover(panel: DataFrame, run: list[str], targets: list[str] | None = None, alpha: str = "alpha", least: int = 1, most: int = 6, most_sets: int = 10, test: str = "robust_parcorr", fdr: bool = False) -> DataFrame:
     """``run, cause, effect, lag, causal_effect, p_value`` with a row for each pair and lag of each run.
 
     panel: ``run, alpha, t, var, value, masked``. A group is one run: variables x steps, a bounded reanalysis season panel. With ``fdr`` the
-    p-values are adjusted over all tests of the run (Benjamini-Hochberg)."""
+    p-values are adjusted over all tests of the run (Benjamini-Hochberg). test: a name in ``TESTS``."""
     keys = [*run, alpha]
     fields = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -97,7 +181,7 @@ def discover(panel: DataFrame, run: list[str], targets: list[str] | None = None,
         wide = pdf.pivot(index="t", columns="var", values="value").sort_index()
         names = list(wide.columns)
         hidden = pdf.pivot(index="t", columns="var", values="masked").sort_index().to_numpy(bool)
-        data = Lagged(np.nan_to_num(wide.to_numpy(float)), hidden, most, robust)
+        data = Lagged(np.nan_to_num(wide.to_numpy(float)), hidden, most, test)
         parents = {j: select_parents(data, j, float(key[-1]), least, most_sets) for j in range(len(names))}
         rows = [(*key, names[i], names[j], lag, r, p) for j in range(len(names)) if targets is None or names[j] in targets for i, lag, r, p in momentary(data, parents, j, least)]
         out = pd.DataFrame(rows, columns=[*keys, "cause", "effect", "lag", "causal_effect", "p_value"])

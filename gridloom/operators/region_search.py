@@ -7,6 +7,8 @@ import random
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +65,40 @@ def draw(rng: random.Random, b: Bounds) -> Rect:
     return _fit(Rect(rng.randint(b.lat_min, b.lat_max), rng.randint(b.lat_min, b.lat_max), rng.randint(b.lon_min, b.lon_max), rng.randint(b.lon_min, b.lon_max)), b)
 
 
-def mutate(rng: random.Random, r: Rect, b: Bounds, strength: int = 5) -> Rect:
-    return _fit(Rect(*(x + rng.randint(-strength, strength) if rng.random() < 0.5 else x for x in r)), b)
+#: How far a shift and a move of an edge reach, as shares of the range times the strength, and how often a rule is tried.
+SHIFT, EDGE, TRIES = 0.2, 0.3, 100
+
+
+def mutate(rng: random.Random, r: Rect, b: Bounds, strength: float = 0.2) -> Rect:
+    """The rectangle shifted, or one, two or all of its edges moved, by normal steps in proportion to the range; the first valid outcome of
+    ``TRIES``, or the rectangle itself."""
+    spans = (b.lat_max - b.lat_min, b.lon_max - b.lon_min)
+    step = lambda k, reach: round(rng.gauss(0, strength * spans[k // 2] * reach))
+    for _ in range(TRIES):
+        edges = rng.choice((0, 1, 2, 4))  # 0: a shift
+        if edges:
+            moved = rng.sample(range(4), edges)
+            side = [x + (step(k, EDGE) if k in moved else 0) for k, x in enumerate(r)]
+        else:
+            lat, lon = step(0, SHIFT), step(2, SHIFT)
+            side = [r.lat_min + lat, r.lat_max + lat, r.lon_min + lon, r.lon_max + lon]
+        new = Rect(*sorted(side[:2]), *sorted(side[2:]))
+        if valid(new, b):
+            return new
+    return r
 
 
 def crossover(rng: random.Random, x: Rect, y: Rect, b: Bounds) -> Rect:
-    return _fit(Rect(*(rng.choice(p) for p in zip(x, y, strict=True))), b)
+    """The latitudes of one and the longitudes of the other, or the rounded means of both; the first parent if no try gives a valid one."""
+    for _ in range(TRIES):
+        if rng.random() < 0.5:
+            a, c = (x, y) if rng.random() < 0.5 else (y, x)
+            child = Rect(*a[:2], *c[2:])
+        else:
+            child = Rect(*(round((p + q) / 2) for p, q in zip(x, y, strict=True)))
+        if valid(child, b):
+            return child
+    return x
 
 
 def roulette(df: DataFrame, keys: list[str], fitness: str = "fitness") -> DataFrame:
@@ -137,3 +167,58 @@ def region_means(field: DataFrame, rects: list[Rect], time: str = "t") -> DataFr
     table = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rects)], "id int, lat_min double, lat_max double, lon_min double, lon_max double")
     cells = field.select("lat", "lon").distinct().join(F.broadcast(table), F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))).select("id", "lat", "lon")
     return field.join(cells, ["lat", "lon"]).groupBy("id", time).agg(weighted_mean(F.col("value"), F.col("lat")).alias("value"))
+
+
+def causal_fitness(fields: DataFrame, panel: DataFrame, rects: list[Rect], target: str, lag: int, right: tuple[str, ...] = (), mode: int = 1, rotated: int = 7, alpha: float = 0.05, most: int = 6) -> DataFrame:
+    """``id, effect``: how strongly the index that each rectangle gives acts on the target ``lag`` steps later, in size, 0 if it gives none.
+
+    The index is the standardised component of a rotated mode of ``value`` in the rectangle, or with ``right`` (one column for a scalar,
+    two for a vector) the left component of a coupled mode. It joins the panel, and the graph's effect of it on the target is measured.
+    fields: ``lat, lon, t, value`` and the columns ``right``; panel: ``t, var, value, masked``, a few hundred rows that travel with the
+    plan. A rectangle is a group: cells of a region x times."""
+    from gridloom.operators import coupled, modes, pcmci
+
+    table = fields.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rects)], "id int, lat_min double, lat_max double, lon_min double, lon_max double")
+    at = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
+    cells = fields.select("lat", "lon").distinct().join(F.broadcast(table), at).select("id", "lat", "lon")
+    held = fields.join(cells, ["lat", "lon"]).select("id", "lat", "lon", "t", "value", *right)
+    known = panel.select("t", "var", "value", "masked").toPandas()
+    wide = known.pivot(index="t", columns="var", values="value").sort_index()
+    hidden = known.pivot(index="t", columns="var", values="masked").sort_index().fillna(False).astype(bool)
+
+    def matrix(pdf: pd.DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Times x complete cells, standardised and weighted, and the times."""
+        m = pdf.pivot(index="t", columns=["lat", "lon"], values=column).sort_index()
+        m = m.loc[:, m.notna().all()]
+        x = m.to_numpy(float)
+        std = x.std(axis=0)
+        weight = np.sqrt(np.maximum(np.cos(np.radians(np.array([c[0] for c in m.columns]))), 0))
+        return ((x - x.mean(axis=0)) / np.where(std < 1e-12, 1, std))[:, std >= 1e-12] * weight[std >= 1e-12], m.index.to_numpy()
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, t = matrix(pdf, "value")
+        effect = 0.0
+        if x.shape[1] and len(t) > most + 3:
+            if right:
+                parts = [matrix(pdf, c) for c in right]
+                y = np.concatenate([m for m, times in parts if len(times) == len(t)] or [np.zeros((len(t), 0))], axis=1)
+                pcs = coupled.maximum_covariance(x @ x.T, y @ y.T, mode).left if y.shape[1] else np.zeros((len(t), 0))
+            else:
+                pcs = x @ modes.reof(x.T @ x, min(rotated, *x.shape))[0].T
+            if pcs.shape[1] >= mode and pcs[:, mode - 1].std() > 1e-12:
+                pc = pcs[:, mode - 1]
+                data = wide.join(pd.Series((pc - pc.mean()) / pc.std(), index=t, name="#region"), how="inner")
+                mask = hidden.reindex(data.index).to_numpy(bool)
+                lagged = pcmci.Lagged(np.nan_to_num(data.to_numpy(float)), np.column_stack([mask, np.zeros(len(data), bool)]), most)
+                names = list(data.columns)
+                effect = abs(pcmci.effect_of(lagged, names.index("#region"), lag, names.index(target), alpha)[0])
+        return pd.DataFrame([(key[0], effect if np.isfinite(effect) else 0.0)], columns=["id", "effect"])
+
+    return held.groupBy("id").applyInPandas(one, "id int, effect double")
+
+
+def fitness_of(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``name, effect``: the size of the wanted edges' effects, 0 where an edge is missing or has none. wanted: ``name, cause, effect, lag``;
+    edges: ``cause, effect, lag, causal_effect``."""
+    held = edges.select("cause", "effect", "lag", F.abs("causal_effect").alias("_size")).dropDuplicates(["cause", "effect", "lag"])
+    return wanted.join(held, ["cause", "effect", "lag"], "left").select("name", F.coalesce(F.nanvl("_size", F.lit(0.0)), F.lit(0.0)).alias("effect"))

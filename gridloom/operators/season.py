@@ -102,3 +102,26 @@ def pooled_std(df: DataFrame, cell: list[str], out: tuple[str, str] = ("u_n", "v
     squares = F.avg(F.col("u") * F.col("u") + F.col("v") * F.col("v")).over(w) / 2
     std = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
     return df.withColumns({o: F.col(c) / F.nullif(std, F.lit(0.0)) for o, c in zip(out, ("u", "v"), strict=True)})
+
+
+def monthly_axis(df: DataFrame, start: str, order: str = "t", out: str = "time") -> DataFrame:
+    """Steps of any number type become months from ``start`` (a first of a month), by their rank; ranks are taken over the distinct steps,
+    a short axis, so the field is joined and not sorted."""
+    axis = df.select(order).distinct()
+    ranked = axis.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1).select(order, F.expr(f"add_months(date'{start}', _r)").alias(out))
+    return df.join(F.broadcast(ranked), order).drop(order)
+
+
+#: The seasons' names in words, by code.
+DISPLAY = {"DJF": "Dec-Jan-Feb", "MAM": "Mar-Apr-May", "JJA": "Jun-Jul-Aug", "SON": "Sep-Oct-Nov"}
+
+
+def season_display(code: Column) -> Column:
+    """The name of a season code, with its year tag as it is; a code that is unknown stays."""
+    names = F.create_map(*(F.lit(x) for pair in DISPLAY.items() for x in pair))
+    return F.coalesce(F.concat(names[F.substring(code, 1, 3)], F.substring(code, 4, 20)), code)
+
+
+def season_code(display: Column) -> Column:
+    codes = F.create_map(*(F.lit(x) for k, v in DISPLAY.items() for x in (v, k)))
+    return F.coalesce(F.concat(codes[F.substring(display, 1, 11)], F.substring(display, 12, 20)), display)

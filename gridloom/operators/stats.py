@@ -34,7 +34,8 @@ def slope_significance(df: DataFrame, cell: list[str], critical: Column, y: str
 
 
 def remove_signal(df: DataFrame, cell: list[str], signals: list[str], y: str = "y", out: str = "residual") -> DataFrame:
-    """The residual of each cell's regression on one or two series, by sums over the cell."""
+    """The residual of each cell's regression on the series, by sums over the cell; beyond two, one after another is taken out of the value
+    and of the series that are left (a series without variance of its own is passed over)."""
     w = Window.partitionBy(*cell)
     ok = F.lit(True)
     for c in (y, *signals):
@@ -50,7 +51,11 @@ def remove_signal(df: DataFrame, cell: list[str], signals: list[str], y: str = "
         b1, b2 = (s(0, 1) * s(2, 2) - s(0, 2) * s(1, 2)) / det, (s(0, 2) * s(1, 1) - s(0, 1) * s(1, 2)) / det
         staged = staged.withColumn(out, F.col("_0") - b1 * F.col("_1") - b2 * F.col("_2"))
     else:
-        raise ValueError("one or two signals; more go through residuals_of()")
+        for j in range(1, len(signals) + 1):
+            rest = [0, *range(j + 1, len(signals) + 1)]
+            share = F.nullif(s(j, j), F.lit(0.0))
+            staged = staged.withColumns({f"_{i}": F.col(f"_{i}") - F.coalesce(s(i, j) / share, F.lit(0.0)) * F.col(f"_{j}") for i in rest})
+        staged = staged.withColumn(out, F.col("_0"))
     return staged.drop(*(f"_{i}" for i in range(len(signals) + 1)))
 
 
@@ -143,7 +148,7 @@ def _clean(pdf: pd.DataFrame, y: str, predictors: list[str]) -> tuple[np.ndarray
 
 
 def lasso_fixed(df: DataFrame, cell: list[str], y: str, predictors: list[str], alpha: float) -> DataFrame:
-    """``cell, predictor, coef``; NaN below max(7, k + 1, 10) rows, 0 for a constant series."""
+    """``cell, predictor, coef``; NULL below max(7, k + 1, 10) rows, 0 for a constant series."""
 
     def fit(pdf: pd.DataFrame) -> list[tuple]:
         v, x = _clean(pdf, y, predictors)
@@ -156,16 +161,75 @@ def lasso_fixed(df: DataFrame, cell: list[str], y: str, predictors: list[str], a
     return _per_cell(df, cell, fit, "predictor string, coef double")
 
 
-def lasso_cv_alpha(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5) -> DataFrame:
-    """``cell, alpha``: the cross-validated penalty of each cell; its median is the penalty for a region."""
+def lasso_cv_fit(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5, n_alphas: int = 100) -> DataFrame:
+    """``cell, predictor, coef, alpha, r2`` with the cross-validated penalty of each cell; NULL below max(folds + 2, k + 1, 10) rows, and
+    coefficients and r2 of 0 for a constant series."""
 
     def fit(pdf: pd.DataFrame) -> list[tuple]:
         v, x = _clean(pdf, y, predictors)
-        if len(v) < max(7, len(predictors) + 1, 10) or v.std() < 1e-10:
-            return [(np.nan,)]
-        return [(lasso_cv(v, x, folds, 30)[0],)]
+        w, alpha, r2 = np.full(len(predictors), np.nan), np.nan, np.nan
+        if len(v) >= max(folds + 2, len(predictors) + 1, 10):
+            if v.std() < 1e-10:
+                w, r2 = np.zeros(len(predictors)), 0.0
+            else:
+                alpha, w = lasso_cv(v, x, folds, n_alphas)
+                rest = v - v.mean() - (x - x.mean(axis=0)) @ w
+                r2 = 1 - rest @ rest / ((v - v.mean()) ** 2).sum()
+        return [(p, c, alpha, r2) for p, c in zip(predictors, w, strict=True)]
+
+    return _per_cell(df, cell, fit, "predictor string, coef double, alpha double, r2 double")
 
-    return _per_cell(df, cell, fit, "alpha double")
+
+def lasso_cv_alpha(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5) -> DataFrame:
+    """``cell, alpha``: the cross-validated penalty of each cell; its median is the penalty for a region."""
+    return lasso_cv_fit(df, cell, y, predictors, folds).filter(F.col("predictor") == predictors[0]).select(*cell, "alpha")
+
+
+def ols_normal(df: DataFrame, cell: list[str], y: str, predictors: list[str]) -> DataFrame:
+    """``cell, predictor, coef, t, df, r2`` of a regression on a constant and up to three series, by sums over the cell: one aggregation, and
+    the normal equations are solved in closed form. NULL below k + 2 rows or for dependent predictors."""
+    k = len(predictors)
+    if not 1 <= k <= 3:
+        raise ValueError("one to three predictors; ols_multi takes more")
+    names = [y, *predictors]
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    v = [F.when(ok, F.col(c).cast("double")) for c in names]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = df.groupBy(*cell).agg(F.count(v[0]).alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(v)), *((F.covar_pop(v[i], v[j]) * F.count(v[0])).alias(f"s{i}{j}") for i, j in pairs))
+    s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
+
+    def det(rows: list[int], cols: list[int]) -> Column:
+        if not rows:
+            return F.lit(1.0)
+        out = None
+        for c, col in enumerate(cols):
+            part = s(rows[0], col) * det(rows[1:], cols[:c] + cols[c + 1 :]) * (-1) ** c
+            out = part if out is None else out + part
+        return out
+
+    every = list(range(1, k + 1))
+    whole = F.nullif(det(every, every), F.lit(0.0))
+    inverse = lambda i, j: det([r for r in every if r != j], [c for c in every if c != i]) * (-1) ** (i + j) / whole
+    coefs = []
+    for i in every:
+        total = None
+        for j in every:
+            part = inverse(i, j) * s(0, j)
+            total = part if total is None else total + part
+        coefs.append(total)
+    solved = sums.withColumns({f"b{i}": c for i, c in zip(every, coefs, strict=True)} | {f"v{i}": inverse(i, i) for i in every})
+    explained = None
+    for i in every:
+        part = F.col(f"b{i}") * s(0, i)
+        explained = part if explained is None else explained + part
+    left = F.greatest(s(0, 0) - explained, F.lit(0.0))
+    enough = F.col("n") >= k + 2
+    free = (F.col("n") - k - 1).cast("double")
+    rows = F.array(*(F.struct(F.lit(p).alias("predictor"), F.when(enough, F.col(f"b{i}")).alias("coef"), F.when(enough, F.col(f"b{i}") / F.nullif(F.sqrt(F.col(f"v{i}") * left / free), F.lit(0.0))).alias("t")) for i, p in zip(every, predictors, strict=True)))
+    r2 = F.when(enough, 1 - left / F.nullif(s(0, 0), F.lit(0.0)))
+    return solved.select(*cell, F.explode(rows).alias("x"), free.alias("df"), r2.alias("r2")).select(*cell, "x.*", "df", "r2")
 
 
 def welch(df: DataFrame, cell: list[str], group: str, a, b, value: str = "value") -> DataFrame:

@@ -82,6 +82,12 @@ def fdr_pruning(spark: SparkSession, d: str) -> DataFrame:
     return ops.prune_by_fdr(e, e.filter("lag <> 2"))[1]
 
 
+@query("window_thresholds", "SELECT n_nationkey * 2 AS years, CASE WHEN n_nationkey * 2 <= 20 THEN 0.3 WHEN n_nationkey * 2 <= 30 THEN 0.45 ELSE 0.55 END::DOUBLE AS threshold FROM nation")
+def window_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    years = F.col("n_nationkey") * 2
+    return scan.table(spark, d, "nation").select(years.alias("years"), ops.frequency_threshold(years).alias("threshold"))
+
+
 @query("window_consensus", sql("SELECT cause, effect, lag, round(frequency, 6) AS frequency, round(average_effect, 6) + 0.0 AS average_effect, round(link_power, 6) AS link_power, round(link_power / max(link_power) OVER (), 6) AS width FROM (SELECT *, frequency * abs(average_effect) AS link_power FROM (SELECT cause, effect, lag, count(*) / 4 AS frequency, avg(causal_effect) AS average_effect FROM runs WHERE p_value < 0.03 GROUP BY ALL) WHERE frequency >= 0.45)"))
 def window_consensus(spark: SparkSession, d: str) -> DataFrame:
     w = data.runs(spark, d).filter("p_value < 0.03").withColumnRenamed("causal_effect", "effect_size")
@@ -141,12 +147,9 @@ def pcmci_fdr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pcmci_sliding")
 def pcmci_sliding(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of 16 steps every 4: a row of the panel goes to each window it lies in."""
+    """Windows of four years, one every year."""
     p = _panel_runs(spark, d).filter("run_idx = 0").withColumn("alpha", F.lit(0.05))
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - 15) / 4)).cast("int")
-    w = p.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("t") / 4).cast("int"))))
-    full = w.groupBy("window").agg(F.count_distinct("t").alias("n")).filter("n = 16").select("window")
-    return pcmci.discover(w.join(F.broadcast(full), "window").drop("run_idx"), ["window"])
+    return pcmci.discover(pcmci.windows_by_years(p, 4, 1).drop("run_idx", "centre"), ["window"])
 
 
 # modes
@@ -214,9 +217,11 @@ def skill_metrics(spark: SparkSession, d: str) -> DataFrame:
     return forecast.skill(_pairs(spark, d), ["k"]).select("k", r4("rmse"), r4("r"), "n")
 
 
-@query("contingency", sql("SELECT k, hits, misses, false_alarms, correct_negatives, round(hits / nullif(hits + misses, 0), 4) AS hit_rate, round(misses / nullif(hits + misses, 0), 4) AS miss_rate FROM (SELECT k, count(*) FILTER (e AND p AND s) AS hits, count(*) FILTER (e AND NOT (p AND s)) AS misses, count(*) FILTER (NOT e AND p) AS false_alarms, count(*) FILTER (NOT e AND NOT p) AS correct_negatives FROM (SELECT k, abs(y_true) > 0.5 AS e, abs(y_pred) > 0.5 AS p, sign(y_true) = sign(y_pred) AS s FROM pr) GROUP BY k)", PAIRS))
+@query("contingency", sql("SELECT k, CASE WHEN n >= 2 THEN hits ELSE 0 END AS hits, CASE WHEN n >= 2 THEN misses ELSE 0 END AS misses, CASE WHEN n >= 2 THEN false_alarms ELSE 0 END AS false_alarms, CASE WHEN n >= 2 THEN correct_negatives ELSE 0 END AS correct_negatives, CASE WHEN n >= 2 THEN hits + misses ELSE 0 END AS n_events_observed, CASE WHEN n >= 2 THEN round(hits / nullif(hits + misses, 0), 4) END AS hit_rate, CASE WHEN n >= 2 THEN round(1 - hits / nullif(hits + misses, 0), 4) END AS miss_rate FROM (SELECT k, count(*) FILTER (y_true IS NOT NULL AND y_pred IS NOT NULL) AS n, count(*) FILTER (abs(y_true) > 0.5 AND abs(y_pred) > 0.5) AS hits, count(*) FILTER (abs(y_true) > 0.5 AND abs(y_pred) <= 0.5) AS misses, count(*) FILTER (abs(y_true) <= 0.5 AND abs(y_pred) > 0.5) AS false_alarms, count(*) FILTER (abs(y_true) <= 0.5 AND abs(y_pred) <= 0.5) AS correct_negatives FROM (SELECT * FROM pr UNION ALL SELECT 0, 1.0, 1.0, 'one pair' UNION ALL SELECT 1, 1.0, NULL, 'one pair') GROUP BY k)", PAIRS))
 def contingency(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.contingency(_pairs(spark, d), ["k"], F.lit(0.5)).select("k", "hits", "misses", "false_alarms", "correct_negatives", r4("hit_rate"), r4("miss_rate"))
+    lone = spark.createDataFrame([(0, 1.0, 1.0, "one pair"), (1, 1.0, None, "one pair")], "t int, y_true double, y_pred double, k string")
+    every = _pairs(spark, d).select("t", "y_true", "y_pred", "k").union(lone)
+    return forecast.contingency(every, ["k"], F.lit(0.5)).select("k", *(F.col(c).cast("long").alias(c) for c in ("hits", "misses", "false_alarms", "correct_negatives", "n_events_observed")), r4("hit_rate"), r4("miss_rate"))
 
 
 @query("cv_skill_table")
@@ -280,19 +285,32 @@ def roulette(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ga_search")
 def ga_search(spark: SparkSession, d: str) -> DataFrame:
-    """The rectangle whose mean anomaly is most strongly correlated with the European index three seasons later."""
+    """The rectangle whose leading rotated mode acts most strongly on the European index three seasons later, in the causal graph of all
+    indices: the whole search, 36 rectangles in 6 generations and up to 100 refinements, each a graph."""
+    return _search(spark, d, ())
+
+
+@query("ga_search_coupled")
+def ga_search_coupled(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the leading mode that the field shares with a vector field, of 48 rectangles."""
+    return _search(spark, d, ("wx", "wy"), population=48)
+
+
+def _search(spark: SparkSession, d: str, right: tuple[str, ...], **options) -> DataFrame:
     from gridloom.sources.results import stored
 
     axis = season.calendar(data.idx(spark, d))
-    field = stored(data.anom(spark, d).join(F.broadcast(axis), "season").select("t", "lat", "lon", F.col("anom").alias("value")), "region-field")
-    target = stored(data.panel(spark, d).filter("var = 'EUROPE'").select((F.col("t") - 3).alias("t"), F.col("value").alias("y")), "region-target")
+    a = data.anom(spark, d).join(F.broadcast(axis), "season")
+    back = a.select((F.col("t") + 1).alias("t"), "cell", F.col("anom").alias("before"))
+    parts = a.join(back, ["t", "cell"], "left").select("t", "lat", "lon", F.col("anom").alias("value"), (F.col("anom") - F.coalesce("before", F.lit(0.0))).alias("wx"), (F.col("anom") * F.cos(F.radians("lat"))).alias("wy"))
+    field = stored(parts.select("t", "lat", "lon", "value", *right), "region-field")
+    panel = stored(_panel_runs(spark, d).filter("run_idx = 0").select("t", "var", "value", "masked"), "region-panel")
 
     def evaluate(rects: list[region_search.Rect]) -> list[float]:
-        means = region_search.region_means(field, rects).join(F.broadcast(target), "t")
-        got = {r.id: r.r for r in means.groupBy("id").agg(F.abs(F.corr("value", "y")).alias("r")).collect()}
-        return [got.get(i) or 0.0 for i in range(len(rects))]
+        got = {r.id: r.effect for r in region_search.causal_fitness(field, panel, rects, "EUROPE", 3, right).collect()}
+        return [got.get(i, 0.0) for i in range(len(rects))]
 
-    best, fitness, _ = region_search.search(evaluate, BOUNDS)
+    best, fitness, _ = region_search.search(evaluate, BOUNDS, **options)
     return spark.createDataFrame([(*map(int, best), fitness)], "lat_min int, lat_max int, lon_min int, lon_max int, fitness double")
 
 

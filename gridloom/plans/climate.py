@@ -188,10 +188,10 @@ def top_bottom_years(spark: SparkSession, d: str) -> DataFrame:
 VOTERS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
 
 
-@query("tercile_vote_3of4", sql("""SELECT year, CASE WHEN up >= 2 AND down = 0 THEN 'upper' WHEN down >= 2 AND up = 0 THEN 'lower' ELSE 'none' END AS vote FROM (
+@query("tercile_vote_3of4", sql("""SELECT year, CASE WHEN up >= 3 AND down = 0 THEN 'upper' WHEN down >= 3 AND up = 0 THEN 'lower' ELSE 'none' END AS vote FROM (
   SELECT year, count(*) FILTER (x > hi) AS up, count(*) FILTER (x < lo) AS down, count(x) AS n FROM sg JOIN (SELECT name, quantile_cont(x, 1/3::DOUBLE) AS lo, quantile_cont(x, 2/3::DOUBLE) AS hi FROM sg GROUP BY name) USING (name) GROUP BY year) WHERE n = 4""", YEARS + ", sg AS (SELECT year, name, value * CASE WHEN name = 'ASIA' THEN -1 ELSE 1 END AS x FROM yr WHERE name IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))"))
 def tercile_vote_3of4(spark: SparkSession, d: str) -> DataFrame:
-    return season.tercile_vote(_years(spark, d), VOTERS, {"ASIA": -1}, need=2)
+    return season.tercile_vote(_years(spark, d), VOTERS, {"ASIA": -1}, need=3)
 
 
 @query("ts_cv_folds", sql("SELECT fold::INT AS fold, t::INT AS t, CASE WHEN t >= n - (5 - fold) * (n // 6) THEN 'test' ELSE 'train' END AS part FROM axis, (SELECT max(t) + 1 AS n FROM axis), (SELECT unnest(range(5)) AS fold) WHERE t < n - (5 - fold) * (n // 6) + n // 6"))
@@ -399,11 +399,6 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     return stats.bh_fdr(p, ["run_idx"]).select("cause", "effect", "lag", "run_idx", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"))
 
 
-@query("ols_multi")
-def ols_multi(spark: SparkSession, d: str) -> DataFrame:
-    return stats.ols_multi(_onto(spark, d), ["cell"], "y", ["x", "x2"])
-
-
 @query("lasso_fixed")
 def lasso_fixed(spark: SparkSession, d: str) -> DataFrame:
     return stats.lasso_fixed(season.zscore(season.zscore(_onto(spark, d), [], "x", "x"), [], "x2", "x2"), ["cell"], "y", ["x", "x2"], 1000.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,11 @@ from pyspark.sql import DataFrame
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gridloom-checkpoints"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/gridloom-checkpoints"
     path = f"{where}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

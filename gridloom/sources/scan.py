@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,3 +134,25 @@ def write_registry(df: DataFrame, path: str) -> None:
 
 def recent(df: DataFrame, n: int, by: str = "timestamp") -> DataFrame:
     return df.orderBy(F.col(by).desc()).limit(n)
+
+
+def write_with_sidecar(df: DataFrame, path: str, script: str, parameters: dict, registry: str | None = None) -> DataFrame:
+    """Write a result, and beside it ``<path>.json`` with one row: what made it, with which parameters and their hash, its columns, its rows
+    and when. With ``registry`` the row is added there too. Gives the row."""
+    spark = df.sparkSession
+    write_field(df, path)
+    said = json.dumps(parameters, sort_keys=True)
+    row = spark.range(1).select(
+        F.lit(script).alias("script"),
+        F.lit(path).alias("path"),
+        F.lit(said).alias("parameters"),
+        F.lit(hashlib.md5(said.encode()).hexdigest()[:8]).alias("hash"),
+        F.lit(df.schema.simpleString()).alias("columns"),
+        F.lit(spark.read.parquet(path).count()).alias("rows"),
+        F.current_timestamp().alias("timestamp"),
+    )
+    row.write.mode("overwrite").json(f"{path}.json")
+    kept = spark.read.json(f"{path}.json")
+    if registry:
+        write_registry(kept, registry)
+    return kept

@@ -2,7 +2,7 @@
 
 import pytest
 
-from gridloom.plans import causal, climate, registry  # noqa: F401
+from gridloom.plans import causal, climate, programs, registry  # noqa: F401
 from tests.compare import TABLES, of_spark, of_sql
 
 DATA = "/root/testdata/sf0.001"
@@ -30,8 +30,8 @@ def test_causal_queries_run_all_lags_and_sets(spark, name, monkeypatch):
 
 def test_ga_search_evaluates_whole_generations(spark, monkeypatch):
     sizes = []
-    means = causal.region_search.region_means
-    monkeypatch.setattr(causal.region_search, "region_means", lambda field, rects: sizes.append(len(rects)) or means(field, rects))
+    fitness = causal.region_search.causal_fitness
+    monkeypatch.setattr(causal.region_search, "causal_fitness", lambda field, panel, rects, *a: sizes.append(len(rects)) or fitness(field, panel, rects, *a))
     assert registry.QUERIES["ga_search"](spark, DATA).first().fitness > 0
     assert sizes[0] == 36 and len(sizes) >= 8 and sum(sizes) > 150
 
