@@ -30,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, trimmed, written
+from gridloom.llm.common import sliced, texts, trim, trimmed, written
 
-BLOCK_BYTES = 10_000_000
-BUCKET_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
+BUCKET_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -178,6 +178,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 ids.append(own)
                 sizes.append(len(own) >> 2)
             out.append(pack(np.concatenate([np.array([count, *sizes], "<u4"), np.frombuffer(b"".join(ids), "<u4")])))
+        trim()
         return pa.table({"block": lists.column("block"), "places": lists.column("places"), "coded": pa.array(out, pa.binary())})
 
     coded = words.groupBy("bucket").applyInArrow(encode_words, "block long, places binary, coded binary")
@@ -204,6 +205,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 at += n_words
                 n_ids.append(len(own_ids))
                 out.append(own_ids.tobytes())
+        trim()
         return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     positions = blocks_of(documents, pattern, buckets, block_bytes, words_wanted=False)
@@ -222,7 +224,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             sizes[rank] = len(token)
         flat = np.frombuffer(b"".join(sorted(ranks.value, key=ranks.value.__getitem__)), np.uint8)
         starts = np.cumsum(sizes) - sizes
-        for part in sliced(batches, ids_col, 8_000_000):
+        for part in sliced(batches, ids_col, 2_000_000):
             each = [np.frombuffer(ids or b"", "<u4") for ids in part.column(ids_col).to_pylist()]
             done = [gathered(flat, starts[ids], sizes[ids]).tobytes() for ids in each]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, "decoded"])
