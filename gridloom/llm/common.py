@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to Python, unless the session says otherwise: texts are long, and an executor holds several batches.
+BATCH_SETTING, USUAL_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder. Sets the session's batch size for long texts, where it is the usual one."""
+    if spark.conf.get(BATCH_SETTING, USUAL_ROWS) == USUAL_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,9 +58,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Settings while a table is written: the shuffle files of the job go when it ends, as its result is a table then; and batches for Python
-#: hold fewer rows than usual, as texts are long.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: Spark's setting to remove the shuffle files of a job when it ends, as its result is a table then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,14 +77,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in WHILE_WRITING}
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in WHILE_WRITING.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

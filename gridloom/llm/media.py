@@ -16,7 +16,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -259,26 +259,30 @@ def carve(b: bytes, machine) -> list[tuple[str, int, int]]:
     return out
 
 
+PIECE = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+FOUND = "detected string, corrected boolean, media array<struct<type:string,offset:long,length:long>>"
+
+
+def sniffed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``content`` and ``declared``, and what was found beside them."""
+    machine = automaton()
+    for part in sliced(batches, "content", BATCH_BYTES):
+        detected, corrected, media = [], [], []
+        for value, declared in zip(part.column("content").to_pylist(), part.column("declared").to_pylist(), strict=True):
+            found = carve(value or b"", machine)
+            whole = next((k for k, at, _ in found if at == 0), None)
+            detected.append(whole)
+            corrected.append(whole is not None and whole != declared)
+            media.append([{"type": k, "offset": at, "length": n} for k, at, n in found if at])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(detected, pa.string()), pa.array(corrected, pa.bool_()), pa.array(media, pa.list_(PIECE))], [*part.schema.names, "detected", "corrected", "media"])
+
+
 def sniff(df: DataFrame, content_col: str = "content", declared_col: str = "declared", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, content, declared, detected, corrected, media``: the true type of each value, whether that corrects the declared one,
     and the embedded pieces as ``array<struct<type, offset, length>>``. keep: more columns of ``df`` to carry along."""
     source = df.select(df[id_col].alias("doc_id"), df[content_col].cast("binary").alias("content"), df[declared_col].cast("string").alias("declared"), *(df[c] for c in keep))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    piece = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton()
-        for part in sliced(batches, "content", BATCH_BYTES):
-            detected, corrected, media = [], [], []
-            for value, declared in zip(part.column("content").to_pylist(), part.column("declared").to_pylist(), strict=True):
-                found = carve(value or b"", machine)
-                whole = next((k for k, at, _ in found if at == 0), None)
-                detected.append(whole)
-                corrected.append(whole is not None and whole != declared)
-                media.append([{"type": k, "offset": at, "length": n} for k, at, n in found if at])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(detected, pa.string()), pa.array(corrected, pa.bool_()), pa.array(media, pa.list_(piece))], [*part.schema.names, "detected", "corrected", "media"])
-
-    return source.mapInArrow(trimmed(run), f"{fields}, detected string, corrected boolean, media array<struct<type:string,offset:long,length:long>>")
+    return source.mapInArrow(trimmed(sniffed), f"{fields}, {FOUND}")
 
 
 def carved(sniffed: DataFrame) -> DataFrame:
@@ -305,37 +309,49 @@ def samples_of(stored: bytes) -> tuple[int, bytes]:
     raise ValueError("no data chunk")
 
 
+def stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``doc_id`` and ``text`` as ``doc_id, n_bytes, content, declared``."""
+    for part in sliced(batches, "text", BATCH_BYTES):
+        raw = [t.encode() for t in part.column("text").to_pylist()]
+        waves = [wav_of(b + b"\0" * (-len(b) % UNIT if b else UNIT)) for b in raw]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(waves, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], ["doc_id", "n_bytes", "content", "declared"])
+
+
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, content, declared``: each text's bytes, padded by 0 to a positive multiple of 64, as audio samples."""
     source = texts(df, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(trimmed(stored), f"doc_id {kind}, n_bytes long, content binary, declared string")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "text", BATCH_BYTES):
-            raw = [t.encode() for t in part.column("text").to_pylist()]
-            stored = [wav_of(b + b"\0" * (-len(b) % UNIT if b else UNIT)) for b in raw]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(stored, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], ["doc_id", "n_bytes", "content", "declared"])
+DIGESTS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+DIGEST_TYPES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    return source.mapInArrow(trimmed(run), f"doc_id {kind}, n_bytes long, content binary, declared string")
 
+def digested(batches: Iterable[pa.RecordBatch], front: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sniffed batches of stored audio as the columns ``front`` and the digests."""
+    for part in sliced(batches, "content", BATCH_BYTES):
+        cols: list[list] = [[] for _ in DIGESTS]
+        for value, detected, media in zip(part.column("content").to_pylist(), part.column("detected").to_pylist(), part.column("media").to_pylist(), strict=True):
+            rate, payload = samples_of(value)
+            x = np.frombuffer(payload, np.uint8)
+            wave = x.astype(np.int16) - 128
+            said = f"{detected};rate={rate};bits=8;channels=1;samples={len(x)};min={x.min()};max={x.max()};sum={int(x.sum(dtype=np.int64))};energy={int((wave.astype(np.int64) ** 2).sum())};crossings={int(((wave[1:] < 0) != (wave[:-1] < 0)).sum())};embedded={len(media)}"
+            for col, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(value), hashlib.sha256(value).hexdigest(), said), strict=True):
+                col.append(v)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in front), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*front, *DIGESTS])
 
-def features(sniffed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Digests and features of stored audio, from the stored bytes: ``doc_id``, the kept columns, ``payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature``."""
+
+def features(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Digests and features of stored audio that has been sniffed, from the stored bytes: ``doc_id``, the kept columns, and ``DIGESTS``."""
     front = ["doc_id", *keep]
-    fields = ", ".join(f"`{c}` {sniffed.schema[c].dataType.simpleString()}" for c in front)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, "content", BATCH_BYTES):
-            cols: list[list] = [[] for _ in range(6)]
-            for stored, detected, media in zip(part.column("content").to_pylist(), part.column("detected").to_pylist(), part.column("media").to_pylist(), strict=True):
-                rate, payload = samples_of(stored)
-                x = np.frombuffer(payload, np.uint8)
-                wave = x.astype(np.int16) - 128
-                said = f"{detected};rate={rate};bits=8;channels=1;samples={len(x)};min={x.min()};max={x.max()};sum={int(x.sum(dtype=np.int64))};energy={int((wave.astype(np.int64) ** 2).sum())};crossings={int(((wave[1:] < 0) != (wave[:-1] < 0)).sum())};embedded={len(media)}"
-                for col, value in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), said), strict=True):
-                    col.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in front), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*front, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return sniffed.mapInArrow(trimmed(run), f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in front)
+    return df.mapInArrow(trimmed(lambda batches: digested(batches, front)), f"{fields}, {DIGEST_TYPES}")
+
+
+def text_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``store_texts``, ``sniff`` and ``features`` one after another, in one worker instead of three: ``doc_id, n_bytes`` and ``DIGESTS``."""
+    source = texts(df, id_col, text_col)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(trimmed(lambda batches: digested(sniffed(stored(batches)), ["doc_id", "n_bytes"])), f"doc_id {kind}, n_bytes long, {DIGEST_TYPES}")

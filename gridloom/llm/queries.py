@@ -31,8 +31,7 @@ QUERIES["op1_token_counts"] = op1_token_counts
 
 
 def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(table(spark, sf_dir, "documents"))
-    return media.features(media.sniff(stored, keep=("n_bytes",)), keep=("n_bytes",))
+    return media.text_features(table(spark, sf_dir, "documents"))
 
 
 QUERIES["op3_media_sniff"] = op3_media_sniff
