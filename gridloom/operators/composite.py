@@ -41,3 +41,28 @@ def wind_mask(u: Column, v: Column, p_u: Column, p_v: Column, alpha: float) -> t
     """A vector stays if either component is significant."""
     keep = (p_u < alpha) | (p_v < alpha)
     return F.when(keep, u), F.when(keep, v)
+
+
+#: The place in ``SEQUENCE`` at which the seasons of a precursor of a season and year tag begin.
+STARTS = {"JJA_-1": 0, "SON_-1": 1, "DJF_0": 2, "MAM_0": 3}
+
+
+def target_seasons(start: str | None = None, wanted: list[str] | None = None) -> list[tuple[str, str, int]]:
+    """The seasons that are shown, in order: those wanted by name; else those from a precursor's own season on; else all. A start that is
+    unknown begins at the first."""
+    if wanted:
+        return [s for s in SEQUENCE if s[0] in wanted]
+    return SEQUENCE[STARTS.get(start or "", 0) :]
+
+
+def seasons_to_plot(wanted: list[str] | None, available: list[str], first: int = 0) -> list[str]:
+    """The wanted seasons that are there, in the order wanted; without any wanted, all from the first on."""
+    return [s for s in wanted if s in available] if wanted else available[first:]
+
+
+def by_bands(field: DataFrame, bands: DataFrame, events: DataFrame, least: int = 1) -> DataFrame:
+    """``band, level, lon, high, low, diff, t, df``: vertical composites of all latitude bands in one pass. field: ``year, level, lat, lon,
+    value``; bands: ``band, lat_min, lat_max``; events: ``year, kind``."""
+    from gridloom.operators.grid import band_means
+
+    return high_low(band_means(field, bands, ["year", "level"]), events, ["band", "level", "lon"], least)

@@ -10,13 +10,14 @@ from gridloom.sources.results import stored
 KEY = ["cause", "effect", "lag"]
 
 
-def persistence(runs: DataFrame, denominator: str = "observed", total: int | None = None, least_ratio: float = 0.75, most_p: float = 0.05, least_consistency: float = 0.9, least_effect: float = 0.15) -> DataFrame:
+def persistence(runs: DataFrame, denominator: str = "observed", total: int | None = None, least_ratio: float = 0.75, most_p: float = 0.05, least_consistency: float = 0.9, least_effect: float = 0.15, by: tuple[str, ...] = ()) -> DataFrame:
     """One row an edge. Means are over the runs where p <= alpha; the ratio is of those to the runs that have the edge ('observed') or to
     ``total``. Consistency is the share of effects with the sign of their mean, or of the commoner sign where the mean is near 0.
-    All in one aggregation: the sign of the mean picks among counts of each sign."""
+    All in one aggregation: the sign of the mean picks among counts of each sign. by: columns that keep graphs apart."""
+    key = [*by, *KEY]
     hit = F.col("p_value") <= F.col("alpha")
     effect = F.when(hit, F.col("causal_effect"))
-    g = runs.groupBy(*KEY).agg(
+    g = runs.groupBy(*key).agg(
         F.count_if(hit).alias("hits"),
         F.count_distinct("run_idx").alias("runs"),
         F.avg(effect).alias("avg_effect"),
@@ -26,7 +27,7 @@ def persistence(runs: DataFrame, denominator: str = "observed", total: int | Non
     )
     runs_of = F.greatest(F.col("runs"), F.lit(1)) if denominator == "observed" else F.lit(total)
     agreeing = F.when(F.abs("avg_effect") <= 1e-8, F.greatest("pos", "neg")).when(F.col("avg_effect") > 0, F.col("pos")).otherwise(F.col("neg"))
-    out = g.select(*KEY, (F.col("hits") / runs_of).alias("persistence_ratio"), "avg_effect", F.abs("avg_effect").alias("abs_effect"), "avg_p_value", F.when(F.col("hits") > 0, agreeing / F.col("hits")).alias("effect_consistency"))
+    out = g.select(*key, (F.col("hits") / runs_of).alias("persistence_ratio"), "avg_effect", F.abs("avg_effect").alias("abs_effect"), "avg_p_value", F.when(F.col("hits") > 0, agreeing / F.col("hits")).alias("effect_consistency"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     flags = {
         "is_persistent": yes(F.col("persistence_ratio") >= least_ratio),
@@ -38,8 +39,8 @@ def persistence(runs: DataFrame, denominator: str = "observed", total: int | Non
     return out.withColumn("is_robust", F.col("is_persistent") & F.col("has_low_pvalue") & F.col("is_consistent") & F.col("has_strong_effect"))
 
 
-def robust(table: DataFrame) -> DataFrame:
-    return table.filter("is_robust").select(*KEY, F.col("avg_effect").alias("effect_size"), F.col("avg_p_value").alias("p_value")).withColumn("link", F.lit("-->"))
+def robust(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return table.filter("is_robust").select(*by, *KEY, F.col("avg_effect").alias("effect_size"), F.col("avg_p_value").alias("p_value")).withColumn("link", F.lit("-->"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -138,3 +139,18 @@ def first_seen(df: DataFrame, name: str, order: str) -> DataFrame:
 def reduced(groups: DataFrame, pruned: DataFrame) -> DataFrame:
     """The variables of each group that the pruned graph still has. groups: ``group, var``."""
     return groups.join(F.broadcast(pruned.select("var").distinct()), "var", "left_semi")
+
+
+def graphs(runs: DataFrame, adjusted: DataFrame | None, targets: list[str], by: str = "set", most: int = 6, least: int = 3, **limits: float) -> DataFrame:
+    """``by, cause, effect, lag, effect_size, p_value, link``: the graph of each predictor set. Edges that persist over the set's runs stay if
+    they lie on a path to a target whose summed lag is within bounds, and if the set's run with adjusted p-values has them too (without
+    such a run that is not asked). runs: ``by, run_idx, alpha`` and edges; adjusted: ``by, alpha`` and edges. Sets are few, and each is
+    walked by itself."""
+    table = stored(robust(persistence(runs, by=(by,), **limits), (by,)), "graphs")
+    if adjusted is not None:
+        kept = adjusted.filter(F.col("p_value") <= F.col("alpha")).select(by, *KEY).distinct()
+        table = stored(table.join(kept, [by, *KEY], "left_semi"), "graphs")
+    out = table.limit(0)
+    for r in table.select(by).distinct().orderBy(by).collect():
+        out = out.unionByName(toward(table.filter(F.col(by) == r[0]), targets, most, least).select(table.columns))
+    return out

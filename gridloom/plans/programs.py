@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import calculus, composite, coupled, edges, forecast, grid, pcmci, program, region_search, season, stats
+from gridloom.operators import calculus, composite, coupled, edges, forecast, grid, indices, pcmci, program, region_search, season, stats
 from gridloom.plans import carriers as data
 from gridloom.plans.carriers import sql
 from gridloom.plans.causal import r4, r6
@@ -329,3 +329,42 @@ def pcmci_gpdc(spark: SparkSession, d: str) -> DataFrame:
     """The causal graph by distance correlation of what Gaussian processes leave."""
     p = data.panel(spark, d).select(F.lit(0).alias("run_idx"), F.lit(0.05).alias("alpha"), "t", "var", F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(False).alias("masked"))
     return pcmci.discover(p, ["run_idx"], test="gpdc")
+
+
+@query("set_graphs")
+def set_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The robust graph of each predictor set towards the target: its variables and the target alone enter its runs, one for each alpha."""
+    members = spark.createDataFrame([(s, v) for s, vs in (("known", ["AFRICA", "AMERICA", "EUROPE"]), ("new", ["ASIA", "MIDDLE EAST", "EUROPE"]), ("both", ["AFRICA", "AMERICA", "ASIA", "MIDDLE EAST", "EUROPE"])) for v in vs], "set string, var string")
+    p = data.panel(spark, d).select("t", "var", F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(False).alias("masked")).join(F.broadcast(members), "var")
+    alphas = F.explode(F.array(*(F.struct(F.lit(i).alias("run_idx"), F.lit(a).alias("alpha")) for i, a in enumerate((0.05, 0.025, 0.015, 0.01)))))
+    runs = pcmci.discover(p.withColumn("a", alphas).select("set", "a.run_idx", "a.alpha", "t", "var", "value", "masked"), ["set", "run_idx"])
+    return edges.graphs(runs, None, ["EUROPE"], least=1)
+
+
+@query("robust_by_set", sql("SELECT \"set\", cause, effect, lag, round(avg_effect, 6) AS effect_size, round(avg_p, 6) AS p_value FROM (SELECT CASE WHEN lag <= 3 THEN 'near' ELSE 'far' END AS \"set\", cause, effect, lag, count(*) FILTER (p_value <= alpha) AS hits, count(DISTINCT run_idx) AS n, avg(causal_effect) FILTER (p_value <= alpha) AS avg_effect, avg(p_value) FILTER (p_value <= alpha) AS avg_p, count(*) FILTER (p_value <= alpha AND causal_effect > 0) AS pos, count(*) FILTER (p_value <= alpha AND causal_effect < 0) AS neg FROM runs GROUP BY ALL) WHERE hits / n >= 0.5 AND avg_p <= 0.05 AND abs(avg_effect) >= 0.15 AND (CASE WHEN avg_effect > 0 THEN pos ELSE neg END) / hits >= 0.9"))
+def robust_by_set(spark: SparkSession, d: str) -> DataFrame:
+    own = data.runs(spark, d).withColumn("set", F.when(F.col("lag") <= 3, "near").otherwise("far"))
+    return edges.robust(edges.persistence(own, least_ratio=0.5, by=("set",)), ("set",)).select("set", "cause", "effect", "lag", r6("effect_size"), r6("p_value"))
+
+
+BANDS = "b AS (SELECT * FROM (VALUES ('south', -60.0, -15.0), ('middle', -20.0, 20.0)) AS b(band, lo, hi)), f AS (SELECT year(season)::INT AS year, month(season)::INT AS level, lat, lon, anom AS value FROM anom), m AS (SELECT year, level, band, lon, avg(value) AS value FROM f JOIN b ON lat BETWEEN lo AND hi GROUP BY ALL), yr AS (SELECT year(season)::INT AS year, avg(value) AS value FROM idx WHERE name = 'ASIA' GROUP BY ALL), ev AS (SELECT * FROM (SELECT year, 'high' AS kind FROM yr ORDER BY value DESC, year DESC LIMIT 3) UNION ALL SELECT * FROM (SELECT year, 'low' FROM yr ORDER BY value, year LIMIT 3))"
+
+
+@query("vertical_composites", sql("SELECT band, level, lon, round(avg(value) FILTER (kind = 'high'), 4) AS high, round(avg(value) FILTER (kind = 'low'), 4) AS low, round(avg(value) FILTER (kind = 'high') - avg(value) FILTER (kind = 'low'), 4) AS diff FROM m JOIN ev USING (year) GROUP BY band, level, lon", BANDS))
+def vertical_composites(spark: SparkSession, d: str) -> DataFrame:
+    a = data.anom(spark, d).select(F.year("season").alias("year"), F.month("season").alias("level"), "lat", "lon", F.col("anom").alias("value"))
+    bands = spark.createDataFrame([("south", -60.0, -15.0), ("middle", -20.0, 20.0)], "band string, lat_min double, lat_max double")
+    years = data.idx(spark, d).filter("name = 'ASIA'").groupBy(F.year("season").alias("year")).agg(F.avg("value").alias("value"))
+    events = season.extreme_years(years, 3).select("year", "kind")
+    return composite.by_bands(a, bands, events).select("band", "level", "lon", r4("high"), r4("low"), r4("diff"))
+
+
+@query("named_indices")
+def named_indices(spark: SparkSession, d: str) -> DataFrame:
+    """The E, C, SPO, NPO and PSA indices of the field, in boxes that its few cells fill."""
+    a = data.anom(spark, d).select("lat", "lon", "season", F.col("anom").alias("value"))
+    out = None
+    for name, box in (("EC", (-60, 60, -180, 180)), ("SPO", (-60, 0, -180, 180)), ("NPO", (0, 60, -180, 180)), ("PSA", (-60, 60, -180, 180))):
+        one = indices.named(a, name, box)
+        out = one if out is None else out.unionByName(one)
+    return out

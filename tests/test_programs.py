@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import trees
-from gridloom.operators import coupled, forecast, modes, pcmci, program, region_search, stats
+from gridloom.operators import composite, coupled, edges, forecast, indices, modes, pcmci, program, region_search, stats
 from gridloom.sources import progress, scan
 
 STAMPS = [datetime.date(1980 + k // 4, 1 + 3 * (k % 4), 1) for k in range(120)]
@@ -245,3 +245,49 @@ def test_sidecar_says_what_was_written(spark, tmp_path):
     row = scan.write_with_sidecar(df, f"file://{tmp_path}/field", "scan", {"b": 1, "a": "x"}, f"file://{tmp_path}/registry").first()
     assert row.rows == 1 and row.parameters == '{"a": "x", "b": 1}' and len(row.hash) == 8 and "value:double" in row.columns
     assert spark.read.json(f"file://{tmp_path}/registry").count() == 1 and spark.read.json(f"file://{tmp_path}/field.json").count() == 1
+
+
+@pytest.mark.parametrize("name,least", [("EC", None), ("SPO", "mean"), ("PSA", "mean")])
+def test_named_indices_are_those_of_a_plain_decomposition(spark, name, least):
+    rng = np.random.default_rng(15)
+    lats, lons = [-4.0, -1.0, 3.0], [172.0, 178.0, -170.0, -100.0, 20.0]
+    places = [(a, o) for a in lats for o in lons]
+    x = (rng.normal(size=(120, 3)) * [4, 2, 1]) @ rng.normal(size=(3, 15)) + 0.2 * rng.normal(size=(120, 15))
+    rows = [(*places[j], STAMPS[i], float(x[i, j])) for i in range(120) for j in range(15)]
+    box = (-5, 5, 170, -80)
+    got = {(r.season, r.name): r.value for r in indices.named(spark.createDataFrame(rows, "lat double, lon double, season date, value double"), name, box).collect()}
+    inside = [j for j, (_, o) in enumerate(places) if o != 20.0]
+    w = np.sqrt(np.cos(np.radians([places[j][0] for j in inside])))
+    y = (x[:, inside] - x[:, inside].mean(axis=0)) * w
+    u, s, v = np.linalg.svd(y, full_matrices=False)
+    pc = u * s
+
+    def standard(series):
+        out = series.copy()
+        for q in range(4):
+            out[q::4] = (series[q::4] - series[q::4].mean()) / series[q::4].std()
+        return out
+
+    if name == "EC":
+        sums = [standard((a * pc[:, 0] + b * pc[:, 1]) / 2**0.5) for a in (1, -1) for b in (1, -1)]
+        for n in "EC":
+            assert any(np.array([got[t, n] for t in STAMPS]) == pytest.approx(z, abs=1e-6) for z in sums)
+    else:
+        for n, m in {"SPO": {"SPO": 0}, "PSA": {"PSA1": 1, "PSA2": 2}}[name].items():
+            want = standard(pc[:, m] * (1 if v[m].mean() > 0 else -1))
+            assert np.array([got[t, n] for t in STAMPS]) == pytest.approx(want, abs=1e-6)
+
+
+def test_graphs_of_sets_reach_the_target(spark):
+    rows = [(s, k, 0.05, c, e, lag, 0.5, 0.01) for s in ("x", "y") for k in range(4) for c, e, lag in (("a", "goal", 3), ("b", "a", 1), ("c", "b", 3), ("d", "other", 2))]
+    runs = spark.createDataFrame(rows, "set string, run_idx int, alpha double, cause string, effect string, lag int, causal_effect double, p_value double")
+    adjusted = runs.filter("run_idx = 0 and not (set = 'y' and cause = 'b')").drop("run_idx")
+    got = {(r.set, r.cause, r.effect, r.lag) for r in edges.graphs(runs, adjusted, ["goal"]).collect()}
+    assert got == {("x", "a", "goal", 3), ("x", "b", "a", 1), ("y", "a", "goal", 3)}
+    assert {r.cause for r in edges.graphs(runs, None, ["goal"]).collect()} == {"a", "b"}
+
+
+def test_seasons_that_are_shown():
+    assert [s[0] for s in composite.target_seasons("DJF_0")] == ["DJF_0", "MAM_0", "JJA_0", "SON_0", "DJF_1"] and len(composite.target_seasons()) == 7 == len(composite.target_seasons("odd"))
+    assert [s[0] for s in composite.target_seasons("DJF_0", ["SON_0", "JJA_-1", "no"])] == ["JJA_-1", "SON_0"]
+    assert composite.seasons_to_plot(["b", "z", "a"], list("abc")) == ["b", "a"] and composite.seasons_to_plot(None, list("abc"), 1) == ["b", "c"]
