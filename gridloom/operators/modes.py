@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def fix_signs(components: np.ndarray) -> np.ndarray:
@@ -19,7 +20,8 @@ def fix_signs(components: np.ndarray) -> np.ndarray:
 
 
 def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and centred Gram matrix of an array column, summed per partition; what reaches the driver is columns x columns."""
+    """Rows, mean and centred Gram matrix of an array column. Partitions sum their own and the parts are added on the cluster, so the
+    driver gets columns x columns values; where columns outnumber rows, ``coupled.time_gram`` has the smaller matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, gram = 0, 0.0, 0.0
@@ -29,16 +31,20 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
                 x = np.asarray(col.flatten(), float).reshape(len(col), -1)
                 n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([gram.tobytes()], pa.binary())], ["n", "s", "g"])
+            rows = np.vstack([np.full(len(total), float(n)), total, gram])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(total))), pa.array(list(rows), pa.list_(pa.float64()))], ["i", "row"])
 
-    n, total, gram = 0, 0.0, 0.0
-    for r in df.select(column).mapInArrow(run, "n long, s binary, g binary").toLocalIterator():
-        s = np.frombuffer(bytes(r.s))
-        n, total, gram = n + r.n, total + s, gram + np.frombuffer(bytes(r.g)).reshape(len(s), len(s))
-    if not n:
+    parts = df.select(column).mapInArrow(run, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "v"))
+    cells = parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    found = [(r.i, r.j, r.v) for r in cells.toLocalIterator()]
+    if not found:
         return 0, np.zeros(0), np.zeros((0, 0))
-    mean = total / n
-    return n, mean, gram - n * np.outer(mean, mean)
+    k = 1 + max(j for _, j, _ in found)
+    whole = np.zeros((k + 2, k))
+    for i, j, v in found:
+        whole[i + 2, j] = v
+    n, mean = int(whole[0, 0]), whole[1] / whole[0, 0]
+    return n, mean, whole[2:] - n * np.outer(mean, mean)
 
 
 def eof(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

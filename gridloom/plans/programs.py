@@ -75,10 +75,10 @@ def finite_or_zero(spark: SparkSession, d: str) -> DataFrame:
     return scan.table(spark, d, "orders").select("o_orderkey", grid.finite_or_zero(odd).alias("value"))
 
 
-@query("band_means", sql("SELECT season, band, lon, round(avg(value), 4) AS value FROM sea JOIN (SELECT 'south' AS band, -60.0 AS lo, -15.0 AS hi UNION ALL SELECT 'middle', -20.0, 20.0 UNION ALL SELECT 'north', 15.0, 60.0) ON lat BETWEEN lo AND hi GROUP BY season, band, lon"))
+@query("band_means", sql("SELECT season, band, lon, round(avg(anom), 4) AS value FROM anom JOIN (SELECT 'south' AS band, -60.0 AS lo, -15.0 AS hi UNION ALL SELECT 'middle', -20.0, 20.0 UNION ALL SELECT 'north', 15.0, 60.0) ON lat BETWEEN lo AND hi GROUP BY season, band, lon"))
 def band_means(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([("south", -60.0, -15.0), ("middle", -20.0, 20.0), ("north", 15.0, 60.0)], "band string, lat_min double, lat_max double")
-    return grid.band_means(data.sea(spark, d), bands, ["season"]).select("season", "band", "lon", r4("value"))
+    return grid.band_means(data.anom(spark, d).withColumn("value", F.col("anom")), bands, ["season"]).select("season", "band", "lon", r4("value"))
 
 
 #: Values are missing in July at one latitude, and in April in whole columns.
@@ -368,3 +368,79 @@ def named_indices(spark: SparkSession, d: str) -> DataFrame:
         one = indices.named(a, name, box)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# scans and alignments
+
+
+RAW = "w AS (SELECT season, cell, lat, lon, anom, (cell % 4) * 250 AS level, CASE WHEN cell % 7 = 3 THEN NULL ELSE anom END AS value FROM anom)"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """The field as files have it: other names, helper columns, longitudes from 0 to 360, NaN for what is missing."""
+    a = data.anom(spark, d)
+    value = F.when(F.col("cell") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("anom"))
+    return a.select(F.col("season").alias("valid_time"), F.col("lat").alias("latitude"), F.pmod("lon", F.lit(360.0)).alias("longitude"), ((F.col("cell") % 4) * 250).alias("pressure_level"), F.lit(0).alias("number"), F.lit("0001").alias("expver"), value.alias("z"))
+
+
+@query("scan_one_level", sql("SELECT season AS time, lat, round(lon, 6) AS lon, round(value * 2 + 1, 4) AS value FROM w WHERE level = 500 AND lat BETWEEN -50 AND 40", RAW))
+def scan_one_level(spark: SparkSession, d: str) -> DataFrame:
+    field = scan.normalise(_raw(spark, d), "z", scale=2.0, transform=lambda v: v + 1, level=500, lat=(40, -50))
+    return field.select("time", "lat", r6("lon"), r4("value"))
+
+
+@query("scan_mean_levels", sql("SELECT season AS time, lat, round(lon, 6) AS lon, round(avg(value), 4) AS value FROM w WHERE level BETWEEN 250 AND 500 GROUP BY season, lat, lon", RAW))
+def scan_mean_levels(spark: SparkSession, d: str) -> DataFrame:
+    return scan.normalise(_raw(spark, d), "z", mean_levels=(500, 250)).select("time", "lat", r6("lon"), r4("value"))
+
+
+@query("union_of_scans", sql("SELECT season AS time, level, lat, round(lon, 6) AS lon, round(value, 4) AS value FROM w WHERE level <= 250 UNION ALL SELECT season, level, lat, round(lon, 6), round(value, 4) FROM w WHERE level = 750", RAW))
+def union_of_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Files of some levels each, one under another."""
+    raw = _raw(spark, d)
+    parts = [scan.normalise(raw.filter(c), "z") for c in ("pressure_level <= 250", "pressure_level = 750")]
+    return parts[0].unionByName(parts[1]).select("time", "level", "lat", r6("lon"), r4("value"))
+
+
+@query("wind_pair", sql("SELECT season, cell, round(anom, 4) AS u, round(anom * 0.5, 4) AS v FROM anom WHERE cell % 3 <> 0 AND month(season) <> 4"))
+def wind_pair(spark: SparkSession, d: str) -> DataFrame:
+    a = data.anom(spark, d)
+    u, v = a.filter("cell % 3 <> 0").select("season", "cell", F.col("anom").alias("value")), a.filter("month(season) <> 4").select("season", "cell", (F.col("anom") * 0.5).alias("value"))
+    return scan.wind_pair(u, v, ["season", "cell"]).select("season", "cell", r4("u"), r4("v"))
+
+
+@query("cyclic_wind", sql("SELECT season, lat, lon, round(value, 4) AS u, round(value * 0.5, 4) AS v FROM g UNION ALL SELECT season, lat, 180.0, round(value, 4), round(value * 0.5, 4) FROM g WHERE lon = -180", "g AS (SELECT season, cell % 5 AS lat, (cell // 5) * 72.0::DOUBLE - 180 AS lon, anom AS value FROM anom)"))
+def cyclic_wind(spark: SparkSession, d: str) -> DataFrame:
+    uv = data.anom(spark, d).select("season", (F.col("cell") % 5).alias("lat"), (F.floor(F.col("cell") / 5) * F.lit(72.0) - 180).alias("lon"), F.col("anom").alias("u"), (F.col("anom") * 0.5).alias("v"))
+    return grid.cyclic_point(uv, 72.0).select("season", "lat", "lon", r4("u"), r4("v"))
+
+
+@query("symmetric_levels_rounded", sql("SELECT cell, round(-round(max(abs(anom)) / 30000) * 30000, 4) + 0.0 AS low, (2 * round(max(abs(anom)) / 30000) + 1)::INT AS n FROM anom GROUP BY cell"))
+def symmetric_levels_rounded(spark: SparkSession, d: str) -> DataFrame:
+    top = data.anom(spark, d).groupBy("cell").agg(F.max(F.abs("anom")).alias("top"))
+    levels = top.withColumn("levels", grid.symmetric_levels(F.col("top"), 30000.0, rounded=True))
+    return levels.select("cell", (F.round(F.element_at("levels", 1), 4) + 0.0).alias("low"), F.size("levels").alias("n"))
+
+
+@query("majority_significant", sql("SELECT cause, effect, avg((p_value < 0.025)::INT) > 0.5 AS keep FROM runs GROUP BY cause, effect"))
+def majority_significant(spark: SparkSession, d: str) -> DataFrame:
+    return data.runs(spark, d).groupBy("cause", "effect").agg(grid.majority_significant(F.col("p_value"), 0.025).alias("keep"))
+
+
+@query("slope_significance_rows", sql("SELECT cell, round(b, 4) AS slope, round(se, 4) AS se, round(b / nullif(se, 0), 4) AS t, abs(b / nullif(se, 0)) >= 2.0 AS significant FROM (SELECT cell, regr_slope(y, x) AS b, sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / nullif(count(*) - 2, 0) / nullif(regr_sxx(y, x), 0)) AS se FROM (SELECT cell, x, CASE WHEN month(season) = 7 THEN NULL ELSE y END AS y FROM yx) GROUP BY cell)", ONTO))
+def slope_significance_rows(spark: SparkSession, d: str) -> DataFrame:
+    gaps = _onto(spark, d).withColumn("y", F.when(F.month("season") != 7, F.col("y")))
+    return stats.slope_significance(gaps, ["cell"], F.lit(2.0), n_mode="rows").select("cell", r4("slope"), r4("se"), r4("t"), "significant")
+
+
+@query("months_of_year", "SELECT 1996 AS year, lpad(m::VARCHAR, 2, '0') AS month FROM (SELECT unnest(range(1, 13)) AS m)")
+def months_of_year(spark: SparkSession, d: str) -> DataFrame:
+    return scan.year_months(spark, "1996-01", "1996-12")
+
+
+@query("remove_signal_3", sql("SELECT cell, season, round(e2 - coalesce(regr_slope(e2, c2) OVER v * (c2 - avg(c2) OVER v), 0) - avg(e2) OVER v, 3) + 0.0 AS residual FROM (SELECT cell, season, e1 - avg(e1) OVER v - regr_slope(e1, b1) OVER v * (b1 - avg(b1) OVER v) AS e2, c1 - avg(c1) OVER v - regr_slope(c1, b1) OVER v * (b1 - avg(b1) OVER v) AS c2 FROM (SELECT cell, season, y - avg(y) OVER v - regr_slope(y, a) OVER v * (a - avg(a) OVER v) AS e1, b - avg(b) OVER v - regr_slope(b, a) OVER v * (a - avg(a) OVER v) AS b1, c - avg(c) OVER v - regr_slope(c, a) OVER v * (a - avg(a) OVER v) AS c1 FROM yabc WINDOW v AS (PARTITION BY cell)) WINDOW v AS (PARTITION BY cell)) WINDOW v AS (PARTITION BY cell)", "yabc AS (SELECT t.cell, t.season, t.anom / 1e3 AS y, i.value / 1e3 AS a, j.value / 1e3 AS b, k.value / 1e3 AS c FROM anom t JOIN idx i ON i.season = t.season AND i.name = 'EUROPE' JOIN idx j ON j.season = t.season AND j.name = 'ASIA' JOIN idx k ON k.season = t.season AND k.name = 'AFRICA')"))
+def remove_signal_3(spark: SparkSession, d: str) -> DataFrame:
+    names = ["EUROPE", "ASIA", "AFRICA"]
+    wide = data.idx(spark, d).filter(F.col("name").isin(names)).groupBy("season").pivot("name", names).agg(F.first("value") / 1e3)
+    both = data.anom(spark, d).join(wide.dropna(), "season").withColumn("y", F.col("anom") / 1e3)
+    return stats.remove_signal(both, ["cell"], names).select("cell", "season", (F.round("residual", 3) + 0.0).alias("residual"))
