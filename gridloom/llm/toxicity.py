@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sliced, texts, trimmed, written
+from gridloom.llm.common import drop_written, sliced, texts, trimmed, written
 
 #: At most so many labelled rows train the classifier: those with the smallest hash of their id.
 TRAINING_ROWS = 8_000
@@ -156,6 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = [(set(r[0]), set(o)) for r in data for o in r[2]]
     apart = [(i, f, 1.0 if f in a else -1.0) for i, (a, o) in enumerate(pairs) for f in sorted(a ^ o)]
     pair, feature, sign = (np.array([t[k] for t in apart], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    drop_written(rows)
     w, b = fit(x, y, len(pairs), (pair, feature, sign))
     return Model({f: float(v) for f, v in zip(vocabulary, w, strict=True) if v}, b)
 
