@@ -66,3 +66,11 @@ def by_bands(field: DataFrame, bands: DataFrame, events: DataFrame, least: int =
     from gridloom.operators.grid import band_means
 
     return high_low(band_means(field, bands, ["year", "level"]), events, ["band", "level", "lon"], least)
+
+
+def significant(composites: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``high_low`` with ``p_value`` of the difference, and ``kept``: the difference where it is significant."""
+    from gridloom.operators.stats import t_p_value
+
+    tested = composites.withColumn("p_value", t_p_value(F.col("t"), F.col("df")))
+    return tested.withColumn("kept", F.when(F.col("p_value") < alpha, F.col("diff")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import trees
-from gridloom.operators.stats import lasso, lasso_cv
+from gridloom.operators.stats import lasso, lasso_cv, t_p_value
 
 
 def skill(df: DataFrame, keys: list[str], y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
@@ -168,8 +168,10 @@ def forecasts(panel: DataFrame, parents: DataFrame, keys: list[str], model: str
 
 
 def skill_table(predicted: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """Pooled metrics of all folds, by set, target and cumulative season, in the order of the seasons."""
+    """Pooled metrics of all folds with the correlation's two-sided p-value, by set, target and cumulative season, in the order of the seasons."""
     own = [*keys, "target", "max_season"]
-    both = skill(predicted, own).join(contingency(predicted, own, F.lit(threshold)), own)
+    pooled = skill(predicted, own)
+    pooled = pooled.withColumn("p_value", t_p_value(F.col("t"), (F.col("n") - 2).cast("double")))
+    both = pooled.join(contingency(predicted, own, F.lit(threshold)), own)
     place = F.array_position(F.array(*map(F.lit, CUMULATIVE)), F.col("max_season"))
     return both.orderBy("target", *keys, place)

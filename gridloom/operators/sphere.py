@@ -114,7 +114,8 @@ def diagnose(u: np.ndarray, v: np.ndarray, lat: np.ndarray) -> dict[str, np.ndar
 
 
 def fill_gaps(values: np.ndarray) -> np.ndarray:
-    """Natural cubic splines through the known values of each row, then of each column; ends stay unknown."""
+    """Cubic splines through the known values of each row, then of each column; ends stay unknown. At the second and the last but one value
+    the third derivative does not change, so a cubic is met exactly."""
     out = values.astype(float).copy()
     for view in (out, out.T):
         for row in view:
@@ -125,7 +126,8 @@ def fill_gaps(values: np.ndarray) -> np.ndarray:
             h = np.diff(x)
             a = np.zeros((len(x), len(x)))
             b = np.zeros(len(x))
-            a[0, 0] = a[-1, -1] = 1
+            a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+            a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
             for i in range(1, len(x) - 1):
                 a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
                 b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])

@@ -444,3 +444,16 @@ def remove_signal_3(spark: SparkSession, d: str) -> DataFrame:
     wide = data.idx(spark, d).filter(F.col("name").isin(names)).groupBy("season").pivot("name", names).agg(F.first("value") / 1e3)
     both = data.anom(spark, d).join(wide.dropna(), "season").withColumn("y", F.col("anom") / 1e3)
     return stats.remove_signal(both, ["cell"], names).select("cell", "season", (F.round("residual", 3) + 0.0).alias("residual"))
+
+
+@query("work_outcomes", "SELECT event_type, count(*) AS total, count(*) FILTER (value >= 5) AS succeeded, count(*) - count(*) FILTER (value >= 5) AS failed, (count(*) > count(*) FILTER (value >= 5))::INT AS exit_code FROM events GROUP BY event_type")
+def work_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return scan.outcomes(scan.table(spark, d, "events"), F.col("value") >= 5, ["event_type"])
+
+
+@query("composite_significance")
+def composite_significance(spark: SparkSession, d: str) -> DataFrame:
+    """Differences between extreme years in each cell and season, with p-values, kept where they are significant."""
+    years = data.idx(spark, d).filter("name = 'ASIA'").groupBy(F.year("season").alias("year")).agg(F.avg("value").alias("value"))
+    field = data.anom(spark, d).select(F.year("season").alias("year"), "cell", F.col("anom").alias("value"))
+    return composite.significant(composite.high_low(field, season.extreme_years(years, 3).select("year", "kind"), ["cell"]))

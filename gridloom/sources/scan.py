@@ -6,6 +6,8 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,3 +158,37 @@ def write_with_sidecar(df: DataFrame, path: str, script: str, parameters: dict,
     if registry:
         write_registry(kept, registry)
     return kept
+
+
+def write_persistence(table: DataFrame, path: str) -> DataFrame:
+    """The three results of a persistence analysis: ``persistence`` and ``robust`` as CSV, and ``summary`` as one JSON row, which is given back."""
+    spark = table.sparkSession
+    table.write.mode("overwrite").csv(f"{path}/persistence", header=True)
+    read = spark.read.schema(table.schema).csv(f"{path}/persistence", header=True)
+    read.filter("is_robust").write.mode("overwrite").csv(f"{path}/robust", header=True)
+    summary = read.agg(
+        F.count("*").alias("edges"),
+        F.count_if("is_persistent").alias("persistent"),
+        F.count_if("is_robust").alias("robust"),
+        F.avg("persistence_ratio").alias("mean_ratio"),
+        F.median("persistence_ratio").alias("median_ratio"),
+    )
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    return spark.read.json(f"{path}/summary")
+
+
+def readable(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    """Whether each Parquet file can be read and has rows. Footers alone are read."""
+    out = {}
+    for path in paths:
+        try:
+            out[path] = spark.read.parquet(path).count() > 0
+        except (AnalysisException, Py4JJavaError):
+            out[path] = False
+    return out
+
+
+def outcomes(results: DataFrame, ok: Column, by: list[str]) -> DataFrame:
+    """``by, total, succeeded, failed, exit_code``: how much of some work went well; the code is 1 where any failed."""
+    s = results.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"))
+    return s.withColumn("failed", F.col("total") - F.col("succeeded")).withColumn("exit_code", (F.col("total") > F.col("succeeded")).cast("int"))

@@ -93,6 +93,10 @@ def test_cubic_gap_fill():
     row[[5, 6, 12]] = np.nan
     filled = sphere.fill_gaps(np.tile(row, (6, 1)))
     assert filled == pytest.approx(np.tile(2 * x + 1, (6, 1)))
+    cubic = 0.1 * x**3 - x**2 + 2
+    holes = cubic.copy()
+    holes[[1, 4, 5, 9]] = np.nan
+    assert sphere.fill_gaps(np.tile(holes, (6, 1))) == pytest.approx(np.tile(cubic, (6, 1)))
 
 
 def test_polygon_excludes_its_edge(spark):

@@ -291,3 +291,24 @@ def test_seasons_that_are_shown():
     assert [s[0] for s in composite.target_seasons("DJF_0")] == ["DJF_0", "MAM_0", "JJA_0", "SON_0", "DJF_1"] and len(composite.target_seasons()) == 7 == len(composite.target_seasons("odd"))
     assert [s[0] for s in composite.target_seasons("DJF_0", ["SON_0", "JJA_-1", "no"])] == ["JJA_-1", "SON_0"]
     assert composite.seasons_to_plot(["b", "z", "a"], list("abc")) == ["b", "a"] and composite.seasons_to_plot(None, list("abc"), 1) == ["b", "c"]
+
+
+def test_persistence_is_written_and_files_are_checked(spark, tmp_path):
+    rows = [(k, 0.05, "a", "b", 2, 0.5, 0.01) for k in range(4)] + [(k, 0.05, "c", "b", 1, 0.5, 0.2) for k in range(4)]
+    runs = spark.createDataFrame(rows, "run_idx int, alpha double, cause string, effect string, lag int, causal_effect double, p_value double")
+    s = scan.write_persistence(edges.persistence(runs), f"file://{tmp_path}/p").first()
+    assert (s.edges, s.persistent, s.robust, s.mean_ratio) == (2, 1, 1, 0.5)
+    assert [r.cause for r in spark.read.csv(f"file://{tmp_path}/p/robust", header=True).collect()] == ["a"]
+    runs.limit(1).write.parquet(f"file://{tmp_path}/good")
+    (tmp_path / "bad").write_bytes(b"PAR1 not a table")
+    paths = [f"file://{tmp_path}/{n}" for n in ("good", "bad", "none")]
+    assert list(scan.readable(spark, paths).values()) == [True, False, False]
+
+
+def test_composites_are_tested(spark):
+    rng = np.random.default_rng(16)
+    rows = [(y, c, float(rng.normal() + (5 if c == 1 and y % 2 else 0))) for y in range(20) for c in (1, 2)]
+    field = spark.createDataFrame(rows, "year int, cell int, value double")
+    events = spark.createDataFrame([(y, "high" if y % 2 else "low") for y in range(20)], "year int, kind string")
+    got = {r.cell: r for r in composite.significant(composite.high_low(field, events, ["cell"])).collect()}
+    assert got[1].p_value < 1e-4 and got[1].kept == got[1].diff and (got[2].kept is None) == (got[2].p_value >= 0.05)
