@@ -149,8 +149,22 @@ def blocks_of(documents: DataFrame, pattern: str, buckets: int, block_bytes: int
     return documents.mapInArrow(trimmed(run), schema)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of each row; ids as little-endian unsigned 32-bit integers in one binary value."""
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table, indexed by id: all bytes, and where each token's begin and how many they are."""
+    sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+    return np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def spelled_out(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    flat, starts, sizes = table
+    return gathered(flat, starts[ids], sizes[ids]).tobytes()
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of each row; ids as little-endian unsigned 32-bit integers in one binary value. With ``decoded`` also the
+    bytes of those ids, as ``decode`` gives them, without a worker of its own."""
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     documents = stable(texts(df, id_col, text_col))
@@ -197,7 +211,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         if at_of:
             table[:, np.concatenate(at_of)] = np.concatenate(sizes_of, axis=1)
         ids = np.concatenate([*flat, np.zeros(0, "<u4")])
-        doc_ids, out, n_ids = own.column("doc_ids").combine_chunks().flatten(), [], []
+        doc_ids, out, n_ids, back = own.column("doc_ids").combine_chunks().flatten(), [], [], []
+        bytes_of = token_bytes(ranks.value) if decoded else None
         for counts, data in zip(own.column("counts").to_pylist(), own.column("packed").to_pylist(), strict=True):
             every, at = unpack(data), 0
             for n_words in unpack(counts).tolist():
@@ -205,11 +220,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 at += n_words
                 n_ids.append(len(own_ids))
                 out.append(own_ids.tobytes())
+                if bytes_of:
+                    back.append(spelled_out(np.frombuffer(out[-1], "<u4"), bytes_of))
         trim()
-        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array(n_ids, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {}))
 
     positions = blocks_of(documents, pattern, buckets, block_bytes, words_wanted=False)
-    return positions.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, n_tokens long, ids binary")
+    return positions.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else ""))
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -218,15 +236,9 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     schema = df.withColumn("decoded", F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the token-byte table, indexed by id
-        sizes = np.zeros(max(ranks.value.values(), default=-1) + 1, np.int64)
-        for token, rank in ranks.value.items():
-            sizes[rank] = len(token)
-        flat = np.frombuffer(b"".join(sorted(ranks.value, key=ranks.value.__getitem__)), np.uint8)
-        starts = np.cumsum(sizes) - sizes
+        table = token_bytes(ranks.value)
         for part in sliced(batches, ids_col, 2_000_000):
-            each = [np.frombuffer(ids or b"", "<u4") for ids in part.column(ids_col).to_pylist()]
-            done = [gathered(flat, starts[ids], sizes[ids]).tobytes() for ids in each]
+            done = [spelled_out(np.frombuffer(ids or b"", "<u4"), table) for ids in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, pa.binary())], [*part.schema.names, "decoded"])
 
     return df.mapInArrow(trimmed(run), schema)

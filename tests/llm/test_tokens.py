@@ -85,6 +85,8 @@ def test_bpe_equals_the_library_and_returns(odd):
         ids = enc.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), np.array(ids, "<u4").tobytes(), (r.text or "").encode()))
     assert sorted(((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
+    once = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, got))
     assert bpe.encode(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
