@@ -219,6 +219,11 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("fp", "text").mapInArrow(trimmed(run), "fp long, s array<long>")
 
 
+def few(table: DataFrame, longs: int = 1) -> DataFrame:
+    """A written table of so many longs a row, marked for broadcast if it is proven small."""
+    return F.broadcast(table) if table.count() * longs <= BROADCAST_LONGS else table
+
+
 def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """``u, v``: pairs of sets ``fp`` of ``nodes(fp, sim)`` whose fingerprints pigeonring finds within ``MOST_BITS`` bits: sets with one
     fingerprint are paired with the least of them, and those of two fingerprints by their least."""
@@ -243,8 +248,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fract
     def sets_of(wanted: DataFrame) -> DataFrame:
         """``fp, s`` of the wanted ``fp``. Rows that occur more than once give their set once."""
         rows = written(nodes.select("fp", "row").join(wanted, "fp"), "simhash-wanted")
-        small = rows.count() * 2 <= BROADCAST_LONGS
-        found = written(shingle_sets(texts.select("row", "text").join(F.broadcast(rows) if small else rows, "row").select("fp", "text"), shingle), "simhash-sets")
+        found = written(shingle_sets(texts.select("row", "text").join(few(rows, 2), "row").select("fp", "text"), shingle), "simhash-sets")
         drop_written(rows)
         if found.groupBy("fp").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
             return found
@@ -253,18 +257,23 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fract
         return once
 
     def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("y")), "v")
+        """Those of the pairs, a written table, whose sets are similar. Sets of no pair stay where they are."""
+        held = sets.join(few(written(ends(pairs), "simhash-ends")), "fp", "left_semi")
+        both = pairs.join(held.select(F.col("fp").alias("u"), F.col("s").alias("x")), "u").join(held.select(F.col("fp").alias("v"), F.col("s").alias("y")), "v")
         return both.filter(F.size(F.array_intersect("x", "y")) * under >= (F.size("x") + F.size("y")) * over).select("u", "v")
 
-    ends = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+
     quick = fingerprint_pairs(nodes)
     sets = sets_of(ends(quick))
     found = written(similar(quick, sets), "simhash-near")
     drop_written(sets)
     apart = written(roots(found), "simhash-roots").withColumnRenamed("node", "fp")
     every = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
-    # counts are pre-aggregated and the join back can be split, as one shingle may be in very many prefixes
-    counted = every.join(every.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "key")
+    # counts are pre-aggregated and the join back can be split, as one shingle may be in very many prefixes; most are in one alone
+    counts = written(every.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "simhash-counts")
+    counted = every.join(few(counts, 2), "key")
     shared = written(counted.join(apart, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-shared")
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -284,10 +293,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fract
         differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
         return both.filter((F.col("un") + F.col("vn") - differ) * under >= (F.col("un") + F.col("vn")) * (2 * over)).select("u", "v")
 
-    few = shared.filter(F.col("held") <= CROWDED)
+    scarce = shared.filter(F.col("held") <= CROWDED)
     many = shared.filter(F.col("held") > CROWDED).drop("held")
     least = many.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("fp"))).filter(F.col("i") <= PIVOTS).drop("i")
-    first = written(likely(met(few, few).union(met(many, least))), "simhash-pairs")
+    first = written(likely(met(scarce, scarce).union(met(many, least))), "simhash-pairs")
     sets = sets_of(ends(first).union(many.select("fp")).distinct())
     found = written(found.union(similar(first, sets)), "simhash-near")
     if many.isEmpty():
@@ -298,7 +307,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, share: Fract
         main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         rest = rooted.join(main, "key").filter("root <> main").drop("main")
         others = rooted if more is None else rooted.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("fp", F.lit(more))))).filter(F.col("i") <= more).drop("i")
-        found = written(found.union(similar(likely(met(rest, others)), sets)), "simhash-near")
+        pairs = written(likely(met(rest, others)), "simhash-pairs")
+        found = written(found.union(similar(pairs, sets)), "simhash-near")
         drop_written(rooted)
     for old in (sets, shared, marks, first):
         drop_written(old)
@@ -324,5 +334,5 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     # the whole row is one column here, so no name of the input can clash
     own = Window.partitionBy("row").orderBy("row")
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("it"), row.alias("row"))
-    held = packed.join(F.broadcast(kept) if kept.count() <= BROADCAST_LONGS else kept, "row", "left_semi")
+    held = packed.join(few(kept), "row", "left_semi")
     return held.withColumn("k", F.row_number().over(own)).filter("k = 1").select(*(F.col(f"it.`{c}`").alias(c) for c in df.columns))
