@@ -11,11 +11,13 @@ matches any line before it, in the order of ids and then of places in the text;
    first two and the last two of them. Classes beyond the first ``EASY`` of a sketch for which that finds a match, as far as sizes and
    bitmaps tell, are set aside, and their one pair is verified. That costs a row for each class and sketch, however large a group is.
 4. Two sets of sizes a <= b that match share a word among the first ``a - ceil(8/9 a) + 1`` of the smaller and the first
-   ``b - ceil(0.8 b) + 1`` of the larger (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the first shared word leaves room for
-   the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words by 6 or 7 bits of their hash,
-   bounds the overlap from above. What is left is verified on the whole sets. This join takes the classes that were not set aside.
+   ``b - ceil(0.8 b) + 1`` of the larger (prefix filter). Classes meet by such words; sizes must be within 0.8 (length filter); the
+   first shared word leaves room for the overlap that is needed (positional filter); and a bitmap of each set, the parity of its words
+   by 6 or 7 bits of their hash, bounds the overlap from above. What is left is verified on the whole sets. This join takes the
+   classes that were not set aside.
 5. Classes that still have no match meet those that were set aside, in the same way, first a few of a key and then all, and so do
-   set-aside classes whose pair failed with all others. So every pair is considered, but for those whose later line has a match already: one earlier match decides.
+   set-aside classes whose pair failed with all others. So every pair is considered, but for those whose later line has a match
+   already: one earlier match decides.
 6. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
    p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
 
