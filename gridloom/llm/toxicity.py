@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_written, sliced, texts, trimmed, written
+from gridloom.llm.common import drop_written, sliced, texts, trim, trimmed, written
 
 #: At most so many labelled rows train the classifier: those with the smallest hash of their id.
 TRAINING_ROWS = 8_000
@@ -143,21 +143,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = {f: i for i, f in enumerate(vocabulary)}
 
     def chosen_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a counterfactual only what differs goes to the driver: f + 1 for a feature that the text has alone, -(f + 1) for the other's
         kinds = (pa.list_(pa.int32()), pa.int32(), pa.list_(pa.list_(pa.int32())))
-        ids = lambda words: sorted(index[f] for f in features_of(words) if f in index)
+        ids = lambda words: {index[f] for f in features_of(words) if f in index}
         for part in sliced(batches, "text", BATCH_BYTES):
-            sets = [words_of(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([ids(s) for s in sets], kinds[0]), part.column("label"), pa.array([[ids(c) for c in swapped(s)] for s in sets], kinds[2])], ["f", "label", "other"])
+            own, other = [], []
+            for text in part.column("text").to_pylist():
+                words = words_of(text)
+                mine = ids(words)
+                own.append(sorted(mine))
+                other.append([sorted([f + 1 for f in mine - theirs] + [-f - 1 for f in theirs - mine]) for theirs in map(ids, swapped(words))])
+            yield pa.RecordBatch.from_arrays([pa.array(own, kinds[0]), part.column("label"), pa.array(other, kinds[2])], ["f", "label", "other"])
 
     data = sorted((tuple(r.f), r.label, tuple(map(tuple, r.other))) for r in rows.mapInArrow(trimmed(chosen_features), "f array<int>, label int, other array<array<int>>").collect())
     x, y = np.zeros((len(data), len(index)), np.float32), np.array([r[1] for r in data], float)
     for i, r in enumerate(data):
         x[i, list(r[0])] = 1
-    pairs = [(set(r[0]), set(o)) for r in data for o in r[2]]
-    apart = [(i, f, 1.0 if f in a else -1.0) for i, (a, o) in enumerate(pairs) for f in sorted(a ^ o)]
-    pair, feature, sign = (np.array([t[k] for t in apart], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    apart = [o for r in data for o in r[2]]
+    signed = np.array([f for o in apart for f in o], np.int64)
+    pair = np.repeat(np.arange(len(apart)), [len(o) for o in apart])
     drop_written(rows)
-    w, b = fit(x, y, len(pairs), (pair, feature, sign))
+    w, b = fit(x, y, len(apart), (pair, np.abs(signed) - 1, np.sign(signed).astype(float)))
+    del data, apart, x
+    trim()
     return Model({f: float(v) for f, v in zip(vocabulary, w, strict=True) if v}, b)
 
 
