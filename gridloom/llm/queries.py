@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontam, langid, line_dedup, media, pii, repeats, simhash, token_fst, toxicity
+from gridloom.llm import bpe, decontam, exact_dedup, filter_audit, langid, line_dedup, media, pii, repeats, simhash, token_fst, toxicity
 from gridloom.llm.common import table, texts
 
 HELD_OUT = 2
@@ -143,3 +143,40 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_surrogates"] = op7_surrogates
+
+
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+QUERIES["op11_exact_dedup"] = op11_exact_dedup
+ORACLES["op11_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_filter_audit"] = op12_filter_audit
+ORACLES["op12_filter_audit"] = r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false)::INT AS good, coalesce(bool_or(toxic = 1), false)::INT AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT [a, b, c, d, e] AS o FROM unnest([1, 2, 3, 4, 5]) t1(a), unnest([1, 2, 3, 4, 5]) t2(b), unnest([1, 2, 3, 4, 5]) t3(c), unnest([1, 2, 3, 4, 5]) t4(d), unnest([1, 2, 3, 4, 5]) t5(e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT o, k AS step, o[k] AS x, o[1 : k - 1] AS before FROM o, unnest([1, 2, 3, 4, 5]) t(k)),
+r AS (SELECT part, o, step, x, n, good, toxic, fails[x] AS fail, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda i: i)) = 1 AS alone FROM m, s),
+g AS (SELECT part, o, step, x, coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fail AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (fail AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fail AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0) AS toxic_lost FROM r GROUP BY part, o, step, x)
+SELECT part, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g
+"""
