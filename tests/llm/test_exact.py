@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, filter_audit
 
-NO_LETTERS = ["", " ", "\t\n", "  ", " "]
+BLANK = ["", " ", "\t\n", "  ", "\u00a0"]
 
 
 def plain_classes(rows):
