@@ -11,7 +11,7 @@ from gridloom.plans.carriers import sql
 from gridloom.plans.causal import r4, r6
 from gridloom.plans.climate import ONTO, _onto
 from gridloom.plans.registry import query
-from gridloom.sources import scan
+from gridloom.sources import progress, results, scan
 
 
 def _nation(spark: SparkSession, d: str) -> DataFrame:
@@ -446,7 +446,7 @@ def remove_signal_3(spark: SparkSession, d: str) -> DataFrame:
     return stats.remove_signal(both, ["cell"], names).select("cell", "season", (F.round("residual", 3) + 0.0).alias("residual"))
 
 
-@query("work_outcomes", "SELECT event_type, count(*) AS total, count(*) FILTER (value >= 5) AS succeeded, count(*) - count(*) FILTER (value >= 5) AS failed, (count(*) > count(*) FILTER (value >= 5))::INT AS exit_code FROM events GROUP BY event_type")
+@query("work_outcomes", "SELECT event_type, count(*) AS total, count(*) FILTER (value >= 5) AS succeeded, count(*) FILTER (value < 5 OR value IS NULL) AS failed, (CASE WHEN bool_and(coalesce(value, 0) >= 5) THEN 0 WHEN bool_or(coalesce(value, 0) >= 5) THEN 2 ELSE 1 END)::INT AS exit_code FROM events GROUP BY event_type")
 def work_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return scan.outcomes(scan.table(spark, d, "events"), F.col("value") >= 5, ["event_type"])
 
@@ -457,3 +457,20 @@ def composite_significance(spark: SparkSession, d: str) -> DataFrame:
     years = data.idx(spark, d).filter("name = 'ASIA'").groupBy(F.year("season").alias("year")).agg(F.avg("value").alias("value"))
     field = data.anom(spark, d).select(F.year("season").alias("year"), "cell", F.col("anom").alias("value"))
     return composite.significant(composite.high_low(field, season.extreme_years(years, 3).select("year", "kind"), ["cell"]))
+
+
+@query("resumed_streamfunction", sql("""SELECT season, lat, level, round(sum(coalesce((f + p) / 2 * (level - q), 0)) OVER (PARTITION BY season, lat ORDER BY level) / 1e9, 4) AS psi, year(season)::INT AS year FROM (
+  SELECT *, lag(f) OVER w AS p, lag(level) OVER w AS q FROM (SELECT season, cell % 5 AS lat, (cell // 5) * 72.0::DOUBLE + 20 AS level, value * (2 * 3.141592653589793 * 6.371e6 / 9.80665) * cos(radians(cell % 5)) AS f FROM sea) WINDOW w AS (PARTITION BY season, lat ORDER BY level))"""))
+def resumed_streamfunction(spark: SparkSession, d: str) -> DataFrame:
+    """The mass stream function in chunks of a year: a first run stops after two of them, a second one does the rest."""
+    levels = data.sea(spark, d).select("season", (F.col("cell") % 5).alias("lat"), (F.floor(F.col("cell") / 5) * F.lit(72.0) + 20).alias("level"), "value", F.year("season").alias("year"))
+    path = results.shared_path(spark, "streamfunction")
+
+    def work(years: DataFrame) -> DataFrame:
+        some = levels.join(F.broadcast(years), "year", "left_semi")
+        return calculus.mass_streamfunction(some, ["season"]).select("season", "lat", "level", r4(F.col("psi") / 1e9, "psi"), F.year("season").alias("year"))
+
+    schema = "season date, lat long, level double, psi double, year int"
+    for most in (2, 0):
+        progress.fill(spark, path, schema, levels.select("year").distinct(), ["year"], work, at_once=1, most=most)
+    return progress.result(spark, path, schema)

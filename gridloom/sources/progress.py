@@ -1,13 +1,64 @@
-"""Chunks of long work that may be stopped: what is done is kept in a table of JSON rows in a shared folder, and a new run does the rest."""
+"""Chunks of long work that may be stopped.
+
+``fill`` makes a chunk one or more partitions of the result table. The write is staged, and a partition is replaced as a whole when the job
+commits (dynamic partition overwrite), so the table itself says what is done: there is no mark that can be lost between the work and its
+record. A run that is killed at any place leaves each partition as it was or as it will be, and the next run does the rest.
+
+``resume`` keeps a record of its own, for work that is no table. There a chunk may run twice, so its work must be safe to repeat.
+"""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "chunk string, rows long, finished timestamp"
+log = logging.getLogger(__name__)
+
+
+def result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; an empty one where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def publish(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the partitions ``by`` that ``df`` has rows of, each as a whole, and leave the others. Rows are dealt out by partition, and Spark
+    splits those that are large and joins those that are small, so files have a good size however uneven the partitions are."""
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def left(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: list[str]) -> DataFrame:
+    """The chunks that the table lacks. With a column ``rows`` also those of which it has another number of rows, so input that has grown
+    since is done again. chunks: ``by[, rows]``, each once; NULL is a value like others."""
+    there = result(spark, path, schema).groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.count("*").alias("_rows"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    if "rows" in chunks.columns:
+        same = same & (F.col("rows") == F.col("_rows"))
+    return chunks.join(there, same, "left_anti")
+
+
+def fill(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: list[str], work: Callable[[DataFrame], DataFrame], at_once: int = 0, most: int = 0) -> int:
+    """Publish ``work(some chunks)`` for all chunks that are left, ``at_once`` at a time (0: all), and give how many were done. ``work`` takes
+    rows ``by`` and gives the rows of just those partitions. most: stop after so many groups (0: none). A chunk that gives no rows is
+    tried again by each run. The list of chunks is the plan of the work, and short: it comes to the driver."""
+    todo = sorted(left(spark, path, schema, chunks, by).select(*by).collect(), key=lambda r: [(x is not None, x) for x in r])
+    size = at_once or max(1, len(todo))
+    groups = [todo[i : i + size] for i in range(0, len(todo), size)]
+    for group in groups[: most or len(groups)]:
+        publish(work(spark.createDataFrame(group, chunks.select(*by).schema)), path, by)
+        log.info("published %d of %d chunks in %s", len(group), len(todo), path)
+    return sum(map(len, groups[: most or len(groups)]))
 
 
 def done(spark: SparkSession, path: str) -> DataFrame:

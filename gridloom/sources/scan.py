@@ -189,6 +189,8 @@ def readable(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
 
 
 def outcomes(results: DataFrame, ok: Column, by: list[str]) -> DataFrame:
-    """``by, total, succeeded, failed, exit_code``: how much of some work went well; the code is 1 where any failed."""
+    """``by, total, succeeded, failed, exit_code``: how much of some work went well. The code is 0 where all did, 1 where none did and 2
+    where some did."""
     s = results.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"))
-    return s.withColumn("failed", F.col("total") - F.col("succeeded")).withColumn("exit_code", (F.col("total") > F.col("succeeded")).cast("int"))
+    code = F.when(F.col("succeeded") == F.col("total"), 0).when(F.col("succeeded") == 0, 1).otherwise(2)
+    return s.withColumn("failed", F.col("total") - F.col("succeeded")).withColumn("exit_code", code)
