@@ -31,17 +31,6 @@ def lagged(left: DataFrame, right: DataFrame, k: int, time: str = "t") -> DataFr
     return left.join(right.withColumn(time, F.col(time) + k), time)
 
 
-def asof_nearest(events: DataFrame, series: DataFrame, time: str, value: str, bucket_days: int, keys: list[str]) -> DataFrame:
-    """For each event the series value of the nearest time; ties go to the earlier. Times meet by buckets of days, with the bucket
-    before and after, so this is an equi-join; ``bucket_days`` must be at least the largest gap in the series."""
-    day = F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date"))
-    bucket = F.floor(day / bucket_days)
-    near = series.select(F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"), F.col(time).alias("_time"), F.col(value).alias("_value"))
-    both = events.withColumn("_b", bucket).join(near, "_b")
-    gap = F.abs(F.datediff(F.col(time).cast("date"), F.col("_time").cast("date")))
-    return both.groupBy(*keys, time).agg(F.min_by("_value", F.struct(gap, F.col("_time"))).alias(value))
-
-
 def missing(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return required.join(present.select(key).distinct(), key, "left_anti")
 

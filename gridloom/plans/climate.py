@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import calculus, composite, grid, panel as align, season, stats
+from gridloom.operators import calculus, composite, grid, ordered, panel as align, season, stats
 from gridloom.plans import carriers as data
 from gridloom.plans.carriers import PLACE, sql
 from gridloom.plans.registry import query
@@ -249,7 +249,17 @@ SELECT time, round(value, 2) AS value FROM (SELECT e.time, s.value, row_number()
 def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     e = scan.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("time")).distinct()
     s = scan.table(spark, d, "lineitem").groupBy(F.date_add(F.date_trunc("month", "l_shipdate").cast("date"), 14).alias("time")).agg(F.sum("l_extendedprice").alias("value"))
-    return align.asof_nearest(e, s, "time", "value", 40, []).select("time", F.round("value", 2).alias("value"))
+    return ordered.asof_nearest(e, s, "time", "value").select("time", F.round("value", 2).alias("value"))
+
+
+@query("asof_nearest_gaps", """WITH e AS (SELECT l_orderkey, l_linenumber, l_shipdate::TIMESTAMP AS time FROM lineitem), s AS (SELECT o_orderdate::TIMESTAMP AS time, min(o_totalprice) AS value FROM orders WHERE month(o_orderdate) = 7 AND year(o_orderdate) % 2 = 0 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, e.time, round(CASE WHEN b.time IS NULL OR a.time - e.time < e.time - b.time THEN a.value ELSE b.value END, 2) AS value
+FROM e ASOF LEFT JOIN s b ON e.time >= b.time ASOF LEFT JOIN s a ON e.time <= a.time""")
+def asof_nearest_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the largest table against a series that is silent for 23 months of two years."""
+    e = scan.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("time"))
+    s = scan.table(spark, d, "orders").filter((F.month("o_orderdate") == 7) & (F.year("o_orderdate") % 2 == 0)).select(F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
+    return ordered.asof_nearest(e, s, "time", "value").select("l_orderkey", "l_linenumber", "time", F.round("value", 2).alias("value"))
 
 
 @query("missing_anti", "SELECT year FROM (SELECT unnest(range(1990, 2010))::INT AS year) WHERE year NOT IN (SELECT year(o_orderdate) FROM orders)")
@@ -399,6 +409,16 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     return stats.bh_fdr(p, ["run_idx"]).select("cause", "effect", "lag", "run_idx", F.round("p_value", 9).alias("p_value"), F.round("q_value", 9).alias("q_value"))
 
 
+@query("bh_fdr_one_family", """WITH p AS (SELECT l_orderkey, l_linenumber, ((l_extendedprice * 100)::BIGINT % 99991) / 99991.0::DOUBLE * l_discount AS p_value FROM lineitem),
+q AS (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, l_orderkey, l_linenumber) AS q FROM p)
+SELECT l_orderkey, l_linenumber, round(least(1.0, min(q) OVER (ORDER BY p_value DESC, l_orderkey DESC, l_linenumber DESC ROWS UNBOUNDED PRECEDING)), 7) AS q_value FROM q""")
+def bh_fdr_one_family(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the largest table are one family; a tenth of them tie at 0."""
+    p = F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(99991)) / F.lit(99991.0) * F.col("l_discount")
+    rows = scan.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p_value"))
+    return ordered.bh_fdr(rows, []).select("l_orderkey", "l_linenumber", F.round("q_value", 7).alias("q_value"))
+
+
 @query("lasso_fixed")
 def lasso_fixed(spark: SparkSession, d: str) -> DataFrame:
     return stats.lasso_fixed(season.zscore(season.zscore(_onto(spark, d), [], "x", "x"), [], "x2", "x2"), ["cell"], "y", ["x", "x2"], 1000.0)
