@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import trees
+from gridloom.operators import nested
 from gridloom.operators.stats import lasso, lasso_cv, t_p_value
 
 
@@ -75,6 +76,8 @@ GRIDS = {
     "random_forest": {"n_estimators": [100, 200], "max_depth": [5, 10, None], "min_samples_leaf": [1, 3, 5], "max_features": ["sqrt", 0.5]},
     "gradient_boosting": {"learning_rate": [0.05, 0.1, 0.2], "max_depth": [3, 5, 7], "subsample": [0.8, 1.0]},
 }
+#: Models that moments decide: their penalties, and whether predictors are scaled.
+SUMS = {"linear": ([0.0], False), "tigramite_linear": ([0.0], False), "ridge": (GRIDS["ridge"]["alpha"], True)}
 #: Outer and inner folds by preset.
 FOLDS = {"quick": (3, 2), "standard": (5, 3), "thorough": (10, 5)}
 
@@ -149,10 +152,14 @@ def cumulative_designs(panel: DataFrame, parents: DataFrame, keys: list[str]) ->
 
 def forecasts(panel: DataFrame, parents: DataFrame, keys: list[str], model: str = "linear", preset: str = "standard") -> DataFrame:
     """``keys, target, max_season, fold, t, y_true, y_pred`` for each target, set and cumulative season, with the preset's folds and, where the
-    model has a grid, its inner folds. Hidden steps of the target neither train nor are predicted; folds are cut from all steps."""
+    model has a grid, its inner folds. Hidden steps of the target neither train nor are predicted; folds are cut from all steps. Linear models
+    and ridge, which moments decide, are one plan of sums (``nested``); the others are fitted a design at a time."""
     k, inner = FOLDS[preset]
     own = [*keys, "target", "max_season"]
     design = cumulative_designs(panel, parents, keys)
+    if model in SUMS:
+        seen = design.withColumn("y", F.when(~F.coalesce("masked", F.lit(False)), F.col("y")))
+        return nested.forecasts(seen, own, k, inner, *SUMS[model])
     fields = ", ".join(f"{c} {design.schema[c].dataType.simpleString()}" for c in own)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,14 +3,15 @@ seasons per cell. Series are a few hundred rows and travel with the plan; the fi
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import stats
+from gridloom.operators import cells
 
 #: The season and the group of a variable by its lag in seasons; other lags count as lag 5.
 LAG_GROUPS = {6: ("JJA", "JJA_PREDICTORS"), 5: ("SON", "SON_PREDICTORS"), 4: ("DJF", "DJF_CONFOUNDERS"), 3: ("MAM", "MAM_MEDIATORS")}
@@ -97,41 +98,56 @@ def cases(series: DataFrame, confounders: DataFrame, predictors: DataFrame, sets
     return out
 
 
+def fit(case: Case, y: np.ndarray, alpha: float | None, folds: int) -> cells.Fit:
+    """One case for many cells. y: stamps x cells, NaN where a cell has no value. Cells with the same known stamps are solved together: the
+    confounders' signal is taken out, and the rest is fitted by the case's method."""
+    k = len(case.predictors)
+    out = cells.nothing(k, y.shape[1])
+    ok = np.isfinite(y)
+    patterns, at = np.unique(ok, axis=1, return_inverse=True)
+    for i in range(patterns.shape[1]):
+        own, there = np.flatnonzero(at.ravel() == i), patterns[:, i]
+        if there.sum() <= case.z.shape[1] + 1:
+            continue
+        base = np.column_stack([np.ones(there.sum()), case.z[there]])
+        v, x = y[there][:, own], case.x[there]
+        v = v - base @ np.linalg.lstsq(base, v, rcond=None)[0]
+        whole = np.isfinite(x).all(axis=1)
+        v, x = v[whole], x[whole]
+        if case.method == "OLS":
+            found = cells.ols(v, x)
+        elif not cells.enough(len(v), k, folds):
+            continue
+        else:
+            found = cells.lasso_cv(v, x, folds, 100) if case.method == "LASSO_CV" else cells.lasso(v, x, alpha)
+        for every, mine in zip(out, found, strict=True):
+            every[..., own] = mine
+    return out
+
+
 def run(target: DataFrame, cell: list[str], designs: list[Case], alpha: float | None = None, folds: int = 5) -> DataFrame:
     """``cell, set, target_season, predictor, coef, p_value, r2, alpha`` of every cell, set and season: the confounders' signal is taken out
     of the target, and the rest is fitted by the set's method (OLS, LASSO_CV, or LASSO_fixed_alpha with ``alpha``).
     target: ``cell, season, value``. One shuffle by cell serves all cases; what a method does not give is NULL."""
-    keys = ", ".join(f"{c} {target.schema[c].dataType.simpleString()}" for c in cell)
-    schema = f"{keys}, set string, target_season string, predictor string, coef double, p_value double, r2 double, alpha double"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pd.Series(pdf["value"].to_numpy(float), index=pd.to_datetime(pdf["season"]).dt.date)
-        rows = []
-        for case in designs:
-            y = held.reindex(case.stamps).to_numpy(float)
-            ok = np.isfinite(y)
-            k = len(case.predictors)
-            coef, p, r2, a = np.full(k, np.nan), np.full(k, np.nan), np.nan, np.nan
-            if ok.sum() > case.z.shape[1] + 1:
-                base = np.column_stack([np.ones(ok.sum()), case.z[ok]])
-                y[ok] -= base @ np.linalg.lstsq(base, y[ok], rcond=None)[0]
-                whole = ok & np.isfinite(case.x).all(axis=1)
-                v, x = y[whole], case.x[whole]
-                if case.method == "OLS":
-                    coef, p, r2 = stats.ols(y, case.x)
-                elif len(v) >= max(folds + 2, k + 1, 10):
-                    if v.std() < 1e-10:
-                        coef, r2 = np.zeros(k), 0.0
-                    else:
-                        a, coef = stats.lasso_cv(v, x, folds, 100) if case.method == "LASSO_CV" else (alpha, stats.lasso(v, x, alpha))
-                        rest = v - v.mean() - (x - x.mean(axis=0)) @ coef
-                        r2 = 1 - rest @ rest / ((v - v.mean()) ** 2).sum()
-            rows += [(*key, case.name, case.target_season, n, c, q, r2, a) for n, c, q in zip(case.predictors, coef, p, strict=True)]
-        return pd.DataFrame(rows, columns=names)
-
-    out = target.select(*cell, "season", "value").groupBy(*cell).applyInPandas(one, schema)
-    return out.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in ("coef", "p_value", "r2", "alpha") else F.col(c) for c in names))
+    keys = ", ".join(f"`{c}` {target.schema[c].dataType.simpleString()}" for c in cell)
+    series = target.groupBy(*cell).agg(F.collect_list(F.struct(F.unix_date(F.col("season").cast("date")).alias("at"), F.col("value").cast("double").alias("value"))).alias("s")).select(*cell, F.col("s.at").alias("_at"), F.col("s.value").alias("_value"))
+    days = [np.array(c.stamps, "datetime64[D]").astype(np.int64) for c in designs]
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("_at").offsets.to_numpy()))
+            at = batch.column("_at").flatten().to_numpy()
+            value = batch.column("_value").flatten().to_numpy(zero_copy_only=False)
+            for case, stamps in zip(designs, days, strict=True):
+                place = np.minimum(np.searchsorted(stamps, at), len(stamps) - 1)
+                hit = stamps[place] == at
+                y = np.full((len(stamps), batch.num_rows), np.nan)
+                y[place[hit], column[hit]] = value[hit]
+                rows = cells.rows_of(batch, cell, case.predictors, fit(case, y, alpha, folds))
+                named = [pa.array([v] * rows.num_rows, pa.string()) for v in (case.name, case.target_season)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(cell)], *named, *rows.columns[len(cell) :]], names=[*cell, "set", "target_season", *rows.schema.names[len(cell) :]])
+
+    return series.mapInArrow(solve, f"{keys}, set string, target_season string, predictor string, coef double, p_value double, r2 double, alpha double")
 
 
 def spatial_alpha(target: DataFrame, cell: list[str], designs: list[Case], inside: Column, levels: str | None = None, folds: int = 5) -> float | None:

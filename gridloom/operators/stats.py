@@ -1,15 +1,14 @@
-"""Regression and tests per cell. What sums can express is built in; dense solves run in numpy, a group of cells to a batch."""
+"""Regression and tests per cell. What sums can express is built in; dense solves run in numpy, a batch of cells at once (``cells``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.distributions import t_two_sided
+from gridloom.operators import cells
 
 
 def t_p_value(t: Column, df: Column) -> Column:
@@ -121,68 +120,29 @@ def lasso_cv(y: np.ndarray, x: np.ndarray, folds: int = 5, n_alphas: int = 100)
     return best, lasso(y, x, best)
 
 
-def _per_cell(df: DataFrame, cell: list[str], f, schema: str) -> DataFrame:
-    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cell)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = f(pdf)
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*cell, *(s.split()[0] for s in schema.split(", "))])
-
-    return df.groupBy(*cell).applyInPandas(run, f"{keys}, {schema}")
-
-
 def ols_multi(df: DataFrame, cell: list[str], y: str, predictors: list[str]) -> DataFrame:
-    """``cell, predictor, coef, p_value, r2``. A cell holds one series, so a group is a few hundred rows."""
-
-    def fit(pdf: pd.DataFrame) -> Iterator[tuple]:
-        b, p, r2 = ols(pdf[y].to_numpy(float), pdf[predictors].to_numpy(float))
-        return list(zip(predictors, b, p, [r2] * len(b), strict=True))
-
-    return _per_cell(df, cell, fit, "predictor string, coef double, p_value double, r2 double")
-
-
-def _clean(pdf: pd.DataFrame, y: str, predictors: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    data = pdf[[y, *predictors]].to_numpy(float)
-    data = data[np.isfinite(data).all(axis=1)]
-    return data[:, 0], data[:, 1:]
+    """``cell, predictor, coef, p_value, r2``; NULL below k + 2 steps."""
+    return cells.fits(df, cell, y, predictors, cells.ols).drop("alpha")
 
 
 def lasso_fixed(df: DataFrame, cell: list[str], y: str, predictors: list[str], alpha: float) -> DataFrame:
-    """``cell, predictor, coef``; NULL below max(7, k + 1, 10) rows, 0 for a constant series."""
-
-    def fit(pdf: pd.DataFrame) -> list[tuple]:
-        v, x = _clean(pdf, y, predictors)
-        if len(v) < max(7, len(predictors) + 1, 10):
-            w = np.full(len(predictors), np.nan)
-        else:
-            w = np.zeros(len(predictors)) if v.std() < 1e-10 else lasso(v, x, alpha)
-        return list(zip(predictors, w, strict=True))
-
-    return _per_cell(df, cell, fit, "predictor string, coef double")
-
-
-def lasso_cv_fit(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5, n_alphas: int = 100) -> DataFrame:
-    """``cell, predictor, coef, alpha, r2`` with the cross-validated penalty of each cell; NULL below max(folds + 2, k + 1, 10) rows, and
-    coefficients and r2 of 0 for a constant series."""
+    """``cell, predictor, coef``; NULL below max(7, k + 1, 10) steps, 0 for a constant series."""
+    k = len(predictors)
+    fit = lambda v, x: cells.lasso(v, x, alpha) if cells.enough(len(v), k, 5) else cells.nothing(k, v.shape[1])
+    return cells.fits(df, cell, y, predictors, fit).select(*cell, "predictor", "coef")
 
-    def fit(pdf: pd.DataFrame) -> list[tuple]:
-        v, x = _clean(pdf, y, predictors)
-        w, alpha, r2 = np.full(len(predictors), np.nan), np.nan, np.nan
-        if len(v) >= max(folds + 2, len(predictors) + 1, 10):
-            if v.std() < 1e-10:
-                w, r2 = np.zeros(len(predictors)), 0.0
-            else:
-                alpha, w = lasso_cv(v, x, folds, n_alphas)
-                rest = v - v.mean() - (x - x.mean(axis=0)) @ w
-                r2 = 1 - rest @ rest / ((v - v.mean()) ** 2).sum()
-        return [(p, c, alpha, r2) for p, c in zip(predictors, w, strict=True)]
 
-    return _per_cell(df, cell, fit, "predictor string, coef double, alpha double, r2 double")
+def lasso_cv_fit(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5, n_alphas: int = 100, order: str | None = None) -> DataFrame:
+    """``cell, predictor, coef, alpha, r2`` with the cross-validated penalty of each cell; NULL below max(folds + 2, k + 1, 10) steps, and
+    coefficients and r2 of 0 for a constant series. Folds are runs of steps by ``order``."""
+    k = len(predictors)
+    fit = lambda v, x: cells.lasso_cv(v, x, folds, n_alphas) if cells.enough(len(v), k, folds) else cells.nothing(k, v.shape[1])
+    return cells.fits(df, cell, y, predictors, fit, order).select(*cell, "predictor", "coef", "alpha", "r2")
 
 
-def lasso_cv_alpha(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5) -> DataFrame:
+def lasso_cv_alpha(df: DataFrame, cell: list[str], y: str, predictors: list[str], folds: int = 5, order: str | None = None) -> DataFrame:
     """``cell, alpha``: the cross-validated penalty of each cell; its median is the penalty for a region."""
-    return lasso_cv_fit(df, cell, y, predictors, folds).filter(F.col("predictor") == predictors[0]).select(*cell, "alpha")
+    return lasso_cv_fit(df, cell, y, predictors, folds, order=order).filter(F.col("predictor") == predictors[0]).select(*cell, "alpha")
 
 
 def ols_normal(df: DataFrame, cell: list[str], y: str, predictors: list[str]) -> DataFrame:

@@ -426,7 +426,7 @@ def lasso_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lasso_cv_alpha_median")
 def lasso_cv_alpha_median(spark: SparkSession, d: str) -> DataFrame:
-    return stats.lasso_cv_alpha(_onto(spark, d), ["cell"], "y", ["x", "x2"]).agg(F.median(F.when(~F.isnan("alpha"), F.col("alpha"))).alias("alpha"))
+    return stats.lasso_cv_alpha(_onto(spark, d), ["cell"], "y", ["x", "x2"], order="season").agg(F.median("alpha").alias("alpha"))
 
 
 # composites

@@ -122,7 +122,7 @@ def welch_p_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lasso_cv_fit")
 def lasso_cv_fit(spark: SparkSession, d: str) -> DataFrame:
-    return stats.lasso_cv_fit(_onto(spark, d), ["cell"], "y", ["x", "x2"])
+    return stats.lasso_cv_fit(_onto(spark, d), ["cell"], "y", ["x", "x2"], order="season")
 
 
 SETS = "sets AS (SELECT * FROM (VALUES ('early', 'lag6-5', 'EP', 'OLS'), ('late', 'lag4', 'CP', 'LASSO_CV'), ('all', 'lag6-3_COMBINED', 'COMBINED', 'LASSO_fixed_alpha')) AS s(\"set\", lags, pathway, method)), preds AS (SELECT ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'ASIA'][k] AS name, ['EP', 'CP', 'EP', 'CP', 'CP'][k] AS pathway, [6, 5, 4, 3, 4][k]::INT AS lag FROM (SELECT unnest(range(1, 6)) AS k))"
