@@ -1,22 +1,24 @@
 """Lagged causal discovery: condition selection per target, then momentary tests given the parents of both ends.
 
-All lags are 1 or more, so every edge is directed by time and targets are independent of each other in the first phase. Runs
-are keyed by (run, alpha, target): a run's panel is a few hundred rows, so each key is one group, and runs, windows, penalties and targets
-are what is distributed.
+All lags are 1 or more, so every edge is directed by time and targets are independent of each other in each phase. The unit of work is
+(run, alpha, target): runs, windows, penalties and targets are what is distributed. A unit that fails is a row with its error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from gridloom.functions.distributions import normal_scores, t_two_sided
+from gridloom.operators import stats
 
 
 def partial_correlation(x: np.ndarray, y: np.ndarray, z: np.ndarray, robust: bool = True) -> tuple[float, float]:
@@ -169,28 +171,86 @@ def windows_by_years(panel: DataFrame, years: int, step: int, per_year: int = 4,
     return rows.withColumn("window", F.explode(F.sequence(first, end))).drop("_last").withColumn("centre", F.col("window") * stride + length // 2)
 
 
+FOUND = "array<struct<cause string, lag int, causal_effect double, p_value double>>"
+
+
+def _per_target(rows: DataFrame, out: str, kind: str, work: Callable[[dict, list[str], Lagged, int], list[dict]], test: str, most: int) -> DataFrame:
+    """``keys, target, out, error``: ``work`` on each row, which is a run's packed panel and a target. A row whose work fails has the error's
+    text instead. Rows are dealt out one by one, as each is minutes of work on some kilobytes."""
+    kept = [f for f in rows.schema if not f.name.startswith("_")]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found, error = None, None
+                try:
+                    names, panel = opened(row["_panel"], most, test)
+                    found = work(row, names, panel, names.index(row["target"]))
+                except Exception as failed:  # noqa: BLE001  any failure of a run is a result, and others go on
+                    error = f"{type(failed).__name__}: {failed}"
+                own = batch.slice(i, 1).select([f.name for f in kept])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([found], arrow_kind), pa.array([error], pa.string())], names=[*own.schema.names, out, "error"])
+
+    arrow_kind = to_arrow_type(_parse_datatype_string(kind))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.repartition(n, *(f.name for f in kept if f.name != "alpha")).mapInArrow(run, f"{fields}, {out} {kind}, error string")
+
+
+def opened(cells: list[dict], most: int, test: str) -> tuple[list[str], Lagged]:
+    """The names, in order, and the panel of packed cells. A missing value is 0, as for a hidden one; one that is infinite has no meaning."""
+    names, steps = sorted({c["var"] for c in cells}), sorted({c["t"] for c in cells})
+    column, line = {v: k for k, v in enumerate(names)}, {t: k for k, t in enumerate(steps)}
+    values, hidden = np.zeros((len(steps), len(names))), np.zeros((len(steps), len(names)), bool)
+    for c in cells:
+        v = c["value"]
+        if v is not None and np.isinf(v):
+            raise ValueError(f"{c['var']} is infinite at step {c['t']}")
+        at = line[c["t"]], column[c["var"]]
+        values[at], hidden[at] = 0.0 if v is None or np.isnan(v) else v, bool(c["masked"])
+    return names, Lagged(values, hidden, most, test)
+
+
+def attempts(panel: DataFrame, run: list[str], targets: list[str] | None = None, alpha: str = "alpha", least: int = 1, most: int = 6, most_sets: int = 10, test: str = "robust_parcorr") -> DataFrame:
+    """``run, alpha, target, edges, error``: the tests of each target of each run, or why they failed.
+
+    A run's panel (steps x variables, some thousands of cells) is packed into one row, and goes to each of its targets, which are what is
+    distributed: first to select the parents of every variable, then to test each target given the parents of both ends."""
+    keys = [*run, alpha]
+    cells = F.sort_array(F.collect_list(F.struct("t", "var", "value", "masked")))
+    packed = panel.groupBy(*keys).agg(cells.alias("_panel"))
+    every = packed.select(*keys, "_panel", F.explode(F.array_distinct(F.transform("_panel", lambda c: c["var"]))).alias("target"))
+    chosen = _per_target(every, "parents", "array<struct<var string, lag int>>", lambda row, names, data, j: [{"var": names[k], "lag": c} for k, c in select_parents(data, j, float(row[alpha]), least, most_sets)], test, most)
+    known = chosen.groupBy(*keys).agg(F.collect_list(F.struct("target", "parents")).alias("_parents"), F.min("error").alias("_error"))
+    again = every.join(known, keys)
+    if targets is not None:
+        again = again.filter(F.col("target").isin(targets))
+
+    def tested(row: dict, names: list[str], data: Lagged, j: int) -> list[dict]:
+        if row["_error"]:
+            raise ValueError(row["_error"])
+        parents = {names.index(x["target"]): [(names.index(p["var"]), p["lag"]) for p in x["parents"]] for x in row["_parents"]}
+        return [{"cause": names[i], "lag": lag, "causal_effect": float(r), "p_value": float(p)} for i, lag, r, p in momentary(data, parents, j, least)]
+
+    return _per_target(again, "edges", FOUND, tested, test, most)
+
+
+def outcomes(attempted: DataFrame, run: list[str], alpha: str = "alpha") -> DataFrame:
+    """``run, alpha, ok, tests, error``: a row for each run. A run of which any target failed has no graph, and the first error's text."""
+    s = attempted.groupBy(*run, alpha).agg(F.min("error").alias("error"), F.sum(F.size("edges")).alias("tests"))
+    return s.select(*run, alpha, F.col("error").isNull().alias("ok"), F.when(F.col("error").isNull(), F.col("tests")).otherwise(0).alias("tests"), F.regexp_replace("error", "^(ValueError: )+", "").alias("error"))
+
+
 def discover(panel: DataFrame, run: list[str], targets: list[str] | None = None, alpha: str = "alpha", least: int = 1, most: int = 6, most_sets: int = 10, test: str = "robust_parcorr", fdr: bool = False) -> DataFrame:
-    """``run, cause, effect, lag, causal_effect, p_value`` with a row for each pair and lag of each run.
+    """``run, cause, effect, lag, causal_effect, p_value`` with a row for each pair and lag of each run that went well; ``outcomes`` of
+    ``attempts`` tells of the others.
 
-    panel: ``run, alpha, t, var, value, masked``. A group is one run: variables x steps, a bounded reanalysis season panel. With ``fdr`` the
-    p-values are adjusted over all tests of the run (Benjamini-Hochberg). test: a name in ``TESTS``."""
+    panel: ``run, alpha, t, var, value, masked``, a bounded reanalysis season panel a run; missing values are 0. With ``fdr`` the p-values are
+    adjusted over all tests of the run (Benjamini-Hochberg). test: a name in ``TESTS``."""
     keys = [*run, alpha]
-    fields = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in keys)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="t", columns="var", values="value").sort_index()
-        names = list(wide.columns)
-        hidden = pdf.pivot(index="t", columns="var", values="masked").sort_index().to_numpy(bool)
-        data = Lagged(np.nan_to_num(wide.to_numpy(float)), hidden, most, test)
-        parents = {j: select_parents(data, j, float(key[-1]), least, most_sets) for j in range(len(names))}
-        rows = [(*key, names[i], names[j], lag, r, p) for j in range(len(names)) if targets is None or names[j] in targets for i, lag, r, p in momentary(data, parents, j, least)]
-        out = pd.DataFrame(rows, columns=[*keys, "cause", "effect", "lag", "causal_effect", "p_value"])
-        if fdr and len(out):
-            order = np.argsort(out["p_value"].to_numpy())
-            q = out["p_value"].to_numpy()[order] * len(out) / np.arange(1, len(out) + 1)
-            adjusted = np.empty(len(out))
-            adjusted[order] = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1)
-            out["p_value"] = adjusted
-        return out
-
-    return panel.groupBy(*keys).applyInPandas(one, f"{fields}, cause string, effect string, lag int, causal_effect double, p_value double")
+    tried = attempts(panel, run, targets, alpha, least, most, most_sets, test).withColumn("_failed", F.count("error").over(Window.partitionBy(*keys)))
+    found = tried.filter("_failed = 0").select(*keys, F.col("target").alias("effect"), F.inline("edges"))
+    if fdr:
+        found = stats.bh_fdr(found, keys).withColumn("p_value", F.col("q_value"))
+    return found.select(*keys, "cause", "effect", "lag", "causal_effect", "p_value")
