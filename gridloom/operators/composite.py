@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Seasons around an event year and the offset of their year.
@@ -74,3 +74,51 @@ def significant(composites: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     tested = composites.withColumn("p_value", t_p_value(F.col("t"), F.col("df")))
     return tested.withColumn("kept", F.when(F.col("p_value") < alpha, F.col("diff")))
+
+
+CASES = ("high", "low", "diff")
+#: The parts of a cube: a slice is one case in one season.
+SLICE = ["case", "season_lag"]
+
+
+def slices(field: DataFrame, events: DataFrame, cell: list[str], lag: str = "season_lag", least: int = 1) -> DataFrame:
+    """``cell, value, t, df, case, season_lag``: the composites of extreme years as rows, with the statistic of each: of the mean against 0, or
+    of the difference. field: ``year, cell, season_lag, value``."""
+    own = [*cell, lag]
+    both = field.join(F.broadcast(events), "year")
+    s = both.groupBy(*own).agg(*(f(F.when(F.col("kind") == k, F.col("value"))).alias(f"{n}_{k}") for k in CASES[:2] for n, f in (("m", F.avg), ("s", F.stddev_samp), ("n", F.count))))
+    one = {k: F.col(f"m_{k}") / F.nullif(F.col(f"s_{k}") / F.sqrt(f"n_{k}"), F.lit(0.0)) for k in CASES[:2]}
+    diff = high_low(field, events, own, least).select(*own, "diff", "t", "df")
+    enough = {k: F.col(f"n_{k}") >= least for k in CASES[:2]}
+    rows = [F.struct(F.lit(k).alias("case"), F.when(enough[k], F.col(f"m_{k}")).alias("value"), F.when(enough[k], one[k]).alias("t"), F.when(enough[k], (F.col(f"n_{k}") - 1).cast("double")).alias("df")) for k in CASES[:2]]
+    rows.append(F.struct(F.lit("diff").alias("case"), F.col("diff").alias("value"), "t", "df"))
+    return s.join(diff, own).select(*cell, lag, F.explode(F.array(*rows)).alias("r")).select(*cell, "r.value", "r.t", "r.df", "r.case", F.col(lag).alias("season_lag"))
+
+
+def write_cube(parts: DataFrame, path: str) -> None:
+    """Put slices into the cube at ``path``. A slice that is there is replaced as a whole, the others stay, so runs that cover
+    parts of the seasons, or the same ones twice, make one cube."""
+    from gridloom.sources import progress
+
+    progress.publish(parts, path, SLICE)
+
+
+def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``case, season_lag, cells, known, checksum`` of the slices in a cube, told from the cube itself. The checksum does not depend on the order of
+    rows."""
+    from gridloom.sources import progress
+
+    table = progress.result(spark, path, schema)
+    total = F.sum(F.xxhash64(*(c for c in table.columns if c not in SLICE)).cast("decimal(38,0)"))
+    return table.groupBy(*SLICE).agg(F.count("*").alias("cells"), F.count("value").alias("known"), total.cast("string").alias("checksum"))
+
+
+def cube(spark: SparkSession, path: str, schema: str, cell: list[str], lags: list[str]) -> DataFrame:
+    """The whole cube: each case and each of ``lags``, in order (``place``), on all cells that any slice has. Slices that no run has made are
+    NULL, like cells that a slice lacks."""
+    from gridloom.sources import progress
+
+    table = progress.result(spark, path, schema)
+    axes = F.explode(F.array(*(F.struct(F.lit(c).alias("case"), F.lit(s).alias("season_lag"), F.lit(i).alias("place")) for c in CASES for i, s in enumerate(lags))))
+    frame = table.select(*cell).distinct().select(*cell, axes.alias("a")).select(*cell, "a.*")
+    return frame.join(table, [*cell, *SLICE], "left")

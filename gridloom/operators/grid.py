@@ -35,6 +35,24 @@ def in_polygon(vertices: list[tuple[float, float]], lat: str = "lat", lon: str =
     return (inside % 2 == 1) & ~on_edge
 
 
+def select_polygon(df: DataFrame, vertices: list[tuple[float, float]], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The rows within a polygon; an error where no cell is. One pass over the cells' coordinates decides."""
+    inside = df.filter(in_polygon(vertices, lat, lon))
+    if inside.select(lat, lon).isEmpty():
+        raise ValueError("No data points fall within the specified polygon.")
+    return inside
+
+
+def domain(domains: DataFrame, name: str) -> dict[str, float]:
+    """The bounds of a named box; an error that lists the names where there is none of that name. domains: ``name, lat_min, lat_max,
+    lon_min, lon_max``, a dimension table."""
+    found = domains.filter(F.col("name") == name).first()
+    if found is None:
+        names = ", ".join(r.name for r in domains.select("name").distinct().orderBy("name").collect())
+        raise KeyError(f"Domain '{name}' not found. Available domains: {names}")
+    return {k: v for k, v in found.asDict().items() if k != "name"}
+
+
 def area_weight(lat: Column) -> Column:
     return F.cos(F.radians(lat))
 

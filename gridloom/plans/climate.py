@@ -37,9 +37,9 @@ def field_scan(spark: SparkSession, d: str) -> DataFrame:
     return scan.normalise(m, "tp", scale=0.001, lat=(-30, 30)).select("time", r4("lat"), r4("lon"), F.round("value", 6).alias("value"))
 
 
-@query("box_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -100 AND 100"))
+@query("box_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -120 AND 120"))
 def box_select(spark: SparkSession, d: str) -> DataFrame:
-    return data.sea(spark, d).filter(grid.in_box(-20, 30, -100, 100)).select("season", "cell", r4("value"))
+    return data.sea(spark, d).filter(grid.in_box(-20, 30, -120, 120)).select("season", "cell", r4("value"))
 
 
 @query("dateline_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat BETWEEN -60 AND 60 AND (lon >= 120 OR lon <= -70)"))
@@ -49,7 +49,7 @@ def dateline_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("polygon_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat > -35 AND lat < 40 AND lon > -110 AND lon < 90"))
 def polygon_select(spark: SparkSession, d: str) -> DataFrame:
-    return data.sea(spark, d).filter(grid.in_polygon([(-110, -35), (90, -35), (90, 40), (-110, 40)])).select("season", "cell", r4("value"))
+    return grid.select_polygon(data.sea(spark, d), [(-110, -35), (90, -35), (90, 40), (-110, 40)]).select("season", "cell", r4("value"))
 
 
 @query("polygon_mean_significant", sql("SELECT season, round(sum(value * cos(radians(lat))) / sum(cos(radians(lat))), 4) AS value FROM sea WHERE lat > -35 AND lat < 40 AND lon > -110 AND lon < 90 AND (cell * 7 % 10) / 10.0 < 0.5 GROUP BY season"))

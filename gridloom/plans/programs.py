@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import tables
 from gridloom.operators import calculus, composite, coupled, edges, forecast, grid, indices, pcmci, program, region_search, season, stats
 from gridloom.plans import carriers as data
 from gridloom.plans.carriers import sql
 from gridloom.plans.causal import r4, r6
-from gridloom.plans.climate import ONTO, _onto
+from gridloom.plans.climate import EVENTS, ONTO, _events, _onto
 from gridloom.plans.registry import query
-from gridloom.sources import progress, results, scan
+from gridloom.sources import progress, raw_tree, results, scan
 
 
 def _nation(spark: SparkSession, d: str) -> DataFrame:
@@ -106,11 +107,30 @@ def ols_multi(spark: SparkSession, d: str) -> DataFrame:
     return stats.ols_normal(_onto(spark, d), ["cell"], "y", ["x", "x2"]).select("cell", "predictor", r4("coef"), r4("t"), r4("r2"))
 
 
-@query("ols_p_values")
+def two_sided(t: str, df: str) -> str:
+    """SQL for the two-sided p-value of Student's t with whole degrees of freedom: the finite sums over powers of cos(atan(t / sqrt(df)))."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    even = f"1 - sin({a}) * list_sum(list_transform(range(0, {df} // 2), lambda i: exp(lgamma(i + 0.5) - lgamma(i + 1) - lgamma(0.5)) * pow(cos({a}), 2 * i)))"
+    odd = f"1 - 2 / pi() * ({a} + sin({a}) * coalesce(list_sum(list_transform(range(1, ({df} + 1) // 2), lambda i: 0.5 * exp(lgamma(0.5) + lgamma(i) - lgamma(i + 0.5)) * pow(cos({a}), 2 * i - 1))), 0))"
+    return f"CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+TESTED = NORMAL + """, e AS (SELECT cell, 'x' AS predictor, b1 AS coef, b1 / sqrt(b / det * rest / (n - 3)) AS t, 1 - rest / yy AS r2, n FROM r WHERE n >= 4
+UNION ALL SELECT cell, 'x2', b2, b2 / sqrt(a / det * rest / (n - 3)), 1 - rest / yy, n FROM r WHERE n >= 4)"""
+
+
+@query("ols_p_values", sql(f"SELECT cell, predictor, round(coef, 4) AS coef, round(t, 4) AS t, (n - 3)::DOUBLE AS df, round(r2, 4) AS r2, round({two_sided('t', '(n - 3)')}, 6) AS p_value FROM e", ONTO + ", " + TESTED))
 def ols_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients with their two-sided p-values."""
     fits = stats.ols_normal(_onto(spark, d), ["cell"], "y", ["x", "x2"])
-    return fits.withColumn("p_value", stats.t_p_value(F.col("t"), F.col("df")))
+    return fits.select("cell", "predictor", r4("coef"), r4("t"), "df", r4("r2"), r6(stats.t_p_value(F.col("t"), F.col("df")), "p_value"))
+
+
+@query("regression_table_function", sql(f"SELECT cell, predictor, round(coef, 4) AS coef, round({two_sided('t', '(n - 3)')}, 6) AS p_value, round(r2, 4) AS r2, n FROM e", ONTO + ", " + TESTED))
+def regression_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients, p-values and R squared of every cell from one call in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT cell, predictor, round(coef, 4) + 0.0 AS coef, round(p_value, 6) AS p_value, round(r2, 4) AS r2, n FROM regression(TABLE(SELECT * FROM {yx}), 'cell', 'y', 'x, x2')", yx=_onto(spark, d))
 
 
 @query("welch_p_values")
@@ -474,3 +494,37 @@ def resumed_streamfunction(spark: SparkSession, d: str) -> DataFrame:
     for most in (2, 0):
         progress.fill(spark, path, schema, levels.select("year").distinct(), ["year"], work, at_once=1, most=most)
     return progress.result(spark, path, schema)
+
+
+@query("raw_tree_scan", "SELECT o_orderpriority AS variable, year(o_orderdate)::INT AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL")
+def raw_tree_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Raw files by variable and year through the data source, which plans those two variables and four years only."""
+    path = results.shared_path(spark, "raw-tree")
+    o = scan.table(spark, d, "orders").select(F.trim("o_orderpriority").alias("variable"), F.year("o_orderdate").alias("year"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
+    o.hint("rebalance", "variable", "year").write.partitionBy("variable", "year").parquet(path)
+    spark.dataSource.register(raw_tree.RawTree)
+    read = spark.read.format("raw_tree").load(path).filter(F.col("year").between(1996, 1999) & F.col("variable").isin("1-URGENT", "5-LOW"))
+    return read.groupBy("variable", "year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("clustered_box_scan", sql("SELECT cell, time, round(value, 2) AS value FROM raw WHERE lat BETWEEN -20 AND 20 AND lon BETWEEN 100 AND 180 AND time BETWEEN '1997-01-01' AND '1998-12-31'"))
+def clustered_box_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A box in space and time out of a field whose files follow a space-filling curve."""
+    path = results.shared_path(spark, "clustered")
+    scan.write_clustered(data.raw(spark, d), path, ["time", "lat", "lon"])
+    times = F.col("time").between(F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("1998-12-31").cast("timestamp_ntz"))
+    return spark.read.parquet(path).filter(grid.in_box(-20, 20, 100, 180) & times).select("cell", "time", F.round("value", 2).alias("value"))
+
+
+@query("composite_cube", sql("""SELECT cell, "case", season_lag, place::INT AS place, CASE WHEN m <> 10 THEN round(CASE "case" WHEN 'high' THEN high WHEN 'low' THEN low ELSE high - low END, 4) END AS value, CASE WHEN m <> 10 THEN round(CASE "case" WHEN 'high' THEN high / nullif(sqrt(vh / nh), 0) WHEN 'low' THEN low / nullif(sqrt(vl / nl), 0) ELSE (high - low) / nullif(sqrt(vh / nh + vl / nl), 0) END, 4) END AS t
+  FROM (SELECT * FROM (SELECT DISTINCT cell FROM anom) c, (VALUES (1, 'DJF_0', 0), (4, 'MAM_0', 1), (7, 'JJA_0', 2), (10, 'SON_0', 3)) l(m, season_lag, place), (VALUES ('high'), ('low'), ('diff')) k("case"))
+  LEFT JOIN (SELECT cell, month(season) AS m, avg(anom) FILTER (kind = 'high') AS high, avg(anom) FILTER (kind = 'low') AS low, var_samp(anom) FILTER (kind = 'high') AS vh, var_samp(anom) FILTER (kind = 'low') AS vl, count(*) FILTER (kind = 'high') AS nh, count(*) FILTER (kind = 'low') AS nl
+    FROM anom JOIN ev ON ev.year = year(season) GROUP BY ALL) USING (cell, m)""", EVENTS))
+def composite_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, which share a season, make one cube; a season that neither has is empty in it."""
+    path, schema = results.shared_path(spark, "cube"), "cell int, value double, t double, df double, case string, season_lag string"
+    names = F.create_map(*(F.lit(x) for pair in {1: "DJF_0", 4: "MAM_0", 7: "JJA_0"}.items() for x in pair))
+    field = data.anom(spark, d).select(F.col("cell").cast("int").alias("cell"), F.year("season").alias("year"), names[F.month("season")].alias("season_lag"), F.col("anom").alias("value"))
+    for wanted in (["DJF_0", "MAM_0"], ["MAM_0", "JJA_0"]):
+        composite.write_cube(composite.slices(field.filter(F.col("season_lag").isin(wanted)), _events(spark, d), ["cell"]), path)
+    return composite.cube(spark, path, schema, ["cell"], ["DJF_0", "MAM_0", "JJA_0", "SON_0"]).select("cell", "case", "season_lag", "place", r4("value"), r4("t"))

@@ -16,6 +16,7 @@ def session(master: str | None = None, partitions: int | None = None, memory: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     if partitions:

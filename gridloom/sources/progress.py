@@ -10,6 +10,7 @@ record. A run that is killed at any place leaves each partition as it was or as
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -48,17 +49,39 @@ def left(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: lis
     return chunks.join(there, same, "left_anti")
 
 
-def fill(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: list[str], work: Callable[[DataFrame], DataFrame], at_once: int = 0, most: int = 0) -> int:
+def fill(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: list[str], work: Callable[[DataFrame], DataFrame], at_once: int = 0, most: int = 0, go_on: bool = False) -> int:
     """Publish ``work(some chunks)`` for all chunks that are left, ``at_once`` at a time (0: all), and give how many were done. ``work`` takes
     rows ``by`` and gives the rows of just those partitions. most: stop after so many groups (0: none). A chunk that gives no rows is
-    tried again by each run. The list of chunks is the plan of the work, and short: it comes to the driver."""
+    tried again by each run. With ``go_on`` a group that fails is logged, and others follow. The list of chunks is the plan of the work, and
+    short: it comes to the driver."""
     todo = sorted(left(spark, path, schema, chunks, by).select(*by).collect(), key=lambda r: [(x is not None, x) for x in r])
     size = at_once or max(1, len(todo))
     groups = [todo[i : i + size] for i in range(0, len(todo), size)]
+    count = 0
     for group in groups[: most or len(groups)]:
-        publish(work(spark.createDataFrame(group, chunks.select(*by).schema)), path, by)
-        log.info("published %d of %d chunks in %s", len(group), len(todo), path)
-    return sum(map(len, groups[: most or len(groups)]))
+        try:
+            publish(work(spark.createDataFrame(group, chunks.select(*by).schema)), path, by)
+        except Exception as failed:
+            if not go_on:
+                raise
+            log.warning("%s failed: %s", [tuple(r) for r in group], str(failed).split("\n")[0])
+            continue
+        count += len(group)
+        log.info("published %d of %d chunks in %s", count, len(todo), path)
+    return count
+
+
+def until_filled(spark: SparkSession, path: str, schema: str, chunks: DataFrame, by: list[str], work: Callable[[DataFrame], DataFrame], at_once: int = 1, rounds: int = 3, wait_s: float = 0) -> DataFrame:
+    """``fill`` again and again, each round with the chunks that still lack, until none does or ``rounds`` are over. Gives what is left."""
+    rest = chunks
+    for k in range(rounds):
+        fill(spark, path, schema, chunks, by, work, at_once, go_on=True)
+        rest = left(spark, path, schema, chunks, by)
+        if rest.isEmpty():
+            break
+        log.warning("round %d leaves %d chunks of %s", k + 1, rest.count(), path)
+        time.sleep(wait_s if k < rounds - 1 else 0)
+    return rest
 
 
 def done(spark: SparkSession, path: str) -> DataFrame:

@@ -105,6 +105,12 @@ def error_class(message: Column) -> Column:
     return out.otherwise(F.struct(F.lit("unknown").alias("kind"), F.lit(True).alias("retry"), F.lit(60).alias("wait_s")))
 
 
+def error_kind(message: str) -> tuple[str, bool, int]:
+    """``error_class`` of one message, where it is at hand: kind, whether to try again, and after how many seconds."""
+    said = message.lower()
+    return next(((kind, again, wait) for kind, marks, again, wait in ERRORS if any(m in said for m in marks)), ("unknown", True, 60))
+
+
 def valid_grid(step: tuple[float, float]) -> bool:
     return len(step) == 2 and all(0 < s <= 10 for s in step)
 
@@ -125,6 +131,30 @@ def write_field(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     df.sortWithinPartitions(*by, *order).write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
+def curve_key(df: DataFrame, columns: list[str], bits: int = 10) -> Column:
+    """The place on a space-filling curve (Morton order) of the columns, each cut into ``2^bits`` steps from its least to its greatest value; times
+    by their day. NULL counts as the least. The range is taken from the data, in one pass."""
+    as_number = {c: F.unix_date(F.col(c).cast("date")).cast("double") if df.schema[c].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col(c).cast("double") for c in columns}
+    ends = df.agg(*(f(x).alias(f"{n}_{c}") for c, x in as_number.items() for n, f in (("low", F.min), ("high", F.max)))).first()
+    out = F.lit(0).cast("long")
+    for k, (c, x) in enumerate(as_number.items()):
+        low, high = ends[f"low_{c}"], ends[f"high_{c}"]
+        if low is None or low == high:
+            continue
+        step = F.coalesce(F.floor((x - low) / (high - low) * ((1 << bits) - 1)), F.lit(0)).cast("long")
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(step, b).bitwiseAND(F.lit(1).cast("long")), b * len(columns) + k))
+    return out
+
+
+def write_clustered(df: DataFrame, path: str, columns: list[str], files: int | None = None) -> None:
+    """Parquet whose files, and row groups in them, are pieces of a space-filling curve over the columns: each holds a small range of
+    all of them, so a box on any of them skips most by their statistics. An order by one column after the other serves the first alone."""
+    keyed = df.withColumn("_place", curve_key(df, columns))
+    dealt = keyed.repartitionByRange(files, "_place") if files else keyed.repartitionByRange("_place")
+    dealt.sortWithinPartitions("_place").drop("_place").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def write_edges(df: DataFrame, path: str) -> None:
     """The edge interchange table: capitalised names, four digits."""
     df.select(F.col("cause").alias("Cause"), F.col("effect").alias("Effect"), F.col("lag").alias("Lag"), F.round("effect_size", 4).alias("Causal_Effect"), F.round("p_value", 4).alias("p_value")).write.mode("overwrite").csv(path, header=True)
