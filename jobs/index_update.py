@@ -10,10 +10,12 @@ as tables. Only files that the checkpoint does not know are read. Writes ``<targ
 with a region's area-weighted mean of the seasonal means of its cells, and its anomaly from the mean of the same season in the base period
 (``base``: the first and the last season stamp; NULL where that has none). ``cells`` is the number of cells in the mean.
 
-1. A batch becomes sums and counts by month and cell, the partition ``batch`` of ``<checkpoint>/sums``. They are few rows, however many
-   observations there are, and old files are never read again.
-2. The seasons of the batch are recomputed from all sums, and the years they lie in are replaced. Where the batch reaches into the base
-   period every anomaly changes, so all years are replaced.
+1. A batch becomes sums and counts by month and cell in ``<checkpoint>/sums``, partitioned by the year of the season and by batch. They are few
+   rows, however many observations there are, and old files are never read again.
+2. The years that a batch touches are recomputed from their own sums, which the scan is pruned to, and replaced in the index. A season's
+   months are all in its year.
+3. The means of the base period are kept in ``<checkpoint>/normals``. Only a batch that reaches into the base period computes them anew, from
+   the base's years; then every anomaly changes, and all years are replaced.
 
 A batch that is repeated after a crash has the same number and the same files, and replaces what it wrote before, so a rerun gives the same
 result. Null times, values and cells without a region take no part. The checkpoint belongs to one target: use a new one for a new target.
@@ -21,14 +23,15 @@ result. Null times, values and cells without a region take no part. The checkpoi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import grid, season
 from gridloom.sources import progress, scan
 from jobs.common import command, log
 
-SUMS = "month timestamp_ntz, cell long, total double, n long, batch long"
+SUMS = "month timestamp_ntz, cell long, total double, n long, year int, batch long"
+NORMALS = "name string, month int, normal double"
 INDEX = "season date, name string, value double, anom double, cells long, year int"
 
 
@@ -42,32 +45,40 @@ def sums(observations: DataFrame, customers: DataFrame, batch: int) -> DataFrame
     known = observations.filter("o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL")
     each = known.groupBy("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("total"), F.count("*").alias("n"))
     cells = customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("cell"))
-    return each.join(cells, "o_custkey").groupBy("month", "cell").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).withColumn("batch", F.lit(batch).cast("long"))
+    stamp = F.year(season.stamp(F.col("month")))
+    return each.join(cells, "o_custkey").groupBy("month", "cell").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select("month", "cell", "total", "n", stamp.alias("year"), F.lit(batch).cast("long").alias("batch"))
 
 
-def indices(sums: DataFrame, places: DataFrame, base: tuple[str, str]) -> DataFrame:
-    """The index rows of all seasons. places: ``cell, name, lat``."""
+def means(sums: DataFrame, places: DataFrame) -> DataFrame:
+    """``season, name, value, cells``: the regions' area-weighted means. places: ``cell, name, lat``."""
     months = sums.groupBy(F.col("month").alias("time"), "cell").agg((F.sum("total") / F.sum("n")).alias("value"))
     cells = season.seasonal(months, ["cell"]).join(places, "cell")
-    means = grid.area_mean(cells, ["season", "name"]).join(cells.groupBy("season", "name").agg(F.count("value").alias("cells")), ["season", "name"])
-    within = F.when(F.col("season").between(F.lit(base[0]).cast("date"), F.lit(base[1]).cast("date")), F.col("value"))
-    normal = F.avg(within).over(Window.partitionBy("name", F.month("season")))
-    return means.select("season", "name", "value", (F.col("value") - normal).alias("anom"), "cells", F.year("season").alias("year"))
+    return grid.area_mean(cells, ["season", "name"]).join(cells.groupBy("season", "name").agg(F.count("value").alias("cells")), ["season", "name"])
 
 
-def update(spark: SparkSession, tables: str, target: str, checkpoint: str, base: tuple[str, str], batch: DataFrame, number: int) -> None:
-    progress.publish(sums(batch, scan.table(spark, tables, "customer"), number), f"{checkpoint}/sums", ["batch"])
-    everything = progress.result(spark, f"{checkpoint}/sums", SUMS)
+def regions(spark: SparkSession, tables: str) -> DataFrame:
     nation = scan.table(spark, tables, "nation").select(F.col("n_nationkey").cast("long").alias("cell"), F.col("n_regionkey").alias("r_regionkey"))
-    places = nation.join(scan.table(spark, tables, "region"), "r_regionkey").select("cell", F.trim("r_name").alias("name"), (F.lit(-60.0) + F.col("cell") * 5).alias("lat"))
-    touched = everything.filter(F.col("batch") == number).select(season.stamp(F.col("month")).alias("season")).distinct()
-    in_base = touched.filter(F.col("season").between(F.lit(base[0]).cast("date"), F.lit(base[1]).cast("date"))).limit(1).count() > 0
-    rows = indices(everything, places, base)
-    if not in_base:
-        rows = rows.join(F.broadcast(touched.select(F.year("season").alias("year")).distinct()), "year", "left_semi")
-    progress.publish(rows.select("season", "name", "value", "anom", "cells", "year"), f"{target}/index", ["year"])
-    read, months, seasons = (x or 0 for x in everything.filter(F.col("batch") == number).agg(F.sum("n"), F.count("*"), F.count_distinct(season.stamp(F.col("month")))).first())
-    log.info("batch %d: %d observations read as %d monthly sums, %d seasons, %s years of %s/index replaced", number, read, months, seasons, "all" if in_base else "their", target)
+    return nation.join(scan.table(spark, tables, "region"), "r_regionkey").select("cell", F.trim("r_name").alias("name"), (F.lit(-60.0) + F.col("cell") * 5).alias("lat"))
+
+
+def update(spark: SparkSession, tables: str, target: str, checkpoint: str, base: tuple[str, str], batch: DataFrame, number: int) -> None:
+    """Take one batch into the sums, the normals where it must be, and the index."""
+    progress.publish(sums(batch, scan.table(spark, tables, "customer"), number), f"{checkpoint}/sums", ["year", "batch"])
+    everything, places = progress.result(spark, f"{checkpoint}/sums", SUMS), regions(spark, tables)
+    fresh = everything.filter(F.col("batch") == number)
+    first, last = (F.lit(b).cast("date") for b in base)
+    read, months, in_base, years = fresh.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(season.stamp(F.col("month")).between(first, last)), F.sort_array(F.collect_set("year"))).first()
+    if in_base:
+        of_base = everything.filter(F.col("year").between(F.year(first), F.year(last)))
+        normals = means(of_base, places).filter(F.col("season").between(first, last)).groupBy("name", F.month("season").alias("month")).agg(F.avg("value").alias("normal"))
+        normals.write.mode("overwrite").parquet(f"{checkpoint}/normals")
+    else:
+        everything = everything.filter(F.col("year").isin(years))
+    normals = progress.result(spark, f"{checkpoint}/normals", NORMALS).withColumnRenamed("month", "_month")
+    own = means(everything, places).withColumn("_month", F.month("season")).join(normals, ["name", "_month"], "left")
+    rows = own.select("season", "name", "value", (F.col("value") - F.col("normal")).alias("anom"), "cells", F.year("season").alias("year"))
+    progress.publish(rows, f"{target}/index", ["year"])
+    log.info("batch %d: %d observations read as %d monthly sums of %d years, %s years of %s/index replaced", number, read, months, len(years), "all" if in_base else "their", target)
 
 
 def run(spark: SparkSession, tables: str, target: str, checkpoint: str, config: dict) -> DataFrame:

@@ -83,6 +83,8 @@ def test_index_takes_only_new_files(spark, tables, caplog):
         assert as_dict(run()) == plain_index(seen)
     usable = [sum(None not in r and r[1] < 39 for r in rows) for rows in (first, second, third)]
     assert said() == usable and caplog.text.count("all years of") == 2 and caplog.text.count("their years of") == 1
+    years = [{p.parent.parent.name for p in Path(tables, "state/sums").rglob("*.parquet") if p.parent.name == f"batch={b}"} for b in range(3)]
+    assert "year=2004" in years[2] and "year=1996" not in years[2]
     before = files(f"{tables}/out")
     assert as_dict(run()) == plain_index(seen) and said() == usable and files(f"{tables}/out") == before
 
