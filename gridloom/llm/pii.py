@@ -8,6 +8,9 @@ that is itself an entity of the corpus, is refused and drawn again, so distinct
 drawn (``********``) get a keyed token. A format that has too few values for its entities is left after ``SAME_FORMAT`` attempts:
 each further one makes the surrogate longer by a sign (of addresses of private networks, one in any network).
 
+Names are told apart by their letters and by gender: "Mr ADAMS", "Mr Adams" and, where the corpus has that name with one gender only, "Dr
+Adams" are one person; "Mr Adams" and "Mrs Adams" are two. Surrogates are compared as they are read, without title and case.
+
 Types: email, ip, card, ssn, iban, phone, secret, name.
 
 Defined results: null and empty texts have no entities and stay as they are; rows with the same id stay separate rows; of
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import drop_written, sliced, trimmed, written
@@ -73,6 +76,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def person(gender: str, said: str) -> str:
+    """The identity of a name: case, blanks and the title it was met with do not tell people apart, but gender does."""
+    return f"{gender}:{' '.join(said.casefold().split())}"
+
+
 def finds(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, type, normalised value)`` of each entity, in order, without overlaps."""
     out: list[tuple[int, int, str, str]] = []
@@ -100,9 +108,9 @@ def finds(text: str) -> list[tuple[int, int, str, str]]:
     if '"' in text or "'" in text:
         out += [(m.start(2), m.end(2), "secret", m[2]) for m in ASSIGNED.finditer(text) if SECRET_NAMES.search(m[1])]
     for m in TITLED.finditer(text):
-        out.append((m.start(2), m.end(2), "name", f"{TITLES[m[1]] or _gender.get(m[2].split(' ')[0], '')}:{m[2]}"))
-    out += [(m.start(1), m.end(1), "name", f"{_gender.get(m[1].split(' ')[0], '')}:{m[1]}") for m in CUED.finditer(text)]
-    out += [(m.start(), m.end(), "name", f"{_gender[m[1]]}:{m[0]}") for m in NAMED.finditer(text) if m[1] in _gender]
+        out.append((m.start(2), m.end(2), "name", person(TITLES[m[1]] or _gender.get(m[2].split(" ")[0], ""), m[2])))
+    out += [(m.start(1), m.end(1), "name", person(_gender.get(m[1].split(" ")[0], ""), m[1])) for m in CUED.finditer(text)]
+    out += [(m.start(), m.end(), "name", person(_gender[m[1]], m[0])) for m in NAMED.finditer(text) if m[1] in _gender]
     out.sort(key=lambda x: (x[0], -x[1]))
     kept, free = [], 0
     for x in out:
@@ -228,7 +236,7 @@ def written_as(kind: str, original: str, new: str) -> str:
     """The normalised surrogate in the format in which the original stood in the text."""
     if kind == "name":
         said = new.split(":", 1)[1]
-        return said.upper() if original.isupper() else said
+        return said.upper() if original.isupper() else " ".join(w[:1].upper() + w[1:] for w in said.split(" "))
     if kind == "email":
         return "".join(c.upper() if o.isupper() else c for o, c in zip(original, new, strict=False)) if len(original) == len(new) else new
     if kind in ("card", "phone", "ssn", "iban"):
@@ -251,8 +259,14 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return source.mapInArrow(trimmed(run), f"doc_id {kind}, text string, found array<struct<start:int,end:int,type:string,value:string>>")
 
 
+def shown(kind: Column, value: Column) -> Column:
+    """What a reader can tell apart of a value: of a name its letters, without gender and case."""
+    return F.when(kind == "name", F.lower(F.regexp_replace(value, "^[^:]*:", ""))).otherwise(value)
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """``type, value, new`` for the distinct entities ``type, value``: surrogates that differ from each other and from all values."""
+    """``type, value, new`` for the distinct entities ``type, value``: surrogates that differ from each other and from all values, as
+    they are shown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -263,11 +277,12 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         return df.select("type", "value", "attempt").mapInArrow(trimmed(run), "type string, value string, attempt int, new string")
 
     now = written(drawn(entities.withColumn("attempt", F.lit(0))), "pii-surrogates")
-    originals = entities.select("type", F.col("value").alias("new"))
+    originals = entities.select("type", shown(F.col("type"), F.col("value")).alias("as"))
     while True:
-        first = now.groupBy("type", "new").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("type", "new", "first")
-        shared = now.join(first, ["type", "new"]).filter(F.struct("attempt", "value") != F.col("first")).select("type", "value")
-        taken = now.join(originals, ["type", "new"], "left_semi").select("type", "value")
+        seen = now.withColumn("as", shown(F.col("type"), F.col("new")))
+        first = seen.groupBy("type", "as").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("type", "as", "first")
+        shared = seen.join(first, ["type", "as"]).filter(F.struct("attempt", "value") != F.col("first")).select("type", "value")
+        taken = seen.join(originals, ["type", "as"], "left_semi").select("type", "value")
         again = written(shared.union(taken).distinct(), "pii-clashes")
         if again.isEmpty():
             return now.select("type", "value", "new")
@@ -277,13 +292,25 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         now = nxt
 
 
+def one_person(entities: DataFrame) -> DataFrame:
+    """``type, value, who``: a name of unknown gender ("Dr Adams") is the same person as that name with a gender ("Mr Adams"), if the
+    corpus has it with one gender only; every other entity is itself."""
+    name, gender = F.col("type") == "name", F.substring_index("value", ":", 1)
+    said = F.when(name, F.regexp_replace("value", "^[^:]*:", ""))
+    known = entities.filter(name & (gender != "")).groupBy(said.alias("said")).agg(F.min(gender).alias("gender"), F.max(gender).alias("other")).filter("gender = other").select("said", "gender")
+    own = entities.withColumn("said", F.when(gender == "", said))
+    return own.join(known, "said", "left").select("type", "value", F.coalesce(F.concat("gender", F.lit(":"), "said"), "value").alias("who"))
+
+
 def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_entities``: each row's text with surrogates in place of its entities."""
     rows = written(detect(df, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pii-found")
     kind = rows.schema["doc_id"].dataType.simpleString()
     some = rows.filter(F.size("found") > 0)
     each = some.select("rid", F.explode("found").alias("x")).select("rid", "x.*")
-    new = assign(written(each.select("type", "value").distinct(), "pii-entities"), key)
+    people = written(one_person(each.select("type", "value").distinct()), "pii-entities")
+    given = assign(people.select("type", F.col("who").alias("value")).distinct(), key)
+    new = people.join(given.withColumnRenamed("value", "who"), ["type", "who"]).select("type", "value", "new")
     placed = each.join(new, ["type", "value"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "new"))).alias("placed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
