@@ -27,66 +27,115 @@ from gridloom.llm.common import sliced, texts, trimmed
 BATCH_BYTES = 4_000_000
 UNIT = 64
 RATE = 8000
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+
+
+class Links:
+    """Where ``step`` leads from a place, again and again until it gives None. Each place is stepped from once, however many walks run into it;
+    it keeps its next place, how many steps are left and how many of them count, and one far link, by which any place
+    further on is found in a logarithm of the steps (each far link spans as much as two equal ones that follow, or one step)."""
+
+    def __init__(self, step: Callable[[int], int | None], counts: Callable[[int], bool] = lambda p: True):
+        self.step, self.counts = step, counts
+        self.known: dict[int, tuple[int, int, int, int, int]] = {}  # end, steps left, counted, next, far
+
+    def walk(self, p: int) -> tuple[int, int]:
+        """The end of the walk from ``p`` and the number of steps that count."""
+        path, known = [], self.known
+        while p not in known:
+            nxt = self.step(p)
+            if nxt is None:
+                known[p] = (p, 0, 0, p, p)
+            else:
+                path.append(p)
+                p = nxt
+        for q in reversed(path):
+            end, left, n, _, far = known[p]
+            two = known[far]
+            known[q] = (end, left + 1, n + self.counts(q), p, two[4] if left - two[1] == two[1] - known[two[4]][1] else p)
+            p = q
+        end, _, n, _, _ = known[p]
+        return end, n
+
+    def reaches(self, p: int, goal: int) -> bool:
+        """Whether ``goal`` is on the walk from ``p``; places only grow."""
+        self.walk(p)
+        while p < goal:
+            _, left, _, nxt, far = self.known[p]
+            if not left:
+                return False
+            p = far if far <= goal else nxt
+        return p == goal
+
+    def ahead(self, p: int, steps: int) -> int | None:
+        """The place that many steps on; None where the walk ends before."""
+        self.walk(p)
+        goal = self.known[p][1] - steps
+        while goal >= 0 and self.known[p][1] > goal:
+            _, _, _, nxt, far = self.known[p]
+            p = far if self.known[far][1] >= goal else nxt
+        return p if goal >= 0 else None
+
+
+def links(seen: dict, name: str, step: Callable[[int], int | None], counts: Callable[[int], bool] = lambda p: True) -> Links:
+    """The links of a value by that name, made once."""
+    if name not in seen:
+        seen[name] = Links(step, counts)
+    return seen[name]
 
 
 def png(b: bytes, at: int, seen: dict) -> int | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, name = struct.unpack_from(">I4s", b, p)
-        end = p + 12 + n
-        if end > len(b) or (first and (name != b"IHDR" or n != 13)) or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
+    def chunk(p: int) -> int | None:
+        """The end of a chunk whose checksum is right."""
+        if p + 12 > len(b):
             return None
-        if name == b"IEND":
-            return end - at
-        p, first = end, False
-    return None
+        end = p + 12 + struct.unpack_from(">I", b, p)[0]
+        return end if end <= len(b) and zlib.crc32(b[p + 4 : end - 4]) == struct.unpack_from(">I", b, end - 4)[0] else None
+
+    first = at + 8
+    if b[first : first + 8] != b"\0\0\0\rIHDR":
+        return None
+    last, _ = links(seen, "png", lambda p: None if b[p + 4 : p + 8] == b"IEND" else chunk(p)).walk(first)
+    end = chunk(last) if b[last + 4 : last + 8] == b"IEND" else None
+    return end and end - at
 
 
 def gif(b: bytes, at: int, seen: dict) -> int | None:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        return p + 1
+    data = links(seen, "gif data", lambda p: p + b[p] + 1 if p < len(b) and b[p] else None)
+
+    def block(p: int) -> int | None:
+        if p + 2 <= len(b) and b[p] == 0x21:
+            return data.walk(p + 2)[0] + 1
+        if p + 10 <= len(b) and b[p] == 0x2C:
+            return data.walk(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))[0] + 1
+        return None
 
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    images = 0
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at if images else None
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            flags = b[p + 9]
-            p = blocks(p + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
-            images += 1
-        else:
-            return None
-    return None
+    end, images = links(seen, "gif", block, lambda p: b[p] == 0x2C).walk(at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0))
+    return end + 1 - at if images and b[end : end + 1] == b"\x3b" else None
 
 
 def jpeg(b: bytes, at: int, seen: dict) -> int | None:
-    p, frame = at + 2, False
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
+    def segment(p: int) -> int | None:
+        if p + 4 > len(b) or b[p] != 0xFF:
             return None
         kind = b[p + 1]
         if kind == 0xFF:
-            p += 1
-            continue
-        if kind == 0xD9:
-            return p + 2 - at if frame else None
+            return p + 1
         n = struct.unpack_from(">H", b, p + 2)[0]
-        if kind in (0x00, 0xD8) or n < 2:
+        if kind in (0x00, 0xD8, 0xD9) or n < 2:
             return None
-        frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         p += 2 + n
         if kind == 0xDA:  # entropy-coded data ends at a marker that is neither stuffing nor a restart
-            while p + 1 < len(b) and not (b[p] == 0xFF and b[p + 1] not in (0, *range(0xD0, 0xD8))):
-                p += 1
-    return p + 2 - at if frame and b[p : p + 2] == b"\xff\xd9" else None
+            found = MARKER.search(b, p)
+            p = found.start() if found else len(b)
+        return p
+
+    frame = lambda p: 0xC0 <= b[p + 1] <= 0xCF and b[p + 1] not in (0xC4, 0xC8, 0xCC)
+    end, frames = links(seen, "jpeg", segment, frame).walk(at + 2)
+    return end + 2 - at if frames and b[end : end + 2] == b"\xff\xd9" else None
 
 
 def bmp(b: bytes, at: int, seen: dict) -> int | None:
@@ -104,12 +153,10 @@ def riff(b: bytes, at: int, seen: dict) -> int | None:
     n = struct.unpack_from("<I", b, at + 4)[0] + 8
     if n < 12 or at + n > len(b) or b[at + 8 : at + 12] not in (b"WAVE", b"WEBP", b"AVI "):
         return None
-    p, chunks = at + 12, 0
-    while p + 8 <= at + n:
-        size = struct.unpack_from("<I", b, p + 4)[0]
-        p += 8 + size + (size & 1)
-        chunks += 1
-    return n if chunks and p == at + n + (n & 1) * (p > at + n) else None
+    chunks = links(seen, "riff", lambda p: p + 8 + (size := struct.unpack_from("<I", b, p + 4)[0]) + (size & 1) if p + 8 <= len(b) else None)
+    start, end = at + 12, at + n  # an odd length may leave out the last chunk's padding
+    whole = chunks.reaches(start, end) or bool(n & 1) and chunks.reaches(start, end + 1) and not chunks.reaches(start, end - 7)
+    return n if n > 12 and whole else None
 
 
 def gzip(b: bytes, at: int, seen: dict) -> int | None:
@@ -140,24 +187,6 @@ def after(b: bytes, mark: bytes, at: int, seen: dict) -> int:
     return every[k] if k < len(every) else -1
 
 
-def chain(b: bytes, p: int, step: Callable[[int], int | None], seen: dict, name: str) -> tuple[int, int]:
-    """The place that ``step`` leads to from ``p``, again and again until it gives None, and the number of steps. Every place on the way
-    is kept, so chains that run into each other are walked once."""
-    path = []
-    while (name, p) not in seen:
-        nxt = step(p)
-        if nxt is None:
-            seen[name, p] = (p, 0)
-            break
-        path.append(p)
-        p = nxt
-    end, n = seen[name, p]
-    for q in reversed(path):
-        n += 1
-        seen[name, q] = (end, n)
-    return end, n
-
-
 def zip_(b: bytes, at: int, seen: dict) -> int | None:
     def entry(p: int) -> int | None:
         if b[p : p + 4] != b"PK\x03\x04" or p + 30 > len(b):
@@ -173,8 +202,8 @@ def zip_(b: bytes, at: int, seen: dict) -> int | None:
             return None
         return p + 46 + sum(struct.unpack_from("<28xHHH", b, p))
 
-    p, entries = chain(b, at, entry, seen, "entry")
-    p, rows = chain(b, p, listed, seen, "listed")
+    p, entries = links(seen, "entry", entry).walk(at)
+    p, rows = links(seen, "listed", listed).walk(p)
     if entries != rows or b[p : p + 4] != b"PK\x05\x06" or p + 22 > len(b):
         return None
     end = p + 22 + struct.unpack_from("<20xH", b, p)[0]
@@ -195,7 +224,7 @@ def ogg(b: bytes, at: int, seen: dict) -> int | None:
         n = 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
         return p + n if p + n <= len(b) else None
 
-    p, _ = chain(b, at, page, seen, "page")
+    p, _ = links(seen, "page", page).walk(at)
     if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4] or not b[p + 5] & 4:
         return None
     end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
@@ -205,12 +234,9 @@ def ogg(b: bytes, at: int, seen: dict) -> int | None:
 def midi(b: bytes, at: int, seen: dict) -> int | None:
     if b[at + 4 : at + 8] != b"\0\0\0\6" or at + 14 > len(b):
         return None
-    p = at + 14
-    for _ in range(struct.unpack_from(">H", b, at + 10)[0]):
-        if b[p : p + 4] != b"MTrk" or p + 8 > len(b):
-            return None
-        p += 8 + struct.unpack_from(">I", b, p + 4)[0]
-    return p - at if at + 14 < p <= len(b) else None
+    tracks = links(seen, "track", lambda p: p + 8 + struct.unpack_from(">I", b, p + 4)[0] if b[p : p + 4] == b"MTrk" and p + 8 <= len(b) else None)
+    end = tracks.ahead(at + 14, struct.unpack_from(">H", b, at + 10)[0])
+    return end - at if end is not None and at + 14 < end <= len(b) else None
 
 
 #: Magic bytes, what stands for the type (or the rule that gives it), the validator.

@@ -150,6 +150,49 @@ def test_long_values_of_magic_bytes_alone():
     assert media.carve(b"x" + page(0) + page(0) + page(1) + page(0), machine) == [("audio/ogg", 1, 3 * len(page(0)))]
 
 
+def test_crafted_values_take_linear_time():
+    """A megabyte for each validator in which every walk runs far, and most run into others."""
+    import time
+
+    machine = media.automaton()
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    nested = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"teXt", b"x" * 20)
+    values = {
+        "gif": b"GIF89aAAAAAAA!" * 75_000,
+        "gif blocks": b"GIF89a\0\0\0\0\0\0\0!\xf9" * 70_000,
+        "gif images": b"GIF89a\0\0\0\0\0\0\0,\0\0\0\0\0\0\0\0\0\2" * 42_000,
+        "riff": (b"RIFF\x00\x00\x08\x00WAVE" + bytes(8)) * 52_000,
+        "riff zeros": b"RIFF\x00\x00\x08\x00WAVE" * 1_000 + bytes(1_000_000),
+        "midi": b"MThd\0\0\0\6\0\0\xff\xff\0\0" * 1_000 + b"MTrk\0\0\0\0" * 120_000,
+        "png": nested * 10_000,
+        "jpeg": b"\xff\xd8\xff\xe0\0\4ab" * 120_000,
+        "jpeg scan": b"\xff\xd8\xff\xda\0\2" + b"ab" * 20 + b"\xff\xd8\xff\xda\0\2" * 150_000,
+        "ogg": (b"OggS\0" + bytes(21) + b"\0") * 37_000,
+        "pdf": b"%PDF-startxref" * 72_000,
+        "zip": (b"PK\x03\x04" + bytes(2) + b"\x08" + bytes(23)) * 33_000,
+        "bmp": b"BM" * 500_000,
+        "gzip": b"\x1f\x8b\x08\0" * 250_000,
+    }
+    for name, value in values.items():
+        began = time.process_time()
+        media.carve(value, machine)
+        assert time.process_time() - began < 8, name  # seconds apart from hours, on a busy machine
+
+
+def test_far_links_equal_steps():
+    rng = random.Random(8)
+    step = {p: p + rng.choice([1, 1, 2, 3, 7]) for p in range(400)}
+    walk = media.Links(lambda p: step[p] if p < 400 else None, lambda p: p % 2 == 0)
+    for _ in range(2000):
+        p = rng.randrange(400)
+        way = [p]
+        while way[-1] < 400:
+            way.append(step[way[-1]])
+        goal, k = rng.randrange(p, 420), rng.randrange(200)
+        assert walk.walk(p) == (way[-1], sum(q % 2 == 0 for q in way[:-1]))
+        assert walk.reaches(p, goal) == (goal in way) and walk.ahead(p, k) == (way[k] if k < len(way) else None)
+
+
 def test_texts_survive_storage(odd):
     stored = media.store_texts(odd)
     for r in stored.collect():
