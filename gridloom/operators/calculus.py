@@ -56,6 +56,17 @@ def barometric(height: Column) -> Column:
     return F.lit(P0 / 100) * F.pow(1 - height * (LAPSE / T0), F.lit(GRAVITY * MOLAR / (GAS * LAPSE)))
 
 
+def surface_pressure(df: DataFrame, keys: list[str], band: tuple[float, float] = (-5, 5), margin: float = 1.0, step: float = 1.0) -> DataFrame:
+    """``keys, lon, value``: the pressure in hPa of the surface along a latitude band, for sections over pressure and longitude. Geopotential
+    becomes height and then pressure at each point, the band (with a margin) is averaged by area, and the mean is interpolated to multiples of
+    ``step`` in [-180, 180). df: ``keys, lat, lon, value`` with longitudes in [-180, 180)."""
+    from gridloom.operators.grid import area_mean
+
+    low, high = band
+    points = df.filter(F.col("lat").between(low - margin, high + margin)).withColumn("value", barometric(F.col("value") / GRAVITY))
+    return linear_interp(area_mean(points, [*keys, "lon"]), keys, "lon", step).filter(F.col("lon").between(-180, 180 - 1e-9))
+
+
 def coriolis(lat: Column) -> Column:
     return 2 * 7.292e-5 * F.sin(F.radians(lat))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Seasons around an event year and the offset of their year.
@@ -76,6 +76,35 @@ def significant(composites: DataFrame, alpha: float = 0.05) -> DataFrame:
     return tested.withColumn("kept", F.when(F.col("p_value") < alpha, F.col("diff")))
 
 
+#: Every so many points are drawn, and the lengths that the 5th and 95th percentile of flux vectors get.
+STRIDE, FLUX_STRIDE, FLUX_LENGTHS = 5, 7, (0.6, 1.4)
+
+
+def winds(df: DataFrame, keys: list[str], scaling: str | None = None, masked: bool = True, equator: float | None = None) -> DataFrame:
+    """``keys, lat, lon, u, v, width``: the vectors of a composite as they are drawn, one map a key. df: ``keys, lat, lon, u, v, significant``.
+
+    Vectors that are not significant go (unless not ``masked``). With ``scaling`` 'waf' those within ``equator`` degrees of the equator go too,
+    and lengths are set between two limits, reached at the 5th and 95th percentile of the map. Points are thinned along both axes, every
+    fifth, of fluxes every seventh. ``width`` is 3 times the speed over the map's greatest, before scaling; 0 where there is no vector, NULL on a map
+    without any."""
+    flux, own = scaling == "waf", Window.partitionBy(*keys)
+    keep = F.col("significant") if masked else F.lit(True)
+    if flux and equator is not None:
+        keep = keep & (F.abs("lat") > equator)
+    seen = df.withColumns({c: F.when(keep, F.col(c)) for c in ("u", "v")}).withColumn("_m", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")))
+    sizes = seen.groupBy(*keys).agg(F.max("_m").alias("_top"), F.percentile("_m", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
+    whole = seen.join(sizes, keys) if keys else seen.crossJoin(F.broadcast(sizes))
+    step = FLUX_STRIDE if flux else STRIDE
+    axes = {f"_{c}": F.dense_rank().over(own.orderBy(c)) - 1 for c in ("lat", "lon")}
+    thin = whole.withColumns(axes).filter((F.col("_lat") % step == 0) & (F.col("_lon") % step == 0))
+    low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    a, b = FLUX_LENGTHS
+    length = b + (F.least(F.greatest(F.col("_m"), low), high) - high) * ((b - a) / F.nullif(high - low, F.lit(0.0)))
+    ratio = F.when(high > low, F.when(F.col("_m") != 0, length / F.col("_m")).otherwise(0.0)).otherwise(1.0) if flux else F.lit(1.0)
+    width = F.when(F.col("_top") > 0, F.coalesce(3 * F.col("_m") / F.col("_top"), F.lit(0.0))).when(F.col("_top").isNotNull(), 0.0)
+    return thin.select(*keys, "lat", "lon", (F.col("u") * ratio).alias("u"), (F.col("v") * ratio).alias("v"), width.alias("width"))
+
+
 CASES = ("high", "low", "diff")
 #: The parts of a cube: a slice is one case in one season.
 SLICE = ["case", "season_lag"]

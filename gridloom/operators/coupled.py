@@ -133,3 +133,25 @@ def mca(left: DataFrame, right: list[DataFrame], cell: list[str], k: int = 4, dd
     modes = maximum_covariance(time_gram(a, n), sum(time_gram(b, n) for b in bs), k)
     patterns = [inflated(b, cell, modes.right_projection, modes.right, ddof) for b in bs]
     return components(left.sparkSession, seasons, modes), inflated(a, cell, modes.left_projection, modes.left, ddof), patterns, modes.percent
+
+
+def cold_tongue(sst: DataFrame) -> DataFrame:
+    """``season, value``: the area mean over 6S-6N, 180-90W, standardised by calendar month. sst: ``lat, lon`` (any convention), ``season, value``."""
+    box = sst.filter(F.col("lat").between(-6, 6) & grid.lon_360(F.col("lon")).between(180, 270))
+    return season.zscore_month(grid.area_mean(box, ["season"]), [], out="value")
+
+
+def drive(sst: DataFrame, u: DataFrame, v: DataFrame, box: tuple[float, float, float, float], cell: list[str], k: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """The meridional-mode driver, from fields to modes: the cold tongue's signal is taken out of all fields in the box, they are standardised
+    by calendar month and weighted, and the surface temperature is coupled with both wind components together. Wind cells count where both
+    components are known at all times.
+
+    Gives the components ``season, mode, left, right``, the pattern of the temperature, those of both winds ``cell, mode, u, v``, and the squared
+    covariance fractions. Fields: ``cell`` (with ``lat, lon``), ``season, value``; box: lat_min, lat_max, lon_min, lon_max."""
+    signal = cold_tongue(sst)
+    left, *winds = (prepared(f.filter(grid.in_box(*box)), cell, signal) for f in (sst, u, v))
+    known = lambda w: w.groupBy(*cell).agg(F.count_if(F.col("value").isNotNull() & ~F.isnan("value")).alias("n"))
+    both = known(winds[0]).join(known(winds[1]), [*cell, "n"]).select(*cell)
+    parts, pattern, patterns, percent = mca(left, [w.join(both, cell, "left_semi") for w in winds], cell, k)
+    own = [p.withColumnRenamed("pattern", n) for p, n in zip(patterns, "uv", strict=True)]
+    return parts, pattern, own[0].join(own[1], [*cell, "mode"]), percent

@@ -55,24 +55,24 @@ def prune_by_fdr(edges: DataFrame, fdr: DataFrame) -> tuple[DataFrame, DataFrame
     return kept, n.withColumn("removed", F.col("before") - F.col("after"))
 
 
-def toward(edges: DataFrame, targets: list[str], most: int = 6, least: int = 3, mode: str = "bounded") -> DataFrame:
+def toward(edges: DataFrame, targets: list[str], most: int = 6, least: int = 3, mode: str = "bounded", by: tuple[str, ...] = ()) -> DataFrame:
     """The edges on backward paths from the targets whose summed lag stays within bounds.
 
     'bounded': an edge is followed only if the sum after it is within [least, most]. 'open': no lower bound, and targets are not
     expanded again. States are (variable, summed lag), at most ``most`` steps deep as every lag is 1 or more, so the
-    frontier is bounded by variables times lags; each level is one join."""
+    frontier is bounded by variables times lags; each level is one join. by: columns that keep graphs apart, all of which are walked in the same joins."""
     low = least if mode == "bounded" else 0
-    edges, spark = stored(edges, "edges"), edges.sparkSession  # read once for each level
-    frontier = spark.createDataFrame([(t, 0) for t in targets], "effect string, cum int")
-    origin = targets
+    edges = stored(edges, "edges")  # read once for each level
+    goals = F.explode(F.array(*map(F.lit, targets))).alias("effect")
+    frontier = (edges.select(*by).distinct() if by else edges.sparkSession.range(1)).select(*by, goals, F.lit(0).alias("cum"))
     kept = None
     for _ in range(most):
-        step = edges.join(frontier, "effect").withColumn("new", F.col("cum") + F.col("lag")).filter(F.col("new").between(low, most))
-        used = step.select(*KEY)
+        step = edges.join(frontier, [*by, "effect"]).withColumn("new", F.col("cum") + F.col("lag")).filter(F.col("new").between(low, most))
+        used = step.select(*by, *KEY)
         kept = used if kept is None else kept.union(used)
-        onward = step if mode == "bounded" else step.filter(~F.col("cause").isin(origin))
-        frontier = onward.select(F.col("cause").alias("effect"), F.col("new").alias("cum")).distinct()
-    return edges.join(kept.distinct(), KEY, "left_semi")
+        onward = step if mode == "bounded" else step.filter(~F.col("cause").isin(targets))
+        frontier = onward.select(*by, F.col("cause").alias("effect"), F.col("new").alias("cum")).distinct()
+    return edges.join(kept.distinct(), [*by, *KEY], "left_semi")
 
 
 def frequency_threshold(years: Column) -> Column:
@@ -144,13 +144,9 @@ def reduced(groups: DataFrame, pruned: DataFrame) -> DataFrame:
 def graphs(runs: DataFrame, adjusted: DataFrame | None, targets: list[str], by: str = "set", most: int = 6, least: int = 3, **limits: float) -> DataFrame:
     """``by, cause, effect, lag, effect_size, p_value, link``: the graph of each predictor set. Edges that persist over the set's runs stay if
     they lie on a path to a target whose summed lag is within bounds, and if the set's run with adjusted p-values has them too (without
-    such a run that is not asked). runs: ``by, run_idx, alpha`` and edges; adjusted: ``by, alpha`` and edges. Sets are few, and each is
-    walked by itself."""
-    table = stored(robust(persistence(runs, by=(by,), **limits), (by,)), "graphs")
+    such a run that is not asked). runs: ``by, run_idx, alpha`` and edges; adjusted: ``by, alpha`` and edges. All sets are one plan."""
+    table = robust(persistence(runs, by=(by,), **limits), (by,))
     if adjusted is not None:
         kept = adjusted.filter(F.col("p_value") <= F.col("alpha")).select(by, *KEY).distinct()
-        table = stored(table.join(kept, [by, *KEY], "left_semi"), "graphs")
-    out = table.limit(0)
-    for r in table.select(by).distinct().orderBy(by).collect():
-        out = out.unionByName(toward(table.filter(F.col(by) == r[0]), targets, most, least).select(table.columns))
-    return out
+        table = table.join(kept, [by, *KEY], "left_semi")
+    return toward(table, targets, most, least, by=(by,))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from importlib import import_module
 from itertools import combinations, islice
 
 import numpy as np
@@ -102,11 +103,23 @@ TESTS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, flo
 }
 
 
+def named(name: str, known: dict[str, Callable]) -> Callable:
+    """One of the known by its name, or ``module:attribute`` of any module that the executors have; a class is made into an object, which must
+    be callable."""
+    if name in known:
+        return known[name]
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise KeyError(f"'{name}' is none of {', '.join(sorted(known))}, nor module:attribute")
+    found = getattr(import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
 class Lagged:
-    """A panel (steps x variables) with a mask of hidden target steps."""
+    """A panel (steps x variables) with a mask of hidden target steps. test: see ``named``."""
 
     def __init__(self, values: np.ndarray, masked: np.ndarray, most: int, test: str = "robust_parcorr"):
-        self.v, self.m, self.most, self.judge = values, masked, most, TESTS[test]
+        self.v, self.m, self.most, self.judge = values, masked, most, named(test, TESTS)
 
     def test(self, i: int, lag: int, j: int, conditions: list[tuple[int, int]]) -> tuple[float, float]:
         """``i`` at t - lag against ``j`` at t, given (variable, lag) pairs; conditions later than the cause are left out."""

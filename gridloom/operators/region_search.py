@@ -169,20 +169,20 @@ def region_means(field: DataFrame, rects: list[Rect], time: str = "t") -> DataFr
     return field.join(cells, ["lat", "lon"]).groupBy("id", time).agg(weighted_mean(F.col("value"), F.col("lat")).alias("value"))
 
 
-def causal_fitness(fields: DataFrame, panel: DataFrame, rects: list[Rect], target: str, lag: int, right: tuple[str, ...] = (), mode: int = 1, rotated: int = 7, alpha: float = 0.05, most: int = 6) -> DataFrame:
+def causal_fitness(fields: DataFrame, panel: DataFrame | pd.DataFrame, rects: list[Rect], target: str, lag: int, right: tuple[str, ...] = (), mode: int = 1, rotated: int = 7, alpha: float = 0.05, most: int = 6) -> DataFrame:
     """``id, effect``: how strongly the index that each rectangle gives acts on the target ``lag`` steps later, in size, 0 if it gives none.
 
     The index is the standardised component of a rotated mode of ``value`` in the rectangle, or with ``right`` (one column for a scalar,
     two for a vector) the left component of a coupled mode. It joins the panel, and the graph's effect of it on the target is measured.
     fields: ``lat, lon, t, value`` and the columns ``right``; panel: ``t, var, value, masked``, a few hundred rows that travel with the
-    plan. A rectangle is a group: cells of a region x times."""
+    plan (as a pandas frame they are fetched once for many calls). A rectangle is a group: cells of a region x times."""
     from gridloom.operators import coupled, modes, pcmci
 
     table = fields.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rects)], "id int, lat_min double, lat_max double, lon_min double, lon_max double")
     at = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
     cells = fields.select("lat", "lon").distinct().join(F.broadcast(table), at).select("id", "lat", "lon")
     held = fields.join(cells, ["lat", "lon"]).select("id", "lat", "lon", "t", "value", *right)
-    known = panel.select("t", "var", "value", "masked").toPandas()
+    known = panel if isinstance(panel, pd.DataFrame) else panel.select("t", "var", "value", "masked").toPandas()
     wide = known.pivot(index="t", columns="var", values="value").sort_index()
     hidden = known.pivot(index="t", columns="var", values="masked").sort_index().fillna(False).astype(bool)
 

@@ -313,7 +313,7 @@ def _search(spark: SparkSession, d: str, right: tuple[str, ...], **options) -> D
     back = a.select((F.col("t") + 1).alias("t"), "cell", F.col("anom").alias("before"))
     parts = a.join(back, ["t", "cell"], "left").select("t", "lat", "lon", F.col("anom").alias("value"), (F.col("anom") - F.coalesce("before", F.lit(0.0))).alias("wx"), (F.col("anom") * F.cos(F.radians("lat"))).alias("wy"))
     field = stored(parts.select("t", "lat", "lon", "value", *right), "region-field")
-    panel = stored(_panel_runs(spark, d).filter("run_idx = 0").select("t", "var", "value", "masked"), "region-panel")
+    panel = _panel_runs(spark, d).filter("run_idx = 0").select("t", "var", "value", "masked").toPandas()  # a few hundred rows, once for the whole search
 
     def evaluate(rects: list[region_search.Rect]) -> list[float]:
         got = {r.id: r.effect for r in region_search.causal_fitness(field, panel, rects, "EUROPE", 3, right).collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import tables
-from gridloom.operators import calculus, composite, coupled, edges, forecast, grid, indices, pcmci, program, region_search, season, stats
+from gridloom.operators import calculus, composite, coupled, edges, forecast, grid, indices, lagged, pcmci, program, region_search, season, stats
 from gridloom.plans import carriers as data
 from gridloom.plans.carriers import sql
 from gridloom.plans.causal import r4, r6
@@ -528,3 +528,85 @@ def composite_cube(spark: SparkSession, d: str) -> DataFrame:
     for wanted in (["DJF_0", "MAM_0"], ["MAM_0", "JJA_0"]):
         composite.write_cube(composite.slices(field.filter(F.col("season_lag").isin(wanted)), _events(spark, d), ["cell"]), path)
     return composite.cube(spark, path, schema, ["cell"], ["DJF_0", "MAM_0", "JJA_0", "SON_0"]).select("cell", "case", "season_lag", "place", r4("value"), r4("t"))
+
+
+@query("surface_pressure", sql("""SELECT season, k::DOUBLE AS lon, round(f0 + (f1 - f0) * (k - x0) / (x1 - x0), 4) AS value FROM (SELECT *, unnest(generate_series(x0::BIGINT, CASE WHEN last THEN x1::BIGINT ELSE x1::BIGINT - 1 END)) AS k FROM (
+  SELECT season, lon AS x0, value AS f0, lead(lon) OVER w AS x1, lead(value) OVER w AS f1, lead(lon, 2) OVER w IS NULL AS last FROM (
+    SELECT season, (cell // 5) * 72.0::DOUBLE - 180 AS lon, sum(1013.25 * pow(1 - value / 10 / 9.80665 * (0.0065 / 288.15), 9.80665 * 0.0289644 / (8.31447 * 0.0065)) * cos(radians(cell % 5))) / sum(cos(radians(cell % 5))) AS value FROM sea WHERE cell % 5 <= 3 GROUP BY ALL) WINDOW w AS (PARTITION BY season ORDER BY lon)) WHERE x1 IS NOT NULL)"""))
+def surface_pressure(spark: SparkSession, d: str) -> DataFrame:
+    ground = data.sea(spark, d).select("season", (F.col("cell") % 5).alias("lat"), (F.floor(F.col("cell") / 5) * F.lit(72.0) - 180).alias("lon"), (F.col("value") / 10).alias("value"))
+    return calculus.surface_pressure(ground, ["season"], (-2, 2)).select("season", "lon", r4("value"))
+
+
+VECTORS = "uv AS (SELECT season, cell % 5 AS lat, cell // 5 AS lon, anom / 1e4 AS u, anom * (cell - 12) / 1e5::DOUBLE AS v, cell % 3 <> 1 AS significant FROM anom), "
+GRIDDED = VECTORS + "m AS (SELECT season, k, lat + 5 * (k % 4) - 10 AS lat, lon + 5 * (k // 4) AS lon, CASE WHEN significant AND abs(lat + 5 * (k % 4) - 10) > {eq} THEN u END AS u, CASE WHEN significant AND abs(lat + 5 * (k % 4) - 10) > {eq} THEN v END AS v FROM uv, (SELECT unnest(range(16)) AS k)), "
+SIZED = GRIDDED + "z AS (SELECT *, sqrt(u * u + v * v) AS size, max(sqrt(u * u + v * v)) OVER (PARTITION BY season) AS top, quantile_cont(sqrt(u * u + v * v), 0.05) OVER (PARTITION BY season) AS low, quantile_cont(sqrt(u * u + v * v), 0.95) OVER (PARTITION BY season) AS high, dense_rank() OVER (PARTITION BY season ORDER BY lat) - 1 AS i, dense_rank() OVER (PARTITION BY season ORDER BY lon) - 1 AS j FROM m)"
+WIDTH = "round(CASE WHEN top > 0 THEN coalesce(3 * size / top, 0) WHEN top IS NOT NULL THEN 0 END, 4) AS width"
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of 20 x 20 vectors: the 25 cells, side by side sixteen times."""
+    k, cell = F.col("k"), F.col("cell")
+    a = data.anom(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return a.select("season", (cell % 5 + 5 * (k % 4) - 10).alias("lat"), (F.floor(cell / 5) + 5 * F.floor(k / 4)).alias("lon"), (F.col("anom") / 1e4).alias("u"), (F.col("anom") * (cell - 12) / 1e5).alias("v"), (cell % 3 != 1).alias("significant"))
+
+
+@query("composite_winds", sql(f"SELECT season, lat, lon, round(u, 4) AS u, round(v, 4) AS v, {WIDTH} FROM z WHERE i % 5 = 0 AND j % 5 = 0", SIZED.format(eq=-1)))
+def composite_winds(spark: SparkSession, d: str) -> DataFrame:
+    return composite.winds(_vectors(spark, d), ["season"]).select("season", "lat", "lon", r4("u"), r4("v"), r4("width"))
+
+
+@query("composite_fluxes", sql(f"SELECT season, lat, lon, round(u * r, 4) AS u, round(v * r, 4) AS v, {WIDTH} FROM (SELECT *, CASE WHEN high > low THEN CASE WHEN size <> 0 THEN (1.4 + (least(greatest(size, low), high) - high) * 0.8 / (high - low)) / size ELSE 0 END ELSE 1 END AS r FROM z) WHERE i % 7 = 0 AND j % 7 = 0", SIZED.format(eq=3)))
+def composite_fluxes(spark: SparkSession, d: str) -> DataFrame:
+    return composite.winds(_vectors(spark, d), ["season"], "waf", equator=3).select("season", "lat", "lon", r4("u"), r4("v"), r4("width"))
+
+
+@query("wind_bundle", sql("SELECT cell, layer, round(max(CASE WHEN side = 'u' THEN slope END), 4) AS u, round(max(CASE WHEN side = 'v' THEN slope END), 4) AS v, round(max(CASE WHEN side = 'u' THEN r2 END), 4) AS p_u, round(max(CASE WHEN side = 'v' THEN r2 END), 4) AS p_v FROM (SELECT cell, f, f * regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM yx, (VALUES (1), (2), (3)) k(f) GROUP BY cell, f) JOIN (VALUES (1, 'lower', 'u'), (2, 'lower', 'v'), (3, 'upper', 'v')) n(f, layer, side) USING (f) GROUP BY cell, layer", ONTO))
+def wind_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The winds of a regression out of its results, of which the upper zonal one is missing."""
+    path = results.shared_path(spark, "regressions")
+    names = F.explode(F.array(*(F.struct(F.lit(n).alias("var"), F.lit(f).alias("f")) for n, f in (("U_850", 1), ("V_850", 2), ("V_200", 3), ("sst", 7)))))
+    fits = stats.slope_map(_onto(spark, d), ["cell"]).select("cell", "slope", "r2", names.alias("n"))
+    fits.select("cell", (F.col("slope") * F.col("n.f")).alias("coef"), F.col("r2").alias("p_value"), F.lit("EP").alias("pathway"), "n.var").write.partitionBy("pathway", "var").parquet(path)
+    return scan.wind_bundle(spark, path, "850", "200", ["cell"], pathway="EP").select("cell", "layer", r4("u"), r4("v"), r4("p_u"), r4("p_v"))
+
+
+SET_RUNS = """sr AS (SELECT "set", cause, effect, lag, run_idx, [0.05, 0.025, 0.015, 0.01][run_idx + 1]::DOUBLE AS alpha, (s % 1201 - 400) / 1000.0::DOUBLE AS causal_effect, (s * 7919 % 97) / 4000.0::DOUBLE AS p_value FROM (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS "set", 'v' || c_nationkey % 9 AS cause, 'v' || (o_custkey + o_orderkey) % 9 AS effect, (1 + o_orderkey % 3)::INT AS lag, (o_orderkey // 2 % 4)::INT AS run_idx, sum(o_custkey)::BIGINT AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)),
+ro AS (SELECT "set", cause, effect, lag, avg_effect, avg_p FROM (SELECT "set", cause, effect, lag, count(*) FILTER (p_value <= alpha) AS hits, count(DISTINCT run_idx) AS n, avg(causal_effect) FILTER (p_value <= alpha) AS avg_effect, avg(p_value) FILTER (p_value <= alpha) AS avg_p, count(*) FILTER (p_value <= alpha AND causal_effect > 0) AS pos, count(*) FILTER (p_value <= alpha AND causal_effect < 0) AS neg FROM sr GROUP BY ALL)
+  WHERE hits / n >= 0.5 AND avg_p <= 0.05 AND abs(avg_effect) >= 0.05 AND (CASE WHEN abs(avg_effect) <= 1e-8 THEN greatest(pos, neg) WHEN avg_effect > 0 THEN pos ELSE neg END) / hits >= 0.6),
+walk AS (SELECT "set", cause, effect, lag, lag AS cum, cause AS at FROM ro WHERE effect IN ('v1', 'v2') AND lag BETWEEN 1 AND 6 UNION SELECT e."set", e.cause, e.effect, e.lag, w.cum + e.lag, e.cause FROM walk w JOIN ro e ON e."set" = w."set" AND e.effect = w.at WHERE w.cum + e.lag BETWEEN 1 AND 6)"""
+
+
+@query("set_graphs_of_orders", sql('SELECT DISTINCT w."set", w.cause, w.effect, w.lag, round(avg_effect, 8) AS effect_size, round(avg_p, 8) AS p_value FROM walk w JOIN ro USING ("set", cause, effect, lag)', SET_RUNS, recursive=True))
+def set_graphs_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The graphs of two sets towards two targets, walked in the same joins."""
+    key = F.col("o_orderkey")
+    o = scan.table(spark, d, "orders").join(scan.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    name = lambda x: F.concat(F.lit("v"), (x % 9).cast("string"))
+    g = o.groupBy(F.when(key % 2 == 0, "even").otherwise("odd").alias("set"), name(F.col("c_nationkey")).alias("cause"), name(F.col("o_custkey") + key).alias("effect"), (1 + key % 3).cast("int").alias("lag"), (F.floor(key / 2) % 4).cast("int").alias("run_idx")).agg(F.sum("o_custkey").alias("s"))
+    alpha = F.element_at(F.array(*(F.lit(a) for a in (0.05, 0.025, 0.015, 0.01))), F.col("run_idx") + 1)
+    runs = g.select("set", "cause", "effect", "lag", "run_idx", alpha.alias("alpha"), ((F.col("s") % 1201 - 400) / 1000.0).alias("causal_effect"), (F.col("s") * 7919 % 97 / 4000.0).alias("p_value"))
+    return edges.graphs(runs, None, ["v1", "v2"], least=1, least_ratio=0.5, least_consistency=0.6, least_effect=0.05).select("set", "cause", "effect", "lag", F.round("effect_size", 8).alias("effect_size"), F.round("p_value", 8).alias("p_value"))
+
+
+PAIRED = """pair AS (SELECT g.target, g.parent, a.t + g.lag AS t, a.value AS x FROM panel a JOIN (VALUES ('ASIA', 'EUROPE', 2), ('AFRICA', 'ASIA', 1), ('EUROPE', 'EUROPE', 4)) g(target, parent, lag) ON a.var = g.parent),
+both_ AS (SELECT p.target, p.t, p.x, b.value AS y FROM pair p LEFT JOIN panel b ON b.var = p.target AND b.t = p.t),
+m AS (SELECT target, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM both_ WHERE y IS NOT NULL GROUP BY target)"""
+
+
+@query("graph_models", sql("SELECT target, both_.t::INT AS t, round(y, 4) AS y_true, round(a + b * x, 4) AS y_pred FROM both_ JOIN m USING (target)", PAIRED))
+def graph_models(spark: SparkSession, d: str) -> DataFrame:
+    """Each target from its lagged parent, all targets at once, with the steps past the end."""
+    p = data.panel(spark, d).select("t", "var", "value")
+    graph = spark.createDataFrame([("ASIA", "EUROPE", 2), ("AFRICA", "ASIA", -1), ("EUROPE", "EUROPE", 4)], "target string, parent string, lag int")
+    return lagged.predict(p, graph, lagged.fit(p, graph, []), []).select("target", F.col("t").cast("int").alias("t"), r4("y_true"), r4("y_pred"))
+
+
+@query("mca_driver")
+def mca_driver(spark: SparkSession, d: str) -> DataFrame:
+    """From a temperature and two winds to the patterns of their first modes, without the cold tongue's signal."""
+    a = data.anom(spark, d).select((F.col("cell") % 5 * 3 - 6).alias("lat"), (F.floor(F.col("cell") / 5) * 72.0).alias("lon"), "season", F.col("anom").alias("value"), "cell")
+    u, v = (a.withColumn("value", f).drop("cell") for f in (F.col("value") * F.cos(F.col("cell").cast("double")), F.col("value") * F.sin(F.col("cell").cast("double"))))
+    _, pattern, winds, _ = coupled.drive(a.drop("cell"), u, v, (-6, 6, 0, 360), ["lat", "lon"], 2)
+    return pattern.join(winds, ["lat", "lon", "mode"], "full")

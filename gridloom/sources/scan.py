@@ -69,6 +69,21 @@ def results(spark: SparkSession, root: str, **parts: str | int) -> DataFrame:
     return df
 
 
+#: The two wind components by lower level; any other level is that of 10 m.
+LOWER_WINDS = {"WAF": ("WAFx_200", "WAFy_200"), "10m": ("U_10m", "V_10m"), "850": ("U_850", "V_850")}
+
+
+def wind_bundle(spark: SparkSession, root: str, lower: str, upper: str, cell: list[str], **parts: str | int) -> DataFrame:
+    """``cell, layer, u, v, p_u, p_v``: the wind coefficients of a regression at a lower and an upper level, one scan of the partitions
+    that hold the four fields. A field that is not there is NULL. root: results partitioned by ``var`` (and ``parts``), with ``coef, p_value``."""
+    names = {"lower": LOWER_WINDS.get(lower, LOWER_WINDS["10m"]), "upper": (f"U_{upper}", f"V_{upper}")}
+    found = results(spark, root, **parts).filter(F.col("var").isin([v for pair in names.values() for v in pair]))
+    layers = F.explode(F.array(*(F.struct(F.lit(k).alias("layer"), F.lit(u).alias("_u"), F.lit(v).alias("_v")) for k, (u, v) in names.items())))
+    each = found.select(*cell, "var", "coef", "p_value", layers.alias("l")).select(*cell, "var", "coef", "p_value", "l.*").filter(F.col("var").isin(F.col("_u"), F.col("_v")))
+    own = lambda side, c: F.max(F.when(F.col("var") == F.col(side), F.col(c)))
+    return each.groupBy(*cell, "layer").agg(own("_u", "coef").alias("u"), own("_v", "coef").alias("v"), own("_u", "p_value").alias("p_u"), own("_v", "p_value").alias("p_v"))
+
+
 def year_months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """``year, month`` (two digits) from ``YYYY-MM`` to ``YYYY-MM``, both included."""
     months = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(f"{first}-01")), F.to_date(F.lit(f"{last}-01")), F.expr("interval 1 month"))).alias("d"))

@@ -70,3 +70,16 @@ def test_a_test_that_fails_is_told(spark, monkeypatch):
     df, _ = panel(spark, 1)
     got = pcmci.outcomes(pcmci.attempts(df, ["run"], test="no such test"), ["run"]).first()
     assert not got.ok and "no such test" in got.error
+
+
+class Difference:
+    """A test of one's own: the effect is the difference of means, and it always counts."""
+
+    def __call__(self, x, y, z):
+        return float(x.mean() - y.mean()), 0.0
+
+
+def test_tests_are_found_by_module_and_name(spark):
+    df, _ = panel(spark, 1)
+    rows = pcmci.discover(df, ["run"], targets=["v0"], most=2, test="tests.test_causal:Difference").collect()
+    assert len(rows) == 6 and {r.p_value for r in rows} == {0.0} and len({r.causal_effect for r in rows}) > 1
