@@ -101,7 +101,12 @@ def tuned(x: np.ndarray, y: np.ndarray, model: str, inner: int, grid: dict[str,
 
 def predict_folds(design: DataFrame, keys: list[str], predictors: list[str], k: int, model: str = "linear", inner: int | None = None) -> DataFrame:
     """``keys, fold, t, y_true, y_pred``: each test block predicted from all rows before it. A key is one design matrix (a few hundred rows);
-    rows with a missing predictor neither train nor are predicted. With ``inner`` folds the model's grid is searched."""
+    rows with a missing predictor neither train nor are predicted. With ``inner`` folds the model's grid is searched. Models that moments decide
+    are one plan of sums (``nested``)."""
+    if model in SUMS:
+        alphas, scaled = SUMS[model]
+        rows = design.select(*keys, "t", "y", F.map_from_arrays(F.array(*map(F.lit, predictors)), F.array(*(F.col(p).cast("double") for p in predictors))).alias("x"))
+        return nested.forecasts(rows, keys, k, inner or 0, alphas if inner or not any(alphas) else [1.0], scaled)
     fields = ", ".join(f"{c} {design.schema[c].dataType.simpleString()}" for c in keys)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

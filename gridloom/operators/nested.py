@@ -77,7 +77,7 @@ def expanding(n: Column, k: int, fold: Column) -> tuple[Column, Column, Column]:
 
 def forecasts(design: DataFrame, keys: list[str], k: int, inner: int, alphas: list[float], scaled: bool = True) -> DataFrame:
     """``keys, fold, t, y_true, y_pred``: each of ``k`` test blocks predicted from all rows before it, by the penalty with the least mean error
-    over ``inner`` expanding blocks of those rows (the first of ``alphas`` where they are too few; the first of equals).
+    over ``inner`` expanding blocks of those rows (the first of ``alphas`` where they are too few, or there are no inner blocks; the first of equals).
 
     design: ``keys, t, y, x`` with a map of predictors by name; a key's predictors are all names that its rows have. Folds are cut from all rows;
     rows without ``y`` or a predictor neither train nor are predicted."""
@@ -94,21 +94,25 @@ def forecasts(design: DataFrame, keys: list[str], k: int, inner: int, alphas: li
     outer = per_key.select(*keys, "n", F.posexplode("train").alias("fold", "train"))
     size, start, end = expanding(F.col("n"), k, F.col("fold"))
     outer = outer.select(*keys, "fold", "train", start.alias("start"), end.alias("end"), size.alias("size")).filter("size > 0 AND train >= 2").drop("size")
-    size, start, end = expanding(F.col("train"), inner, F.col("i"))
-    searched = outer.select(*keys, "fold", "train", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("i")).select(*keys, "fold", start.cast("long").alias("a"), end.cast("long").alias("b"), size.alias("size")).filter("size > 0")
-    ends = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(inner - 1)), lambda i: F.array(*expanding(F.col("train"), inner, i)[1:])))
-    edges = outer.select(*keys, F.explode(F.concat(ends, F.array("train")).cast("array<bigint>")).alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_set("edge")).alias("edges"))
+    search = inner > 0 and len(alphas) > 1
+    ends = [expanding(F.col("train"), inner, F.lit(i))[1:] for i in range(inner)] if search else []
+    edges = outer.select(*keys, F.explode(F.array(*(x.cast("long") for pair in ends for x in pair), "train")).alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_set("edge")).alias("edges"))
     cut = rows.filter("ok").join(edges, keys).withColumn("segment", F.size(F.filter("edges", lambda e: e <= F.col("rank")))).filter(F.col("segment") < F.size("edges"))
     products = F.flatten(F.transform("z", lambda a: F.transform("z", lambda b: a * b)))
     sums = cut.select(*keys, "edges", "segment", F.posexplode(products).alias("at", "p")).groupBy(*keys, "edges", "segment", "at").agg(F.sum("p").alias("p"))
     running = sums.withColumn("p", F.sum("p").over(Window.partitionBy(*keys, "at").orderBy("segment")))
     moments = running.groupBy(*keys, "edges", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("s")).select(*keys, F.get("edges", F.col("segment")).alias("edge"), F.col("s.p").alias("sums"))
     at = lambda name, as_: moments.withColumnRenamed("edge", name).withColumnRenamed("sums", as_)
-    options = F.posexplode(F.array(*(F.lit(float(a)) for a in alphas))).alias("option", "alpha")
-    tried = searched.join(at("a", "before"), [*keys, "a"]).join(at("b", "upto"), [*keys, "b"]).select(*keys, "fold", "size", "before", "upto", options)
-    errors = fitted(tried, scaled).groupBy(*keys, "fold", "option", "alpha").agg(F.avg(F.sqrt(F.col("sse") / F.col("size"))).alias("error"))
-    best = errors.groupBy(*keys, "fold").agg(F.min_by("alpha", F.struct("error", "option")).alias("best"))
-    last = outer.join(best, [*keys, "fold"], "left").join(at("train", "before"), [*keys, "train"])
+    if search:
+        size, start, end = expanding(F.col("train"), inner, F.col("i"))
+        blocks = outer.select(*keys, "fold", "train", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))).alias("i")).select(*keys, "fold", start.cast("long").alias("a"), end.cast("long").alias("b"), size.alias("size")).filter("size > 0")
+        options = F.posexplode(F.array(*(F.lit(float(a)) for a in alphas))).alias("option", "alpha")
+        tried = blocks.join(at("a", "before"), [*keys, "a"]).join(at("b", "upto"), [*keys, "b"]).select(*keys, "fold", "size", "before", "upto", options)
+        errors = fitted(tried, scaled).groupBy(*keys, "fold", "option", "alpha").agg(F.avg(F.sqrt(F.col("sse") / F.col("size"))).alias("error"))
+        outer = outer.join(errors.groupBy(*keys, "fold").agg(F.min_by("alpha", F.struct("error", "option")).alias("best")), [*keys, "fold"], "left")
+    else:
+        outer = outer.withColumn("best", F.lit(float(alphas[0])))
+    last = outer.join(at("train", "before"), [*keys, "train"])
     models = fitted(last.select(*keys, "fold", "start", "end", F.coalesce("best", F.lit(float(alphas[0]))).alias("alpha"), "before", F.lit(None).cast("array<double>").alias("upto")), scaled)
     met = rows.filter("ok").join(models, keys).filter(F.col("pos").between(F.col("start"), F.col("end") - 1))
     terms = F.zip_with("coefs", F.slice("z", 1, F.size("coefs")), lambda a, b: a * b)

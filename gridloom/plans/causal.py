@@ -82,10 +82,10 @@ def fdr_pruning(spark: SparkSession, d: str) -> DataFrame:
     return ops.prune_by_fdr(e, e.filter("lag <> 2"))[1]
 
 
-@query("window_thresholds", "SELECT n_nationkey * 2 AS years, CASE WHEN n_nationkey * 2 <= 20 THEN 0.3 WHEN n_nationkey * 2 <= 30 THEN 0.45 ELSE 0.55 END::DOUBLE AS threshold FROM nation")
+@query("window_thresholds", "SELECT o_orderkey, o_orderkey % 50 AS years, CASE WHEN o_orderkey % 50 <= 20 THEN 0.3 WHEN o_orderkey % 50 <= 30 THEN 0.45 ELSE 0.55 END::DOUBLE AS threshold FROM orders")
 def window_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    years = F.col("n_nationkey") * 2
-    return scan.table(spark, d, "nation").select(years.alias("years"), ops.frequency_threshold(years).alias("threshold"))
+    years = F.col("o_orderkey") % 50
+    return scan.table(spark, d, "orders").select("o_orderkey", years.alias("years"), ops.frequency_threshold(years).alias("threshold"))
 
 
 @query("window_consensus", sql("SELECT cause, effect, lag, round(frequency, 6) AS frequency, round(average_effect, 6) + 0.0 AS average_effect, round(link_power, 6) AS link_power, round(link_power / max(link_power) OVER (), 6) AS width FROM (SELECT *, frequency * abs(average_effect) AS link_power FROM (SELECT cause, effect, lag, count(*) / 4 AS frequency, avg(causal_effect) AS average_effect FROM runs WHERE p_value < 0.03 GROUP BY ALL) WHERE frequency >= 0.45)"))
@@ -233,14 +233,24 @@ def contingency(spark: SparkSession, d: str) -> DataFrame:
     return forecast.contingency(every, ["k"], F.lit(0.5)).select("k", *(F.col(c).cast("long").alias(c) for c in ("hits", "misses", "false_alarms", "correct_negatives", "n_events_observed")), r4("hit_rate"), r4("miss_rate"))
 
 
-@query("cv_skill_table")
+RIDGE = """d AS (SELECT a.var AS target, a.t, a.value AS y, b.value AS x0, c.value AS x1, row_number() OVER (PARTITION BY a.var ORDER BY a.t) - 1 AS pos, count(*) OVER (PARTITION BY a.var) AS n
+  FROM panel a LEFT JOIN panel b ON b.var = 'AFRICA' AND b.t = a.t - 3 LEFT JOIN panel c ON c.var = 'AMERICA' AND c.t = a.t - 4 WHERE a.var IN ('ASIA', 'EUROPE')),
+f AS (SELECT target, f, n - (3 - f) * (n // 4) AS s, n - (2 - f) * (n // 4) AS e FROM (SELECT DISTINCT target, n FROM d), (SELECT unnest([0, 1, 2]) AS f)),
+m AS (SELECT target, f, s, e, count(*) AS n, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, stddev_pop(x0) AS s0, stddev_pop(x1) AS s1, count(*) * corr(x0, x1) AS r, count(*) * covar_pop(x0, y) / stddev_pop(x0) AS q0, count(*) * covar_pop(x1, y) / stddev_pop(x1) AS q1
+  FROM d JOIN f USING (target) WHERE pos < s AND x0 IS NOT NULL AND x1 IS NOT NULL GROUP BY target, f, s, e),
+w AS (SELECT *, ((n + 1) * q0 - r * q1) / ((n + 1) * (n + 1) - r * r) AS w0, ((n + 1) * q1 - r * q0) / ((n + 1) * (n + 1) - r * r) AS w1 FROM m WHERE m.n >= 2),
+p AS (SELECT d.target, y, my + w0 * (x0 - m0) / s0 + w1 * (x1 - m1) / s1 AS z FROM d JOIN w USING (target) WHERE pos >= s AND pos < e AND x0 IS NOT NULL AND x1 IS NOT NULL),
+k AS (SELECT target, sqrt(avg((y - z) * (y - z))) AS rmse, corr(y, z) AS r, count(*) AS n FROM p GROUP BY target)"""
+
+
+@query("cv_skill_table", sql("SELECT target, round(rmse, 3) AS rmse, round(r, 4) AS r, n, round(r * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t FROM k", RIDGE))
 def cv_skill_table(spark: SparkSession, d: str) -> DataFrame:
     design = None
     for target in ("ASIA", "EUROPE"):
         one = align.design_matrix(data.panel(spark, d), target, [("AFRICA", 3), ("AMERICA", 4)]).withColumn("target", F.lit(target))
         design = one if design is None else design.unionByName(one)
     predicted = forecast.predict_folds(design, ["target"], ["x0", "x1"], 3, "ridge")
-    return forecast.skill(predicted, ["target"])
+    return forecast.skill(predicted, ["target"]).select("target", F.round("rmse", 3).alias("rmse"), r4("r"), "n", r4("t"))
 
 
 # winds

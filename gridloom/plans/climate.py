@@ -206,9 +206,10 @@ def pooled_month_std(spark: SparkSession, d: str) -> DataFrame:
     return season.pooled_std(uv, ["cell"]).select("season", "cell", r4("u_n"), r4("v_n"))
 
 
-@query("year_months", "SELECT year(x)::INT AS year, lpad(month(x)::VARCHAR, 2, '0') AS month FROM (SELECT unnest(generate_series(DATE '1999-11-01', DATE '2001-03-01', INTERVAL 1 MONTH)) AS x)")
+@query("year_months", "SELECT year(x)::INT AS year, lpad(month(x)::VARCHAR, 2, '0') AS month FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH)) AS x)")
 def year_months(spark: SparkSession, d: str) -> DataFrame:
-    return scan.year_months(spark, "1999-11", "2001-03")
+    first, last = scan.table(spark, d, "orders").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM"), F.date_format(F.max("o_orderdate"), "yyyy-MM")).first()
+    return scan.year_months(spark, first, last)
 
 
 # joins and sets
@@ -321,9 +322,9 @@ def linear_interp(spark: SparkSession, d: str) -> DataFrame:
     return calculus.linear_interp(_square(spark, d), ["season", "lat"], "lon", 24.0).select("season", "lat", "lon", r4("value"))
 
 
-@query("barometric", "SELECT n_nationkey AS cell, round(1013.25 * pow(1 - n_nationkey * 100 * (0.0065 / 288.15), 9.80665 * 0.0289644 / (8.31447 * 0.0065)), 4) AS pressure FROM nation")
+@query("barometric", "SELECT c_custkey AS cell, round(1013.25 * pow(1 - c_custkey % 9000 * (0.0065 / 288.15), 9.80665 * 0.0289644 / (8.31447 * 0.0065)), 4) AS pressure FROM customer")
 def barometric(spark: SparkSession, d: str) -> DataFrame:
-    return scan.table(spark, d, "nation").select(F.col("n_nationkey").alias("cell"), r4(calculus.barometric(F.col("n_nationkey") * 100), "pressure"))
+    return scan.table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), r4(calculus.barometric(F.col("c_custkey") % 9000), "pressure"))
 
 
 @query("bilinear_regrid", sql("""SELECT season, tlat, tlon, CASE WHEN count(value) = any_value(need) THEN round(sum(value * w), 4) END AS value FROM (SELECT *, count(*) OVER (PARTITION BY tlat, tlon) AS need FROM (SELECT tlat, tlon, iy + dy AS iy, ix + dx AS ix, (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) AS w FROM (SELECT tlat, tlon, floor(tlat)::BIGINT AS iy, floor((tlon + 180) / 72)::BIGINT AS ix, tlat - floor(tlat) AS fy, (tlon + 180) / 72 - floor((tlon + 180) / 72) AS fx FROM (SELECT unnest([0.5, 1.25, 3.0])::DOUBLE AS tlat), (SELECT unnest([-150.0, -36.0, 60.0])::DOUBLE AS tlon)), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)) WHERE w > 0) n

@@ -28,16 +28,22 @@ def monthly_axis(spark: SparkSession, d: str) -> DataFrame:
     return season.monthly_axis(p, "1950-01-01", "step").select("var", "time", r4("value"))
 
 
-@query("lag_groups", "SELECT n_nationkey::INT AS lag, CASE n_nationkey WHEN 6 THEN 'JJA' WHEN 4 THEN 'DJF' WHEN 3 THEN 'MAM' ELSE 'SON' END AS season, CASE n_nationkey WHEN 6 THEN 'JJA_PREDICTORS' WHEN 4 THEN 'DJF_CONFOUNDERS' WHEN 3 THEN 'MAM_MEDIATORS' ELSE 'SON_PREDICTORS' END AS \"group\" FROM nation")
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """``k``: a whole number of each order."""
+    return scan.table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("k"))
+
+
+@query("lag_groups", "SELECT o_orderkey::INT AS k, (o_orderkey % 9)::INT AS lag, CASE o_orderkey % 9 WHEN 6 THEN 'JJA' WHEN 4 THEN 'DJF' WHEN 3 THEN 'MAM' ELSE 'SON' END AS season, CASE o_orderkey % 9 WHEN 6 THEN 'JJA_PREDICTORS' WHEN 4 THEN 'DJF_CONFOUNDERS' WHEN 3 THEN 'MAM_MEDIATORS' ELSE 'SON_PREDICTORS' END AS \"group\" FROM orders")
 def lag_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _nation(spark, d).select(F.col("k").alias("lag"), program.lag_group(F.col("k")).alias("g")).select("lag", "g.season", "g.group")
+    lag = F.col("k") % 9
+    return _keys(spark, d).select("k", lag.alias("lag"), program.lag_group(lag).alias("g")).select("k", "lag", "g.season", "g.group")
 
 
-@query("lag_bounds", "SELECT n_nationkey::INT AS k, (n_nationkey % 4 + 3)::INT AS high, (CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 4 + 3 ELSE 3 END)::INT AS low FROM nation")
+@query("lag_bounds", "SELECT o_orderkey::INT AS k, (o_orderkey % 4 + 3)::INT AS high, (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 + 3 ELSE 3 END)::INT AS low FROM orders")
 def lag_bounds(spark: SparkSession, d: str) -> DataFrame:
     high = F.concat(F.lit("lag"), (F.col("k") % 4 + 3).cast("string"))
     text = F.concat(high, F.when(F.col("k") % 3 == 0, "").otherwise("-3"), F.when(F.col("k") % 2 == 0, "_COMBINED").otherwise(""))
-    return _nation(spark, d).select("k", program.lag_bounds(text).alias("b")).select("k", "b.high", "b.low")
+    return _keys(spark, d).select("k", program.lag_bounds(text).alias("b")).select("k", "b.high", "b.low")
 
 
 @query("season_names", sql("SELECT season, [' (0)', ' (1)', ' (2)', ' (3)'][q] AS tag, ['Dec-Jan-Feb', 'Mar-Apr-May', 'Jun-Jul-Aug', 'Sep-Oct-Nov'][q] || [' (0)', ' (1)', ' (2)', ' (3)'][q] AS display, ['DJF', 'MAM', 'JJA', 'SON'][q] || [' (0)', ' (1)', ' (2)', ' (3)'][q] AS code FROM (SELECT DISTINCT season, quarter(season) AS q FROM sea)"))
@@ -48,10 +54,10 @@ def season_names(spark: SparkSession, d: str) -> DataFrame:
     return shown.withColumn("code", season.season_code(F.col("display")))
 
 
-@query("reference_years", "SELECT n_nationkey::INT AS k, ['JJA', 'SON', 'DJF', 'MAM'][n_nationkey % 4 + 1] || CASE WHEN n_nationkey % 3 = 0 THEN '_-1' ELSE '_0' END AS key, (1990 + n_nationkey - CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END)::INT AS year FROM nation")
+@query("reference_years", "SELECT o_orderkey::INT AS k, ['JJA', 'SON', 'DJF', 'MAM'][o_orderkey % 4 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '_-1' ELSE '_0' END AS key, (1990 + o_orderkey % 30 - CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::INT AS year FROM orders")
 def reference_years(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat(F.element_at(F.array(*map(F.lit, ("JJA", "SON", "DJF", "MAM"))), F.col("k") % 4 + 1), F.when(F.col("k") % 3 == 0, "_-1").otherwise("_0"))
-    return _nation(spark, d).select("k", key.alias("key"), composite.reference_year(1990 + F.col("k"), key).alias("year"))
+    return _keys(spark, d).select("k", key.alias("key"), composite.reference_year(1990 + F.col("k") % 30, key).alias("year"))
 
 
 @query("windows_by_years", sql("SELECT w AS window, (w * 4 + 8)::INT AS centre, var, t::INT AS t FROM panel, (SELECT unnest(range(0, 1000))::INT AS w) WHERE t BETWEEN w * 4 AND w * 4 + 15 AND w * 4 + 15 <= (SELECT max(t) FROM panel)"))
@@ -133,11 +139,45 @@ def regression_table_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT cell, predictor, round(coef, 4) + 0.0 AS coef, round(p_value, 6) AS p_value, round(r2, 4) AS r2, n FROM regression(TABLE(SELECT * FROM {yx}), 'cell', 'y', 'x, x2')", yx=_onto(spark, d))
 
 
-@query("welch_p_values")
+def two_sided_real(t: str, df: str) -> str:
+    """The same for degrees of freedom that are no whole number: the integral over the angle by Simpson's rule."""
+    a = f"atan(abs({t}) / sqrt({df}))"
+    area = f"list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({a} * i / 400), {df} - 1))) * {a} / 1200"
+    return f"1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {area}"
+
+
+MEANS = "g AS (SELECT cell, avg(value) FILTER (m = 1) AS ma, avg(value) FILTER (m = 7) AS mb, count(*) FILTER (m = 1) AS na, count(*) FILTER (m = 7) AS nb, var_samp(value) FILTER (m = 1) / count(*) FILTER (m = 1) AS qa, var_samp(value) FILTER (m = 7) / count(*) FILTER (m = 7) AS qb FROM (SELECT cell, value, month(season) AS m FROM sea) GROUP BY cell), h AS (SELECT *, (ma - mb) / sqrt(qa + qb) AS t, pow(qa + qb, 2) / (qa * qa / (na - 1) + qb * qb / (nb - 1)) AS df FROM g)"
+
+
+@query("welch_p_values", sql(f"SELECT cell, round(t, 4) AS t, round(df, 4) AS df, na AS n_a, nb AS n_b, round({two_sided_real('t', 'df')}, 6) AS p_value FROM h", MEANS))
 def welch_p_values(spark: SparkSession, d: str) -> DataFrame:
     """Differences of the means of two seasons in each cell, with p-values."""
     a = data.sea(spark, d).withColumn("m", F.month("season"))
-    return stats.welch(a, ["cell"], "m", 1, 7).withColumn("p_value", stats.t_p_value(F.col("t"), F.col("df")))
+    return stats.welch(a, ["cell"], "m", 1, 7).select("cell", r4("t"), r4("df"), "n_a", "n_b", r6(stats.t_p_value(F.col("t"), F.col("df")), "p_value"))
+
+
+ONE = "c AS (SELECT cell, covar_pop(y, x) AS s, var_pop(x) AS g FROM yx GROUP BY cell)"
+
+
+@query("lasso_one_predictor", sql("SELECT cell, round(sign(s) * greatest(abs(s) - 2e7, 0) / g, 4) + 0.0 AS coef FROM c", ONTO + ", " + ONE))
+def lasso_one_predictor(spark: SparkSession, d: str) -> DataFrame:
+    """With a single predictor the penalised fit has a closed form."""
+    return stats.lasso_fixed(_onto(spark, d), ["cell"], "y", ["x"], 2e7).select("cell", r4("coef"))
+
+
+FOLDS = """n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY season) - 1 AS pos, count(*) OVER (PARTITION BY cell) AS n FROM yx),
+f AS (SELECT n.*, k, pos >= k * (n // 5) + least(k, n % 5) AND pos < (k + 1) * (n // 5) + least(k + 1, n % 5) AS test FROM n, (SELECT unnest(range(0, 5)) AS k)),
+tr AS (SELECT cell, k, avg(y) AS my, avg(x) AS mx, covar_pop(y, x) AS s, var_pop(x) AS g FROM f WHERE NOT test GROUP BY cell, k),
+al AS (SELECT cell, i, abs(s) * pow(10, -3.0::DOUBLE * i / 99) AS alpha, s, g FROM c, (SELECT unnest(range(0, 100)) AS i)),
+er AS (SELECT cell, i, sum(e) AS e FROM (SELECT f.cell, al.i, f.k, avg(pow(f.y - my - (f.x - mx) * sign(tr.s) * greatest(abs(tr.s) - alpha, 0) / tr.g, 2)) AS e FROM f JOIN tr ON tr.cell = f.cell AND tr.k = f.k JOIN al ON al.cell = f.cell WHERE test GROUP BY f.cell, al.i, f.k) GROUP BY cell, i),
+be AS (SELECT cell, arg_min(i, struct_pack(e := e, i := i)) AS i FROM er GROUP BY cell)"""
+
+
+@query("lasso_cv_one_predictor", sql("SELECT cell, round(alpha / 1e6, 4) AS alpha, round(sign(s) * greatest(abs(s) - alpha, 0) / g, 4) + 0.0 AS coef FROM al JOIN be USING (cell, i)", ONTO + ", " + ONE + ", " + FOLDS))
+def lasso_cv_one_predictor(spark: SparkSession, d: str) -> DataFrame:
+    """The penalty by cross-validation, where each fold's fit has a closed form."""
+    fits = stats.lasso_cv_fit(_onto(spark, d), ["cell"], "y", ["x"], order="season")
+    return fits.select("cell", r4(F.col("alpha") / 1e6, "alpha"), r4("coef"))
 
 
 @query("lasso_cv_fit")
@@ -453,9 +493,9 @@ def slope_significance_rows(spark: SparkSession, d: str) -> DataFrame:
     return stats.slope_significance(gaps, ["cell"], F.lit(2.0), n_mode="rows").select("cell", r4("slope"), r4("se"), r4("t"), "significant")
 
 
-@query("months_of_year", "SELECT 1996 AS year, lpad(m::VARCHAR, 2, '0') AS month FROM (SELECT unnest(range(1, 13)) AS m)")
+@query("months_of_year", "SELECT year, lpad(m::VARCHAR, 2, '0') AS month FROM (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders), (SELECT unnest(range(1, 13)) AS m)")
 def months_of_year(spark: SparkSession, d: str) -> DataFrame:
-    return scan.year_months(spark, "1996-01", "1996-12")
+    return scan.months_of(scan.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct())
 
 
 @query("remove_signal_3", sql("SELECT cell, season, round(e2 - coalesce(regr_slope(e2, c2) OVER v * (c2 - avg(c2) OVER v), 0) - avg(e2) OVER v, 3) + 0.0 AS residual FROM (SELECT cell, season, e1 - avg(e1) OVER v - regr_slope(e1, b1) OVER v * (b1 - avg(b1) OVER v) AS e2, c1 - avg(c1) OVER v - regr_slope(c1, b1) OVER v * (b1 - avg(b1) OVER v) AS c2 FROM (SELECT cell, season, y - avg(y) OVER v - regr_slope(y, a) OVER v * (a - avg(a) OVER v) AS e1, b - avg(b) OVER v - regr_slope(b, a) OVER v * (a - avg(a) OVER v) AS b1, c - avg(c) OVER v - regr_slope(c, a) OVER v * (a - avg(a) OVER v) AS c1 FROM yabc WINDOW v AS (PARTITION BY cell)) WINDOW v AS (PARTITION BY cell)) WINDOW v AS (PARTITION BY cell)", "yabc AS (SELECT t.cell, t.season, t.anom / 1e3 AS y, i.value / 1e3 AS a, j.value / 1e3 AS b, k.value / 1e3 AS c FROM anom t JOIN idx i ON i.season = t.season AND i.name = 'EUROPE' JOIN idx j ON j.season = t.season AND j.name = 'ASIA' JOIN idx k ON k.season = t.season AND k.name = 'AFRICA')"))
@@ -471,12 +511,19 @@ def work_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return scan.outcomes(scan.table(spark, d, "events"), F.col("value") >= 5, ["event_type"])
 
 
-@query("composite_significance")
+SIGNIFICANT = """y3 AS (SELECT year(season) AS year, avg(value) AS value FROM idx WHERE name = 'ASIA' GROUP BY 1),
+e3 AS (SELECT year, 'high' AS kind FROM (SELECT * FROM y3 ORDER BY value DESC, year DESC LIMIT 3) UNION ALL SELECT year, 'low' FROM (SELECT * FROM y3 ORDER BY value, year LIMIT 3)),
+g AS (SELECT cell, avg(anom) FILTER (kind = 'high') AS ma, avg(anom) FILTER (kind = 'low') AS mb, count(*) FILTER (kind = 'high') AS na, count(*) FILTER (kind = 'low') AS nb, var_samp(anom) FILTER (kind = 'high') / count(*) FILTER (kind = 'high') AS qa, var_samp(anom) FILTER (kind = 'low') / count(*) FILTER (kind = 'low') AS qb FROM anom JOIN e3 ON e3.year = year(season) GROUP BY cell),
+h AS (SELECT *, (ma - mb) / sqrt(qa + qb) AS t, pow(qa + qb, 2) / (qa * qa / (na - 1) + qb * qb / (nb - 1)) AS df FROM g)"""
+
+
+@query("composite_significance", sql(f"SELECT cell, round(ma, 4) AS high, round(mb, 4) AS low, round(ma - mb, 4) AS diff, round(t, 4) AS t, round(df, 4) AS df, round(p, 6) AS p_value, CASE WHEN p < 0.05 THEN round(ma - mb, 4) END AS kept FROM (SELECT *, {two_sided_real('t', 'df')} AS p FROM h)", SIGNIFICANT))
 def composite_significance(spark: SparkSession, d: str) -> DataFrame:
     """Differences between extreme years in each cell and season, with p-values, kept where they are significant."""
     years = data.idx(spark, d).filter("name = 'ASIA'").groupBy(F.year("season").alias("year")).agg(F.avg("value").alias("value"))
     field = data.anom(spark, d).select(F.year("season").alias("year"), "cell", F.col("anom").alias("value"))
-    return composite.significant(composite.high_low(field, season.extreme_years(years, 3).select("year", "kind"), ["cell"]))
+    out = composite.significant(composite.high_low(field, season.extreme_years(years, 3).select("year", "kind"), ["cell"]))
+    return out.select("cell", *(r4(c) for c in ("high", "low", "diff", "t", "df")), r6("p_value"), r4("kept"))
 
 
 @query("resumed_streamfunction", sql("""SELECT season, lat, level, round(sum(coalesce((f + p) / 2 * (level - q), 0)) OVER (PARTITION BY season, lat ORDER BY level) / 1e9, 4) AS psi, year(season)::INT AS year FROM (

@@ -90,6 +90,11 @@ def year_months(spark: SparkSession, first: str, last: str) -> DataFrame:
     return months.select(F.year("d").alias("year"), F.lpad(F.month("d").cast("string"), 2, "0").alias("month"))
 
 
+def months_of(years: DataFrame) -> DataFrame:
+    """``year, month`` (two digits) of all twelve months of each year. years: ``year``, each once."""
+    return years.select("year", F.explode(F.array(*(F.lit(f"{m:02d}") for m in range(1, 13)))).alias("month"))
+
+
 def missing_years(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(found.select("year").distinct(), "year", "left_anti")
 
