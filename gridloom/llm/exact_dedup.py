@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import free_name, trimmed, written
 
 FAN_BITS = 4
-#: Rows of a run, some 30 MB.
-RUN_ROWS = 250_000
+#: Rows of a run, some 60 MB, and twice that while it is merged.
+RUN_ROWS = 1_000_000
 #: Partitions are 2^20 at most; beyond that they hold more rows each.
 MOST_BITS = 20
 LEAST_HOT, MOST_HOT = 64, 100_000

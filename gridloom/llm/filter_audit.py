@@ -24,7 +24,7 @@ from itertools import permutations
 import numpy as np
 import xxhash
 from pyspark import RDD
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
@@ -52,12 +52,12 @@ def text_mask(text: str, raw: bytes) -> int:
 
 
 def _fingerprints(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """``fp, n`` of the fingerprints of two or more rows, a written table; rows and bytes of all texts."""
+    """``fp, n`` of the fingerprints of two or more rows, a written table; rows and bytes of all texts, observed on the way."""
     text = F.coalesce(F.col("text"), F.lit(""))
     each = docs.select(F.xxhash64(text).alias("fp"), F.octet_length(text).cast("long").alias("size")).groupBy("fp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    counts = written(each, "audit-fingerprints")
-    rows, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return counts.filter("n > 1").select("fp", "n"), rows, size
+    seen = Observation()
+    repeated = written(each.observe(seen, F.sum("n").alias("rows"), F.sum("size").alias("size")).filter("n > 1").select("fp", "n"), "audit-fingerprints")
+    return repeated, seen.get["rows"] or 0, seen.get["size"] or 0
 
 
 def _sieve(repeated: DataFrame) -> tuple[np.ndarray, int]:

@@ -131,6 +131,15 @@ def test_audit_equals_brute_force(spark, monkeypatch, held, hot):
     assert {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in got.collect()} == plain_audit(rows, labels)
 
 
+def test_all_rows_and_bytes_are_observed(spark):
+    docs = spark.createDataFrame([("aa",), ("aa",), ("é",), (None,)] * 3 + [("once",)], "text string").repartition(4)
+    repeated, rows, size = filter_audit._fingerprints(docs)
+    assert (repeated.count(), rows, size) == (3, 13, 3 * (2 + 2 + 2) + 4)
+    bits, n = filter_audit._sieve(repeated)
+    assert n == filter_audit.LEAST_BITS and sum(bin(w).count("1") for w in bits.tolist()) == 3
+    assert all(int(bits[(f := r.fp % (1 << 64)) >> (64 - n) >> 6]) >> ((f >> (64 - n)) & 63) & 1 for r in repeated.collect())
+
+
 def test_audit_of_nothing_and_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, None, None)], "doc_id long, text string, lang string")
