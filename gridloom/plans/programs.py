@@ -549,8 +549,7 @@ def raw_tree_scan(spark: SparkSession, d: str) -> DataFrame:
     path = results.shared_path(spark, "raw-tree")
     o = scan.table(spark, d, "orders").select(F.trim("o_orderpriority").alias("variable"), F.year("o_orderdate").alias("year"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
     o.hint("rebalance", "variable", "year").write.partitionBy("variable", "year").parquet(path)
-    spark.dataSource.register(raw_tree.RawTree)
-    read = spark.read.format("raw_tree").load(path).filter(F.col("year").between(1996, 1999) & F.col("variable").isin("1-URGENT", "5-LOW"))
+    read = raw_tree.read(spark, path).filter(F.col("year").between(1996, 1999) & F.col("variable").isin("1-URGENT", "5-LOW"))
     return read.groupBy("variable", "year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

@@ -1,14 +1,14 @@
 """A Spark data source for a tree of raw files, ``<root>/variable=<name>/year=<year>/<files>``, one task for each variable and year.
 
-    spark.dataSource.register(RawTree)
-    spark.read.format("raw_tree").schema("variable string, year int, time string, lat double, lon double, value double").load(root)
+    read(spark, root).filter("variable = 'sst' AND year >= 1990")
 
-Filters on ``variable`` and ``year`` are decided when the partitions are planned, so files that they rule out are never opened
-(``spark.sql.python.filterPushdown.enabled``). A task that fails reads its files again if the error is of a kind that passes, after the time that
+Filters on ``variable`` and ``year`` are decided when the partitions are planned, so files that they rule out are never opened. That is so where
+the session has ``spark.sql.python.filterPushdown.enabled``, as ``gridloom.session`` sets it; in others all files are read, and Spark
+filters. A task that fails reads its files again if the error is of a kind that passes, after the time that
 the kind asks for; what still fails goes to Spark, which tries the task elsewhere. Files are Parquet, or CSV with a header. The root may be any that
 Arrow's file systems reach.
 
-Options: ``attempts`` (3) of a task, ``wait`` (1.0), by which the waiting times are multiplied.
+Options: ``attempts`` (3) of a task, ``wait`` (1.0), by which the waiting times are multiplied, ``pushdown``, which ``read`` sets.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.csv
 import pyarrow.parquet
 from pyarrow.fs import FileSelector, FileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -65,16 +66,10 @@ def with_retry(work: Callable[[], pa.Table], attempts: int, wait: float) -> pa.T
 
 class RawTreeReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
-        self.schema, self.options, self.filters = schema, options, []
+        self.schema, self.options = schema, options
+        self.filters: list[Filter] = []
         self.root = options["path"]
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if type(f) in DECIDED and f.attribute in {(p,) for p in PARTS}:
-                self.filters.append(f)
-            else:
-                yield f
-
     def chunks(self) -> list[Chunk]:
         system, root = FileSystem.from_uri(self.root)
         found: dict[tuple, Chunk] = {}
@@ -105,6 +100,17 @@ class RawTreeReader(DataSourceReader):
             yield from pa.Table.from_arrays(columns, schema=kinds).to_batches(max_chunksize=10_000)
 
 
+class PruningReader(RawTreeReader):
+    """A reader that takes filters; Spark refuses one where the session does not push them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if type(f) in DECIDED and f.attribute in {(p,) for p in PARTS}:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class RawTree(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -114,4 +120,11 @@ class RawTree(DataSource):
         return "variable string, year int, time timestamp_ntz, lat double, lon double, value double"
 
     def reader(self, schema: StructType) -> RawTreeReader:
-        return RawTreeReader(schema, dict(self.options))
+        return (PruningReader if self.options.get("pushdown") == "true" else RawTreeReader)(schema, dict(self.options))
+
+
+def read(spark: SparkSession, root: str, schema: str | None = None, source: type[DataSource] = RawTree, **options: str) -> DataFrame:
+    """The tree at ``root`` as a table, by this source or one made from it."""
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).options(pushdown=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"), **options)
+    return (reader.schema(schema) if schema else reader).load(root)

@@ -2,10 +2,10 @@
 
 import os
 
-from gridloom.sources.raw_tree import RawTree, RawTreeReader
+from gridloom.sources.raw_tree import PruningReader, RawTree
 
 
-class FlakyReader(RawTreeReader):
+class FlakyReader(PruningReader):
     def load(self, path):
         marks = self.options["marks"]
         name = "_".join(path.split("/")[-3:-1])

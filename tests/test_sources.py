@@ -22,8 +22,6 @@ def tree(spark, tmp_path):
     os.makedirs(f"{tmp_path}/raw/variable=text/year=1990")
     with open(f"{tmp_path}/raw/variable=text/year=1990/a.csv", "w") as f:
         f.write("time,other\n7,x\n8,y\n")
-    spark.dataSource.register(raw_tree.RawTree)
-    spark.dataSource.register(Flaky)
     os.makedirs(f"{tmp_path}/marks")
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     yield str(tmp_path)
@@ -31,7 +29,7 @@ def tree(spark, tmp_path):
 
 
 def test_tree_is_read_by_planned_partitions(spark, tree):
-    df = spark.read.format("raw_tree").schema(SCHEMA).load(f"file://{tree}/raw")
+    df = raw_tree.read(spark, f"file://{tree}/raw", SCHEMA)
     assert df.rdd.getNumPartitions() == 13 and df.count() == 62
     assert sorted(tuple(r) for r in df.filter("variable = 'text'").collect()) == [("text", 1990, 7, None), ("text", 1990, 8, None)]
     some = df.filter("variable IN ('v0', 'v2') AND year >= 2001 AND year < 2003 AND value > 3")
@@ -40,11 +38,14 @@ def test_tree_is_read_by_planned_partitions(spark, tree):
     assert "value" in plan and "Filter" in plan  # what the source does not decide stays with Spark
     want = sorted((f"v{i % 3}", 2000 + i % 4, i, i / 2) for i in range(60) if i % 3 != 1 and i % 4 in (1, 2) and i / 2 > 3)
     assert sorted(tuple(r) for r in some.collect()) == want
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert sorted(tuple(r) for r in raw_tree.read(spark, f"file://{tree}/raw", SCHEMA).filter("variable IN ('v0', 'v2') AND year >= 2001 AND year < 2003 AND value > 3").collect()) == want
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     assert df.filter("year = 1850").count() == 0 and df.filter("year IS NULL").count() == 0
 
 
 def test_passing_faults_are_tried_again(spark, tree):
-    read = lambda **o: spark.read.format("flaky_tree").schema(SCHEMA).options(marks=f"{tree}/marks", wait="0", **o).load(f"file://{tree}/raw").filter("variable = 'v1'")
+    read = lambda **o: raw_tree.read(spark, f"file://{tree}/raw", SCHEMA, Flaky, marks=f"{tree}/marks", wait="0", **o).filter("variable = 'v1'")
     assert read(faults="2", message="connection reset by peer").count() == 20
     assert len(os.listdir(f"{tree}/marks")) == 4 * 3
     with pytest.raises(Exception, match="503"):
