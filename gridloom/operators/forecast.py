@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import trees
+from gridloom.functions.named import named
 from gridloom.operators import nested
 from gridloom.operators.stats import lasso, lasso_cv, t_p_value
 
@@ -59,7 +60,7 @@ def _linear(solve: Callable[..., np.ndarray], scaled: bool = True) -> Callable:
 
 
 _least_squares = _linear(lambda x, y: np.linalg.lstsq(x, y, rcond=None)[0], scaled=False)
-#: Models by name: each takes predictors and a target, and gives a function that predicts. A linear model on graph parents is
+#: Models by name: each takes predictors and a target, and gives a function that predicts; others are named ``module:attribute``. A linear model on graph parents is
 #: the same as plain least squares on their lagged design.
 MODELS: dict[str, Callable] = {
     "linear": _least_squares,
@@ -90,13 +91,13 @@ def expanding(n: int, k: int) -> list[tuple[int, int]]:
 
 def tuned(x: np.ndarray, y: np.ndarray, model: str, inner: int, grid: dict[str, list] | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """The model fitted with those parameters of its grid that have the least mean error over the inner expanding folds."""
-    grid = GRIDS.get(model, {}) if grid is None else grid
+    grid, fit = GRIDS.get(model, {}) if grid is None else grid, named(model, MODELS)
     options = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
     folds = expanding(len(y), inner)
     if len(options) > 1 and folds:
-        error = lambda o: np.mean([math.sqrt(((y[a:b] - MODELS[model](x[:a], y[:a], **o)(x[a:b])) ** 2).mean()) for a, b in folds])
+        error = lambda o: np.mean([math.sqrt(((y[a:b] - fit(x[:a], y[:a], **o)(x[a:b])) ** 2).mean()) for a, b in folds])
         options = [options[int(np.argmin([error(o) for o in options]))]]
-    return MODELS[model](x, y, **(options[0] if options else {}))
+    return fit(x, y, **(options[0] if options else {}))
 
 
 def predict_folds(design: DataFrame, keys: list[str], predictors: list[str], k: int, model: str = "linear", inner: int | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def _folds(t: np.ndarray, y: np.ndarray, x: np.ndarray, k: int, model: str, inne
         train, test = np.flatnonzero(ok[:start]), start + np.flatnonzero(ok[start:end])
         if len(train) < 2 or not len(test):
             continue
-        predict = tuned(x[train], y[train], model, inner) if inner else MODELS[model](x[train], y[train])
+        predict = tuned(x[train], y[train], model, inner) if inner else named(model, MODELS)(x[train], y[train])
         rows += [(fold, int(t[i]), float(y[i]), float(p)) for i, p in zip(test, predict(x[test]), strict=True)]
     return rows
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from importlib import import_module
 from itertools import combinations, islice
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from gridloom.functions.distributions import normal_scores, t_two_sided
+from gridloom.functions.named import named
 from gridloom.operators import stats
 
 
@@ -103,18 +103,6 @@ TESTS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, flo
 }
 
 
-def named(name: str, known: dict[str, Callable]) -> Callable:
-    """One of the known by its name, or ``module:attribute`` of any module that the executors have; a class is made into an object, which must
-    be callable."""
-    if name in known:
-        return known[name]
-    module, _, attribute = name.partition(":")
-    if not attribute:
-        raise KeyError(f"'{name}' is none of {', '.join(sorted(known))}, nor module:attribute")
-    found = getattr(import_module(module), attribute)
-    return found() if isinstance(found, type) else found
-
-
 class Lagged:
     """A panel (steps x variables) with a mask of hidden target steps. test: see ``named``."""
 

@@ -156,10 +156,10 @@ def welch_p_values(spark: SparkSession, d: str) -> DataFrame:
     return stats.welch(a, ["cell"], "m", 1, 7).select("cell", r4("t"), r4("df"), "n_a", "n_b", r6(stats.t_p_value(F.col("t"), F.col("df")), "p_value"))
 
 
-ONE = "c AS (SELECT cell, covar_pop(y, x) AS s, var_pop(x) AS g FROM yx GROUP BY cell)"
+CLOSED = "c AS (SELECT cell, covar_pop(y, x) AS s, var_pop(x) AS g FROM yx GROUP BY cell)"
 
 
-@query("lasso_one_predictor", sql("SELECT cell, round(sign(s) * greatest(abs(s) - 2e7, 0) / g, 4) + 0.0 AS coef FROM c", ONTO + ", " + ONE))
+@query("lasso_one_predictor", sql("SELECT cell, round(sign(s) * greatest(abs(s) - 2e7, 0) / g, 4) + 0.0 AS coef FROM c", ONTO + ", " + CLOSED))
 def lasso_one_predictor(spark: SparkSession, d: str) -> DataFrame:
     """With a single predictor the penalised fit has a closed form."""
     return stats.lasso_fixed(_onto(spark, d), ["cell"], "y", ["x"], 2e7).select("cell", r4("coef"))
@@ -173,7 +173,7 @@ er AS (SELECT cell, i, sum(e) AS e FROM (SELECT f.cell, al.i, f.k, avg(pow(f.y -
 be AS (SELECT cell, arg_min(i, struct_pack(e := e, i := i)) AS i FROM er GROUP BY cell)"""
 
 
-@query("lasso_cv_one_predictor", sql("SELECT cell, round(alpha / 1e6, 4) AS alpha, round(sign(s) * greatest(abs(s) - alpha, 0) / g, 4) + 0.0 AS coef FROM al JOIN be USING (cell, i)", ONTO + ", " + ONE + ", " + FOLDS))
+@query("lasso_cv_one_predictor", sql("SELECT cell, round(alpha / 1e6, 4) AS alpha, round(sign(s) * greatest(abs(s) - alpha, 0) / g, 4) + 0.0 AS coef FROM al JOIN be USING (cell, i)", ONTO + ", " + CLOSED + ", " + FOLDS))
 def lasso_cv_one_predictor(spark: SparkSession, d: str) -> DataFrame:
     """The penalty by cross-validation, where each fold's fit has a closed form."""
     fits = stats.lasso_cv_fit(_onto(spark, d), ["cell"], "y", ["x"], order="season")

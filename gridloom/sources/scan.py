@@ -141,14 +141,25 @@ def valid_area(area: tuple[float, float, float, float]) -> bool:
     return -90 <= south < north <= 90 and -180 <= west <= 360 and -180 <= east <= 360 and west != east
 
 
+def grid_ok(step: Column) -> Column:
+    """``valid_grid`` of a column of arrays, for tables of requests."""
+    return F.coalesce((F.size(step) == 2) & F.forall(step, lambda s: (s > 0) & (s <= 10)), F.lit(False))
+
+
+def area_ok(area: Column) -> Column:
+    """``valid_area`` of a column of arrays: north, west, south, east."""
+    north, west, south, east = (F.get(area, F.lit(i)) for i in range(4))
+    return F.coalesce((south >= -90) & (south < north) & (north <= 90) & west.between(-180, 360) & east.between(-180, 360) & (west != east), F.lit(False))
+
+
 def parameter_hash(parameters: Column) -> Column:
     return F.substring(F.md5(F.to_json(parameters)), 1, 8)
 
 
 def write_field(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """Parquet, partitioned by ``by`` and ordered within files so that coordinate filters prune row groups."""
-    order = [c for c in ("time", "level", "lat", "lon") if c in df.columns]
-    df.sortWithinPartitions(*by, *order).write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    order = [*by, *(c for c in ("time", "level", "lat", "lon") if c in df.columns)]
+    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def curve_key(df: DataFrame, columns: list[str], bits: int = 10) -> Column:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from gridloom.plans import causal, climate, programs, registry  # noqa: F401
+from gridloom.plans import causal, climate, programs, registry, sinks  # noqa: F401
+from jobs import queries  # noqa: F401
 from tests.compare import TABLES, of_spark, of_sql
 
 DATA = "/root/testdata/sf0.001"

@@ -147,6 +147,12 @@ def test_regression_is_called_from_sql(spark):
     assert spark.sql("SELECT * FROM regression(TABLE(SELECT * FROM regression_input LIMIT 0), 'cell', 'y', 'a')").count() == 0
 
 
+def test_requests_are_checked_alike_in_tables(spark):
+    steps, areas = [(1, 1), (0, 1), (10, 10), (11, 1), (1,), (-1, 1)], [(90, -180, -90, 360), (91, 0, 0, 1), (0, 0, 0, 1), (10, 5, 0, 5), (10, -181, 0, 5), (-80, 0, -91, 5)]
+    rows = spark.createDataFrame([(list(map(float, s)), list(map(float, a))) for s, a in zip(steps, areas)], "s array<double>, a array<double>").select("s", "a", scan.grid_ok(F.col("s")).alias("g"), scan.area_ok(F.col("a")).alias("b")).collect()
+    assert all(r.g == scan.valid_grid(tuple(r.s)) and r.b == scan.valid_area(tuple(r.a)) for r in rows) and [r.g for r in rows] == [True, False, True, False, False, False]
+
+
 def test_errors_say_what_there_is(spark):
     field = spark.createDataFrame([(1.0, 1.0), (5.0, 5.0)], "lat double, lon double")
     assert grid.select_polygon(field, [(0, 0), (2, 0), (2, 2), (0, 2)]).count() == 1
