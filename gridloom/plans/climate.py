@@ -37,9 +37,9 @@ def field_scan(spark: SparkSession, d: str) -> DataFrame:
     return scan.normalise(m, "tp", scale=0.001, lat=(-30, 30)).select("time", r4("lat"), r4("lon"), F.round("value", 6).alias("value"))
 
 
-@query("box_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -120 AND 120"))
+@query("box_select", sql("SELECT season, cell, round(value, 6) AS value FROM sea WHERE lat BETWEEN -20 AND 30 AND lon BETWEEN -120 AND 120"))
 def box_select(spark: SparkSession, d: str) -> DataFrame:
-    return data.sea(spark, d).filter(grid.in_box(-20, 30, -120, 120)).select("season", "cell", r4("value"))
+    return data.sea(spark, d).filter(grid.in_box(-20, 30, -120, 120)).select("season", "cell", F.round("value", 6).alias("value"))
 
 
 @query("dateline_select", sql("SELECT season, cell, round(value, 4) AS value FROM sea WHERE lat BETWEEN -60 AND 60 AND (lon >= 120 OR lon <= -70)"))

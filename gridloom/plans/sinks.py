@@ -16,12 +16,12 @@ from gridloom.sources import scan, schemas
 from gridloom.sources.results import shared_path
 
 
-@query("field_sink", sql("SELECT season, cell, round(value, 4) AS value, year(season)::INT AS year FROM sea WHERE year(season) BETWEEN 1996 AND 1998"))
+@query("field_sink", sql("SELECT season, cell, round(value, 6) AS value, year(season)::INT AS year FROM sea WHERE year(season) BETWEEN 1996 AND 1998"))
 def field_sink(spark: SparkSession, d: str) -> DataFrame:
     """A field in partitions of a year, of which three are read."""
     path = shared_path(spark, "field")
     scan.write_field(data.sea(spark, d).withColumn("year", F.year("season")), path, ("year",))
-    return scan.results(spark, path).filter(F.col("year").between(1996, 1998)).select("season", "cell", r4("value"), "year")
+    return scan.results(spark, path).filter(F.col("year").between(1996, 1998)).select("season", "cell", F.round("value", 6).alias("value"), "year")
 
 
 @query("year_files", sql("SELECT season, round(lat, 4) AS lat, round(lon, 4) AS lon, round(value / 1000, 6) AS value FROM sea WHERE year(season) IN (1996, 1997) AND lat BETWEEN -40 AND 40"))
