@@ -69,7 +69,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/gridloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
