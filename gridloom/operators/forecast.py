@@ -15,6 +15,7 @@ from gridloom.functions import trees
 from gridloom.functions.named import named
 from gridloom.operators import nested
 from gridloom.operators.stats import lasso, lasso_cv, t_p_value
+from gridloom.sources.results import stored
 
 
 def skill(df: DataFrame, keys: list[str], y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
@@ -183,6 +184,7 @@ def forecasts(panel: DataFrame, parents: DataFrame, keys: list[str], model: str
 def skill_table(predicted: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Pooled metrics of all folds with the correlation's two-sided p-value, by set, target and cumulative season, in the order of the seasons."""
     own = [*keys, "target", "max_season"]
+    predicted = stored(predicted, "predictions")  # a row for each step predicted, read twice
     pooled = skill(predicted, own)
     pooled = pooled.withColumn("p_value", t_p_value(F.col("t"), (F.col("n") - 2).cast("double")))
     both = pooled.join(contingency(predicted, own, F.lit(threshold)), own)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.results import stored
+
 
 def solve(sums: np.ndarray, alpha: np.ndarray, scaled: bool = True) -> np.ndarray:
     """Intercept and coefficients (b, k + 1) of b regressions from their moments (b, k + 2, k + 2) of ``1, x, y``, with ``alpha`` on predictors
@@ -88,6 +90,7 @@ def forecasts(design: DataFrame, keys: list[str], k: int, inner: int, alphas: li
     rows = rows.select(*keys, "t", F.col("y").cast("double").alias("y"), "v", (known(F.col("y")) & F.forall("v", known)).alias("ok"), (F.row_number().over(own.orderBy("t")) - 1).alias("pos"), F.count("*").over(own).alias("n"))
     rows = rows.withColumn("rank", F.count_if("ok").over(own.orderBy("pos")) - 1).withColumn("zero", F.min_by(F.when(F.col("ok"), F.struct("v", "y")), F.when(F.col("ok"), F.col("pos"))).over(own))
     rows = rows.withColumn("z", F.when(F.col("ok"), F.concat(F.array(F.lit(1.0)), F.zip_with("v", F.col("zero.v"), lambda a, b: a - b), F.array(F.col("y") - F.col("zero.y")))))
+    rows = stored(rows, "nested-rows")  # five parts of the plan read them
     # a key's folds: the rows they train on are counted, and their edges are ranks
     starts = [expanding(F.col("n"), k, F.lit(i)) for i in range(k)]
     per_key = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.array(*(F.count_if(F.col("ok") & (F.col("pos") < s[1])) for s in starts)).alias("train"))
@@ -102,6 +105,7 @@ def forecasts(design: DataFrame, keys: list[str], k: int, inner: int, alphas: li
     sums = cut.select(*keys, "edges", "segment", F.posexplode(products).alias("at", "p")).groupBy(*keys, "edges", "segment", "at").agg(F.sum("p").alias("p"))
     running = sums.withColumn("p", F.sum("p").over(Window.partitionBy(*keys, "at").orderBy("segment")))
     moments = running.groupBy(*keys, "edges", "segment").agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("s")).select(*keys, F.get("edges", F.col("segment")).alias("edge"), F.col("s.p").alias("sums"))
+    moments = stored(moments, "nested-moments")
     at = lambda name, as_: moments.withColumnRenamed("edge", name).withColumnRenamed("sums", as_)
     if search:
         size, start, end = expanding(F.col("train"), inner, F.col("i"))

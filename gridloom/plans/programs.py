@@ -309,9 +309,9 @@ def cumulative_designs(spark: SparkSession, d: str) -> DataFrame:
 @query("forecast_skill")
 def forecast_skill(spark: SparkSession, d: str) -> DataFrame:
     """Pooled skill of the linear models for every set, target and cumulative season, with five folds and the searched grid."""
-    out = None
+    out, panel, parents = None, results.stored(_masked(spark, d), "forecast-panel"), results.stored(_parents(spark, d), "forecast-parents")
     for model in ("linear", "ridge", "lassocv", "tigramite_linear"):
-        one = forecast.forecasts(_masked(spark, d), _parents(spark, d), ["set"], model).withColumn("model", F.lit(model))
+        one = forecast.forecasts(panel, parents, ["set"], model).withColumn("model", F.lit(model))
         out = one if out is None else out.unionByName(one)
     return forecast.skill_table(out, ["model", "set"])
 
