@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
 A document leaks an item if a window of 12 of its words agrees in 10 or more places with 12 consecutive words of the item (a
-similarity of 0.8 or more), so up to two words in a window may be substituted. Items of 5 to 11 words leak as a whole, word
-for word; shorter ones are too common to tell and never leak. Words are runs of letters and digits, lower-cased.
+similarity of 0.8 or more), so up to two words in a window may be substituted. Items of 5 to 11 words leak as a whole, where as many
+words agree in 0.8 of the places or more: one substitution up to 9 words, two beyond. Shorter ones are too common to tell and never
+leak. Words are runs of letters and digits, lower-cased.
 
 Two fixed masks look at 5 of 7 places. Wherever two substitutions are in a window, one of the masks fits somewhere in it
-without touching either, so no leak is missed. The hashes under both masks at every place of the documents are joined with those
-of the items. Around each hit the places that agree are marked, and every window that holds the hit is verified.
+without touching either, so no leak is missed. Short items have masks of three places: blocks side by side, one more of them than
+there may be substitutions; five words have room for one block, a second that overlaps it, and a spaced mask for the word they share.
+The hashes under the masks at every place of the documents are joined with those of the items. Around each hit the places that agree are marked, and every window that holds the hit is verified.
 
 The items' hashes and the words around them are broadcast while they are at most ``BROADCAST_LONGS`` numbers; beyond that the join
 shuffles them.
@@ -25,8 +27,11 @@ LEAST_WORDS = 5
 #: Places that the masks look at; ``tests`` show that they miss no two substitutions.
 MASKS = [(0, 1, 2, 5, 6), (0, 1, 3, 5, 6)]
 SPAN = 7
+#: Masks of items below a window, and for each number of words which mask lies where.
+SHORT_MASKS = [(0, 1, 2), (0, 1, 3)]
+SHORT_PLACES = {5: [(0, 0), (0, 2), (1, 0)]} | {n: [(0, 0), (0, 3)] for n in range(6, 10)} | {n: [(0, 0), (0, 3), (0, 6)] for n in (10, 11)}
 #: Places before and after the start of a hit that its windows can hold.
-BEFORE, AROUND = WINDOW - SPAN, 2 * WINDOW - SPAN
+BEFORE, AROUND = 6, 6 + WINDOW
 #: 32 MB.
 BROADCAST_LONGS = 4_000_000
 
@@ -36,10 +41,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def short_agree(n: Column) -> Column:
+    """The places that have to agree in an item of n words, below a window."""
+    return F.ceil(n * 4 / 5).cast("int")
+
+
+def key(words: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(number), *(F.get(words, at + k) for k in mask))
+
+
 def keys(words: Column, at: Column, short: bool) -> Column:
-    """The hashes under each mask at ``at`` (from 0); with ``short`` also that of the next five words, for items below a window."""
-    masks = [(m, mask) for m, mask in enumerate(MASKS)] + ([(-1, tuple(range(LEAST_WORDS)))] if short else [])
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get(words, at + k) for k in mask)) for m, mask in masks))
+    """The hashes under each mask at ``at`` (from 0); with ``short`` also those of items below a window."""
+    every = [*enumerate(MASKS), *((-1 - m, mask) for m, mask in enumerate(SHORT_MASKS) if short)]
+    return F.array(*(key(words, at, m, mask) for m, mask in every))
+
+
+def short_keys(words: Column) -> Column:
+    """``(item_at, key)`` of an item below a window; a mask that ends beyond the text, which documents may do, holds nulls."""
+    placed = lambda n: F.array(*(F.struct(F.lit(at).alias("item_at"), key(words, F.lit(at), -1 - m, SHORT_MASKS[m]).alias("key")) for m, at in SHORT_PLACES[n]))
+    return F.coalesce(*(F.when(F.size(words) == n, placed(n)) for n in SHORT_PLACES))
 
 
 def positions(df: DataFrame, id_col: str, text_col: str, name: str, least: int) -> DataFrame:
@@ -61,11 +81,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     size = F.size(word_hashes(F.col("text").cast("string")))
     short = bool(named.filter(size.between(LEAST_WORDS, WINDOW - 1)).limit(1).count())
     long_keys = positions(named.filter(size >= WINDOW), "item_id", "text", "item_id", SPAN).select("item_id", F.col("at").alias("item_at"), around(F.col("words"), F.col("at")).alias("own"), F.explode(keys(F.col("words"), F.col("at"), False)).alias("key"), F.lit(False).alias("whole"))
-    whole = positions(named.filter(size.between(LEAST_WORDS, WINDOW - 1)), "item_id", "text", "item_id", LEAST_WORDS).filter("at = 0")
-    whole_keys = whole.select("item_id", F.col("at").alias("item_at"), F.col("words").alias("own"), F.element_at(keys(F.col("words"), F.col("at"), True), -1).alias("key"), F.lit(True).alias("whole"))
+    whole = named.filter(size.between(LEAST_WORDS, WINDOW - 1)).select("item_id", word_hashes(F.col("text").cast("string")).alias("own"))
+    whole_keys = whole.select("item_id", "own", F.inline(short_keys(F.col("own")))).select("item_id", "item_at", "own", "key", F.lit(True).alias("whole"))
     keyed = long_keys.union(whole_keys) if short else long_keys
     few = (keyed.agg(F.sum(F.size("own") + 4)).first()[0] or 0) <= BROADCAST_LONGS
-    every = positions(docs, id_col, text_col, "doc_id", LEAST_WORDS if short else SPAN)
+    every = positions(docs, id_col, text_col, "doc_id", len(SHORT_MASKS[0]) if short else SPAN)
     there = around(F.col("words"), F.col("at"))
     if few:
         hits = every.select("doc_id", "words", "at", F.explode(keys(F.col("words"), F.col("at"), short)).alias("key")).join(F.broadcast(keyed), "key").select("doc_id", "item_id", "at", "item_at", "own", "whole", there.alias("there"))
@@ -82,8 +102,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     found = F.filter(F.transform(starts, lambda k: F.struct((F.col("from") + k).alias("at"), total(F.slice("agree", k + 1, WINDOW)).alias("agreeing"))), lambda x: x.agreeing >= AGREE)
     windows = marked.filter("not whole").select("doc_id", "item_id", F.explode(found).alias("x"), F.lit(WINDOW).alias("size")).select("doc_id", "item_id", "x.at", "x.agreeing", "size")
     if short:
-        equal = marked.filter(F.col("whole") & (F.size("agree") == F.col("size")) & (total(F.col("agree")) == F.col("size")))
-        windows = windows.union(equal.select("doc_id", "item_id", "at", F.col("size").alias("agreeing"), "size"))
+        like = marked.filter(F.col("whole") & (F.size("agree") == F.col("size"))).withColumn("agreeing", total(F.col("agree")))
+        windows = windows.union(like.filter(F.col("agreeing") >= short_agree(F.col("size"))).select("doc_id", "item_id", F.col("from").alias("at"), "agreeing", "size"))
     once = windows.groupBy("doc_id", "item_id", "at").agg(F.max("agreeing").alias("agreeing"), F.max("size").alias("size"))
     return once.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_windows"),

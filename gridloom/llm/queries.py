@@ -117,9 +117,10 @@ bb AS (SELECT item_id, x, unnest([0, 4, 8]) AS o FROM bx),
 h AS (SELECT DISTINCT doc_id, item_id, db.p, db.x, bb.x AS y FROM db JOIN bb ON db.o = bb.o AND db.x[db.o + 1 : db.o + 4] = bb.x[bb.o + 1 : bb.o + 4]),
 v AS (SELECT doc_id, item_id, p, list_sum(list_transform(range(1, 13), lambda i: (x[i] = y[i])::INT)) AS m FROM h),
 long AS (SELECT doc_id, item_id, p, max(m) AS m, 12 AS size FROM v WHERE m >= 10 GROUP BY ALL),
-short AS (SELECT doc_id, item_id, p, m AS m, m AS size FROM (
-    SELECT doc_id, item_id, unnest(range(len(d.w) - len(b.w) + 1)) AS p, len(b.w) AS m, d.w AS dw, b.w AS bw FROM d JOIN b ON len(b.w) BETWEEN 5 AND 11 AND len(d.w) >= len(b.w))
-  WHERE dw[p + 1 : p + m] = bw)
+short AS (SELECT doc_id, item_id, p, m, size FROM (
+    SELECT doc_id, item_id, p, size, list_sum(list_transform(range(1, size + 1), lambda i: (dw[p + i] = bw[i])::INT)) AS m FROM (
+      SELECT doc_id, item_id, unnest(range(len(d.w) - len(b.w) + 1)) AS p, len(b.w) AS size, d.w AS dw, b.w AS bw FROM d JOIN b ON len(b.w) BETWEEN 5 AND 11 AND len(d.w) >= len(b.w)))
+  WHERE 5 * m >= 4 * size)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, min(p)::BIGINT AS first_word, max(p + size)::BIGINT AS last_word, max(m)::BIGINT AS agreeing
 FROM (SELECT * FROM long UNION ALL SELECT * FROM short) GROUP BY doc_id, item_id
 """

@@ -63,8 +63,10 @@ def leaks(docs, items):
         for i, b in items.items():
             v, at, best = words(b), set(), 0
             if 5 <= len(v) < 12:
-                at = {p for p in range(len(w) - len(v) + 1) if w[p : p + len(v)] == v}
-                size = best = len(v)
+                size = len(v)
+                agree = {p: sum(x == y for x, y in zip(w[p : p + size], v)) for p in range(len(w) - size + 1)}
+                at = {p for p, n in agree.items() if 5 * n >= 4 * size}
+                best = max(agree.values(), default=0)
             else:
                 size = 12
                 for p in range(len(w) - 11):

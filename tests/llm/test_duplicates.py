@@ -147,10 +147,45 @@ def test_masks_miss_no_two_substitutions():
     assert all(any(not s & set(two) for s in placed) for two in combinations(range(decontam.WINDOW), 2))
 
 
+def test_masks_of_short_items_miss_no_substitution():
+    assert sorted(decontam.SHORT_PLACES) == list(range(decontam.LEAST_WORDS, decontam.WINDOW))
+    for n, places in decontam.SHORT_PLACES.items():
+        placed = [{at + p for p in decontam.SHORT_MASKS[m]} for m, at in places]
+        wrong = n - -(-4 * n // 5)
+        assert max(at for _, at in places) <= decontam.BEFORE and all(max(p) < n for p in placed)
+        assert all(any(not p & set(out) for p in placed) for out in combinations(range(n), wrong)), n
+
+
+def test_short_items_in_sql(spark, tmp_path):
+    import duckdb
+
+    from gridloom.llm import queries
+
+    rng = random.Random(8)
+    items = {n: [f"i{n}k{k}" for k in range(n)] for n in range(4, 14)}
+    docs, planted = [], set()
+    for n, v in items.items():
+        for wrong in range(4):
+            drawn = set(rng.sample(range(n), wrong))
+            w = ["zz" if k in drawn else x for k, x in enumerate(v)]
+            planted |= {(len(docs), n)} if n >= 5 and 5 * (n - wrong) >= 4 * n else set()
+            docs.append(" ".join(rng.choices(WORDS, k=rng.randint(0, 9)) + w + rng.choices(WORDS, k=rng.randint(0, 9))))
+    a = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(v)) for n, v in items.items()], "item_id long, text string")
+    got = {tuple(r) for r in decontam.leaks(a, b).select("doc_id", "item_id", "n_windows", "first_word", "last_word", "agreeing").collect()}
+    a.toPandas().to_parquet(tmp_path / "d.parquet")
+    b.toPandas().to_parquet(tmp_path / "b.parquet")
+    with duckdb.connect() as db:
+        for name, file in (("documents", "d"), ("benchmark", "b")):
+            db.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{file}.parquet'")
+        want = set(db.sql(queries.ORACLES["op9_decontaminate"]).fetchall())
+    assert got == want and {r[:2] for r in got if r[1] < 12} == {x for x in planted if x[1] < 12}
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_leaks(spark, most):
     rng = random.Random(5)
-    items = {i: " ".join(rng.choices(WORDS[:60], k=n)) for i, n in enumerate([3, 5, 8, 11, 12, 13, 30, 40])} | {50: None, 51: ""}
+    items = {i: " ".join(rng.choices(WORDS[:60], k=n)) for i, n in enumerate([3, 5, 8, 11, 12, 13, 30, 40])} | {50: None, 51: "", 52: "w1 w2 w3 w4 w5 w6", 53: " ".join(WORDS[:9]), 54: " ".join(WORDS[:10])}
     docs = {}
     for d in range(60):
         w = rng.choices(WORDS[:60], k=rng.randint(0, 50))
@@ -159,6 +194,7 @@ def test_leaks(spark, most):
             v = [x if rng.random() > 0.12 else "zzz" for x in v]
             w = w + [v[0].upper() + ",", *v[1:]] + w[:5]
         docs[d] = " ".join(w)
+    docs |= {103: "w1 w2 w3 w4 w5", 104: "w2 w3 w4 w5 w6", 105: "zz w2 w3 w4 w5 w6", 106: "w0 w1 zz w3 w4 w5 w6 w7 w8", 107: "zz w1 w2 w3 w4 zz w6 w7 w8 w9", 108: "w1 w2 w3"}
     docs |= {100: None, 101: "", 102: items[7] + " " + items[7]}
     decontam.BROADCAST_LONGS = most
     a = spark.createDataFrame([(k, v, 1) for k, v in docs.items()], "doc_id long, text string, item_id int")
