@@ -329,10 +329,15 @@ def one_of_each(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     found = roots(similar_links(nodes, keyed, shingle, share)).withColumnRenamed("node", "fp")
     rooted = slim.join(found, "fp", "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
     kept = written(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("row")).distinct(), "simhash-kept")
+    repeats = slim.groupBy("row").agg(F.count("*").alias("k")).filter("k > 1").select("row")
+    again = written(repeats.join(few(kept), "row", "left_semi"), "simhash-again")
     for old in (nodes, slim):
         drop_written(old)
     # the whole row is one column here, so no name of the input can clash
-    own = Window.partitionBy("row").orderBy("row")
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("it"), row.alias("row"))
     held = packed.join(few(kept), "row", "left_semi")
-    return held.withColumn("k", F.row_number().over(own)).filter("k = 1").select(*(F.col(f"it.`{c}`").alias(c) for c in df.columns))
+    if not again.isEmpty():  # texts of rows that are there once are not shuffled
+        own = Window.partitionBy("row").orderBy("row")
+        same = held.join(few(again), "row", "left_semi").withColumn("k", F.row_number().over(own)).filter("k = 1").drop("k")
+        held = held.join(few(again), "row", "left_anti").union(same)
+    return held.select(*(F.col(f"it.`{c}`").alias(c) for c in df.columns))

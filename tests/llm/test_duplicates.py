@@ -95,6 +95,17 @@ def test_pairs_around_the_similarity(spark, crowded, sampled):
     assert kept == firsts
 
 
+def test_repeated_rows_stay_once(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(WORDS, k=30))) for i in range(12)]
+    rows += [(3, rows[3][1]), (3, rows[3][1]), (7, rows[7][1]), (20, rows[5][1]), (20, rows[5][1]), (None, None), (None, None)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    # of texts without a word one stays, and no id comes before all ids
+    assert sorted(map(tuple, got.collect()), key=str) == sorted({*rows[:12], (None, None)}, key=str)
+    once = simhash.one_of_each(spark.createDataFrame(rows[:12], "doc_id long, text string"))
+    assert "Window" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 12
+
+
 def test_random_fingerprints_near_the_threshold(spark):
     rng = random.Random(2)
     prints = []
