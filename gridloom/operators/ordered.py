@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.results import stored
 
+#: So many rows a range: there are as many more ranges, and tasks, as the table grows, and none sorts more than its range.
+RANGE_ROWS = 250_000
+
+
+def range_count(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Each of ``n`` ranges in a partition of its own. Hashed to the session's partitions, as a window would have it, several meet in one
+    task, and a task's share grows with the table."""
+    return rows.repartitionById(n, F.col("_range"))
+
 
 def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """The rows with ``_range``, ascending by ``order``, and ``_tie``, which tells rows of one place in the order apart; so a place that
     very many rows share is cut into ranges like any other. It is written: numbers of partitions hold for one run only."""
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or range_count(df)
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     return stored(tied.repartitionByRange(n, *order, "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
 
@@ -70,7 +83,9 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "q_val
     to know of others, at most two a range. NULL and NaN get NULL and do not count; families of NULL keys are families."""
     known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
     names = {f"_k{i}": F.col(f"`{k}`") for i, k in enumerate(keys)}
-    rows = in_ranges(df.filter(known).withColumns(names), [*names, p], ranges)
+    every = df.filter(known).withColumns(names)
+    n = ranges or range_count(every)
+    rows = in_ranges(every, [*names, p], n)
     parts = rows.groupBy("_range", *names).agg(F.count("*").alias("_rows"))
     family = Window.partitionBy(*names)
     spread = parts.withColumn("_parts", F.count("*").over(family)).withColumn("_m", F.sum("_rows").over(family)).withColumn("_before", F.sum("_rows").over(family.orderBy("_range")) - F.col("_rows"))
@@ -85,10 +100,10 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str = "p_value", out: str = "q_val
 
     own = Window.partitionBy("_range", *names)
     ranked = lambda some: some.withColumn("_q", F.col(p) * F.coalesce("_m", F.count("*").over(own)) / (F.coalesce("_before", F.lit(0)) + F.row_number().over(own.orderBy(p, "_tie"))))
-    least = ranked(beside(rows, crossing, "inner")).groupBy("_range", *names).agg(F.min("_q").alias("_least"))
+    least = ranked(beside(dealt(rows, n), crossing, "inner")).groupBy("_range", *names).agg(F.min("_q").alias("_least"))
     later = least.select("_range", *names, F.min("_least").over(family.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
     down = own.orderBy(F.col(p).desc(), F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    done = beside(ranked(beside(rows, crossing, "left")), later, "left")
+    done = beside(ranked(beside(dealt(rows, n), crossing, "left")), later, "left")
     q = F.least(F.lit(1.0), F.min("_q").over(down), F.col("_later"))
     mine = [F.col(f"`{c}`") for c in df.columns if c != out]
     return done.select(*mine, q.alias(out)).unionByName(df.filter(~known | F.col(p).isNull()).select(*mine, F.lit(None).cast("double").alias(out)))

@@ -81,3 +81,13 @@ def test_one_family_is_spread(spark):
     assert len(sizes) == 10 and max(sizes) < 2 * 2000
     edges = rows.groupBy("_range").agg(F.min("p").alias("a"), F.max("p").alias("b")).orderBy("_range").collect()
     assert all(x.b <= y.a for x, y in zip(edges, edges[1:]))
+
+
+def test_ranges_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 1000)
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 9973 / 9973.0).alias("p_value"))
+    most = lambda done: done.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    adjusted = ordered.bh_fdr(df, [])
+    assert most(adjusted) < 2000
+    q = {r.id: r.q_value for r in adjusted.collect()}
+    assert [q[i] for i in range(20_000)] == pytest.approx(plain_q([r.p_value for r in df.orderBy("id").collect()]))
