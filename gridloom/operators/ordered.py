@@ -56,7 +56,9 @@ def asof_nearest(events: DataFrame, series: DataFrame, time: str, value: str, ra
     points = series.filter(F.col(time).isNotNull()).groupBy(_position(series, time).alias("_at")).agg(F.min(value).alias("_v"))
     marked = points.select("_at", F.lit(0).alias("_side"), F.struct(F.col("_at").alias("at"), F.col("_v").alias("v")).alias("_point"), F.lit(None).cast(events.select(row.alias("r")).schema["r"].dataType).alias("_row"))
     asked = events.select(_position(events, time).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(marked.schema["_point"].dataType).alias("_point"), row.alias("_row"))
-    both = in_ranges(marked.unionByName(asked.filter("_at IS NOT NULL")), ["_at", "_side"], ranges)
+    every = marked.unionByName(asked.filter("_at IS NOT NULL"))
+    n = ranges or range_count(every)
+    both = in_ranges(every, ["_at", "_side"], n)
     ends = both.groupBy("_range").agg(F.min("_point").alias("first"), F.max("_point").alias("last"))
     line = Window.orderBy("_range")  # a row a range
     carried = ends.select(
@@ -67,7 +69,7 @@ def asof_nearest(events: DataFrame, series: DataFrame, time: str, value: str, ra
     own = Window.partitionBy("_range")
     back = own.orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     ahead = own.orderBy(F.col("_at").desc(), F.col("_side").desc(), F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_before", F.last("_point", ignorenulls=True).over(back)).withColumn("_after", F.last("_point", ignorenulls=True).over(ahead))
+    seen = dealt(both, n).withColumn("_before", F.last("_point", ignorenulls=True).over(back)).withColumn("_after", F.last("_point", ignorenulls=True).over(ahead))
     met = seen.filter("_side = 1").join(F.broadcast(carried), "_range")
     before, after = F.coalesce("_before", "_earlier"), F.coalesce("_after", "_later")
     chosen = F.when(after.isNull() | (F.col("_at") - before["at"] <= after["at"] - F.col("_at")), before["v"]).otherwise(after["v"])

@@ -85,9 +85,13 @@ def test_one_family_is_spread(spark):
 
 def test_ranges_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE_ROWS", 1000)
-    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 9973 / 9973.0).alias("p_value"))
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 9973 / 9973.0).alias("p_value"), (F.col("id") % 500).cast("double").alias("t"))
     most = lambda done: done.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     adjusted = ordered.bh_fdr(df, [])
     assert most(adjusted) < 2000
     q = {r.id: r.q_value for r in adjusted.collect()}
     assert [q[i] for i in range(20_000)] == pytest.approx(plain_q([r.p_value for r in df.orderBy("id").collect()]))
+    series = spark.createDataFrame([(k * 50.0, float(k)) for k in range(10)], "t double, value double")
+    near = ordered.asof_nearest(df, series, "t", "value")
+    assert most(near) < 2000
+    assert near.filter(F.col("value") != F.least(F.ceil((F.col("t") - 25) / 50), F.lit(9))).isEmpty() and near.count() == 20_000
