@@ -68,20 +68,23 @@ def order_base(df: DataFrame, id_col: str) -> Column:
     return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(FAR_LINES).cast("decimal(11,0)")
 
 
-def rarity_table(lines: DataFrame, size: int) -> tuple[list[int], int]:
-    """For each hash bucket (a power of two of them) its rarity class, eight for each doubling of a count; and the first class of
-    buckets that may count more than ``COMMON``. size: bytes of the text."""
-    buckets = LEAST_BUCKETS
+def rarity_table(df: DataFrame, text_col: str = "text") -> tuple[list[int], int, int]:
+    """For each hash bucket (a power of two of them) its rarity class, eight for each doubling of a count; the first class of
+    buckets that may count more than ``COMMON``; and the bytes of all words with a space each. One pass: counts of all
+    ``MOST_BUCKETS`` are summed to as many as the size asks for."""
+    # a text's words are those of its lines, so it is split once
+    each = df.select(F.explode(F.split(F.replace(df[text_col], F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).filter("w <> ''")
+    got = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(MOST_BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum(F.octet_length("w") + 1).alias("bytes")).toPandas()
+    size, buckets = int(got["bytes"].sum()), LEAST_BUCKETS
     while buckets < MOST_BUCKETS and buckets * BUCKET_BYTES < size:
         buckets *= 2
-    each = lines.select(F.explode(F.split("line", " ", -1)).alias("w")).filter("w <> ''")
-    counts = np.zeros(buckets)
-    got = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b")).count().toPandas()
-    counts[got["b"].to_numpy()] = got["count"].to_numpy()
+    counts = np.zeros(MOST_BUCKETS)
+    counts[got["b"].to_numpy()] = got["n"].to_numpy()
+    counts = counts.reshape(-1, buckets).sum(axis=0)
     low = np.percentile(counts[counts > 0], 5) if (counts > 0).any() else 1
     classes = np.clip(np.round(8 * np.log2(np.maximum(counts, low) / low)), 0, CLASSES - 1).astype(np.int64)
     common = classes[counts > COMMON].min(initial=CLASSES) if low <= COMMON else 0
-    return (classes - CLASSES // 2).tolist(), int(common) - CLASSES // 2
+    return (classes - CLASSES // 2).tolist(), int(common) - CLASSES // 2, size
 
 
 def hashes(line: Column) -> Column:
@@ -91,9 +94,9 @@ def hashes(line: Column) -> Column:
 
 def word_sets(distinct: Column, table: list[int]) -> Column:
     """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
-    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
+    known = F.split(F.lit(",".join(str(k << (64 - CLASS_BITS)) for k in table)), ",").cast("array<bigint>")  # folded to a constant
     last = F.lit(len(table) - 1)
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(last).cast("int")), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
+    return F.sort_array(F.transform(distinct, lambda h: F.get(known, h.bitwiseAND(last).cast("int")).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
 
 
 def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
@@ -157,6 +160,9 @@ def easy_pairs(classes: DataFrame, salts: int) -> DataFrame:
     # the marks of a sketch: its number and its words
     sketches = F.array(*(F.xxhash64(F.lit(k), F.col(f"k{k}")) for k in range(3)))
     rows = classes.select(*CARRIED, F.explode(sketches).alias("key"), F.pmod("hash", F.lit(salts)).alias("salt"))
+    # most sketches are of one class alone: the window gets those of more than ``EASY`` classes
+    crowds = written(rows.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > EASY).select("key"), "line-crowds")
+    rows = rows.join(few(crowds), "key", "left_semi")
     near = Window.partitionBy("key", "salt").orderBy("c", "hash")
     before = near.rowsBetween(Window.unboundedPreceding, -1)
     me = F.struct(*CARRIED[1:])
@@ -212,13 +218,13 @@ def that_may_meet(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``hash, c, kept``: the first place of each line with a word, and whether it stays there. It goes everywhere else."""
+    """``hash, c, kept, again``: the first place of each line with a word, whether it stays there, and whether it is anywhere else,
+    where it goes."""
     plain = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     base = order_base(plain, "id")
     lines = lines_of(plain, base, "text")
     wanted = lambda places: lines_at(plain, base, "text", places)
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    table, common = rarity_table(lines, size)
+    table, common, size = rarity_table(plain)
     n = F.size("s")
     own = lines.select("place", F.xxhash64("line").alias("hash"), F.sort_array(hashes(F.col("line"))).alias("h")).select("place", "hash", "h", word_sets(F.col("h"), table).alias("s"))
     # bit k of m is the parity of the words whose hash ends in k; m2 has those with the next bit set, for sets too large for 64 bits
@@ -231,7 +237,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     prefix = F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2))
     own = own.select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), *(k.alias(f"k{i}") for i, k in enumerate(sketches)), prefix.alias("prefix"))
     rest = ["n", "m", "m2", "k0", "k1", "k2", "prefix"]
-    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), *(F.any_value(k).alias(k) for k in rest)).filter("n > 0"), "line-classes")
+    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), (F.count("*") > 1).alias("again"), *(F.any_value(k).alias(k) for k in rest)).filter("n > 0"), "line-classes")
     easy = written(easy_pairs(classes, 1 + size // SALT_BYTES), "line-easy")
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
@@ -251,13 +257,14 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         found = written(found.union(matched(first.union(candidates(vain, that_may_meet(rows, vain))), wanted, table)).distinct(), "lines-matched")
         rest = shared.join(few(found), "hash", "left_anti")
         found = written(found.union(matched(candidates(rest, theirs), wanted, table)).distinct(), "lines-matched")
-    return classes.select("hash", "c").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"))
+    return classes.select("hash", "c", "again").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"), "again")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "deduped", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``df`` with the deduplicated text, the number of lines and of those removed. A null text has 0 lines and stays null."""
     base = order_base(df, id_col)
-    gone = removals(df, id_col, text_col)
+    # lines that are there once and stay have nothing to tell
+    gone = removals(df, id_col, text_col).filter("again or not kept").drop("again")
     rows = df.select(df[text_col].alias("text"), base.alias("base"))
     every = rows.select("base", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).select("base", "h", "n", F.xxhash64("line").alias("hash"))
     hit = every.join(gone, "hash").filter(~F.col("kept") | (F.col("base") + F.col("n") > F.col("c")))
@@ -271,7 +278,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col
     kept = F.expr("transform(array(split(text, '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n'))[0]")
     made = {
         out_col: F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
-        lines_col: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
+        lines_col: F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long"),
         removed_col: F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     }
     names = {c.lower() for c in made}

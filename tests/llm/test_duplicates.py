@@ -153,6 +153,21 @@ def test_line_dedup_edges(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup(far).collect()} == {2**60: 1, -(2**60): 0}
 
 
+def test_words_are_counted_in_one_pass_over_texts(spark):
+    df = spark.createDataFrame([("a b\n\n a",), (None,), ("b\nccc  a",)], "text string")
+    table, _, size = line_dedup.rarity_table(df)
+    assert size == 14  # six words of eight letters, a space each
+    bucket = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] & (len(table) - 1) for w in ("a", "b", "ccc")}
+    assert len(table) == line_dedup.LEAST_BUCKETS and table[bucket["a"]] > table[bucket["b"]] > table[bucket["ccc"]] == min(table)
+
+
+def test_lines_that_have_nothing_to_tell(spark):
+    df = spark.createDataFrame([(1, "one two\nthree four\nsix"), (2, "three four\nfive"), (3, "five")], "doc_id long, text string")
+    got = sorted((r.c, r.kept, r.again) for r in line_dedup.removals(df).collect())
+    unit = line_dedup.LINES
+    assert got == [(unit, True, False), (unit + 1, True, True), (unit + 2, True, False), (2 * unit + 1, True, True)]
+
+
 def test_masks_miss_no_two_substitutions():
     placed = [{o + p for p in m} for m in decontam.MASKS for o in range(decontam.WINDOW - decontam.SPAN + 1)]
     assert all(any(not s & set(two) for s in placed) for two in combinations(range(decontam.WINDOW), 2))
