@@ -21,7 +21,7 @@ matches any line before it, in the order of ids and then of places in the text;
 6. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
    p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
 
-Words are identified by 57 bits of their hash, lines by 64.
+Words are identified by 57 bits of their hash where classes meet and by 64 where a pair is verified, lines by 64.
 
 Defined results: null and empty texts have no lines to remove; blank lines are kept; rows with the same id take the same place
 in the order, so equal places remove nothing of each other; null ids come first; ids that are no integers are ordered by
@@ -94,9 +94,10 @@ def hashes(line: Column) -> Column:
 
 def word_sets(distinct: Column, table: list[int]) -> Column:
     """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
-    known = F.split(F.lit(",".join(str(k << (64 - CLASS_BITS)) for k in table)), ",").cast("array<bigint>")  # folded to a constant
+    # folded to a constant. The driver prints it whole into each report of the plan, so classes are shifted in the rows
+    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     last = F.lit(len(table) - 1)
-    return F.sort_array(F.transform(distinct, lambda h: F.get(known, h.bitwiseAND(last).cast("int")).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(last).cast("int")), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
 
 
 def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
@@ -117,12 +118,13 @@ def lines_at(df: DataFrame, base: Column, text_col: str, places: DataFrame) -> D
     return lines_of(held, F.col("base"), text_col).join(few(places), "place", "left_semi")
 
 
-def matched(pairs: DataFrame, lines: Callable[[DataFrame], DataFrame], table: list[int]) -> DataFrame:
+def matched(pairs: DataFrame, lines: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``hash``: the lines at the places ``b`` that match the line at ``a`` in one of the candidate pairs. The lines are looked up by
-    place; each ``b`` is verified with its earliest candidate first, and with the others only where that fails."""
+    place; each ``b`` is verified with its earliest candidate first, and with the others only where that fails. Sets need no order here,
+    and no table of rarity in the plans."""
     pairs = written(pairs, "line-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "lines-wanted")
-    sets = written(lines(wanted).select("place", F.xxhash64("line").alias("hash"), word_sets(hashes(F.col("line")), table).alias("s")), "line-sets")
+    sets = written(lines(wanted).select("place", F.xxhash64("line").alias("hash"), hashes(F.col("line")).alias("s")), "line-sets")
 
     def matching(some: DataFrame) -> DataFrame:
         both = some.join(sets.select(F.col("place").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("place").alias("b"), "hash", F.col("s").alias("sb")), "b")
@@ -242,7 +244,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
     rows = keyed(stay, common)
-    found = matched(candidates_among(rows).union(easy.select("a", "b")), wanted, table)
+    found = matched(candidates_among(rows).union(easy.select("a", "b")), wanted)
     if not easy.isEmpty():
         outside = classes.join(aside, "hash", "left_semi")
         alone = stay.join(few(found), "hash", "left_anti")
@@ -254,9 +256,9 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ranked = theirs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("c", "hash")))
         # a few of a group first: what they match needs no others
         first = candidates(shared, ranked.filter(F.col("rank") <= EASY).drop("rank"))
-        found = written(found.union(matched(first.union(candidates(vain, that_may_meet(rows, vain))), wanted, table)).distinct(), "lines-matched")
+        found = written(found.union(matched(first.union(candidates(vain, that_may_meet(rows, vain))), wanted)).distinct(), "lines-matched")
         rest = shared.join(few(found), "hash", "left_anti")
-        found = written(found.union(matched(candidates(rest, theirs), wanted, table)).distinct(), "lines-matched")
+        found = written(found.union(matched(candidates(rest, theirs), wanted)).distinct(), "lines-matched")
     return classes.select("hash", "c", "again").join(found.withColumn("hit", F.lit(True)), "hash", "left").select("hash", "c", F.col("hit").isNull().alias("kept"), "again")
 
 

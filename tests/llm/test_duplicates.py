@@ -168,6 +168,17 @@ def test_lines_that_have_nothing_to_tell(spark):
     assert got == [(unit, True, False), (unit + 1, True, True), (unit + 2, True, False), (2 * unit + 1, True, True)]
 
 
+def test_plans_hold_the_table_of_rarity_once(spark, texts, monkeypatch):
+    """The driver keeps plans as text, with each constant in full: of 65,536 buckets, as at size, a table of longs has over a megabyte."""
+    sizes, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "LEAST_BUCKETS", line_dedup.MOST_BUCKETS)
+    monkeypatch.setattr(line_dedup, "EASY", 0)
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: sizes.append((len(df._jdf.queryExecution().executedPlan().toString()), name)) or write(df, name))
+    line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {"line-sets", "line-vain", "lines-gone"} <= {name for _, name in sizes}
+    assert [name for size, name in sizes if size > 100_000] == ["line-classes"] and max(sizes)[0] < 500_000
+
+
 def test_masks_miss_no_two_substitutions():
     placed = [{o + p for p in m} for m in decontam.MASKS for o in range(decontam.WINDOW - decontam.SPAN + 1)]
     assert all(any(not s & set(two) for s in placed) for two in combinations(range(decontam.WINDOW), 2))
