@@ -96,8 +96,9 @@ def word_sets(distinct: Column, table: list[int]) -> Column:
     """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
     # folded to a constant. The driver prints it whole into each report of the plan, so classes are shifted in the rows
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
-    last = F.lit(len(table) - 1)
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.get(known, h.bitwiseAND(last).cast("int")), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
+    last, none = F.lit(len(table) - 1), F.lit(0).cast("bigint")
+    # never null, which the coalesce tells Spark: it sorts plain longs then
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.coalesce(F.get(known, h.bitwiseAND(last)), none), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
 
 
 def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
@@ -179,7 +180,8 @@ def keyed(classes: DataFrame, edge: int) -> DataFrame:
     p = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
     w, least = F.col("w"), F.lit(min(2**63 - 1, max(-(2**63), edge << (64 - CLASS_BITS))))
     rare = classes.select(*CARRIED, F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w < least).select(*CARRIED, "i", w.alias("key"))
-    crowded = classes.select(*CARRIED, "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w >= least)
+    # the last word of a prefix is its most common one, so most prefixes need not be taken apart again
+    crowded = classes.filter(F.get("prefix", p - 1) >= least).select(*CARRIED, "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w >= least)
     # a set of one word has no second one, and matches equal sets alone
     second = F.when(F.col("n") == 1, F.array("w")).otherwise(F.slice("prefix", F.col("i") + 2, F.greatest(F.size("prefix") - F.col("i") - 1, F.lit(0))))
     return rare.union(crowded.select(*CARRIED, "w", "i", F.explode(second).alias("w2")).select(*CARRIED, "i", F.xxhash64("w", "w2").alias("key")))
@@ -215,8 +217,9 @@ def that_may_meet(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Those of ``rows`` that share a key with a row of ``others`` of a size that can match."""
     n = F.col("n")
     reach = F.sequence(size_class(F.ceil(n * NUM / DEN)), size_class(F.floor(n * DEN / NUM)))
-    wanted = written(others.select("key", F.explode(reach).alias("size")).distinct(), "line-keys-met")
-    return rows.withColumn("size", size_class(n)).join(few(wanted, 2), ["key", "size"], "left_semi").drop("size")
+    # by one long; where two of them clash, a row more is kept
+    wanted = written(others.select("key", F.explode(reach).alias("size")).select(F.xxhash64("key", "size").alias("met")).distinct(), "line-keys-met")
+    return rows.withColumn("met", F.xxhash64("key", size_class(n))).join(few(wanted), "met", "left_semi").drop("met")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

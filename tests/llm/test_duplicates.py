@@ -168,6 +168,20 @@ def test_lines_that_have_nothing_to_tell(spark):
     assert got == [(unit, True, False), (unit + 1, True, True), (unit + 2, True, False), (2 * unit + 1, True, True)]
 
 
+def test_sets_of_lines_are_plain_longs_and_keys_meet_by_one(spark):
+    """Spark sorts longs that may be null as objects, and looks up two columns as rows."""
+    df = spark.createDataFrame([("b a c b",), ("d",)], "line string").select(line_dedup.hashes(F.col("line")).alias("h"))
+    sets = df.select("h", line_dedup.word_sets(F.col("h"), [3, 0]).alias("s"))
+    bits = line_dedup.CLASS_BITS
+    assert all(r.s == sorted(([3, 0][h & 1] << 64 - bits) | (h % 2**64 >> bits) for h in r.h) and len(r.s) in (1, 3) for r in sets.collect())
+    assert not sets.schema["s"].dataType.containsNull
+    rows = spark.createDataFrame([(1, 10), (1, 40), (2, 10), (3, 10)], "key long, n int")
+    got = line_dedup.that_may_meet(rows, spark.createDataFrame([(1, 9), (3, 11), (3, 300)], "key long, n int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (3, 10)]
+    join = next(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in x)
+    assert "[met#" in join and "size" not in join
+
+
 def test_plans_hold_the_table_of_rarity_once(spark, texts, monkeypatch):
     """The driver keeps plans as text, with each constant in full: of 65,536 buckets, as at size, a table of longs has over a megabyte."""
     sizes, write = [], line_dedup.written
