@@ -50,6 +50,8 @@ EASY, SALT_BYTES = 16, 64 << 30
 WIDE_SET = 70
 #: So many longs (16 MB) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Zones of sizes in which classes meet: so many for each factor of e. Keys of a zone have so many bits.
+ZONES, KEY_BITS = 1, 40
 #: Lines a text may have; of ids beyond 34 bits.
 LINES, FAR_LINES = 1 << 28, 1 << 31
 NUM, DEN = 4, 5  # the similarity, 0.8
@@ -202,10 +204,16 @@ def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 
 def candidates_among(rows: DataFrame) -> DataFrame:
-    """``a, b`` of all pairs of classes of ``rows``. The smaller set of a pair needs its first ``a - ceil(8/9 a) + 1`` words alone."""
+    """``a, b`` of all pairs of classes of ``rows``. The smaller set of a pair needs its first ``a - ceil(8/9 a) + 1`` words alone. Classes meet
+    in the zone of the larger one's size: the smaller one is in each zone from its own to that of the largest size its place has room for."""
     n = F.col("n")
+    zone = lambda size: F.floor(F.log(size) * ZONES).cast("int")
+    # keys that clash are a pair more to rule out
+    zoned = lambda z: F.xxhash64("key", z).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
+    most = F.floor((n - F.col("i")) * (NUM + DEN) / NUM).cast("int") - n
     small = rows.filter(F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int"))
-    pairs = met(rows, small, lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c))
+    small = small.select(*CARRIED, "i", "key", F.explode(F.sequence(zone(n), zone(most))).alias("zone")).select(*CARRIED, "i", zoned(F.col("zone")))
+    pairs = met(rows.select(*CARRIED, "i", zoned(zone(n))), small, lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c))
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
@@ -242,7 +250,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     prefix = F.slice("s", 1, F.least(n, n - F.ceil(n * NUM / DEN).cast("int") + 2))
     own = own.select("place", "hash", n.alias("n"), parity.alias("m"), upper.alias("m2"), *(k.alias(f"k{i}") for i, k in enumerate(sketches)), prefix.alias("prefix"))
     rest = ["n", "m", "m2", "k0", "k1", "k2", "prefix"]
-    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), (F.count("*") > 1).alias("again"), *(F.any_value(k).alias(k) for k in rest)).filter("n > 0"), "line-classes")
+    classes = written(own.groupBy("hash").agg(F.min("place").alias("c"), (F.count("*") > 1).alias("again"), F.any_value(F.struct(*rest)).alias("set")).select("hash", "c", "again", "set.*").filter("n > 0"), "line-classes")
     easy = written(easy_pairs(classes, 1 + size // SALT_BYTES), "line-easy")
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")

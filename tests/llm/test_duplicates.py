@@ -182,6 +182,22 @@ def test_sets_of_lines_are_plain_longs_and_keys_meet_by_one(spark):
     assert "[met#" in join and "size" not in join
 
 
+def test_classes_of_far_sizes_do_not_meet(spark, monkeypatch):
+    """All classes share one word. Those of sizes that cannot match are not looked at; those that can meet once at least."""
+    sizes = [*range(1, 60), 400, 401, 450, 500, 501, 502, 3000]
+    rows = spark.createDataFrame([(c, c, n, 0, None, i, 7) for c, n in enumerate(sizes) for i in (0, n // 10)], "hash long, c long, n int, m long, m2 long, i int, key long")
+    met, looked = line_dedup.met, []
+
+    def counted(x, y, more):
+        looked.append(x.select("key").join(y.select("key"), "key").count())
+        return met(x, y, more)
+
+    monkeypatch.setattr(line_dedup, "met", counted)
+    got = {tuple(r) for r in line_dedup.candidates_among(rows).collect()}
+    assert got == {(a, b) for b, n in enumerate(sizes) for a, k in enumerate(sizes[:b]) if 5 * k >= 4 * n}
+    assert looked[0] < (2 * len(sizes)) ** 2 / 2
+
+
 def test_plans_hold_the_table_of_rarity_once(spark, texts, monkeypatch):
     """The driver keeps plans as text, with each constant in full: of 65,536 buckets, as at size, a table of longs has over a megabyte."""
     sizes, write = [], line_dedup.written
