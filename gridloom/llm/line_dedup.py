@@ -3,8 +3,9 @@
 A line is the set of its words. Two lines match if the Jaccard similarity of their sets is 0.8 or more. A line is removed if it
 matches any line before it, in the order of ids and then of places in the text; so the first of all matching lines stays.
 
-1. Words are ordered by rarity: how often the words of a word's hash bucket occur in the corpus, in 128 classes, then the word's
-   hash. The histogram has at most 2^16 buckets, however large the corpus.
+1. Words are ordered by rarity: first those that are not common, then how often the words of a word's hash bucket occur in the
+   corpus, in 64 classes, then the word's hash. The histogram has at most 2^16 buckets, however large the corpus; what is common is told
+   by a bit for each of 2^20 finer buckets, as in a large corpus each bucket of the histogram counts much by its many rare words.
 2. Equal lines become one class, represented by its first line. A hot line is pre-aggregated before the shuffle.
 3. In a large group of near copies nearly every line matches one of a few. So each class is first compared with some earlier classes
    that agree with it in one of three sketches (its rarest words, its words with the least hashes, those with the greatest), with the
@@ -18,8 +19,9 @@ matches any line before it, in the order of ids and then of places in the text;
 5. Classes that still have no match meet those that were set aside, in the same way, first a few of a key and then all, and so do
    set-aside classes whose pair failed with all others. So every pair is considered, but for those whose later line has a match
    already: one earlier match decides.
-6. A word whose bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the first
-   p + 1, so the classes of such a word meet by the word and a second one. Other words are met by ``COMMON`` classes at most.
+6. A word whose finer bucket counts more than ``COMMON`` emits no pairs by itself. Sets that match also share a second word among the
+   first p + 1, so the classes of such a word meet by the word and a second one, and the place that needs room is the one before the
+   second word's. Other words are met by ``COMMON`` classes at most.
 
 Words are identified by 57 bits of their hash where classes meet and by 64 where a pair is verified, lines by 64.
 
@@ -42,8 +44,10 @@ from gridloom.llm.common import drop_written, written
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 16
 #: So many bytes of text a bucket, roughly.
 BUCKET_BYTES = 1_500
-CLASSES, CLASS_BITS = 128, 7
-COMMON = 4_096
+#: Classes of rarity, of common words and of others alike; a bit tells which.
+CLASSES, CLASS_BITS = 64, 7
+#: Words are common if the words of their bucket, of so many, count more.
+COMMON, FINE_BUCKETS = 4_096, 1 << 20
 #: So many classes of a sketch are never set aside. Sketches of more than so many bytes of text are dealt out further.
 EASY, SALT_BYTES = 16, 64 << 30
 #: Sets of more words have bitmaps of 128 bits, others of 64.
@@ -70,13 +74,18 @@ def order_base(df: DataFrame, id_col: str) -> Column:
     return F.coalesce(ident.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(FAR_LINES).cast("decimal(11,0)")
 
 
-def rarity_table(df: DataFrame, text_col: str = "text") -> tuple[list[int], int, int]:
-    """For each hash bucket (a power of two of them) its rarity class, eight for each doubling of a count; the first class of
-    buckets that may count more than ``COMMON``; and the bytes of all words with a space each. One pass: counts of all
-    ``MOST_BUCKETS`` are summed to as many as the size asks for."""
+def rarity_table(df: DataFrame, text_col: str = "text") -> tuple[list[int], list[int], int]:
+    """For each hash bucket (a power of two of them) its rarity class, four for each doubling of a count; a bit for each of
+    ``FINE_BUCKETS`` that counts no more than ``COMMON``, 64 in a long, or nothing if all do; and the bytes of all words with a space
+    each. One pass: counts of finer buckets are summed to ``MOST_BUCKETS``, and those to as many as the size asks for."""
     # a text's words are those of its lines, so it is split once
     each = df.select(F.explode(F.split(F.replace(df[text_col], F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).filter("w <> ''")
-    got = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(MOST_BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum(F.octet_length("w") + 1).alias("bytes")).toPandas()
+    fine = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(FINE_BUCKETS - 1)).cast("int").alias("fine")).agg(F.count("*").alias("n"), F.sum(F.octet_length("w") + 1).alias("bytes"))
+    common = F.collect_list(F.when(F.col("n") > COMMON, F.col("fine"))).alias("common")
+    # written, so that the shuffle of the finer ones does not stay on disk
+    counted = written(fine.groupBy(F.col("fine").bitwiseAND(F.lit(MOST_BUCKETS - 1)).alias("b")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), common), "line-words")
+    got = counted.toPandas()
+    drop_written(counted)
     size, buckets = int(got["bytes"].sum()), LEAST_BUCKETS
     while buckets < MOST_BUCKETS and buckets * BUCKET_BYTES < size:
         buckets *= 2
@@ -84,9 +93,11 @@ def rarity_table(df: DataFrame, text_col: str = "text") -> tuple[list[int], int,
     counts[got["b"].to_numpy()] = got["n"].to_numpy()
     counts = counts.reshape(-1, buckets).sum(axis=0)
     low = np.percentile(counts[counts > 0], 5) if (counts > 0).any() else 1
-    classes = np.clip(np.round(8 * np.log2(np.maximum(counts, low) / low)), 0, CLASSES - 1).astype(np.int64)
-    common = classes[counts > COMMON].min(initial=CLASSES) if low <= COMMON else 0
-    return (classes - CLASSES // 2).tolist(), int(common) - CLASSES // 2, size
+    classes = np.clip(np.round(4 * np.log2(np.maximum(counts, low) / low)), 0, CLASSES - 1).astype(np.int64)
+    rare = np.ones(FINE_BUCKETS, np.uint8)
+    for some in got["common"]:
+        rare[list(some)] = 0
+    return classes.tolist(), [] if rare.all() else np.packbits(rare, bitorder="little").view("<i8").tolist(), size
 
 
 def hashes(line: Column) -> Column:
@@ -94,13 +105,29 @@ def hashes(line: Column) -> Column:
     return F.array_except(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
-def word_sets(distinct: Column, table: list[int]) -> Column:
-    """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash."""
+def longs(values: list[int]) -> Column:
     # folded to a constant. The driver prints it whole into each report of the plan, so classes are shifted in the rows
-    known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def word_sets(distinct: Column, table: list[int], rare: list[int] | None = None) -> Column:
+    """Distinct words in order of rarity, each as a long: class, then 57 bits of the hash. With the bits of ``rare`` (none: all are)
+    those that are not common are below zero, the others not."""
+    known, bits = longs(table), longs(rare or [])
     last, none = F.lit(len(table) - 1), F.lit(0).cast("bigint")
+    at = lambda values, i: F.coalesce(F.get(values, i), none)
+
+    def word(h: Column) -> Column:
+        out = F.shiftleft(at(known, h.bitwiseAND(last)), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))
+        if rare is None:
+            return out
+        if not rare:
+            return out.bitwiseOR(F.lit(-(2**63)))
+        own = at(bits, F.shiftright(h.bitwiseAND(F.lit(FINE_BUCKETS - 1)), 6))
+        return out.bitwiseOR(F.shiftleft(F.call_function("shiftright", own, h.bitwiseAND(F.lit(63)).cast("int")), 63))
+
     # never null, which the coalesce tells Spark: it sorts plain longs then
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(F.coalesce(F.get(known, h.bitwiseAND(last)), none), 64 - CLASS_BITS).bitwiseOR(F.shiftrightunsigned(h, CLASS_BITS))))
+    return F.sort_array(F.transform(distinct, word))
 
 
 def lines_of(df: DataFrame, base: Column, text_col: str) -> DataFrame:
@@ -177,16 +204,18 @@ def easy_pairs(classes: DataFrame, salts: int) -> DataFrame:
     return met.filter(F.col("rank") > EASY).select(choice.alias("a"), F.col("c").alias("b"), "hash").filter("a is not null").groupBy("b", "hash").agg(F.min("a").alias("a")).select("a", "b", "hash")
 
 
-def keyed(classes: DataFrame, edge: int) -> DataFrame:
-    """A row for each place ``i`` of each prefix, with the ``key`` by which classes meet: the word, or a common one and a second one."""
+def keyed(classes: DataFrame) -> DataFrame:
+    """A row for each place ``i`` of each prefix, with the ``key`` by which classes meet: the word, or a common one and a second one. Then
+    ``i`` is the place before the second one's: sets that share these two first have no more in common than follows there."""
     p = F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1
-    w, least = F.col("w"), F.lit(min(2**63 - 1, max(-(2**63), edge << (64 - CLASS_BITS))))
-    rare = classes.select(*CARRIED, F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w < least).select(*CARRIED, "i", w.alias("key"))
+    w = F.col("w")
+    rare = classes.select(*CARRIED, F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w < 0).select(*CARRIED, "i", w.alias("key"))
     # the last word of a prefix is its most common one, so most prefixes need not be taken apart again
-    crowded = classes.filter(F.get("prefix", p - 1) >= least).select(*CARRIED, "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w >= least)
+    crowded = classes.filter(F.get("prefix", p - 1) >= 0).select(*CARRIED, "prefix", F.posexplode(F.slice("prefix", 1, p)).alias("i", "w")).filter(w >= 0)
     # a set of one word has no second one, and matches equal sets alone
     second = F.when(F.col("n") == 1, F.array("w")).otherwise(F.slice("prefix", F.col("i") + 2, F.greatest(F.size("prefix") - F.col("i") - 1, F.lit(0))))
-    return rare.union(crowded.select(*CARRIED, "w", "i", F.explode(second).alias("w2")).select(*CARRIED, "i", F.xxhash64("w", "w2").alias("key")))
+    pairs = crowded.select(*CARRIED, "w", "i", F.posexplode(second).alias("j", "w2"))
+    return rare.union(pairs.select(*CARRIED, (F.col("i") + F.col("j")).alias("i"), F.xxhash64("w", "w2").alias("key")))
 
 
 def met(x: DataFrame, y: DataFrame, more: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
@@ -205,15 +234,17 @@ def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def candidates_among(rows: DataFrame) -> DataFrame:
     """``a, b`` of all pairs of classes of ``rows``. The smaller set of a pair needs its first ``a - ceil(8/9 a) + 1`` words alone. Classes meet
-    in the zone of the larger one's size: the smaller one is in each zone from its own to that of the largest size its place has room for."""
+    in the zone of the larger one's size: the smaller one is in each zone from its own to that of the largest size its place has room for.
+    Rows of such places meet one another and the rest, and are shuffled once for both sides; two guests of a zone meet in vain."""
     n = F.col("n")
     zone = lambda size: F.floor(F.log(size) * ZONES).cast("int")
     # keys that clash are a pair more to rule out
     zoned = lambda z: F.xxhash64("key", z).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
     most = F.floor((n - F.col("i")) * (NUM + DEN) / NUM).cast("int") - n
-    small = rows.filter(F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int"))
-    small = small.select(*CARRIED, "i", "key", F.explode(F.sequence(zone(n), zone(most))).alias("zone")).select(*CARRIED, "i", zoned(F.col("zone")))
-    pairs = met(rows.select(*CARRIED, "i", zoned(zone(n))), small, lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c))
+    early = F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int")
+    small = rows.filter(early).select(*CARRIED, "i", "key", F.explode(F.sequence(zone(n), zone(most))).alias("zone")).select(*CARRIED, "i", zoned(F.col("zone")))
+    in_order = lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c)
+    pairs = met(small, small, in_order).union(met(rows.filter(~early).select(*CARRIED, "i", zoned(zone(n))), small, in_order))
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
@@ -237,9 +268,9 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = order_base(plain, "id")
     lines = lines_of(plain, base, "text")
     wanted = lambda places: lines_at(plain, base, "text", places)
-    table, common, size = rarity_table(plain)
+    table, rare, size = rarity_table(plain)
     n = F.size("s")
-    own = lines.select("place", F.xxhash64("line").alias("hash"), F.sort_array(hashes(F.col("line"))).alias("h")).select("place", "hash", "h", word_sets(F.col("h"), table).alias("s"))
+    own = lines.select("place", F.xxhash64("line").alias("hash"), F.sort_array(hashes(F.col("line"))).alias("h")).select("place", "hash", "h", word_sets(F.col("h"), table, rare).alias("s"))
     # bit k of m is the parity of the words whose hash ends in k; m2 has those with the next bit set, for sets too large for 64 bits
     flipped = lambda m, bit, h: m.bitwiseXOR(F.call_function("shiftleft", bit, h.bitwiseAND(F.lit(63)).cast("int")))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -254,16 +285,16 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     easy = written(easy_pairs(classes, 1 + size // SALT_BYTES), "line-easy")
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
-    rows = keyed(stay, common)
+    rows = keyed(stay)
     found = matched(candidates_among(rows).union(easy.select("a", "b")), wanted)
     if not easy.isEmpty():
         outside = classes.join(aside, "hash", "left_semi")
         alone = stay.join(few(found), "hash", "left_anti")
         failed = written(outside.join(few(found), "hash", "left_anti"), "line-failed")
-        theirs = written(keyed(outside, common), "line-keys")
+        theirs = written(keyed(outside), "line-keys")
         # of sets set aside in vain there are few
-        vain = written(keyed(failed, common), "line-vain")
-        shared = written(that_may_meet(keyed(alone, common), theirs).unionByName(vain), "line-alone")
+        vain = written(keyed(failed), "line-vain")
+        shared = written(that_may_meet(keyed(alone), theirs).unionByName(vain), "line-alone")
         ranked = theirs.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("c", "hash")))
         # a few of a group first: what they match needs no others
         first = candidates(shared, ranked.filter(F.col("rank") <= EASY).drop("rank"))

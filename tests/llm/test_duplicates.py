@@ -198,6 +198,33 @@ def test_classes_of_far_sizes_do_not_meet(spark, monkeypatch):
     assert looked[0] < (2 * len(sizes)) ** 2 / 2
 
 
+def test_rare_words_of_full_buckets_are_keys_by_themselves(spark, monkeypatch):
+    """In a large corpus each bucket of the histogram counts more than ``COMMON`` by its many rare words. Pairs of them are no keys."""
+    lines = [" ".join(f"w{n}x{k}" for k in range(40)) for n in range(30)]
+    lines += [" ".join(line.split(" ")[2:] + ["more"]) for line in lines]
+    for name, value in (("LEAST_BUCKETS", 4), ("MOST_BUCKETS", 4), ("COMMON", 3), ("EASY", 1000)):
+        monkeypatch.setattr(line_dedup, name, value)
+    among, held = line_dedup.candidates_among, []
+    monkeypatch.setattr(line_dedup, "candidates_among", lambda rows: held.append(rows.count()) or among(rows))
+    got = line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).agg(F.sum("n_removed")).first()[0]
+    assert got == 30 and held == [len(lines) * (40 - 32 + 1) - 30]  # 39 words have a prefix of 8
+
+
+def test_rows_that_meet_one_another_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(c, c, 40, 0, None, i, i) for c in range(20) for i in range(9)], "hash long, c long, n int, m long, m2 long, i int, key long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = line_dedup.candidates_among(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("ReusedExchange") >= 2
+    assert line_dedup.candidates_among(rows).count() == 190
+
+
 def test_plans_hold_the_table_of_rarity_once(spark, texts, monkeypatch):
     """The driver keeps plans as text, with each constant in full: of 65,536 buckets, as at size, a table of longs has over a megabyte."""
     sizes, write = [], line_dedup.written
