@@ -34,6 +34,7 @@ untouched, whatever their names, but for one that has the name of an output colu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,8 @@ WIDE_SET = 70
 BROADCAST_ROWS = 2_000_000
 #: Zones of sizes in which classes meet: so many for each factor of e. Keys of a zone have so many bits.
 ZONES, KEY_BITS = 1, 40
+#: Keys are met in so many rounds.
+ROUNDS = 2
 #: Lines a text may have; of ids beyond 34 bits.
 LINES, FAR_LINES = 1 << 28, 1 << 31
 NUM, DEN = 4, 5  # the similarity, 0.8
@@ -234,20 +237,24 @@ def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def candidates_among(rows: DataFrame) -> DataFrame:
     """``a, b`` of all pairs of classes of ``rows``. The smaller set of a pair needs its first ``a - ceil(8/9 a) + 1`` words alone. Classes meet
-    in the zone of the larger one's size: the smaller one is in each zone from its own to that of the largest size its place has room for.
-    Rows of such places meet one another and the rest, and are shuffled once for both sides; two guests of a zone meet in vain."""
+    in the zone of the larger one's size: the smaller one is in each zone from its own to that of the largest size its place has room for."""
     n = F.col("n")
     zone = lambda size: F.floor(F.log(size) * ZONES).cast("int")
     # keys that clash are a pair more to rule out
     zoned = lambda z: F.xxhash64("key", z).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key")
     most = F.floor((n - F.col("i")) * (NUM + DEN) / NUM).cast("int") - n
-    early = F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int")
-    small = rows.filter(early).select(*CARRIED, "i", "key", F.explode(F.sequence(zone(n), zone(most))).alias("zone")).select(*CARRIED, "i", zoned(F.col("zone")))
-    in_order = lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c)
-    pairs = met(small, small, in_order).union(met(rows.filter(~early).select(*CARRIED, "i", zoned(zone(n))), small, in_order))
+    small = rows.filter(F.col("i") <= n - F.ceil(n * (2 * NUM) / (NUM + DEN)).cast("int"))
+    small = small.select(*CARRIED, "i", "key", F.explode(F.sequence(zone(n), zone(most))).alias("zone")).select(*CARRIED, "i", zoned(F.col("zone")))
+    pairs = met(rows.select(*CARRIED, "i", zoned(zone(n))), small, lambda x, y: (y.y_n < x.x_n) & (y.y_c != x.x_c) | (y.y_n == x.x_n) & (y.y_c < x.x_c))
     return pairs.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct()
 
 
+def in_rounds(rows: DataFrame) -> DataFrame:
+    """``candidates_among`` for some of the keys at a time: rows shuffled for others are not on disk meanwhile. A pair can be there twice."""
+    parts = [written(candidates_among(rows.filter(F.pmod("key", F.lit(ROUNDS)) == k)), "line-round") for k in range(ROUNDS)]
+    return reduce(DataFrame.union, parts)
+
+
 def size_class(n: Column) -> Column:
     return F.floor(F.log(n) * 16).cast("int")
 
@@ -286,7 +293,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     aside = few(easy.select("hash"))
     stay = classes.join(aside, "hash", "left_anti")
     rows = keyed(stay)
-    found = matched(candidates_among(rows).union(easy.select("a", "b")), wanted)
+    found = matched(in_rounds(rows).union(easy.select("a", "b")), wanted)
     if not easy.isEmpty():
         outside = classes.join(aside, "hash", "left_semi")
         alone = stay.join(few(found), "hash", "left_anti")
